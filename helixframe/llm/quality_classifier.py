@@ -40,8 +40,8 @@ def labellers(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[str]
     distinct, letters, capitals = F.col("distinct__"), F.greatest("letters__", F.lit(1)), F.col("capitals__")
     votes = {
         "symbols": _vote(F.col("symbols__") > 0.05 * n),
-        "letters": _vote(F.col("letters__") < 0.68 * n, F.col("letters__") > 0.76 * n),
-        "capitals": _vote((count > 5) & (capitals > 0.3 * letters), (capitals > 0) & (capitals < 0.1 * letters)),
+        "letters": _vote(F.col("letters__") < 0.68 * n),
+        "capitals": _vote((count > 5) & (capitals > 0.3 * letters)),
         "shouts": _vote(F.col("shouts__") > 0.02 * n),
         "bare": _vote((count > 5) & (bare > 0.1 * count)),
         "variety": _vote((count > 20) & (distinct < 0.12 * count), (count > 10) & (distinct > 0.35 * count)),
@@ -69,11 +69,16 @@ class Accuracies:
         return 1 / (1 + np.exp(scores[0] - scores[1]))
 
 
-def estimate(names: list[str], votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Accuracies:
+#: Votes (0, 1, none) expected of a labeller on bad and on good texts before any is seen.
+BELIEVED = np.array([[[0.40, 0.10, 0.50]], [[0.01, 0.49, 0.50]]])
+
+
+def estimate(names: list[str], votes: np.ndarray, counts: np.ndarray, rounds: int = 200, anchor: float = 0.5) -> Accuracies:
     """Expectation-maximisation over distinct vote rows and how many texts have each.
 
-    It starts from the majority of votes, so "good" keeps its meaning. Counts are smoothed by
-    the votes of a hundredth of the texts, which keeps every probability above 0.
+    It starts from the majority of votes. Labellers are held to be better than chance: each
+    class's votes are averaged with ``BELIEVED``, as if a further ``anchor`` times as many
+    texts had voted so, which keeps rare kinds of bad text from passing to the good class.
     """
     at = np.where(votes < 0, 2, votes)
     cast = (votes >= 0).sum(1)
@@ -87,7 +92,7 @@ def estimate(names: list[str], votes: np.ndarray, counts: np.ndarray, rounds: in
             for vote in range(3):
                 table[:, i, vote] = weight[:, at[:, i] == vote].sum(1)
         total = table.sum(2, keepdims=True)
-        model = Accuracies(names, prior, (table + 0.01 * total + 1e-3) / (1.03 * total + 3e-3))
+        model = Accuracies(names, prior, (table + (anchor * total + 1e-3) * BELIEVED) / ((1 + anchor) * total + 1e-3))
         before, good = good, model.posterior(votes)
         if np.abs(good - before).max(initial=0.0) < 1e-6:
             break
