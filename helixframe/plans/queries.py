@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
-from helixframe.operators import coverage, expand, genome, intervals as I, matrix as M, metrics, motifs, scoring, variants as V
+from helixframe.operators import coverage, expand, genome, intervals as I, matrix as M, metrics, motifs, scoring, variants as V, windows
 from helixframe.plans import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -581,3 +581,49 @@ def evolved(spark, d):
     seqs = T.sequences(spark, d).select("id", F.substring("seq", 1, 20).alias("seq"))
     made = scoring.evolve(seqs, TASKS["t1"], max_iter=2).filter("best_in_iter")
     return made.select("iter", "id", "pos", "allele", "seq", six("total_score").alias("total_score"))
+
+
+@query("coverage_windows", f"""SELECT b.id, t AS task, p AS pos, round(ln(1+least(coalesce((SELECT sum(depth) FROM c WHERE c.chrom = b.chrom AND c.pos >= b.s+p*250 AND c.pos < b.s+p*250+250), 0)*t, 30)), 6) AS value
+ FROM (SELECT id, chrom, cast(ceil((istart+iend)/2.0-500) AS bigint) AS s FROM blacklist) b, generate_series(0,3) g(p), (VALUES (1),(2)) v(t)""", "intervals", "blacklist")
+def coverage_windows(spark, d):
+    runs = coverage.merge_runs(coverage.insertion_counts(T.intervals(spark, d), 4, -5))
+    tracks = runs.withColumn("track", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("value", F.col("value") * F.col("track"))
+    made = windows.coverage_windows(T.blacklist(spark, d), tracks, 1000, 250, high=30, transform="log1p")
+    return made.select("id", "task", F.col("pos").cast("long").alias("pos"), six("value").alias("value"))
+
+
+ORACLES["coverage_windows"] = ORACLES["coverage_windows"].replace(" SELECT b.id, t AS task", f", c AS ({_INSERT}) SELECT b.id, t AS task", 1)
+
+
+@query("adjusted_p_values", """SELECT id, task, round(least(min(raw) OVER (PARTITION BY task ORDER BY pred DESC RANGE UNBOUNDED PRECEDING), 1), 6) AS q_value FROM (
+ SELECT *, pred*count(*) OVER (PARTITION BY task)/count(*) OVER (PARTITION BY task ORDER BY pred RANGE UNBOUNDED PRECEDING) AS raw FROM preds)""", "preds")
+def adjusted_p_values(spark, d):
+    return motifs.fdr_bh(T.preds(spark, d), "pred", "task").select("id", "task", six("q_value").alias("q_value"))
+
+
+@query("varying_tasks", f"SELECT task, round(var_samp(e),6) AS variance FROM (SELECT task, pos, avg(value) AS e FROM ({_DENSE}) GROUP BY task, pos) GROUP BY task", "sequences")
+def varying_tasks(spark, d):
+    effects = _dense(spark, d).withColumn("motif", F.col("pos")).withColumnRenamed("value", "effect")
+    return scoring.tasks_by_variance(effects, 2).withColumn("variance", six("variance"))
+
+
+@query("looked_up_tasks", f"SELECT id, pos, task, 'task ' || task AS name, round(value,6) AS value FROM ({_DENSE}) WHERE task <> 't2'", "sequences")
+def looked_up_tasks(spark, d):
+    p = _dense(spark, d)
+    names = p.select("task").distinct().withColumn("name", F.concat(F.lit("task "), "task"))
+    return scoring.task_lookup(p, names, names=["t2"], invert=True).select("id", F.col("pos").cast("long").alias("pos"), "task", "name", six("value").alias("value"))
+
+
+@query("poisson_multinomial", f"""SELECT round(avg((tp - ty*ln(tp))/8 - (y+1e-7)*ln((v+1e-7)/tp)), 5) AS loss FROM (
+ SELECT value AS v, pos AS y, sum(value+1e-7) OVER (PARTITION BY id, task) AS tp, sum(pos+1e-7) OVER (PARTITION BY id, task) AS ty FROM ({_DENSE}))""", "sequences")
+def poisson_multinomial(spark, d):
+    p = _dense(spark, d).select("id", "task", "pos", F.col("value").alias("pred"), F.col("pos").alias("label"))
+    return metrics.poisson_multinomial_loss(p, 8).select(F.round("loss", 5).alias("loss"))
+
+
+@query("gc_match_table", """SELECT kind, b AS bin, round(count(id)/max(n)::double, 6) AS n FROM (VALUES ('positive'),('negative')) k(kind) CROSS JOIN range(0,10) r(b)
+ LEFT JOIN (SELECT id, CASE WHEN id%2=0 THEN 'positive' ELSE 'negative' END AS kd, len(list_filter(range(0,10), lambda i: i*0.1::double <= (length(seq)-length(translate(seq,'GC','')))/length(seq)::double)) - 1 AS bin FROM sequences) s ON s.bin = b AND s.kd = kind
+ JOIN (SELECT CASE WHEN id%2=0 THEN 'positive' ELSE 'negative' END AS k2, count(*) AS n FROM sequences GROUP BY 1) t ON t.k2 = kind GROUP BY kind, b""", "sequences")
+def gc_match_table(spark, d):
+    seqs = T.sequences(spark, d)
+    return metrics.gc_match_table(seqs.filter("id % 2 = 0"), seqs.filter("id % 2 = 1")).select("kind", F.col("bin").cast("long").alias("bin"), six("n").alias("n"))
