@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from helixframe.llm import piece_model
 from helixframe.llm.piece_model import MARK, NORMAL, USER
 
-#: Units whose tokens a Python worker remembers, at most.
-CACHE = 300_000
+#: Units whose tokens a Python worker remembers, at most, and units encoded at a time.
+CACHE, AT_ONCE = 200_000, 5_000
 
 
 def rebuild(path: str):
@@ -62,29 +62,36 @@ def _codec(path: str):
 
     fast, slow = rebuild(path), sentencepiece.SentencePieceProcessor(model_file=path)
     cut = piece_model.parse(path).can_cut
-    known: dict[str, tuple[np.ndarray, str, bool]] = {}
+    known: dict[str, bytes] = {}  # a unit's ids as 32-bit integers
+    odd: dict[str, str] = {}  # what units decode to that don't give themselves back
+    unlike: set[str] = set()  # units that the two libraries encode differently
 
     def learn(texts: list[str]) -> None:
-        first = fast.encode_batch(texts, add_special_tokens=False)
-        decoded = fast.decode_batch([x.ids for x in first], skip_special_tokens=False)
-        for text, mine, said, theirs in zip(texts, first, decoded, slow.encode(texts, num_threads=1)):
-            same = mine.ids == theirs
-            known[text] = (np.asarray(theirs, "int32"), said if same else slow.decode(theirs), same)
+        mine = [x.ids for x in fast.encode_batch_fast(texts, add_special_tokens=False)]
+        theirs = slow.encode(texts, num_threads=1)
+        unlike.update(text for text, a, b in zip(texts, mine, theirs) if a != b)
+        known.update((text, np.array(ids, "int32").tobytes()) for text, ids in zip(texts, theirs))
+        # all at once first: units begin with a marker, so their decodings stand apart by a space
+        if not cut or fast.decode([i for ids in theirs for i in ids], skip_special_tokens=False) != " ".join(texts):
+            odd.update((text, said) for text, said in zip(texts, fast.decode_batch(theirs, skip_special_tokens=False)) if said != text)
 
     def run(texts: list[str]) -> Iterator[tuple[np.ndarray, str, bool]]:
-        if len(known) > CACHE:
-            known.clear()
-        split = [[u.replace(MARK, " ") for u in piece_model.units(t)] if cut else [t] for t in texts]
-        if new := [u for u in {u for own in split for u in own} if u not in known and u]:
-            learn(new)
+        if len(known) > CACHE:  # the first ones learned are the commonest, and stay
+            for unit in list(known)[CACHE // 2 :]:
+                del known[unit]
+        split = [piece_model.units(t) if cut else [t] for t in texts]
+        new = [u for u in set().union(*split) if u and u not in known]
+        for start in range(0, len(new), AT_ONCE):
+            learn(new[start : start + AT_ONCE])
         if "" not in known:
             alone = slow.encode("a ")[len(slow.encode("a")) :] if cut else []
-            known[""] = (np.asarray(alone, "int32"), "", fast.encode("a ", add_special_tokens=False).ids[-len(alone) or 1 :] == alone if cut else True)
-        for own in split:
-            parts = [known[u] for u in own]
-            ids = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, "int32")
-            # each unit but the first gets back the space that its marker stood for
-            yield ids, " ".join([p[1] for p in parts]), all(p[2] for p in parts)
+            known[""] = np.array(alone, "int32").tobytes()
+        for text, own in zip(texts, split):
+            ids = np.frombuffer(b"".join(map(known.__getitem__, own)), "int32")
+            back = text.replace(MARK, " ")
+            if odd and not odd.keys().isdisjoint(own):
+                back = " ".join([odd.get(u, u) for u in own])
+            yield ids, back, not unlike or unlike.isdisjoint(own)
 
     return run
 
@@ -92,7 +99,7 @@ def _codec(path: str):
 CODED = T.StructType([T.StructField("input_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType()), T.StructField("parity", T.BooleanType())])
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), slice_chars: int = 2_000_000) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), slice_chars: int = 500_000) -> DataFrame:
     """One row per row of ``docs``: the ``keep`` columns, then
 
     * ``input_ids`` array<int>: the tokens of the whole text, no special ones added;
@@ -111,22 +118,22 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", keep: tuple[str
     @F.pandas_udf(CODED)
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         run = _codec(model_path)
-        for texts in batches:
-            rows = []
 
-            def flush(held: list[str]) -> None:
-                for said, (ids, back, same) in zip(held, run(held)):
-                    rows.append((ids, len(ids), back == said.replace(MARK, " "), same))
+        def done(held: list[str]) -> pd.DataFrame:
+            rows = [(ids, len(ids), back == said.replace(MARK, " "), same) for said, (ids, back, same) in zip(held, run(held))]
+            return pd.DataFrame(rows, columns=CODED.names)
 
+        # results go out slice by slice, so that a batch of long texts is never held twice
+        for texts in batches:
             held, chars = [], 0
             for value in texts:
                 held.append(value if isinstance(value, str) else "")
                 chars += len(held[-1])
                 if chars >= slice_chars:
-                    flush(held)
+                    yield done(held)
                     held, chars = [], 0
-            flush(held)
-            yield pd.DataFrame(rows, columns=CODED.names)
+            if held:
+                yield done(held)
 
     made = docs.select(*[F.col(c) for c in keep], coded(F.col(text)).alias("coded__"))
     return made.select(*keep, "coded__.*")

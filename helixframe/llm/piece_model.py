@@ -99,4 +99,4 @@ def units(text: str) -> list[str]:
     parts = text.split(" ")
     if MARK not in text and "" not in parts:
         return parts
-    return [unit[1:] for unit in UNIT.findall(MARK + text.replace(" ", MARK))]
+    return [unit[1:].replace(MARK, " ") for unit in UNIT.findall(MARK + text.replace(" ", MARK))]

@@ -48,8 +48,8 @@ def _counter(path: str):
         split = [piece_model.units(text) for text in texts]
         rest = list({unit for own in split for unit in own if unit not in known})
         # an empty unit is a marker alone: the library gives nothing for an empty text
-        plain = [unit for unit in rest if unit.replace(piece_model.MARK, " ")]
-        known.update(zip(plain, map(len, library.encode([u.replace(piece_model.MARK, " ") for u in plain], num_threads=1))))
+        plain = [unit for unit in rest if unit]
+        known.update(zip(plain, map(len, library.encode(plain, num_threads=1))))
         if "" in rest:
             known[""] = len(library.encode("a ")) - len(library.encode("a"))
         get = known.__getitem__
