@@ -10,12 +10,12 @@ Texts with equal shingle sets form a class first; one member stands for it. From
    Of those values it enters the rarest ones in inverted lists, so many that two partners must
    meet in one of them (the more frequent ones, such as those of a passage in thousands of
    texts, are not needed).
-3. In a short list every pair is a candidate. In a long list each member is only compared with
-   the list's smallest set, the pivot. That loses no link between members x and y: if both are linked
-   to the pivot p, they are connected. If x is not, and x and y have no common shingle outside
-   p, then their similarity is at most that of x and p, as p is no larger than y. So any
-   other link shows in a common shingle outside p: members are listed again by those shingles
-   of theirs, in lists that no longer hold p, and so on until all lists are short.
+   A set of which no other candidate holds most shingles is dropped, and its shingles held by others are counted.
+3. In a short list every pair is a candidate. In a long list each member is first compared with
+   one, the list's centre: the set with the fewest shingles of its own. Members that come into the
+   centre's component need no more comparisons with each other. The others are compared with
+   those of their list that lie in another component and that counts allow to be linked (see
+   ``_open_pairs``). So a group of copies costs one comparison a member, and no link is lost.
 4. The union sketch's estimate drops candidate pairs; the whole sets decide the rest.
 """
 
@@ -78,16 +78,13 @@ def _needed(n: Column, k: int) -> Column:
     return F.when(n <= k, F.least(exact, F.lit(shared_at_least(k)))).otherwise(F.lit(shared_at_least(k)))
 
 
-def _pairs_of(lists: DataFrame, by: list[str], extra: Column | None = None) -> DataFrame:
+def _pairs_of(lists: DataFrame, by: list[str]) -> DataFrame:
     """All pairs (a, b) of members of lists; the caller gives short lists only."""
-    member = F.struct("cid", "n") if extra is None else F.struct("cid", "n", extra.alias("linked"))
-    heads = lists.groupBy(*by).agg(F.sort_array(F.collect_list(member)).alias("members"))
+    heads = lists.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("cid", "n"))).alias("members"))
     pair = F.flatten(F.transform("members", lambda x, i: F.transform(F.slice("members", i + 2, F.size("members")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     pairs = heads.select(F.explode(pair).alias("pair"))
-    if extra is not None:
-        pairs = pairs.filter("NOT (pair.x.linked AND pair.y.linked)")
     # neither may be so much smaller that the sizes alone forbid a link
-    alike = (F.least("pair.x.n", "pair.y.n") * 100 >= F.greatest("pair.x.n", "pair.y.n") * SIMILAR) & (F.col("pair.x.cid") != F.col("pair.y.cid"))
+    alike = F.least("pair.x.n", "pair.y.n") * 100 >= F.greatest("pair.x.n", "pair.y.n") * SIMILAR
     return pairs.filter(alike).select(F.col("pair.x.cid").alias("a"), F.col("pair.y.cid").alias("b"))
 
 
@@ -109,20 +106,18 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(linked).select("a", "b")
 
 
-def _star(groups: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``groups`` (pivot, cid): the links to pivots, and the members listed again as (pivot, value,
-    cid, n, linked) by their shingles outside the pivot. A member that its pivot holds in part
-    must share so many of the others with any partner that the first few of them suffice."""
-    own = sets.select("cid", "n", "set__")
-    both = groups.join(own, "cid").join(own.select(F.col("cid").alias("pivot"), F.col("n").alias("n_p"), F.col("set__").alias("set_p")), "pivot")
-    both = both.withColumn("common", F.size(F.array_intersect("set__", "set_p")))
-    both = both.withColumn("linked", 100 * F.col("common") >= SIMILAR * (F.col("n") + F.col("n_p") - F.col("common")))
-    rest = F.array_except("set__", "set_p")
-    prefix = F.size(F.col("rest")) - F.greatest(F.lit(1), F.ceil(F.col("n") * SIMILAR / 100).cast("int") - F.col("common")) + 1
-    both = cut(both.withColumn("rest", rest).select("pivot", "cid", "n", "linked", F.slice("rest", 1, F.greatest(prefix, F.lit(0))).alias("rest")))
-    links = both.filter("linked").select(F.col("pivot").alias("a"), F.col("cid").alias("b"))
-    again = both.select("pivot", F.explode("rest").alias("value"), "cid", "n", "linked")
-    return links, again
+def _open_pairs(groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of a group (center, cid, n, shared, common, root, center_root) that are
+    in different components, one of them outside the centre's, and that may be linked: what two
+    sets have in common lies in the centre, where the smaller share bounds it, or outside,
+    where what other sets hold of each does."""
+    names = ("n", "shared", "common", "root")
+    x = groups.filter("root <> center_root").select("center", F.col("cid").alias("a"), *[F.col(c).alias(f"{c}_a") for c in names])
+    y = groups.select("center", F.col("cid").alias("b"), *[F.col(c).alias(f"{c}_b") for c in names], (F.col("root") != F.col("center_root")).alias("outside"))
+    most = F.least("common_a", "common_b") + F.least(F.col("shared_a") - F.col("common_a"), F.col("shared_b") - F.col("common_b"))
+    fits = (100 + SIMILAR) * most >= SIMILAR * (F.col("n_a") + F.col("n_b"))
+    once = ~F.col("outside") | (F.col("a") < F.col("b"))
+    return x.join(y, "center").filter(fits & once & (F.col("root_a") != F.col("root_b"))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", text: str = "text", k: int = K, short: int = SHORT) -> DataFrame:
@@ -147,8 +142,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", text
     need = _needed(F.col("n"), k)
     lists = lists.filter(F.size("shared") >= need).select("cid", "n", F.explode(F.slice("shared", 1, F.size("shared") - need + 1)).alias("x")).select("cid", "n", F.col("x.value").alias("value"))
     lists = cut(lists)
-    again = lists.select(F.lit(-1).cast("long").alias("pivot"), "value", "cid", "n", F.lit(False).alias("linked"))
-
     # whole sets of the classes that may have a partner, made again from their texts
     wanted = cut(lists.join(lists.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1"), "value", "left_semi").select("cid").distinct().join(classes.select("cid", "rep", "same", "n"), "cid"))
     ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
@@ -159,25 +152,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", text
     if sets.count() > n_wanted:  # the same row is there more than once
         sets = cut(sets.dropDuplicates(["cid"]))
 
-    links = []
-    while True:
-        sizes = again.groupBy("pivot", "value").agg(F.count("*").alias("m"), F.min(F.struct("n", "cid")).alias("head"), F.min("linked").alias("done")).filter("m > 1 AND NOT done")
-        sizes = cut(sizes)
-        counted = sizes.count()
-        listed = again.join(small(sizes, counted, BROADCAST_ROWS), ["pivot", "value"])
-        candidates = _pairs_of(listed.filter(F.col("m") <= short), ["pivot", "value"], F.col("linked"))
-        links.append(cut(_verified(_estimated(candidates, classes, k), sets)))
-        groups = cut(listed.filter(F.col("m") > short).filter(F.col("cid") != F.col("head.cid")).select(F.col("head.cid").alias("pivot"), "cid").distinct())
-        if groups.isEmpty():
-            break
-        found, rest = _star(groups, sets)
-        links.append(found)
-        alone = rest.groupBy("pivot", "value").agg(F.count("*").alias("m")).filter("m > 1")
-        again = cut(rest.join(alone, ["pivot", "value"], "left_semi"))
-
-    every = links[0]
-    for more in links[1:]:
-        every = every.unionByName(more)
+    # shingles that no other of these sets holds can't be common to two: sets with too many go
+    held = sets.select("cid", F.explode("set__").alias("value"))
+    met = held.groupBy("value").agg(F.min("cid").alias("cid"), F.max("cid").alias("last")).filter("cid = last")
+    lonely = met.groupBy("cid").agg(F.count("*").alias("alone"))
+    shared = F.col("n") - F.coalesce("alone", F.lit(0))
+    sets = cut(sets.join(lonely, "cid", "left").withColumn("shared", shared).drop("alone").filter(100 * F.col("shared") >= SIMILAR * F.col("n")))
+
+    members = cut(lists.join(sets.select("cid", "shared"), "cid"))
+    center = F.max(F.struct((F.col("shared") - F.col("n")).alias("most"), F.col("n"), F.col("cid"))).alias("center")
+    sizes = cut(members.groupBy("value").agg(F.count("*").alias("m"), center).filter("m > 1").select("value", "m", F.col("center.cid").alias("center")))
+    listed = members.join(small(sizes, sizes.count(), BROADCAST_ROWS), "value")
+    inner = cut(_verified(_estimated(_pairs_of(listed.filter(F.col("m") <= short), ["value"]), classes, k), sets))
+    groups = cut(listed.filter(F.col("m") > short).select("center", "cid", "n", "shared").distinct())
+    compared = groups.join(sets.select("cid", "set__"), "cid").join(sets.select(F.col("cid").alias("center"), F.col("set__").alias("set_c"), F.col("n").alias("n_c")), "center")
+    compared = cut(compared.withColumn("common", F.size(F.array_intersect("set__", "set_c"))).drop("set__", "set_c"))
+    star = compared.filter(f"cid <> center AND {100 + SIMILAR} * common >= {SIMILAR} * (n + n_c)").select(F.col("center").alias("a"), F.col("cid").alias("b"))
+    every = inner.unionByName(star)
+    so_far = cut(components(every))
+    rooted = compared.join(so_far.toDF("cid", "root"), "cid", "left").join(so_far.toDF("center", "center_root"), "center", "left")
+    rooted = cut(rooted.withColumn("root", F.coalesce("root", "cid")).withColumn("center_root", F.coalesce("center_root", "center")))
+    every = every.unionByName(cut(_verified(_estimated(_open_pairs(rooted), classes, k), sets)))
     roots = components(every)
     named = classes.join(roots, classes["cid"] == roots["node"], "left").select("same", "rep", F.coalesce("root", "cid").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
