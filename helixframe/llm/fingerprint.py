@@ -115,7 +115,8 @@ def edit_study(docs: DataFrame, partitions: int, doc_id: str = "doc_id", text: s
     near_next.
     """
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").desc()]
-    dealt = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(doc_id).cast("string").alias("key")).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    # ranges of ids alone: their bounds come from a sample of keys, which should hold no texts
+    dealt = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(doc_id).cast("string").alias("key")).repartitionByRange(partitions, order[0]).sortWithinPartitions(*order)
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, last, first = TaskContext.get().partitionId(), None, True
