@@ -145,7 +145,7 @@ def _train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rounds
     return weights
 
 
-def fit_scorer(docs: DataFrame, model: Accuracies, text: str = "text", key: str = "doc_id", sample_rows: int = 8000, sample_chars: int = 20_000) -> np.ndarray:
+def fit_scorer(docs: DataFrame, model: Accuracies, text: str = "text", key: str = "doc_id", sample_rows: int = 2500, sample_chars: int = 20_000) -> np.ndarray:
     """Weights of a linear scorer over hashed features, trained on the posterior labels of at
     most about ``sample_rows`` rows, drawn by a hash of ``key`` (the documented bound on
     training rows). For training alone, longer sampled texts are left out beyond
