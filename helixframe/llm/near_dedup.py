@@ -89,13 +89,16 @@ def _pairs_of(lists: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame, k: int) -> DataFrame:
-    """Drops pairs whose union sketch has too few common values."""
+    """Drops pairs whose union sketch has too few common values. Two sets of at most ``k`` shingles
+    are their own sketches: all their common values count, against the whole union."""
     own = sketches.select("cid", "n", "sketch")
     both = pairs.distinct().join(own.toDF("a", "n_a", "sketch_a"), "a").join(own.toDF("b", "n_b", "sketch_b"), "b")
-    union = F.slice(F.sort_array(F.array_union("sketch_a", "sketch_b")), 1, k)
-    common = F.size(F.array_intersect(union, F.array_intersect("sketch_a", "sketch_b")))
-    whole = F.ceil(F.size(F.array_union("sketch_a", "sketch_b")) * SIMILAR / 100)
-    least = F.when((F.col("n_a") <= k) & (F.col("n_b") <= k), whole).otherwise(F.lit(shared_at_least(k)))
+    every = F.array_union("sketch_a", "sketch_b")
+    shared = F.array_intersect("sketch_a", "sketch_b")
+    sampled = F.size(F.array_intersect(F.slice(F.sort_array(every), 1, k), shared))
+    whole = (F.col("n_a") <= k) & (F.col("n_b") <= k)
+    common = F.when(whole, F.size(shared)).otherwise(sampled)
+    least = F.when(whole, F.ceil(F.size(every) * SIMILAR / 100)).otherwise(F.lit(shared_at_least(k)))
     return both.filter(common >= least).select("a", "b")
 
 

@@ -80,6 +80,20 @@ def test_near_duplicates_match_all_pairs(spark, size, short, k):
     assert got == {i: (n, c, c == i) for i, (n, c) in want.items()}
 
 
+@pytest.mark.parametrize("size", [4, 5])
+def test_near_duplicates_of_short_texts(spark, size):
+    """Pairs of 30 to 37 words, the third word from an end changed: near the threshold, with unions around k."""
+    texts = []
+    for n in range(30, 38):
+        for i in range(6):
+            w = [f"t{n}x{i}w{j}" for j in range(n)]
+            texts += [" ".join(w), " ".join(w[:2] + ["other"] + w[3:] if i % 2 else w[:-3] + ["other"] + w[-2:])]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(table(spark, texts), size=size).collect()}
+    want = brute_components(list(enumerate(texts)), size)
+    assert got == {i: c for i, (_, c) in want.items()}
+    assert sum(got[i] == i - 1 for i in range(1, len(texts), 2)) > 30
+
+
 def test_near_duplicates_empty_and_repeated(spark):
     assert near_dedup.near_duplicates(table(spark, [])).count() == 0
     rows = near_dedup.near_duplicates(table(spark, ["a b c d e f"] * 3 + [None, None], [4, 4, 2, 9, 9])).collect()
