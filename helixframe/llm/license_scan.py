@@ -29,6 +29,10 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "mpl-2.0": ("subject to the terms of the mozilla public license v 2 0",),
     "reserved": ("all rights reserved no part of this publication may be reproduced",),
 }
+#: Words that tell one license or version from another: a notice may not lack them.
+NAMING = frozenset("0 1 2 3 4 affero apache attribution by cc cc0 commons creative gnu lesser mit mozilla nc sa sharealike".split())
+#: Distinct words from which on a template may lack a word that names nothing.
+LENIENT = 7
 #: Words of a block, and how far apart blocks start: every 25 words in a row lie in one block.
 BLOCK, STRIDE = 48, 24
 
@@ -56,13 +60,15 @@ def _template_rows() -> list[tuple[int, str, list[str]]]:
     return [(i, label, sorted(set(text.split()))) for i, (label, text) in enumerate(texts)]
 
 
-def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", containment: float = 0.95) -> DataFrame:
+def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", containment: float = 0.95, lacking: int = 0) -> DataFrame:
     """The ``keep`` columns, then n_words, n_base, first_word, last_word, base_labels, labels
     and score.
 
     Base labels come from fixed phrases standing word by word. The others come from a
     set-similarity join: a text is cut into overlapping blocks of words, and a block gets a
-    template's label if it holds at least ``containment`` of the template's distinct words. The
+    template's label if it holds at least ``containment`` of the template's distinct words, or,
+    where the template has ``LENIENT`` or more, all of them but ``lacking`` that are not in
+    ``NAMING`` (a word of a notice is left out or changed, but its license and version stand). The
     join is exact. Words of templates are ordered by the number of texts that hold them, rarest
     first, over all texts; the rarest words of a template, as many as it may lack and one more,
     must include one of the block's first words (prefix filter), the block must hold
@@ -86,9 +92,11 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
     sides = []
     for i, label, own in templates:
         ranks = sorted(rank[w] for w in own)
-        need = math.ceil(containment * len(ranks) - 1e-9)
-        sides += [(i, label, ranks, need, ranks[at], at) for at in range(len(ranks) - need + 1)]
-    prefixes = spark.createDataFrame(sides, "template int, label string, ranks array<int>, need int, rank int, at int")
+        strict = math.ceil(containment * len(ranks) - 1e-9)
+        need = min(strict, len(ranks) - lacking) if len(ranks) >= LENIENT else strict
+        named = sorted(rank[w] for w in own if w in NAMING)
+        sides += [(i, label, ranks, need, ranks[at], at, strict, named) for at in range(len(ranks) - need + 1)]
+    prefixes = spark.createDataFrame(sides, "template int, label string, ranks array<int>, need int, rank int, at int, strict int, named array<int>")
     first_words = array([order[r - 1] for r in sorted({side[4] for side in sides})])
     least = min(side[3] for side in sides)
 
@@ -113,7 +121,7 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
     # prefixes come from the fixed templates: a few hundred rows, always safe to broadcast
     pairs = entries.join(F.broadcast(prefixes), "rank").filter("size >= need AND place <= size - need AND least(size - place, size(ranks) - at) >= need")
     found = F.size(F.array_intersect("words", "ranks"))
-    hits = pairs.withColumn("found", found).filter("found >= need").groupBy("row__").agg(F.collect_set("label").alias("own__"), F.max(F.col("found") / F.size("ranks")).alias("best__"))
+    hits = pairs.withColumn("found", found).filter("found >= strict OR (found >= need AND size(array_except(named, words)) = 0)").groupBy("row__").agg(F.collect_set("label").alias("own__"), F.max(F.col("found") / F.size("ranks")).alias("best__"))
     labels = F.array_sort(F.array_union("base__", F.coalesce("own__", F.expr("cast(array() as array<string>)"))))
     score = F.when(F.size("base__") > 0, 1.0).otherwise(F.coalesce("best__", F.lit(0.0)))
     out = rows.drop("blocks__").join(hits, "row__", "left")

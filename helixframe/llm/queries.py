@@ -52,7 +52,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(read(spark, sf_dir, "documents"))
+    return license_scan.scan(read(spark, sf_dir, "documents"), lacking=1)
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.llm import chat_format, components, fingerprint, language_id, license_scan, mixing, near_dedup, piece_codec, quality_classifier, quality_rules, token_counts
-from helixframe.llm.queries import piece_model_path
+from helixframe.llm.queries import op5_license_scan, piece_model_path
 
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words__ string, n_words string, score string"
@@ -181,6 +181,22 @@ def test_license_join_is_exact(spark):
         assert got[i] == ",".join(sorted(own | base))
 
 
+def test_license_notices_with_one_word_changed(spark, tmp_path):
+    """The query labels each longer notice that lacks any one word but a naming one, and none that lacks a naming one."""
+    cases, none = [], []
+    for label, some in license_scan.TEMPLATES.items():
+        for w in (text.split() for text in some):
+            for lost in sorted(set(w)) if len(set(w)) >= license_scan.LENIENT else []:
+                (none if lost in license_scan.NAMING else cases).append((label, " ".join("other" if x == lost else x for x in w)))
+    cases += [("apache-2.0", "Licensed under the Apache License 2.0."), ("gpl-3.0", "This program is licensed under the GNU General Public License, version 3")]
+    own = [text for _, text in cases + none] + ["Licensed under CC BY-SA 4.0", "this work is licensed under the GNU General Public License, version 3"]
+    table(spark, own).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [r["labels"].split(",") for r in op5_license_scan(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert [x for x, got in zip(cases, labels) if x[0] not in got] == []
+    assert [x for x, got in zip(none, labels[len(cases) :]) if x[0] in got] == []
+    assert labels[-2:] == [["cc-by", "cc-by-sa-4.0"], ["gpl", "gpl-3.0"]]
+
+
 # operators 3 and 10
 
 
