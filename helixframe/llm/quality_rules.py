@@ -23,9 +23,9 @@ FEATURES: dict[str, tuple[str, float]] = {
 SUBSET = 0.75
 #: Makes the covariance of the central three quarters of five normal variables that of all.
 CONSISTENCY = 1.41
-#: Square of the Mahalanobis distance beyond which a document is an outlier: about the
-#: 1 - 1e-6 quantile for five normal variables, widened as texts are longer-tailed.
-CUTOFF = 60.0
+#: Square of the Mahalanobis distance beyond which a document is an outlier: the 1 - 1e-6
+#: quantile of chi-square with five degrees of freedom.
+CUTOFF = 35.888
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -96,7 +96,7 @@ def _distance() -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
-def outlier_distances(stats: DataFrame, lang: str = "lang", source: str = "source", steps: int = 4, min_rows: int = 100, broadcast_rows: int = 100_000) -> DataFrame:
+def outlier_distances(stats: DataFrame, lang: str = "lang", source: str = "source", steps: int = 4, min_rows: int = 36, broadcast_rows: int = 100_000) -> DataFrame:
     """``stats`` plus the double ``distance``: the squared Mahalanobis distance of a row's
     transformed statistics from the minimum-covariance-determinant estimate of its language and
     source.
@@ -104,17 +104,22 @@ def outlier_distances(stats: DataFrame, lang: str = "lang", source: str = "sourc
     Two starts, one from medians and one from all rows of the group, are each improved by
     ``steps`` concentration steps: the estimate is made again from the three quarters of the
     group that lie nearest to it. The start with the smaller determinant wins. Groups with
-    fewer than ``min_rows`` rows, and rows whose language or source is null, share one estimate.
+    fewer than ``min_rows`` rows, and rows without a source, share an estimate with the others of
+    their language; where those are too few as well, and without a language, one for all.
     All steps are aggregations that combine before they shuffle, so one group may hold any
     share of the rows; the join with the estimates is a broadcast only up to
     ``broadcast_rows`` groups.
     """
     p = len(FEATURES)
     named = F.when(F.col(lang).isNotNull() & F.col(source).isNotNull(), F.to_json(F.struct(F.col(lang).cast("string").alias("a"), F.col(source).cast("string").alias("b"))))
-    rows = cut(stats.withColumn("g", F.coalesce(named, F.lit(""))).withColumns({f"x{i}": F.expr(e) for i, (e, _) in enumerate(FEATURES.values())}))
-    groups = cut(rows.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") >= min_rows).select("g", F.lit(True).alias("own")))
+    pool = F.when(F.col(lang).isNotNull(), F.to_json(F.struct(F.col(lang).cast("string").alias("a"))))
+    rows = cut(stats.withColumns({"g": F.coalesce(named, F.lit("")), "pool": F.coalesce(pool, F.lit(""))}).withColumns({f"x{i}": F.expr(e) for i, (e, _) in enumerate(FEATURES.values())}))
+    groups = cut(rows.groupBy("g", "pool").agg(F.count("*").alias("n")).withColumn("own", (F.col("g") != "") & (F.col("n") >= min_rows)))
     n_groups = groups.count() + 1
-    rows = rows.join(small(groups, n_groups, broadcast_rows), "g", "left").withColumn("g", F.when(F.col("own"), F.col("g")).otherwise("")).drop("own")
+    pools = groups.filter("NOT own AND pool <> ''").groupBy("pool").agg(F.sum("n").alias("pooled")).filter(F.col("pooled") >= min_rows)
+    shared = F.when(F.col("own"), F.col("g")).when(F.col("pooled").isNotNull(), F.col("pool")).otherwise("")
+    groups = cut(groups.join(pools, "pool", "left").select("g", "pool", shared.alias("by")))
+    rows = rows.join(small(groups, n_groups, broadcast_rows), ["g", "pool"]).withColumn("g", F.col("by")).drop("by", "pool")
     narrow = rows.select("g", *[f"x{i}" for i in range(p)])
     middle = narrow.groupBy("g").agg(*[F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias(f"q{i}") for i in range(p)])
     floors = [floor for _, floor in FEATURES.values()]

@@ -1,6 +1,7 @@
 """Operators on texts against brute force, round trips and edge cases."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -137,6 +138,22 @@ def test_outliers(spark):
     assert quality_rules.quality_rules(table(spark, [])).count() == 0
 
 
+def test_cutoff_is_the_quantile_it_names():
+    x = quality_rules.CUTOFF
+    beyond = math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)
+    assert beyond == pytest.approx(1e-6, rel=0.01)
+
+
+def test_small_groups_are_not_pooled_across_languages(spark):
+    """Two languages of 60 rows, one with a symbol in each word: a row of the other that has them too is an outlier."""
+    rng = random.Random(6)
+    text = lambda end: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(99)) + end for _ in range(rng.randint(40, 200)))
+    rows = [(i, text(""), "aa", f"s{i % 3}", None, "", "", "") for i in range(60)] + [(i, text("$"), "bb", "s0", None, "", "", "") for i in range(60, 120)]
+    rows.append((120, text("$"), "aa", "s0", None, "", "", ""))
+    out = quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "kept").collect()
+    assert all(r["kept"] == (r["doc_id"] < 120) for r in out)
+
+
 # operator 5
 
 
