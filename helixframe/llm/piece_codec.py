@@ -70,7 +70,7 @@ def _codec(path: str):
         mine = [x.ids for x in fast.encode_batch_fast(texts, add_special_tokens=False)]
         theirs = slow.encode(texts, num_threads=1)
         unlike.update(text for text, a, b in zip(texts, mine, theirs) if a != b)
-        known.update((text, np.array(ids, "int32").tobytes()) for text, ids in zip(texts, theirs))
+        known.update((text, np.array(ids, "int32").tobytes()) for text, ids in zip(texts, [a if a == b else b for a, b in zip(mine, theirs)]))
         # all at once first: units begin with a marker, so their decodings stand apart by a space
         if not cut or fast.decode([i for ids in theirs for i in ids], skip_special_tokens=False) != " ".join(texts):
             odd.update((text, said) for text, said in zip(texts, fast.decode_batch(theirs, skip_special_tokens=False)) if said != text)
@@ -84,8 +84,11 @@ def _codec(path: str):
         for start in range(0, len(new), AT_ONCE):
             learn(new[start : start + AT_ONCE])
         if "" not in known:
-            alone = slow.encode("a ")[len(slow.encode("a")) :] if cut else []
-            known[""] = np.array(alone, "int32").tobytes()
+            # the lone marker can only be encoded after something
+            mine, theirs = ([x("a ")[len(x("a")) :] if cut else [] for x in (lambda t: fast.encode(t, add_special_tokens=False).ids, slow.encode)])
+            if mine != theirs:
+                unlike.add("")
+            known[""] = np.array(mine if mine == theirs else theirs, "int32").tobytes()
         for text, own in zip(texts, split):
             ids = np.frombuffer(b"".join(map(known.__getitem__, own)), "int32")
             back = text.replace(MARK, " ")
