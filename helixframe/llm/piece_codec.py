@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +16,7 @@ from helixframe.llm import piece_model
 from helixframe.llm.piece_model import MARK, NORMAL, USER
 
 #: Units whose tokens a Python worker remembers, at most, and units encoded at a time.
-CACHE, AT_ONCE = 200_000, 5_000
+CACHE, AT_ONCE = 300_000, 2_000
 
 
 def rebuild(path: str):
@@ -49,31 +50,50 @@ def rebuild(path: str):
     if model.prefix:
         steps.append(normalizers.Prepend(MARK))
     tokenizer.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
-    back = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+    back = [decoders.Metaspace(replacement=MARK, prepend_scheme="never"), decoders.ByteFallback(), decoders.Fuse()]
     tokenizer.decoder = decoders.Sequence([*back, decoders.Strip(" ", 1, 0)] if model.prefix else back)
     tokenizer.add_tokens([AddedToken(p, normalized=False) for p, k in zip(model.pieces, model.kinds) if k == USER])
     return tokenizer
 
 
+def _split_at(starts: np.ndarray, flat: np.ndarray) -> list[bytes]:
+    """The bytes of ``flat`` cut before each place of ``starts``, the first of which is 0."""
+    data, ends = flat.tobytes(), np.append(starts[1:], len(flat))
+    return [data[a:b] for a, b in zip((starts * 4).tolist(), (ends * 4).tolist())]
+
+
 @lru_cache(maxsize=2)
 def _codec(path: str):
     """A function from texts to (ids, decoded text, parity) of each."""
     import sentencepiece
 
-    fast, slow = rebuild(path), sentencepiece.SentencePieceProcessor(model_file=path)
-    cut = piece_model.parse(path).can_cut
+    fast, slow, model = rebuild(path), sentencepiece.SentencePieceProcessor(model_file=path), piece_model.parse(path)
+    cut = model.can_cut
+    marked = np.array([p.startswith(MARK) for p in model.pieces])
     known: dict[str, bytes] = {}  # a unit's ids as 32-bit integers
-    odd: dict[str, str] = {}  # what units decode to that don't give themselves back
     unlike: set[str] = set()  # units that the two libraries encode differently
 
-    def learn(texts: list[str]) -> None:
+    def alone(texts: list[str]) -> None:
         mine = [x.ids for x in fast.encode_batch_fast(texts, add_special_tokens=False)]
-        theirs = slow.encode(texts, num_threads=1)
-        unlike.update(text for text, a, b in zip(texts, mine, theirs) if a != b)
-        known.update((text, np.array(ids, "int32").tobytes()) for text, ids in zip(texts, [a if a == b else b for a, b in zip(mine, theirs)]))
-        # all at once first: units begin with a marker, so their decodings stand apart by a space
-        if not cut or fast.decode([i for ids in theirs for i in ids], skip_special_tokens=False) != " ".join(texts):
-            odd.update((text, said) for text, said in zip(texts, fast.decode_batch(theirs, skip_special_tokens=False)) if said != text)
+        for text, a, b in zip(texts, mine, slow.encode(texts, num_threads=1)):
+            if a != b:
+                unlike.add(text)
+            known[text] = np.array(a if a == b else b, "int32").tobytes()
+
+    def learn(texts: list[str]) -> None:
+        """Many units as one text: each begins with a marker, where its ids are told apart."""
+        plain = [t for t in texts if " " not in t and MARK not in t] if cut else []
+        if plain:
+            joined = " ".join(plain)
+            ids = fast.encode(joined, add_special_tokens=False).ids
+            flat = np.array(ids, "int32")
+            starts = np.flatnonzero(marked[flat])
+            if ids == slow.encode(joined) and len(starts) == len(plain) and starts[0] == 0:
+                known.update(zip(plain, _split_at(starts, flat)))
+            else:
+                alone(plain)
+        if len(plain) < len(texts):
+            alone([t for t in texts if t not in known])
 
     def run(texts: list[str]) -> Iterator[tuple[np.ndarray, str, bool]]:
         if len(known) > CACHE:  # the first ones learned are the commonest, and stay
@@ -89,11 +109,9 @@ def _codec(path: str):
             if mine != theirs:
                 unlike.add("")
             known[""] = np.array(mine if mine == theirs else theirs, "int32").tobytes()
-        for text, own in zip(texts, split):
-            ids = np.frombuffer(b"".join(map(known.__getitem__, own)), "int32")
-            back = text.replace(MARK, " ")
-            if odd and not odd.keys().isdisjoint(own):
-                back = " ".join([odd.get(u, u) for u in own])
+        coded = [np.frombuffer(b"".join(map(known.__getitem__, own)), "int32") for own in split]
+        said = fast.decode_batch([ids.tolist() for ids in coded], skip_special_tokens=False)
+        for own, ids, back in zip(split, coded, said):
             yield ids, back, not unlike or unlike.isdisjoint(own)
 
     return run
@@ -107,39 +125,47 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", keep: tuple[str
 
     * ``input_ids`` array<int>: the tokens of the whole text, no special ones added;
     * ``n_tokens`` long;
-    * ``round_trip`` boolean: decoding the ids gives the text back, but for a marker
-      character in it, which the format itself turns into a space;
+    * ``round_trip`` boolean: the rebuilt tokenizer's decoding of the document's ids gives the
+      text back, but for a marker character in it, which the format itself turns into a space;
     * ``parity`` boolean: the rebuilt tokenizer gave the ids that the SentencePiece library
       gives. Where it did not, the library's ids are returned, so ids are right in any case.
 
-    Each batch is cut into units (see ``piece_model``); distinct units are encoded as one
-    multithreaded batch, and texts are put together from them. A null text counts as empty
-    and has no ids. Texts of any length are coded whole. Repeated rows give repeated results
-    and an empty table an empty one. Other columns are ignored, so none can clash.
+    Each batch is cut into units (see ``piece_model``); units not seen before are encoded by
+    both libraries, and texts are put together from the rebuilt tokenizer's ids. A null text
+    counts as empty and has no ids. Texts of any length are coded whole. Repeated rows give repeated
+    results and an empty table an empty one. Other columns are ignored, so none can clash.
     """
+    held = docs.select(*[F.col(c).alias(f"keep__{i}") for i, c in enumerate(keep)], F.col(text).alias("text__"))
+    schema = T.StructType([*held.schema.fields[:-1], *CODED.fields])
 
-    @F.pandas_udf(CODED)
-    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = _codec(model_path)
-
-        def done(held: list[str]) -> pd.DataFrame:
-            rows = [(ids, len(ids), back == said.replace(MARK, " "), same) for said, (ids, back, same) in zip(held, run(held))]
-            return pd.DataFrame(rows, columns=CODED.names)
+        kinds = [pa.list_(pa.field("element", pa.int32(), False)), pa.int64(), pa.bool_(), pa.bool_()]
+
+        def done(batch: pa.RecordBatch, at: int, texts: list[str]) -> pa.RecordBatch:
+            rows = list(run(texts))
+            sizes = np.array([len(ids) for ids, _, _ in rows], "int64")
+            ends = np.append(0, sizes.cumsum()).astype("int32")
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([ids for ids, _, _ in rows])), type=kinds[0])
+            same = [back == (said.replace(MARK, " ") if MARK in said else said) for said, (_, back, _) in zip(texts, rows)]
+            kept = [batch.column(i).slice(at, len(texts)) for i in range(len(keep))]
+            own = [lists, pa.array(sizes), pa.array(same, kinds[2]), pa.array([p for _, _, p in rows], kinds[3])]
+            return pa.RecordBatch.from_arrays([*kept, *own], names=schema.names)
 
         # results go out slice by slice, so that a batch of long texts is never held twice
-        for texts in batches:
-            held, chars = [], 0
-            for value in texts:
-                held.append(value if isinstance(value, str) else "")
-                chars += len(held[-1])
+        for batch in batches:
+            at, texts, chars = 0, [], 0
+            for value in batch.column(len(keep)):
+                texts.append(value.as_py() or "")
+                chars += len(texts[-1])
                 if chars >= slice_chars:
-                    yield done(held)
-                    held, chars = [], 0
-            if held:
-                yield done(held)
+                    yield done(batch, at, texts)
+                    at, texts, chars = at + len(texts), [], 0
+            if texts:
+                yield done(batch, at, texts)
 
-    made = docs.select(*[F.col(c) for c in keep], coded(F.col(text)).alias("coded__"))
-    return made.select(*keep, "coded__.*")
+    made = held.mapInArrow(coded, schema)
+    return made.select(*[F.col(f"keep__{i}").alias(c) for i, c in enumerate(keep)], *CODED.names)
 
 
 def decode(coded: DataFrame, model_path: str, ids: str = "input_ids", out: str = "decoded") -> DataFrame:
