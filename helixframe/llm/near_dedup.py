@@ -16,6 +16,9 @@ Texts with equal shingle sets form a class first; one member stands for it. From
    centre's component need no more comparisons with each other. The others are compared with
    those of their list that lie in another component and that counts allow to be linked (see
    ``_open_pairs``). So a group of copies costs one comparison a member, and no link is lost.
+   Where more than ``OPEN`` members of a list stay open, as with texts put together from a few
+   common passages, they enter second lists by bands (the smallest values of their set in another
+   order, see ``_bands``), which are treated in the same way.
 4. The union sketch's estimate drops candidate pairs; the whole sets decide the rest.
 """
 
@@ -27,7 +30,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import cut, lower_ascii, pairwise, small, words
+from helixframe.llm.common import Scratch, lower_ascii, pairwise, small, words
 from helixframe.llm.components import components
 
 #: Values of a sketch.
@@ -36,8 +39,13 @@ K = 32
 SHORT = 24
 #: Similarity in hundredths.
 SIMILAR = 80
-#: Rows up to which document ids or list heads are broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a few numbers each, some 100 bytes in memory, up to which a table is broadcast.
+BROADCAST_ROWS = 250_000
+#: Open members of a long list up to which each is paired with all others of its list.
+OPEN = 256
+#: Bands of a set, the smallest values in each, and the shingles from which on sets have bands: two sets
+#: of similarity 0.8 and a union of 20 or more have no band in common with a chance below 1e-9.
+BANDS, IN_BAND, BANDED = 90, 6, 20
 
 
 @lru_cache(maxsize=8)
@@ -102,11 +110,17 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, k: int) -> DataFrame:
     return both.filter(common >= least).select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set__").alias("set_a")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set__").alias("set_b")), "b")
+def _linked(store: Scratch, pairs: DataFrame, sketches: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+    """The pairs that are links: by estimate, then by the whole sets of those that are left."""
+    likely = store.cut(_estimated(pairs, sketches, k))
+    n = likely.count()
+    named = likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    own = sets.join(F.broadcast(named), "cid", "left_semi") if n <= BROADCAST_ROWS else sets
+    both = likely.join(own.select(F.col("cid").alias("a"), F.col("set__").alias("set_a")), "a").join(own.select(F.col("cid").alias("b"), F.col("set__").alias("set_b")), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
-    linked = 100 * common >= SIMILAR * (F.size("set_a") + F.size("set_b") - common)
-    return both.filter(linked).select("a", "b")
+    linked = store.cut(both.filter(100 * common >= SIMILAR * (F.size("set_a") + F.size("set_b") - common)).select("a", "b"))
+    store.drop(likely)
+    return linked
 
 
 def _open_pairs(groups: DataFrame) -> DataFrame:
@@ -123,63 +137,116 @@ def _open_pairs(groups: DataFrame) -> DataFrame:
     return x.join(y, "center").filter(fits & once & (F.col("root_a") != F.col("root_b"))).select("a", "b")
 
 
+def _bands(sets: DataFrame) -> DataFrame:
+    """(value, cid) for each of ``BANDS`` orders of the hashes: what the ``IN_BAND`` smallest values of a
+    set are in that order. Smaller sets, which can only be linked with ones of at most 24
+    shingles, meet under one further value with those."""
+    order = lambda i: F.slice(F.sort_array(F.transform("set__", lambda v: F.xxhash64(v, i))), 1, IN_BAND)
+    many = F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda i: F.xxhash64(i, order(i)))
+    few = F.when(F.size("set__") <= BANDED * 5 / 4, F.array(F.xxhash64(F.lit("few"))))
+    none = F.expr("cast(array() as array<bigint>)")
+    values = F.concat(F.when(F.size("set__") >= BANDED, many).otherwise(none), F.coalesce(few, none))
+    return sets.select(F.explode(values).alias("value"), "cid")
+
+
+def _by_lists(store: Scratch, members: DataFrame, sketches: DataFrame, sets: DataFrame, known: DataFrame | None, k: int, short: int, last: bool) -> DataFrame:
+    """All links that come from lists (value, cid, n, shared), as (a, b), such that their components
+    and those of ``known`` are the components of all links between members of one list."""
+    center = F.max(F.struct((F.col("shared") - F.col("n")).alias("most"), F.col("n"), F.col("cid"))).alias("center")
+    sizes = store.cut(members.groupBy("value").agg(F.count("*").alias("m"), center).filter("m > 1").select("value", "m", F.col("center.cid").alias("center")))
+    listed = members.join(small(sizes, sizes.count(), BROADCAST_ROWS), "value")
+    every = _linked(store, _pairs_of(listed.filter(F.col("m") <= short), ["value"]), sketches, sets, k)
+    groups = store.cut(listed.filter(F.col("m") > short).select("center", "cid", "n", "shared").distinct())
+    if known is not None:
+        every = every.unionByName(known)
+    if groups.isEmpty():
+        return every
+    compared = groups.join(sets.select("cid", "set__"), "cid").join(sets.select(F.col("cid").alias("center"), F.col("set__").alias("set_c"), F.col("n").alias("n_c")), "center")
+    compared = store.cut(compared.withColumn("common", F.size(F.array_intersect("set__", "set_c"))).drop("set__", "set_c"))
+    star = compared.filter(f"cid <> center AND {100 + SIMILAR} * common >= {SIMILAR} * (n + n_c)").select(F.col("center").alias("a"), F.col("cid").alias("b"))
+    so_far = store.cut(components(every.unionByName(star), store))
+    rooted = compared.join(so_far.toDF("cid", "root"), "cid", "left").join(so_far.toDF("center", "center_root"), "center", "left")
+    rooted = store.cut(rooted.withColumn("root", F.coalesce("root", "cid")).withColumn("center_root", F.coalesce("center_root", "center")))
+    every = so_far.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    counts = store.cut(rooted.groupBy("center").agg(F.count_if(F.col("root") != F.col("center_root")).alias("open")).filter("open > 0"))
+    counted = rooted.join(small(counts, counts.count(), BROADCAST_ROWS), "center")
+    direct = counted if last else counted.filter(F.col("open") <= OPEN)
+    every = every.unionByName(_linked(store, _open_pairs(direct), sketches, sets, k))
+    crowded = counts.filter(F.col("open") > OPEN)
+    if last or crowded.isEmpty():
+        return every
+    again = store.cut(counted.filter(F.col("open") > OPEN).select("cid", "n", "shared").distinct())
+    banded = store.cut(_bands(sets.join(again.select("cid"), "cid", "left_semi")).join(again, "cid"))
+    return _by_lists(store, banded, sketches, sets, every, k, short, True)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", text: str = "text", k: int = K, short: int = SHORT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id and kept.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, first and row_key.
 
     Two documents are linked if their sets of ``size``-word shingles (A-Z lower-cased, words
     parted by ASCII white space, a shorter text being one shingle) have a Jaccard similarity of
     0.8 or more. component_id is the smallest doc_id that can be reached, kept says that it is
     the row's own. Texts without words, and null texts, are linked with nothing. Repeated rows
-    are in one component, each a row; a null doc_id never names a component of others.
+    are in one component, each a row. Rows with a null doc_id are linked as others are; their
+    component_id is null, and kept true, only where no row of the component has an id.
+    ``first`` is true for exactly one row of each component, and for every row without words:
+    also where ids are null or repeated. ``row_key`` is ``row_key()`` of the row.
     """
+    store = Scratch(docs.sparkSession)
     taken = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    # 128 bits name a set; rows without words get a name of their own, so none are gathered
-    key = F.concat(F.hex(F.xxhash64("set__")), F.lit("-"), F.hex(F.xxhash64(F.lit(7), F.reverse("set__"))))
-    sketched = with_sets(taken, "text", size).select("doc_id", F.size("set__").cast("long").alias("n"), F.slice("set__", 1, k).alias("sketch"), F.when(F.size("set__") > 0, key).otherwise(F.concat(F.lit("none-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("same"))
-    base = cut(sketched)
-    classes = cut(base.filter("n > 0").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("cid", F.monotonically_increasing_id()))
+    # 128 bits and the size name a set; rows without words get a name of their own, so none are gathered
+    one, two = F.xxhash64("set__"), F.xxhash64(F.lit(7), F.reverse("set__"))
+    sketched = with_sets(taken.withColumn("row_key", row_key("doc_id", "text")), "text", size)
+    base = store.cut(sketched.select("doc_id", "row_key", F.monotonically_increasing_id().alias("row"), F.size("set__").cast("long").alias("n"), F.slice("set__", 1, k).alias("sketch"), one.alias("h1"), two.alias("h2")))
+    same = ["h1", "h2", "n"]
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("rep")
+    classes = store.cut(base.filter("n > 0").groupBy(*same).agg(rep, F.first("sketch").alias("sketch")).withColumn("cid", F.monotonically_increasing_id()))
+    rows = store.cut(base.drop("sketch"))
+    store.drop(base)
 
     entries = classes.select("cid", "n", F.explode("sketch").alias("value"))
     common = entries.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     lists = entries.join(common, "value").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
     need = _needed(F.col("n"), k)
     lists = lists.filter(F.size("shared") >= need).select("cid", "n", F.explode(F.slice("shared", 1, F.size("shared") - need + 1)).alias("x")).select("cid", "n", F.col("x.value").alias("value"))
-    lists = cut(lists)
+    lists = store.cut(lists)
     # whole sets of the classes that may have a partner, made again from their texts
-    wanted = cut(lists.join(lists.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1"), "value", "left_semi").select("cid").distinct().join(classes.select("cid", "rep", "same", "n"), "cid"))
-    ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
+    met = lists.join(lists.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1"), "value", "left_semi").select("cid").distinct()
+    wanted = store.cut(met.join(classes.select("cid", "rep.doc_id", *same), "cid"))
     n_wanted = wanted.count()
+    ids = wanted.filter("doc_id IS NOT NULL").select("doc_id").distinct()
     some = taken.join(small(ids, n_wanted, BROADCAST_ROWS), "doc_id", "left_semi")
-    made = with_sets(some, "text", size).withColumn("same", key)
-    sets = cut(made.join(small(wanted.select("cid", "same", "n"), n_wanted, BROADCAST_ROWS), "same").select("cid", "n", "set__"))
+    if not wanted.filter("doc_id IS NULL").isEmpty():
+        some = some.unionByName(taken.filter("doc_id IS NULL"))
+    made = with_sets(some, "text", size).withColumns({"h1": one, "h2": two, "n": F.size("set__").cast("long")})
+    sets = store.cut(made.join(small(wanted.select("cid", *same), n_wanted, BROADCAST_ROWS), same).select("cid", "n", "set__"))
     if sets.count() > n_wanted:  # the same row is there more than once
-        sets = cut(sets.dropDuplicates(["cid"]))
+        every = sets
+        sets = store.cut(every.dropDuplicates(["cid"]))
+        store.drop(every)
 
     # shingles that no other of these sets holds can't be common to two: sets with too many go
     held = sets.select("cid", F.explode("set__").alias("value"))
-    met = held.groupBy("value").agg(F.min("cid").alias("cid"), F.max("cid").alias("last")).filter("cid = last")
-    lonely = met.groupBy("cid").agg(F.count("*").alias("alone"))
+    lonely = held.groupBy("value").agg(F.min("cid").alias("cid"), F.max("cid").alias("last")).filter("cid = last").groupBy("cid").agg(F.count("*").alias("alone"))
     shared = F.col("n") - F.coalesce("alone", F.lit(0))
-    sets = cut(sets.join(lonely, "cid", "left").withColumn("shared", shared).drop("alone").filter(100 * F.col("shared") >= SIMILAR * F.col("n")))
-
-    members = cut(lists.join(sets.select("cid", "shared"), "cid"))
-    center = F.max(F.struct((F.col("shared") - F.col("n")).alias("most"), F.col("n"), F.col("cid"))).alias("center")
-    sizes = cut(members.groupBy("value").agg(F.count("*").alias("m"), center).filter("m > 1").select("value", "m", F.col("center.cid").alias("center")))
-    listed = members.join(small(sizes, sizes.count(), BROADCAST_ROWS), "value")
-    inner = cut(_verified(_estimated(_pairs_of(listed.filter(F.col("m") <= short), ["value"]), classes, k), sets))
-    groups = cut(listed.filter(F.col("m") > short).select("center", "cid", "n", "shared").distinct())
-    compared = groups.join(sets.select("cid", "set__"), "cid").join(sets.select(F.col("cid").alias("center"), F.col("set__").alias("set_c"), F.col("n").alias("n_c")), "center")
-    compared = cut(compared.withColumn("common", F.size(F.array_intersect("set__", "set_c"))).drop("set__", "set_c"))
-    star = compared.filter(f"cid <> center AND {100 + SIMILAR} * common >= {SIMILAR} * (n + n_c)").select(F.col("center").alias("a"), F.col("cid").alias("b"))
-    every = inner.unionByName(star)
-    so_far = cut(components(every))
-    rooted = compared.join(so_far.toDF("cid", "root"), "cid", "left").join(so_far.toDF("center", "center_root"), "center", "left")
-    rooted = cut(rooted.withColumn("root", F.coalesce("root", "cid")).withColumn("center_root", F.coalesce("center_root", "center")))
-    every = every.unionByName(cut(_verified(_estimated(_open_pairs(rooted), classes, k), sets)))
-    roots = components(every)
-    named = classes.join(roots, classes["cid"] == roots["node"], "left").select("same", "rep", F.coalesce("root", "cid").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = named.join(least, "root").select("same", "component_id")
-    out = base.join(of, "same", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    shares = store.cut(sets.select("cid", "n").join(lonely, "cid", "left").select("cid", shared.alias("shared")).filter(100 * shared >= SIMILAR * F.col("n")))
+    members = store.cut(lists.join(small(shares, shares.count(), BROADCAST_ROWS), "cid"))
+    store.drop(lists)
+    links = _by_lists(store, members, classes, sets, None, k, short, False)
+    roots = store.cut(components(links, store))
+    store.drop(members, sets)
+    # classes without links are their own component; only the others are put together
+    named = roots.join(classes.select("cid", "rep"), roots["node"] == classes["cid"]).select("cid", "root", "rep")
+    least = store.cut(named.groupBy("root").agg(F.min("rep").alias("least")))
+    of = named.join(small(least, least.count(), BROADCAST_ROWS), "root").select("cid", "least")
+    of = store.cut(classes.join(of, "cid", "left").select(*same, F.coalesce("least", "rep").alias("least")))
+    store.drop(classes)
+    out = rows.filter("n > 0").join(of, same).unionByName(rows.filter("n = 0"), allowMissingColumns=True)
+    component = F.when(F.col("n") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id"))
+    first = F.when(F.col("n") > 0, F.col("row") == F.col("least.row")).otherwise(F.lit(True))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), first.alias("first"), "row_key")
+
+
+def row_key(*columns: str) -> Column:
+    """Tells rows apart by their id and text, also where ids are null or repeated."""
+    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00none")) for c in columns])
