@@ -64,22 +64,31 @@ class Accuracies:
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         """P(good) of each row of votes."""
         at = np.where(votes < 0, 2, votes)
-        logs = np.log(self.votes)
+        logs = np.log(np.maximum(self.votes, 1e-12))
         scores = sum(logs[:, i, at[:, i]] for i in range(votes.shape[1])) + np.log([[1 - self.prior], [self.prior]])
         return 1 / (1 + np.exp(scores[0] - scores[1]))
 
 
-#: Votes (0, 1, none) expected of a labeller on bad and on good texts before any is seen.
-BELIEVED = np.array([[[0.40, 0.10, 0.50]], [[0.01, 0.49, 0.50]]])
+#: Labellers that may vote either way; the others vote bad or not at all.
+TWO_SIDED = ("vote__variety", "vote__sentences")
+#: Votes (0, 1, none) expected on bad and on good texts of a labeller of each kind before any is seen.
+PRIOR_TWO_SIDED = ((0.40, 0.10, 0.50), (0.01, 0.49, 0.50))
+PRIOR_BAD_ONLY = ((0.40, 0.0, 0.60), (0.01, 0.0, 0.99))
 
 
-def estimate(names: list[str], votes: np.ndarray, counts: np.ndarray, rounds: int = 200, anchor: float = 0.5) -> Accuracies:
+def priors(names: list[str]) -> np.ndarray:
+    """(class, labeller, vote): what each labeller is expected to vote; 0 for votes it can't cast."""
+    return np.array([PRIOR_TWO_SIDED if n in TWO_SIDED else PRIOR_BAD_ONLY for n in names]).transpose(1, 0, 2)
+
+
+def estimate(names: list[str], votes: np.ndarray, counts: np.ndarray, rounds: int = 500, prior_rows: float = 20.0, expected: np.ndarray | None = None) -> Accuracies:
     """Expectation-maximisation over distinct vote rows and how many texts have each.
 
-    It starts from the majority of votes. Labellers are held to be better than chance: each
-    class's votes are averaged with ``BELIEVED``, as if a further ``anchor`` times as many
-    texts had voted so, which keeps rare kinds of bad text from passing to the good class.
+    It starts from the majority of votes. ``expected`` (see ``priors``) counts as ``prior_rows``
+    texts of each class, however many texts there are, so data outweigh it; it tells the
+    classes apart, and a vote that a labeller can't cast keeps probability 0.
     """
+    expected = priors(names) if expected is None else expected
     at = np.where(votes < 0, 2, votes)
     cast = (votes >= 0).sum(1)
     good = np.where(cast > 0, (votes == 1).sum(1) / np.maximum(cast, 1), 0.5)
@@ -91,8 +100,8 @@ def estimate(names: list[str], votes: np.ndarray, counts: np.ndarray, rounds: in
         for i in range(len(names)):
             for vote in range(3):
                 table[:, i, vote] = weight[:, at[:, i] == vote].sum(1)
-        total = table.sum(2, keepdims=True)
-        model = Accuracies(names, prior, (table + (anchor * total + 1e-3) * BELIEVED) / ((1 + anchor) * total + 1e-3))
+        seen = table.sum(2, keepdims=True)
+        model = Accuracies(names, prior, (table + prior_rows * expected) / np.maximum(seen + prior_rows, 1e-9))
         before, good = good, model.posterior(votes)
         if np.abs(good - before).max(initial=0.0) < 1e-6:
             break
@@ -130,42 +139,43 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, np.sqrt(np.fromiter((n for _, n in both), "float64", len(both)) / total)
 
 
-def _train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rounds: int = 120, decay: float = 1e-4) -> np.ndarray:
-    """Logistic regression on soft targets by adaptive gradient steps; weight 0 is the bias."""
-    own = np.repeat(np.arange(len(rows)), [len(a) for a, _ in rows])
-    at, x = np.concatenate([a for a, _ in rows]), np.concatenate([v for _, v in rows])
+def _train(own: np.ndarray, at: np.ndarray, x: np.ndarray, target: np.ndarray, rounds: int = 120, decay: float = 1e-4) -> np.ndarray:
+    """Logistic regression on soft targets by adaptive gradient steps; weight 0 is the bias. Entry
+    i says that row ``own[i]`` has weight ``x[i]`` in bucket ``at[i]``."""
+    n = len(target)
     weights, seen = np.zeros(1 << BITS), np.full(1 << BITS, 1e-8)
     for _ in range(rounds):
-        score = np.bincount(own, weights[at] * x, len(rows)) + weights[0]
+        score = np.bincount(own, weights[at] * x, n) + weights[0]
         error = 1 / (1 + np.exp(-score)) - target
-        gradient = np.bincount(at, error[own] * x, 1 << BITS) / len(rows) + decay * weights
+        gradient = np.bincount(at, error[own] * x, 1 << BITS) / n + decay * weights
         gradient[0] += error.mean()
         seen += gradient**2
         weights -= 0.5 * gradient / np.sqrt(seen)
     return weights
 
 
-def fit_scorer(docs: DataFrame, model: Accuracies, text: str = "text", key: str = "doc_id", sample_rows: int = 2500, sample_chars: int = 20_000) -> np.ndarray:
-    """Weights of a linear scorer over hashed features, trained on the posterior labels of at
-    most about ``sample_rows`` rows, drawn by a hash of ``key`` (the documented bound on
-    training rows). For training alone, longer sampled texts are left out beyond
-    ``sample_chars`` characters, which bounds what the driver gets."""
+def fit_scorer(docs: DataFrame, model: Accuracies, text: str = "text", key: str = "doc_id", sample_rows: int = 8000) -> np.ndarray:
+    """Weights of a linear scorer over hashed features, trained on the posterior labels of about
+    ``sample_rows`` rows of any length, drawn by a hash of ``key`` and text (the documented bound
+    on training rows; twice as many are never exceeded). The driver gets a row's buckets
+    and weights packed as 32-bit numbers, at most one of each for every bucket."""
     n = docs.count()
-    draw = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string")), 11) / F.lit(float(1 << 53))
-    some = docs.filter(draw < min(1.0, sample_rows / max(n, 1))).filter(F.length(F.coalesce(F.col(text), F.lit(""))) <= sample_chars)
-    voted, names = labellers(some.select(F.coalesce(F.col(text), F.lit("")).alias("text")))
+    draw = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.col(text)), 11) / F.lit(float(1 << 53))
+    voted, names = labellers(docs.filter(draw < min(1.0, sample_rows / max(n, 1))).select(F.coalesce(F.col(text), F.lit("")).alias("text")))
     wanted = voted.select("text", F.array(*names).cast("array<int>").alias("votes"))
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [features(t) for t in frame["text"]]
-            yield pd.DataFrame({"at": [a.astype("int32") for a, _ in found], "x": [v.astype("float32") for _, v in found], "votes": [np.asarray(v, "int8") for v in frame["votes"]]})
+            yield pd.DataFrame({"at": [a.astype("int32").tobytes() for a, _ in found], "x": [v.astype("float32").tobytes() for _, v in found], "votes": [np.asarray(v, "int8").tobytes() for v in frame["votes"]]})
 
-    got = wanted.mapInPandas(hashed, "at array<int>, x array<float>, votes array<tinyint>").toPandas()
+    got = wanted.mapInPandas(hashed, "at binary, x binary, votes binary").limit(2 * sample_rows).toPandas()
     if got.empty:
         return np.zeros(1 << BITS)
-    target = model.posterior(np.stack(got["votes"].to_numpy()).astype("int64"))
-    return _train([(np.asarray(a, "int64"), np.asarray(x, "float64")) for a, x in zip(got["at"], got["x"])], target)
+    votes = np.frombuffer(b"".join(got["votes"]), "int8").reshape(len(got), -1)
+    at, x = np.frombuffer(b"".join(got["at"]), "int32"), np.frombuffer(b"".join(got["x"]), "float32")
+    own = np.repeat(np.arange(len(got), dtype="int32"), got["at"].map(len).to_numpy() // 4)
+    return _train(own, at, x, model.posterior(votes.astype("int64")))
 
 
 def classify(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.5, **bounds: int) -> DataFrame:
