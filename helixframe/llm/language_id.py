@@ -10,71 +10,81 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixframe.llm.common import cut
+
+#: Letters, number signs and letters among them; ``_words`` takes the number signs out.
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
+#: Distinct labels beyond which a column is no language column.
+MOST_LANGUAGES = 10_000
+
+
+def _words(text: str) -> list[str]:
+    """Runs of letters (Unicode category L), in lower case."""
+    found = WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for w in found for part in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 @dataclass(frozen=True)
 class LanguageModel:
     """``words`` and ``grams`` map a string to its log frequency in each language, in the
-    order of ``languages``; ``longest`` is the longest n-gram. At most ``n_words`` words and
-    ``n_grams`` n-grams of each length and language are held (parameters of ``fit``)."""
+    order of ``languages``; ``longest`` is the longest n-gram."""
 
     languages: list[str]
     longest: int
     words: dict[str, tuple[float, ...]]
     grams: dict[str, tuple[float, ...]]
-    floors: dict[int, tuple[float, ...]]
 
 
-def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", rows_per_language: int = 3000, n_words: int = 20_000, n_grams: int = 20_000, longest: int = 4, max_languages: int = 1000) -> LanguageModel:
+def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", rows_per_language: int = 1500, longest: int = 4) -> LanguageModel:
     """Counts words and n-grams of a sample of about ``rows_per_language`` labelled rows of
-    each language, drawn by a hash of ``key`` (the documented bound; a language with fewer rows
-    gives them all). Rows without language or text teach nothing. Counting is a Spark
-    aggregation; the driver gets the tables of the commonest strings only, whose size the
-    parameters fix.
+    each language, drawn by a hash of ``key`` and text (the documented bound; a language with fewer
+    rows gives them all). Rows without language or text teach nothing. Counting is a Spark
+    aggregation. Every string of the sample is kept, so the driver gets as many as the sample has.
+    More than ``MOST_LANGUAGES`` distinct labels are refused.
     """
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    rows = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    rows = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(rows) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not rows:
-        return LanguageModel([], longest, {}, {}, {})
-    share = F.lit(0.0)
-    for name, n in rows.items():
-        share = F.when(F.col("lang") == name, min(1.0, rows_per_language / n)).otherwise(share)
-    draw = F.shiftrightunsigned(F.xxhash64("key"), 11) / F.lit(float(1 << 53))
-    word = F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")
-    words = known.filter(draw < share).select("lang", word).filter("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
-    padded = F.concat(F.lit("<"), "word", F.lit(">"))
-    grams = [
-        words.filter(F.length("word") + 2 >= size)
-        .select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 3 - size), lambda i, size=size: padded.substr(i, F.lit(size)))).alias("word"))
-        .groupBy("lang", "word").agg(F.sum("n").alias("n"))
-        .withColumn("size", F.lit(size))
-        for size in range(1, longest + 1)
-    ]
-    both = words.withColumn("size", F.lit(0))
-    for part in grams:
-        both = both.unionByName(part)
-    by = Window.partitionBy("lang", "size")
-    top = (
-        both.withColumn("total", F.sum("n").over(by))
-        .withColumn("place", F.row_number().over(by.orderBy(F.desc("n"), "word")))
-        .filter(F.col("place") <= F.when(F.col("size") == 0, n_words).otherwise(n_grams))
-    )
+        return LanguageModel([], longest, {}, {})
     languages = sorted(rows)
     at = {name: i for i, name in enumerate(languages)}
-    totals = np.ones((longest + 1, len(languages)))
-    counts: list[dict[str, np.ndarray]] = [{} for _ in range(longest + 1)]
-    for r in top.select("lang", "size", "word", "n", "total").toLocalIterator():
-        totals[r["size"], at[r["lang"]]] = r["total"]
-        counts[r["size"]].setdefault(r["word"], np.zeros(len(languages)))[at[r["lang"]]] = r["n"]
-    floors = {size: tuple(np.log(0.5 / totals[size])) for size in range(longest + 1)}
-    tables: list[dict[str, tuple[float, ...]]] = [{w: tuple(np.log((n + 0.5) / totals[size])) for w, n in found.items()} for size, found in enumerate(counts)]
-    return LanguageModel(languages, longest, tables[0], {w: v for table in tables[1:] for w, v in table.items()}, floors)
+    shares = F.map_from_entries(F.array(*[F.struct(F.lit(name), F.lit(min(1.0, rows_per_language / rows[name]))) for name in languages]))
+    draw = F.shiftrightunsigned(F.xxhash64("key", "text"), 11) / F.lit(float(1 << 53))
+    word = F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")
+    words = cut(known.filter(draw < shares[F.col("lang")]).select("lang", word).filter("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n")))
+    padded = F.concat(F.lit("<"), "word", F.lit(">"))
+
+    def cut_up(size: int) -> Column:
+        last = F.length("word") + 3 - size
+        places = F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: i <= last)
+        return F.transform(places, lambda i: padded.substr(i, F.lit(size)))
+
+    every = [cut_up(size) for size in range(1, longest + 1)]
+    grams = words.select("lang", "n", F.explode(F.concat(*every)).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+    def table(counts: DataFrame) -> dict[str, np.ndarray]:
+        held: dict[str, np.ndarray] = {}
+        for one, name, n in zip(*counts.toPandas().to_numpy().T.tolist()) if not counts.isEmpty() else ():
+            held.setdefault(one, np.zeros(len(languages)))[at[name]] = n
+        return held
+
+    def logs(held: dict[str, np.ndarray]) -> dict[str, tuple[float, ...]]:
+        """Log shares among the strings of one kind, half a count added to each."""
+        totals = np.maximum(sum(held.values(), np.zeros(len(languages))), 1.0)
+        return {w: tuple(np.log((n + 0.5) / totals).tolist()) for w, n in held.items()}
+
+    counted = table(grams.select("gram", "lang", "n"))
+    by_size = [{g: n for g, n in counted.items() if len(g) == size} for size in range(1, longest + 1)]
+    return LanguageModel(languages, longest, logs(table(words.select("word", "lang", "n"))), {g: v for held in by_size for g, v in logs(held).items()})
 
 
 class _Scorer:
@@ -102,7 +112,7 @@ class _Scorer:
 
     def score(self, text: str) -> tuple[str, float]:
         counts: dict[str, int] = {}
-        for word in WORD.findall(text.lower()):
+        for word in _words(text):
             counts[word] = counts.get(word, 0) + 1
         if not counts or not self.model.languages:
             return UNDETERMINED, 0.0

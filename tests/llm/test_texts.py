@@ -336,6 +336,8 @@ def test_languages(spark):
     assert all(r["lang"] == r["lang_pred"] and 0 <= r["score"] <= 1 for r in got)
     unseen = language_id.predict(table(spark, ["schnellste fuchse", "123 !", None, ""]), model).orderBy("doc_id").collect()
     assert [r["lang_pred"] for r in unseen] == ["yy", "und", "und", "und"]
+    signs = language_id.predict(table(spark, ["½ ² ①", "Ⅷ", "²", "der² das"]), model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in signs] == ["und", "und", "und", "yy"]
     nothing = language_id.fit(docs.filter("false"))
     assert {r["lang_pred"] for r in language_id.predict(docs, nothing).collect()} == {"und"}
     assert len(language_id.predict(table(spark, EDGE), model).collect()) == len(EDGE)
@@ -358,6 +360,54 @@ def test_expectation_maximisation_recovers_accuracies():
     rates = [0.9, 0.8, 0.7, 0.85, 0.95]
     votes = np.stack([np.where(rng.random(truth.size) < r, truth, ~truth).astype(int) for r in rates], 1)
     rows, counts = np.unique(votes, axis=0, return_counts=True)
-    model = quality_classifier.estimate([str(i) for i in range(5)], rows, counts.astype(float), anchor=0.0)
+    either = np.array([quality_classifier.PRIOR_TWO_SIDED] * 5).transpose(1, 0, 2)
+    model = quality_classifier.estimate([str(i) for i in range(5)], rows, counts.astype(float), expected=either)
     assert abs(model.prior - 0.8) < 0.03
     assert np.allclose(model.votes[1, :, 1], rates, atol=0.03)
+
+
+def test_estimates_of_the_query_follow_the_data():
+    """With the priors that the query uses: one-sided labellers get no votes that they can't cast, and shares come out as drawn."""
+    rng = np.random.default_rng(2)
+    names = ["vote__symbols", "vote__letters", "vote__echoes", "vote__variety", "vote__sentences"]
+    good = rng.random(40_000) < 0.85
+    bad_rates, false_rates, good_rates = [0.7, 0.5, 0.3, 0.3, 0.2], [0.002, 0.01, 0.001, 0.01, 0.02], [0, 0, 0, 0.9, 0.8]
+    votes = np.full((good.size, 5), -1)
+    for i, (b, f, g) in enumerate(zip(bad_rates, false_rates, good_rates)):
+        draw = rng.random(good.size)
+        votes[:, i] = np.where(good, np.where(draw < f, 0, np.where(draw < f + g, 1, -1)), np.where(draw < b, 0, -1))
+    rows, counts = np.unique(votes, axis=0, return_counts=True)
+    model = quality_classifier.estimate(names, rows, counts.astype(float))
+    assert abs(model.prior - 0.85) < 0.01
+    assert (model.votes[:, :3, 1] == 0).all()
+    assert np.allclose(model.votes[0, :, 0], bad_rates, atol=0.03) and np.allclose(model.votes[1, :, 0], false_rates, atol=0.01)
+    assert np.allclose(model.votes[1, 3:, 1], good_rates[3:], atol=0.02)
+
+
+def test_quality_classifier_on_hard_rows(spark):
+    """Null and repeated ids, a very long text, columns with names used inside."""
+    long = " ".join(f"word{i % 999} and then." for i in range(60_000))
+    rows = [(None, t, None, None, None, "x", "y", "z") for t in ["Some plain words here. More of them follow."] * 30 + [long, None, ""]]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("vote__symbols", F.lit("kept")).withColumn("letters__", F.lit("kept"))
+    out = quality_classifier.classify(docs, sample_rows=10).collect()
+    assert len(out) == 33 and all(0 <= r["quality_score"] <= 1 and r["vote__symbols"] == "kept" for r in out)
+    assert len({r["quality_score"] for r in out[:30]}) == 1
+
+
+def test_language_model_counts_every_string(spark):
+    """The model's tables against counts in plain Python, over all strings of the sample."""
+    from collections import Counter
+
+    rows = [(i, "Été l'ami Ⅷx ½ straße der der", "fr" if i % 2 else "de") for i in range(6)] + [(9, None, "de"), (10, "x", None)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    own = {k: Counter(w for _, t, lang in rows if t and lang == k for w in re.findall(r"[a-zéß]+", t.lower())) for k in ("de", "fr")}
+    assert model.languages == ["de", "fr"] and set(model.words) == set(own["de"])
+    for w, got in model.words.items():
+        assert got == pytest.approx([math.log((own[k][w] + 0.5) / own[k].total()) for k in ("de", "fr")])
+    for size in (1, 2, 3, 4):
+        grams = Counter()
+        for w, n in own["fr"].items():
+            for i in range(len(w) + 3 - size):
+                grams[f"<{w}>"[i : i + size]] += n
+        assert {g for g in model.grams if len(g) == size} == set(grams)
+        assert all(model.grams[g][1] == pytest.approx(math.log((n + 0.5) / grams.total())) for g, n in grams.items())
