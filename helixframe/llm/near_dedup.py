@@ -16,7 +16,7 @@ Texts with equal shingle sets form a class first; one member stands for it. From
    centre's component need no more comparisons with each other. The others are compared with
    those of their list that lie in another component and that counts allow to be linked (see
    ``_open_pairs``). So a group of copies costs one comparison a member, and no link is lost.
-   Where more than ``OPEN`` members of a list stay open, as with texts put together from a few
+   Where very many members of a list stay open (``CROWDED``), as with texts put together from a few
    common passages, they enter second lists by bands (the smallest values of their set in another
    order, see ``_bands``), which are treated in the same way.
 4. The union sketch's estimate drops candidate pairs; the whole sets decide the rest.
@@ -43,6 +43,8 @@ SIMILAR = 80
 BROADCAST_ROWS = 250_000
 #: Open members of a long list up to which each is paired with all others of its list.
 OPEN = 256
+#: Pairs of open and all members of a long list up to which counts alone decide which are compared.
+CROWDED = 2_000_000
 #: Bands of a set, the smallest values in each, and the shingles from which on sets have bands: two sets
 #: of similarity 0.8 and a union of 20 or more have no band in common with a chance below 1e-9.
 BANDS, IN_BAND, BANDED = 90, 6, 20
@@ -87,13 +89,14 @@ def _needed(n: Column, k: int) -> Column:
 
 
 def _pairs_of(lists: DataFrame, by: list[str]) -> DataFrame:
-    """All pairs (a, b) of members of lists; the caller gives short lists only."""
-    heads = lists.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("cid", "n"))).alias("members"))
+    """All pairs (a, b) of members of lists (…, cid, n, root) that are not in one component yet; the
+    caller gives short lists only."""
+    heads = lists.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("cid", "n", "root"))).alias("members"))
     pair = F.flatten(F.transform("members", lambda x, i: F.transform(F.slice("members", i + 2, F.size("members")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     pairs = heads.select(F.explode(pair).alias("pair"))
     # neither may be so much smaller that the sizes alone forbid a link
     alike = F.least("pair.x.n", "pair.y.n") * 100 >= F.greatest("pair.x.n", "pair.y.n") * SIMILAR
-    return pairs.filter(alike).select(F.col("pair.x.cid").alias("a"), F.col("pair.y.cid").alias("b"))
+    return pairs.filter(alike & (F.col("pair.x.root") != F.col("pair.y.root"))).select(F.col("pair.x.cid").alias("a"), F.col("pair.y.cid").alias("b"))
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame, k: int) -> DataFrame:
@@ -150,8 +153,9 @@ def _bands(sets: DataFrame) -> DataFrame:
 
 
 def _by_lists(store: Scratch, members: DataFrame, sketches: DataFrame, sets: DataFrame, known: DataFrame | None, k: int, short: int, last: bool) -> DataFrame:
-    """All links that come from lists (value, cid, n, shared), as (a, b), such that their components
-    and those of ``known`` are the components of all links between members of one list."""
+    """All links that come from lists (value, cid, n, shared, root), as (a, b), such that their components
+    and those of ``known`` are the components of all links between members of one list.
+    Members of one root are in one component already, by ``known``."""
     center = F.max(F.struct((F.col("shared") - F.col("n")).alias("most"), F.col("n"), F.col("cid"))).alias("center")
     sizes = store.cut(members.groupBy("value").agg(F.count("*").alias("m"), center).filter("m > 1").select("value", "m", F.col("center.cid").alias("center")))
     listed = members.join(small(sizes, sizes.count(), BROADCAST_ROWS), "value")
@@ -168,14 +172,13 @@ def _by_lists(store: Scratch, members: DataFrame, sketches: DataFrame, sets: Dat
     rooted = compared.join(so_far.toDF("cid", "root"), "cid", "left").join(so_far.toDF("center", "center_root"), "center", "left")
     rooted = store.cut(rooted.withColumn("root", F.coalesce("root", "cid")).withColumn("center_root", F.coalesce("center_root", "center")))
     every = so_far.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    counts = store.cut(rooted.groupBy("center").agg(F.count_if(F.col("root") != F.col("center_root")).alias("open")).filter("open > 0"))
+    crowded = (F.col("open") > OPEN) & (F.col("open") * F.col("m") > CROWDED) & F.lit(not last)
+    counts = store.cut(rooted.groupBy("center").agg(F.count_if(F.col("root") != F.col("center_root")).alias("open"), F.count("*").alias("m")).filter("open > 0").select("center", crowded.alias("crowded")))
     counted = rooted.join(small(counts, counts.count(), BROADCAST_ROWS), "center")
-    direct = counted if last else counted.filter(F.col("open") <= OPEN)
-    every = every.unionByName(_linked(store, _open_pairs(direct), sketches, sets, k))
-    crowded = counts.filter(F.col("open") > OPEN)
-    if last or crowded.isEmpty():
+    every = every.unionByName(_linked(store, _open_pairs(counted.filter("NOT crowded")), sketches, sets, k))
+    if counts.filter("crowded").isEmpty():
         return every
-    again = store.cut(counted.filter(F.col("open") > OPEN).select("cid", "n", "shared").distinct())
+    again = store.cut(counted.filter("crowded").select("cid", "n", "shared", "root").distinct())
     banded = store.cut(_bands(sets.join(again.select("cid"), "cid", "left_semi")).join(again, "cid"))
     return _by_lists(store, banded, sketches, sets, every, k, short, True)
 
@@ -230,7 +233,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", text
     lonely = held.groupBy("value").agg(F.min("cid").alias("cid"), F.max("cid").alias("last")).filter("cid = last").groupBy("cid").agg(F.count("*").alias("alone"))
     shared = F.col("n") - F.coalesce("alone", F.lit(0))
     shares = store.cut(sets.select("cid", "n").join(lonely, "cid", "left").select("cid", shared.alias("shared")).filter(100 * shared >= SIMILAR * F.col("n")))
-    members = store.cut(lists.join(small(shares, shares.count(), BROADCAST_ROWS), "cid"))
+    members = store.cut(lists.join(small(shares, shares.count(), BROADCAST_ROWS), "cid").withColumn("root", F.col("cid")))
     store.drop(lists)
     links = _by_lists(store, members, classes, sets, None, k, short, False)
     roots = store.cut(components(links, store))
