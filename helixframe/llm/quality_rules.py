@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import SPACE, cut, pairwise, small, words
+from helixframe.llm.common import Scratch, pairwise, small, words
 
 #: Statistics of a vector: name -> (transformed value, least standard deviation). The floor
 #: keeps a statistic that is the same in nearly all documents, so that its robust variance is
@@ -18,18 +18,24 @@ FEATURES: dict[str, tuple[str, float]] = {
     "symbols": ("sqrt(n_symbols / greatest(word_chars, 1))", 0.04),
     "repeats": ("sqrt(n_repeat_words / greatest(n_words, 1))", 0.12),
     "capitals": ("sqrt(n_capitals / greatest(word_chars, 1))", 0.05),
+    "lines": ("sqrt(n_dup_lines / greatest(n_lines, 1))", 0.12),
 }
 #: Fraction of a group's rows that the estimate rests on.
 SUBSET = 0.75
-#: Makes the covariance of the central three quarters of five normal variables that of all.
-CONSISTENCY = 1.41
+#: Makes the covariance of the central three quarters of six normal variables that of all.
+CONSISTENCY = 1.3616
 #: Square of the Mahalanobis distance beyond which a document is an outlier: the 1 - 1e-6
-#: quantile of chi-square with five degrees of freedom.
-CUTOFF = 35.888
+#: quantile of chi-square with six degrees of freedom.
+CUTOFF = 38.258
+#: A group of n rows has the share n / (n + these) in its centre and in its covariance; the rest of the
+#: share goes to its language's, and of that in the same way to those of all documents.
+CENTER_ROWS, COVARIANCE_ROWS = 5, 100
+#: Groups up to which estimates are broadcast.
+BROADCAST_GROUPS = 100_000
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capitals
+    """``docs`` plus n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, n_capitals
     (long) of the whole text; all 0 for a null or empty text.
 
     Repeated windows are found within the row: windows are hashed, sorted with their place,
@@ -42,6 +48,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     step = step.withColumn("word_chars", F.length(F.array_join("words__", "")).cast("long"))
     step = step.withColumn("n_symbols", (F.length(body) - F.length(F.regexp_replace(body, "[#*$%&|<>]", ""))).cast("long"))
     step = step.withColumn("n_capitals", (F.length(body) - F.length(F.regexp_replace(body, r"\p{Lu}", ""))).cast("long"))
+    step = step.withColumn("n_lines", F.size("lines__").cast("long"))
     step = step.withColumn("n_dup_lines", (F.size("lines__") - F.size(F.array_distinct("lines__"))).cast("long"))
     step = step.withColumn("one__", F.transform("words__", lambda w: F.xxhash64(w))).drop("words__", "lines__")
     for new, old, apart in (("two__", "one__", 1), ("four__", "two__", 2), ("eight__", "four__", 4)):
@@ -66,15 +73,20 @@ def _pairs() -> list[tuple[int, int]]:
     return [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
 
 
-def _estimate(rows: DataFrame) -> DataFrame:
-    """Means and inverse covariance of x by (g, start), with the variance floors added, and
-    the logarithm of the covariance's determinant. Narrow: one row a group and start."""
+def _moments(rows: DataFrame, *by: str) -> DataFrame:
+    """Means and covariance of x by the given columns, with the variance floors added."""
     p = len(FEATURES)
     floors = [floor for _, floor in FEATURES.values()]
     x = [F.col(f"x{i}") for i in range(p)]
-    out = rows.groupBy("g", "start").agg(*[F.avg(x[i]).alias(f"m{i}") for i in range(p)], *[F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i, j in _pairs()])
-    out = out.select("g", "start", *[f"m{i}" for i in range(p)], *[(F.col(f"c{i}_{j}") * CONSISTENCY + (floors[i] ** 2 if i == j else 0.0)).alias(f"c{i}_{j}") for i, j in _pairs()])
-    # Cholesky factor l, then its inverse k, row by row; each step may use the ones before it
+    out = rows.groupBy(*by).agg(*[F.avg(x[i]).alias(f"m{i}") for i in range(p)], *[F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i, j in _pairs()])
+    return out.withColumns({f"c{i}_{j}": F.col(f"c{i}_{j}") * CONSISTENCY + (floors[i] ** 2 if i == j else 0.0) for i, j in _pairs()})
+
+
+def _inverted(out: DataFrame) -> DataFrame:
+    """Adds the inverse k of the Cholesky factor of the covariance c, and the logarithm of its
+    determinant. Narrow: one row a group, so the many columns cost nothing."""
+    p, held = len(FEATURES), out.columns
+    # the factor l, then its inverse k, row by row; each step may use the ones before it
     for i in range(p):
         for j in range(i + 1):
             left = F.col(f"c{i}_{j}") - sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), F.lit(0.0))
@@ -84,7 +96,7 @@ def _estimate(rows: DataFrame) -> DataFrame:
         for j in range(i):
             out = out.withColumn(f"k{i}_{j}", -sum((F.col(f"l{i}_{k}") * F.col(f"k{k}_{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l{i}_{i}"))
     det = sum((2 * F.log(F.col(f"l{i}_{i}")) for i in range(p)), F.lit(0.0))
-    return out.select("g", "start", *[f"m{i}" for i in range(p)], *[f"k{i}_{j}" for i, j in _pairs()], det.alias("log_det"))
+    return out.select(*held, *[f"k{i}_{j}" for i, j in _pairs()], det.alias("log_det"))
 
 
 def _distance() -> Column:
@@ -96,42 +108,77 @@ def _distance() -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
-def outlier_distances(stats: DataFrame, lang: str = "lang", source: str = "source", steps: int = 4, min_rows: int = 36, broadcast_rows: int = 100_000) -> DataFrame:
-    """``stats`` plus the double ``distance``: the squared Mahalanobis distance of a row's
-    transformed statistics from the minimum-covariance-determinant estimate of its language and
-    source.
-
-    Two starts, one from medians and one from all rows of the group, are each improved by
-    ``steps`` concentration steps: the estimate is made again from the three quarters of the
-    group that lie nearest to it. The start with the smaller determinant wins. Groups with
-    fewer than ``min_rows`` rows, and rows without a source, share an estimate with the others of
-    their language; where those are too few as well, and without a language, one for all.
-    All steps are aggregations that combine before they shuffle, so one group may hold any
-    share of the rows; the join with the estimates is a broadcast only up to
-    ``broadcast_rows`` groups.
+def mcd(rows: DataFrame, store: Scratch, most_steps: int = 12, settled: float = 1e-6) -> DataFrame:
+    """(g, n, m, c, log_det) from (g, x): the minimum-covariance-determinant estimate of each group.
+
+    Two starts, one from medians and one from all rows of the group, are improved by
+    concentration steps: the estimate is made again from the three quarters of the group that lie
+    nearest to it. Steps end when no determinant changes any more (or after ``most_steps``).
+    The start with the smaller determinant wins. All steps are aggregations that combine
+    before they shuffle, so one group may hold any share of the rows; the estimates are
+    broadcast only up to ``BROADCAST_GROUPS`` groups.
     """
     p = len(FEATURES)
-    named = F.when(F.col(lang).isNotNull() & F.col(source).isNotNull(), F.to_json(F.struct(F.col(lang).cast("string").alias("a"), F.col(source).cast("string").alias("b"))))
-    pool = F.when(F.col(lang).isNotNull(), F.to_json(F.struct(F.col(lang).cast("string").alias("a"))))
-    rows = cut(stats.withColumns({"g": F.coalesce(named, F.lit("")), "pool": F.coalesce(pool, F.lit(""))}).withColumns({f"x{i}": F.expr(e) for i, (e, _) in enumerate(FEATURES.values())}))
-    groups = cut(rows.groupBy("g", "pool").agg(F.count("*").alias("n")).withColumn("own", (F.col("g") != "") & (F.col("n") >= min_rows)))
-    n_groups = groups.count() + 1
-    pools = groups.filter("NOT own AND pool <> ''").groupBy("pool").agg(F.sum("n").alias("pooled")).filter(F.col("pooled") >= min_rows)
-    shared = F.when(F.col("own"), F.col("g")).when(F.col("pooled").isNotNull(), F.col("pool")).otherwise("")
-    groups = cut(groups.join(pools, "pool", "left").select("g", "pool", shared.alias("by")))
-    rows = rows.join(small(groups, n_groups, broadcast_rows), ["g", "pool"]).withColumn("g", F.col("by")).drop("by", "pool")
-    narrow = rows.select("g", *[f"x{i}" for i in range(p)])
-    middle = narrow.groupBy("g").agg(*[F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias(f"q{i}") for i in range(p)])
     floors = [floor for _, floor in FEATURES.values()]
-    spread = lambda i: F.sqrt(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + floors[i] ** 2)
-    first = middle.select("g", F.lit(0).alias("start"), *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(p)], *[(1 / spread(i) if i == j else F.lit(0.0)).alias(f"k{i}_{j}") for i, j in _pairs()], F.lit(0.0).alias("log_det"))
-    found = cut(first.unionByName(_estimate(narrow.withColumn("start", F.lit(1)))))
-    for _ in range(steps):
-        at = narrow.join(small(found, 2 * n_groups, broadcast_rows), "g").withColumn("distance", _distance())
-        near = cut(at.groupBy("g", "start").agg(F.percentile_approx("distance", F.lit(SUBSET), F.lit(1000)).alias("most")))
-        found = cut(_estimate(at.join(small(near, 2 * n_groups, broadcast_rows), ["g", "start"]).filter("distance <= most")))
-    best = cut(found.groupBy("g").agg(F.min_by(F.struct(*[c for c in found.columns if c != "g"]), F.struct("log_det", "start")).alias("best")).select("g", "best.*").drop("start", "log_det"))
-    return rows.join(small(best, n_groups, broadcast_rows), "g", "left").withColumn("distance", _distance()).drop("g", *[f"x{i}" for i in range(p)], *[c for c in best.columns if c != "g"])
+    middle = store.cut(rows.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias(f"q{i}") for i in range(p)]))
+    n_groups = middle.count()
+    spread = lambda i: F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + floors[i] ** 2
+    first = middle.select("g", F.lit(0).alias("start"), *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(p)], *[(spread(i) if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i, j in _pairs()])
+    found = store.cut(_inverted(first.unionByName(_moments(rows, "g").withColumn("start", F.lit(1)))))
+    for _ in range(most_steps):
+        at = rows.join(small(found, 2 * n_groups, BROADCAST_GROUPS), "g").withColumn("distance", _distance())
+        near = store.cut(at.groupBy("g", "start").agg(F.percentile_approx("distance", F.lit(SUBSET), F.lit(1000)).alias("most")))
+        closest = at.join(small(near, 2 * n_groups, BROADCAST_GROUPS), ["g", "start"]).filter("distance <= most")
+        before, found = found, store.cut(_inverted(_moments(closest, "g", "start")))
+        moved = found.join(before.select("g", "start", F.col("log_det").alias("old")), ["g", "start"]).agg(F.max(F.abs(F.col("log_det") - F.col("old")))).first()[0]
+        store.drop(before, near)
+        if moved is None or moved < settled:
+            break
+    held = [f"m{i}" for i in range(p)] + [f"c{i}_{j}" for i, j in _pairs()] + ["log_det"]
+    best = found.groupBy("g").agg(F.min_by(F.struct(*held), F.struct("log_det", "start")).alias("best"))
+    return store.cut(best.join(middle.select("g", "n"), "g").select("g", "n", "best.*"))
+
+
+def estimates(rows: DataFrame, store: Scratch) -> DataFrame:
+    """(g, m, k) from (g, pool, x): the estimate that each group's rows are judged by.
+
+    A group's centre is its own, drawn to the mean of its language's centres by a share that falls
+    with its rows. Its covariance is its own, drawn in the same way to that of its language
+    and of all documents, which are estimated from what is left of x after each group's centre is
+    taken off. So a group of any size has an estimate, and the shares change smoothly with n.
+    """
+    p = len(FEATURES)
+    own = mcd(rows.drop("pool"), store)
+    n_groups = own.count()
+    centers = own.select("g", *[F.col(f"m{i}").alias(f"o{i}") for i in range(p)])
+    rest = rows.join(small(centers, n_groups, BROADCAST_GROUPS), "g").select("pool", *[(F.col(f"x{i}") - F.col(f"o{i}")).alias(f"x{i}") for i in range(p)])
+    both = F.explode(F.array(F.concat(F.lit("pool "), "pool"), F.lit("all"))).alias("g")
+    wide = mcd(rest.select(both, *[f"x{i}" for i in range(p)]), store)
+    pools = rows.select("g", "pool").distinct()
+    mean = lambda name: (F.sum(F.col(name) * F.col("n")) / F.sum("n"))
+    named = own.join(pools, "g")
+    by_pool = named.groupBy("pool").agg(*[mean(f"m{i}").alias(f"pm{i}") for i in range(p)])
+    pooled = wide.filter("g <> 'all'").select(F.substring("g", 6, 1 << 30).alias("pool"), F.col("n").alias("pn"), *[F.col(f"c{i}_{j}").alias(f"p{i}_{j}") for i, j in _pairs()])
+    every = wide.filter("g = 'all'").select(*[F.col(f"c{i}_{j}").alias(f"a{i}_{j}") for i, j in _pairs()])
+    met = named.join(by_pool, "pool").join(pooled, "pool").join(F.broadcast(every), F.lit(True))  # one row
+    share, in_pool, centered = F.col("n") / (F.col("n") + COVARIANCE_ROWS), F.col("pn") / (F.col("pn") + COVARIANCE_ROWS), F.col("n") / (F.col("n") + CENTER_ROWS)
+    means = [(centered * F.col(f"m{i}") + (1 - centered) * F.col(f"pm{i}")).alias(f"m{i}") for i in range(p)]
+    spreads = [(share * F.col(f"c{i}_{j}") + (1 - share) * (in_pool * F.col(f"p{i}_{j}") + (1 - in_pool) * F.col(f"a{i}_{j}"))).alias(f"c{i}_{j}") for i, j in _pairs()]
+    return store.cut(_inverted(met.select("g", *means, *spreads)).select("g", *[f"m{i}" for i in range(p)], *[f"k{i}_{j}" for i, j in _pairs()]))
+
+
+def outlier_distances(stats: DataFrame, store: Scratch, lang: str = "lang", source: str = "source") -> DataFrame:
+    """``stats`` plus the double ``distance``: the squared Mahalanobis distance of a row's
+    transformed statistics from the estimate (see ``estimates``) of its language and source. A
+    null language or source is a group of its own."""
+    p = len(FEATURES)
+    group = F.to_json(F.struct(F.col(lang).cast("string").alias("a"), F.col(source).cast("string").alias("b")))
+    pool = F.to_json(F.struct(F.col(lang).cast("string").alias("a")))
+    rows = stats.withColumns({"g": group, "pool": pool}).withColumns({f"x{i}": F.expr(e) for i, (e, _) in enumerate(FEATURES.values())})
+    narrow = store.cut(rows.select("g", "pool", *[f"x{i}" for i in range(p)]))
+    found = estimates(narrow, store)
+    store.drop(narrow)
+    return rows.join(small(found, found.count(), BROADCAST_GROUPS), "g", "left").withColumn("distance", _distance()).drop("g", "pool", *[f"x{i}" for i in range(p)], *[c for c in found.columns if c != "g"])
 
 
 def quality_rules(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
@@ -143,11 +190,12 @@ def quality_rules(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: st
     empty texts have no words and fail; a document whose distance can't be computed is kept.
     Repeated rows count each on its own. Only the named columns are read, so others can't clash.
     """
+    store = Scratch(docs.sparkSession)
     taken = docs.select(*[F.col(c).alias(f"keep__{i}") for i, c in enumerate(keep)], F.col(text).alias("text"), F.col(lang).alias("lang__"), F.col(source).alias("source__"))
     stats = statistics(taken).drop("text")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    stats = cut(stats.withColumn("base_failed", failed))
-    judged = outlier_distances(stats.filter("NOT base_failed"), "lang__", "source__")
+    stats = store.cut(stats.withColumn("base_failed", failed))
+    judged = outlier_distances(stats.filter("NOT base_failed"), store, "lang__", "source__")
     both = judged.unionByName(stats.filter("base_failed"), allowMissingColumns=True)
     kept = F.when(F.col("base_failed"), False).otherwise(F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
     return both.select(*[F.col(f"keep__{i}").alias(c) for i, c in enumerate(keep)], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "base_failed", "distance", kept.alias("kept"))

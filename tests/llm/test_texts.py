@@ -139,9 +139,45 @@ def test_outliers(spark):
 
 
 def test_cutoff_is_the_quantile_it_names():
-    x = quality_rules.CUTOFF
-    beyond = math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)
-    assert beyond == pytest.approx(1e-6, rel=0.01)
+    assert len(quality_rules.FEATURES) == 6
+    beyond = lambda x, terms: math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(terms))
+    assert beyond(quality_rules.CUTOFF, 3) == pytest.approx(1e-6, rel=0.01)
+    low, high = 0.0, 50.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if beyond(middle, 3) > 1 - quality_rules.SUBSET else (low, middle)
+    assert quality_rules.CONSISTENCY == pytest.approx(quality_rules.SUBSET / (1 - beyond(low, 4)), rel=1e-3)
+
+
+def test_estimates_match_all_subsets(spark):
+    """Small groups: the determinant found is the least one over all subsets of three quarters of the rows."""
+    from itertools import combinations
+
+    from helixframe.llm.common import Scratch
+
+    rng = np.random.default_rng(3)
+    p = len(quality_rules.FEATURES)
+    floors = np.diag([f**2 for _, f in quality_rules.FEATURES.values()])
+    groups = {"a": rng.normal(0, 0.3, (12, p)), "b": rng.normal(2, 0.5, (9, p)), "c": rng.normal(0, 0.1, (10, p)), "one": np.ones((1, p)), "two": rng.normal(0, 1, (2, p))}
+    groups["a"][:3] += 6
+    groups["c"][4:6] -= 4
+    rows = [(g, *map(float, x)) for g, own in groups.items() for x in own]
+    df = spark.createDataFrame(rows, "g string, " + ", ".join(f"x{i} double" for i in range(p)))
+    got = {r["g"]: r for r in quality_rules.mcd(df, Scratch(spark)).collect()}
+    for g, own in groups.items():
+        h = math.ceil(quality_rules.SUBSET * len(own))
+        least = min(np.linalg.slogdet(np.cov(own[list(s)].T, bias=True).reshape(p, p) * quality_rules.CONSISTENCY + floors)[1] if h > 1 else np.linalg.slogdet(floors)[1] for s in combinations(range(len(own)), h))
+        assert got[g]["n"] == len(own) and got[g]["log_det"] == pytest.approx(least, abs=1e-6 if g in "ac" else 0.5)
+
+
+def test_groups_that_differ_have_their_own_estimates(spark):
+    """Two small sources of one language, one with a symbol in each word: each row is judged by its own source."""
+    rng = random.Random(8)
+    text = lambda end: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(99)) + end for _ in range(rng.randint(60, 90)))
+    rows = [(i, text(""), "aa", "s0", None, "", "", "") for i in range(25)] + [(i, text("$"), "aa", "s1", None, "", "", "") for i in range(25, 50)]
+    rows += [(50, text("$"), "aa", "s0", None, "", "", ""), (51, text(""), None, None, None, "", "", "")]
+    out = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(out[i]["kept"] for i in range(50)) and not out[50]["kept"] and out[51]["kept"]
 
 
 def test_small_groups_are_not_pooled_across_languages(spark):
