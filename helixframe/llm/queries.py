@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import chat_format, fingerprint, language_id, license_scan, mixing, near_dedup, piece_codec, quality_classifier, quality_rules, token_counts
-from helixframe.llm.common import read, words
+from helixframe.llm.common import cut, read
 
 
 def piece_model_path() -> str:
@@ -22,11 +22,6 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def token_weight(text: str = "text") -> Column:
-    """White-space words of a text, as its weight in a mixture."""
-    return F.size(words(F.col(text)))
-
-
 def partitions(spark: SparkSession) -> int:
     """As many ranges as the session's shuffles have partitions, and at least one a core."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
@@ -63,10 +58,16 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), size=4)
 
 
+#: Target shares of languages, and powers of the token shares of sources and topics.
+LANGUAGES = {"en": 0.40, "de": 0.20, "es": 0.20, "fr": 0.20}
+POWERS = {"source": 0.85, "topic": 0.9}
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text").withColumn("topic", mixing.form_topic(F.col("text")))
-    mixed = mixing.mix(docs, ("source", "lang", "topic"), (0.85, 0.9, 0.9), token_weight())
-    return mixed.select("doc_id", "source", "lang", "topic", F.col("mix_tokens").alias("n_tokens"), F.col("mix_weight").alias("weight"), F.col("mix_probability").alias("probability"), F.col("mix_kept").alias("kept"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    narrow = cut(mixing.with_topics(docs, tokens_out="n_tokens").drop("text"))
+    mixed = mixing.mix(narrow, ("source", "lang", "topic"), F.col("n_tokens"), {"lang": LANGUAGES}, POWERS)
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.col("mix_weight").alias("weight"), F.col("mix_probability").alias("probability"), F.col("mix_kept").alias("kept"))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
