@@ -3,27 +3,29 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a
 DataFrame. ``run`` writes each stage's rows to Parquet in the session's shared folder and reads
 them again as the next stage's docs, so a lost executor costs one stage's tasks at most.
+
+Rows are told apart by a key over their columns, not by doc_id: rows with a null doc_id, and different
+texts under one doc_id, are judged each on its own in every stage.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import mixing, near_dedup, piece_codec, quality_classifier, quality_rules
-from helixframe.llm.queries import piece_model_path, token_weight
+from helixframe.llm.common import Scratch, cut, small
+from helixframe.llm.queries import LANGUAGES, POWERS, piece_model_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Keys of dropped rows, of 8 bytes each, up to which they are broadcast; beyond it Spark shuffles.
+BROADCAST_KEYS = 1_000_000
 
 
-def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in verdicts, without shuffling texts if the ids are few."""
-    n = verdicts.count()
-    ids = verdicts.select("doc_id")
-    return docs.join(F.broadcast(ids) if n <= near_dedup.BROADCAST_ROWS else ids, "doc_id", "left_semi").select(*COLUMNS)
+def _without(docs: DataFrame, key: tuple[str, ...], dropped: DataFrame) -> DataFrame:
+    """The rows of docs whose key is not in ``dropped`` (row_key)."""
+    dropped = cut(dropped.select("row_key").distinct())
+    return docs.withColumn("row_key", near_dedup.row_key(*key)).join(small(dropped, dropped.count(), BROADCAST_KEYS), "row_key", "left_anti").select(*COLUMNS)
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,23 +34,32 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are no outliers of their language and source."""
-    return quality_rules.quality_rules(docs, keep=tuple(COLUMNS)).filter("kept").select(*COLUMNS)
+    """Documents that pass the base rules and are no outliers of their language and source. Rows
+    alike in all columns have one verdict. Verdicts are written without texts."""
+    judged = quality_rules.quality_rules(docs.withColumn("row_key", near_dedup.row_key(*COLUMNS)), keep=("row_key",))
+    return _without(docs, tuple(COLUMNS), judged.filter("NOT kept"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    kept = near_dedup.cut(near_dedup.near_duplicates(docs, size=5).filter("kept").select("doc_id"))
-    ids = near_dedup.cut(kept.distinct())
-    rows = _keep(docs, ids)
-    # texts are only shuffled if rows are there more than once under one id
-    return rows if kept.count() == ids.count() else rows.dropDuplicates(["doc_id"])
+    """One document of each group of near copies: the one with the smallest id. Of rows with equal id and
+    text one stays; documents without words are no copies of each other and all stay."""
+    keys = cut(near_dedup.near_duplicates(docs, size=5).groupBy("row_key").agg(F.max("first").alias("first"), F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles")))
+    left = _without(docs, ("doc_id", "text"), keys.filter("NOT first"))
+    repeated = keys.filter("first AND n > 1 AND n_shingles > 0").select("row_key")
+    n = repeated.count()
+    if not n:
+        return left
+    marked = left.withColumn("row_key", near_dedup.row_key("doc_id", "text")).join(small(repeated.withColumn("again", F.lit(True)), n, BROADCAST_KEYS), "row_key", "left")
+    # only rows that are there more than once are shuffled
+    return marked.filter("again IS NULL").unionByName(marked.filter("again").dropDuplicates(["row_key"])).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample by probabilities that bring sources, languages and topics nearer to each other."""
-    with_topic = docs.withColumn("topic__", mixing.form_topic(F.col("text")))
-    mixed = mixing.mix(with_topic, ("source", "lang", "topic__"), (0.85, 0.9, 0.9), token_weight())
+    """A sample of half of all tokens, by probabilities that bring languages to their target shares and
+    sources and topics nearer to each other."""
+    with_topic = mixing.with_topics(docs, out="topic__", tokens_out="tokens__")
+    powers = {"source": POWERS["source"], "topic__": POWERS["topic"]}
+    mixed = mixing.mix(with_topic, ("source", "lang", "topic__"), F.col("tokens__"), {"lang": LANGUAGES}, powers, key=("doc_id", "text"))
     return mixed.filter("mix_kept").select(*COLUMNS)
 
 
@@ -65,10 +76,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-")
-    folder = f"{shared.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    store = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
-        docs = spark.read.parquet(f"{folder}/{i}")
+    for _, stage in STAGES:
+        before, docs = docs, store.cut(stage(spark, docs, sf_dir))
+        store.drop(before)
     return docs
