@@ -40,3 +40,24 @@ def test_pipeline_stages(spark):
         docs = after.cache()
     coded = corpus_pipeline.STAGES[-1][1](spark, docs, SF).toPandas()
     assert len(coded) == docs.count() and coded.parity.all() and coded.round_trip.all()
+
+
+def test_pipeline_stages_on_hard_rows(spark):
+    """Null and repeated ids: rows are judged each on its own, and one of each group of copies stays."""
+    import random
+
+    rng = random.Random(7)
+    text = lambda n: " ".join(f"{rng.choice(['alpha', 'beta', 'gamma'])}{rng.randrange(500)}" for _ in range(n))
+    plain = [text(60) for _ in range(30)]
+    rows = [(None, t, "en", "s") for t in plain[:10]] + [(5, t, "en", "s") for t in plain[10:20]] + [(i, t, None, None) for i, t in enumerate(plain[20:], 100)]
+    copies = [(None, plain[0], "en", "s"), (5, plain[10], "en", "s"), (7, plain[1] + " end", "en", "s"), (8, plain[11] + " end", "de", "t")]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows + copies] + [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    once = corpus_pipeline.dedup(spark, docs, SF).collect()
+    assert sorted(r["text"] or "" for r in once if (r["text"] or "") in plain) == sorted(set(plain) - {plain[1]})
+    assert [r["doc_id"] for r in once if r["text"] == plain[1] + " end"] == [7] and not any(r["text"] == plain[11] + " end" for r in once)
+    assert sum(not r["text"] for r in once) == 3
+    kept = corpus_pipeline.rules(spark, docs, SF).collect()
+    assert len(kept) == 34 and all(r["text"] for r in kept)
+    assert 0 < corpus_pipeline.mixture(spark, docs, SF).count() < docs.count()
+    none = docs.limit(0)
+    assert [stage(spark, none, SF).count() for _, stage in corpus_pipeline.STAGES] == [0] * 5

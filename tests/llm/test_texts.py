@@ -342,21 +342,56 @@ def test_chats(spark):
 
 
 def test_raking_meets_every_margin(spark):
+    """Weights equal those of a plain raking in numpy, and every margin's shares are its targets."""
     rng = np.random.default_rng(0)
     rows = [(f"a{i}", f"b{j}", f"c{k}", float(rng.integers(1, 100))) for i in range(5) for j in range(4) for k in range(3)]
     cells = spark.createDataFrame(rows, "a string, b string, c string, tokens double")
-    targets = {m: mixing.smoothed(cells, m, 0.4) for m in "abc"}
-    got = mixing.rake(cells, targets, rounds=60, tolerance=1e-8).toPandas()
-    got["now"] = got.tokens * got.weight
-    for m in "abc":
-        want = {r[m]: r["target"] for r in targets[m].collect()}
-        for name, share in (got.groupby(m).now.sum() / got.now.sum()).items():
-            assert abs(share - want[name]) < 1e-5
-    docs = table(spark, EDGE + random_texts(1, 200))
-    mixed = mixing.mix(docs, ("source", "lang"), (0.5, 0.5), F.length("text"))
-    once, again = mixed.toPandas().sort_values("doc_id"), mixing.mix(docs.repartition(7), ("source", "lang"), (0.5, 0.5), F.length("text")).toPandas().sort_values("doc_id")
-    assert once.mix_kept.tolist() == again.mix_kept.tolist() and once.mix_probability.between(0, 1).all() and once.mix_probability.max() == 1
-    assert len(once) == docs.count() and mixing.mix(table(spark, []), ("source", "lang"), (0.5, 0.5), F.length("text")).count() == 0
+    targets = {m: mixing.targets_of(cells, m, power=0.4) for m in "abc"}
+    got = mixing.rake(cells, targets, tolerance=1e-9).toPandas().sort_values(["a", "b", "c"])
+    tokens = np.array([r[3] for r in sorted(rows)]).reshape(5, 4, 3)
+    brute = tokens.copy()
+    for _ in range(200):
+        for axis, m in enumerate("abc"):
+            own = tokens.sum(tuple(x for x in range(3) if x != axis)) ** 0.4
+            shape = [-1 if x == axis else 1 for x in range(3)]
+            now = brute.sum(tuple(x for x in range(3) if x != axis))
+            brute = brute * (own / own.sum() * tokens.sum() / now).reshape(shape)
+    assert (got.tokens * got.weight).to_numpy() == pytest.approx(brute.ravel(), rel=1e-6)
+
+
+def test_mixture_attains_targets(spark):
+    """Kept tokens have the given shares, within the budget; a category with too few tokens gives all."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["en"] * 6 + ["de"] * 3 + ["fr"]), rng.choice(["web"] * 8 + ["book", None]), rng.randint(1, 90), "clash", 1.0) for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, n long, weight string, mix_kept double")
+    given = {"lang": {"en": 0.4, "de": 0.35, "fr": 0.25}, "source": {"book": 0.15}}
+    mixed = mixing.mix(docs, ("lang", "source"), F.col("n"), given, {"source": 0.5}, budget=0.3)
+    assert set(docs.columns) < set(mixed.columns) and mixed.count() == 20_000
+    total = mixed.agg(F.sum("n"), F.sum(F.when(F.col("mix_kept"), F.col("n")))).first()
+    assert total[1] / total[0] == pytest.approx(0.3, rel=0.05)
+    for margin in ("lang", "source"):
+        for r in mixing.attained(mixed, margin, given[margin], 0.5).collect():
+            assert r["expected"] == pytest.approx(r["target"], rel=1e-3) and r["kept"] == pytest.approx(r["target"], rel=0.12)
+            assert r["target"] == pytest.approx(given[margin].get(r["category"], r["target"]))
+    again = mixing.mix(docs.repartition(7), ("lang", "source"), F.col("n"), given, {"source": 0.5}, budget=0.3)
+    assert {r["doc_id"] for r in mixed.filter("mix_kept").collect()} == {r["doc_id"] for r in again.filter("mix_kept").collect()}
+    scarce = mixing.mix(docs, ("lang",), F.col("n"), {"lang": {"fr": 0.6, "en": 0.2, "de": 0.2}}, budget=0.5).groupBy("lang").agg(F.max("mix_probability").alias("p"))
+    chance = {r["lang"]: r["p"] for r in scarce.collect()}
+    assert chance["fr"] == pytest.approx(1, abs=1e-6) and chance["en"] < 1
+    assert mixing.mix(docs.limit(0), ("lang",), F.col("n")).count() == 0
+
+
+def test_topics_follow_content(spark):
+    """Texts of two vocabularies get different topics, whatever their length; no words, no topic."""
+    rng = random.Random(5)
+    own = ["planet orbit stellar comet galaxy".split(), "butter flour sugar oven whisk".split()]
+    texts = [" ".join(rng.choice(own[i % 2]) for _ in range(rng.randint(20, 2000))) for i in range(60)]
+    docs = table(spark, texts + [None, "", "a of"]).withColumn("topic", F.lit("old"))
+    got = {r["doc_id"]: r for r in mixing.with_topics(docs, tokens_out="n_tokens", topics=2).collect()}
+    assert {got[i]["topic"] for i in range(0, 60, 2)}.isdisjoint({got[i]["topic"] for i in range(1, 60, 2)})
+    assert len({r["topic"] for r in got.values()}) == 3 and [got[i]["topic"] for i in (60, 61, 62)] == ["none"] * 3
+    assert all(got[i]["n_tokens"] == len(t.split()) for i, t in enumerate(texts))
+    assert mixing.with_topics(table(spark, [])).count() == 0
 
 
 # operators 1 and 2
