@@ -84,14 +84,14 @@ def priors(names: list[str]) -> np.ndarray:
 def estimate(names: list[str], votes: np.ndarray, counts: np.ndarray, rounds: int = 500, prior_rows: float = 20.0, expected: np.ndarray | None = None) -> Accuracies:
     """Expectation-maximisation over distinct vote rows and how many texts have each.
 
-    It starts from the majority of votes. ``expected`` (see ``priors``) counts as ``prior_rows``
+    It starts from any bad vote: texts with one count as bad, since most labellers vote on what
+    is wrong alone. ``expected`` (see ``priors``) counts as ``prior_rows``
     texts of each class, however many texts there are, so data outweigh it; it tells the
     classes apart, and a vote that a labeller can't cast keeps probability 0.
     """
     expected = priors(names) if expected is None else expected
     at = np.where(votes < 0, 2, votes)
-    cast = (votes >= 0).sum(1)
-    good = np.where(cast > 0, (votes == 1).sum(1) / np.maximum(cast, 1), 0.5)
+    good = np.where((votes == BAD).any(1), 0.05, 0.95)
     model = None
     for _ in range(rounds):
         weight = np.stack([counts * (1 - good), counts * good])
