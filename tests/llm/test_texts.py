@@ -338,6 +338,21 @@ def test_chats(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_chats_of_many_turns_and_long_runs(spark):
+    """100,000 turns, and a million backslashes, take seconds, not their square."""
+    import time
+
+    turns = spark.range(100_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 5 < 2, "user").otherwise("assistant").alias("role"), F.concat(F.lit("said 🙂 "), "id").alias("text"))
+    slashes = "\\" * 1_000_000
+    runs = spark.createDataFrame([(2, 0, "user", slashes), (2, 1, "assistant", slashes + "### "), (2, 2, "assistant", "x" + slashes + "</part>" + slashes)], "conv_id int, turn long, role string, text string")
+    began = time.time()
+    out = {r["conv_id"]: r for r in chat_format.read_back(chat_format.format_chats(turns.unionByName(runs))).collect()}
+    assert time.time() - began < 60
+    assert [t["text"] for t in out[1]["turns"]] == [f"said 🙂 {i}" for i in range(100_000)]
+    assert out[1]["learned"] == [f"said 🙂 {i}" for i in range(100_000) if i % 5 >= 2]
+    assert out[2]["learned"] == [slashes + "### ", "x" + slashes + "</part>" + slashes] and out[2]["turns"][0]["text"] == slashes
+
+
 # operator 8
 
 
