@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,37 +73,35 @@ def _pairs() -> list[tuple[int, int]]:
 
 def _moments(rows: DataFrame, *by: str) -> DataFrame:
     """Means and covariance of x by the given columns, with the variance floors added."""
-    p = len(FEATURES)
     floors = [floor for _, floor in FEATURES.values()]
-    x = [F.col(f"x{i}") for i in range(p)]
-    out = rows.groupBy(*by).agg(*[F.avg(x[i]).alias(f"m{i}") for i in range(p)], *[F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i, j in _pairs()])
-    return out.withColumns({f"c{i}_{j}": F.col(f"c{i}_{j}") * CONSISTENCY + (floors[i] ** 2 if i == j else 0.0) for i, j in _pairs()})
+    means = [F.expr(f"avg(x{i}) AS m{i}") for i in range(len(FEATURES))]
+    spreads = [F.expr(f"covar_pop(x{i}, x{j}) * {CONSISTENCY}D + {floors[i] ** 2 if i == j else 0.0}D AS c{i}_{j}") for i, j in _pairs()]
+    return rows.groupBy(*by).agg(*means, *spreads)
 
 
 def _inverted(out: DataFrame) -> DataFrame:
     """Adds the inverse k of the Cholesky factor of the covariance c, and the logarithm of its
     determinant. Narrow: one row a group, so the many columns cost nothing."""
-    p, held = len(FEATURES), out.columns
-    # the factor l, then its inverse k, row by row; each step may use the ones before it
+    p, made = len(FEATURES), []
+    less = lambda terms: "".join(f" - {t}" for t in terms)
+    # the factor l, then its inverse k, row by row; each column may use the ones before it
     for i in range(p):
         for j in range(i + 1):
-            left = F.col(f"c{i}_{j}") - sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), F.lit(0.0))
-            out = out.withColumn(f"l{i}_{j}", F.sqrt(left) if i == j else left / F.col(f"l{j}_{j}"))
+            left = f"(c{i}_{j}{less(f'l{i}_{k} * l{j}_{k}' for k in range(j))})"
+            made.append(f"sqrt({left}) AS l{i}_{j}" if i == j else f"{left} / l{j}_{j} AS l{i}_{j}")
     for i in range(p):
-        out = out.withColumn(f"k{i}_{i}", 1 / F.col(f"l{i}_{i}"))
+        made.append(f"1 / l{i}_{i} AS k{i}_{i}")
         for j in range(i):
-            out = out.withColumn(f"k{i}_{j}", -sum((F.col(f"l{i}_{k}") * F.col(f"k{k}_{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l{i}_{i}"))
-    det = sum((2 * F.log(F.col(f"l{i}_{i}")) for i in range(p)), F.lit(0.0))
-    return out.select(*held, *[f"k{i}_{j}" for i, j in _pairs()], det.alias("log_det"))
+            made.append(f"(0D{less(f'l{i}_{k} * k{k}_{j}' for k in range(j, i))}) / l{i}_{i} AS k{i}_{j}")
+    det = " + ".join(f"2 * ln(l{i}_{i})" for i in range(p))
+    whole = out.selectExpr("*", *made, f"{det} AS log_det")
+    return whole.drop(*[f"l{i}_{j}" for i, j in _pairs()])
 
 
 def _distance() -> Column:
     """Squared Mahalanobis distance from the columns x, m and k."""
-    parts = []
-    for i in range(len(FEATURES)):
-        z = sum((F.col(f"k{i}_{j}") * (F.col(f"x{j}") - F.col(f"m{j}")) for j in range(i + 1)), F.lit(0.0))
-        parts.append(F.pow(z, 2))
-    return reduce(lambda a, b: a + b, parts)
+    parts = [f"pow({' + '.join(f'k{i}_{j} * (x{j} - m{j})' for j in range(i + 1))}, 2)" for i in range(len(FEATURES))]
+    return F.expr(" + ".join(parts))
 
 
 def mcd(rows: DataFrame, store: Scratch, most_steps: int = 12, settled: float = 1e-6) -> DataFrame:
