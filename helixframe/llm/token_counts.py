@@ -16,7 +16,7 @@ CACHE = 400_000
 
 
 def single_tokens(path: str) -> frozenset[str]:
-    """Proves which vocabulary strings the library encodes alone as one token.
+    """Proves which vocabulary strings the library encodes alone as one token: once, on the driver.
 
     Every normal piece that starts with the space marker is given to the library as a text
     of its own; those that come back as exactly that one id are single.
@@ -30,13 +30,17 @@ def single_tokens(path: str) -> frozenset[str]:
     return frozenset(text for (text, i), ids in zip(own, encoded) if ids == [i])
 
 
+#: In a Python worker: the proved single tokens by model path, as the driver sent them.
+_SINGLE: dict[str, frozenset[str]] = {}
+
+
 @lru_cache(maxsize=2)
 def _counter(path: str):
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     cut = piece_model.parse(path).can_cut
-    known = dict.fromkeys(single_tokens(path), 1) if cut else {}
+    known = dict.fromkeys(_SINGLE[path], 1) if cut else {}
     room = len(known) + CACHE
 
     def count(texts: list[str]) -> list[int]:
@@ -68,9 +72,13 @@ def count_tokens(docs: DataFrame, model_path: str, text: str = "text", out: str
     held as pre-tokens at a time, a single longer text aside. Repeated rows count each on
     its own, an empty table gives an empty one, and a column named ``out`` is replaced.
     """
+    # as many strings as the vocabulary has at most
+    held = docs.sparkSession.sparkContext.broadcast(single_tokens(model_path))
 
     @F.pandas_udf("long")
     def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        if model_path not in _SINGLE:
+            _SINGLE[model_path] = held.value
         count = _counter(model_path)
         for texts in batches:
             found: list[int] = []
