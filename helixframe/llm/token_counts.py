@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +35,14 @@ def single_tokens(path: str) -> frozenset[str]:
 _SINGLE: dict[str, frozenset[str]] = {}
 
 
+def _counter(path: str, held: Broadcast):
+    if path not in _SINGLE:
+        _SINGLE[path] = held.value
+    return _make_counter(path)
+
+
 @lru_cache(maxsize=2)
-def _counter(path: str):
+def _make_counter(path: str):
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -77,9 +84,7 @@ def count_tokens(docs: DataFrame, model_path: str, text: str = "text", out: str
 
     @F.pandas_udf("long")
     def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if model_path not in _SINGLE:
-            _SINGLE[model_path] = held.value
-        count = _counter(model_path)
+        count = _counter(model_path, held)
         for texts in batches:
             found: list[int] = []
             held: list[str] = []
