@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -102,16 +102,22 @@ def decode(codes: Column) -> Column:
     return F.array_join(F.transform(codes, lambda c: F.substring(F.lit(CODES), c + 1, F.lit(1))), "")
 
 
-def compare(left: Column, right: Column, how: str = "subtract") -> Column:
-    """``left`` against ``right``: subtract, divide or log2FC; null where it has no value."""
+#: subtract, divide or log2FC, or a function of two columns.
+Comparison = str | Callable[[Column, Column], Column]
+
+
+def compare(left: Column, right: Column, how: Comparison = "subtract") -> Column:
+    """``left`` against ``right``; null where it has no value."""
     ratio = left / F.nullif(right, F.lit(0.0))
+    if callable(how):
+        return how(left, right)
     if how == "subtract":
         return left - right
     if how == "divide":
         return ratio
     if how == "log2FC":
         return F.log2(ratio)
-    raise ValueError("how must be subtract, divide or log2FC")
+    raise ValueError("how must be subtract, divide, log2FC or a function")
 
 
 def clip(value: Column, low: float | None = None, high: float | None = None) -> Column:
@@ -120,7 +126,7 @@ def clip(value: Column, low: float | None = None, high: float | None = None) ->
     return value if high is None else F.least(value, F.lit(high))
 
 
-def label_transform(value: Column, low: float | None = None, high: float | None = None, how: str | None = None) -> Column:
-    """Clipped, then as it is, or its log or log1p."""
+def label_transform(value: Column, low: float | None = None, high: float | None = None, how: str | Callable[[Column], Column] | None = None) -> Column:
+    """Clipped, then as it is, its log or log1p, or what a function makes of it."""
     named = {None: lambda x: x, "log": F.ln, "log1p": F.log1p}
-    return named[how](clip(value, low, high))
+    return (how if callable(how) else named[how])(clip(value, low, high))

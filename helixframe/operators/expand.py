@@ -26,15 +26,15 @@ def random_sequences(spark, seq_len: int, n: int, seed: int = 0) -> DataFrame:
     return spark.range(n).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(seq_len)), letter), "").alias("seq"))
 
 
-def augment(df: DataFrame, seq_len: int, rc: bool = False, max_seq_shift: int = 0, max_pair_shift: int = 0, one: bool = False, seed: int = 0) -> DataFrame:
-    """Rows of ``df`` (id, seq of length seq_len + 2 * both shifts) times (pair_shift, seq_shift, rc):
+def augment(df: DataFrame, seq_len: Column | int, rc: bool = False, max_seq_shift: int = 0, max_pair_shift: int = 0, one: bool = False, seed: int = 0) -> DataFrame:
+    """Rows of ``df`` (id, seq of length seq_len, which may be a column, + 2 * both shifts) times (pair_shift, seq_shift, rc):
     the window at the sum of the shifts, reverse-complemented or not. With ``one``, one of
     them a row, drawn by the seed."""
     axes = F.array(*[F.struct(F.lit(p).alias("pair_shift"), F.lit(s).alias("seq_shift"), F.lit(r).alias("rc")) for r in ((False, True) if rc else (False,)) for s in range(2 * max_seq_shift + 1) for p in range(2 * max_pair_shift + 1)])
     n = (1 + rc) * (2 * max_seq_shift + 1) * (2 * max_pair_shift + 1)
     chosen = F.array(F.get(axes, F.pmod(hashed_order(seed, "id"), F.lit(n)).cast("int"))) if one else axes
     made = df.withColumn("axis__", F.explode(chosen)).select("*", "axis__.*").drop("axis__")
-    window = F.substring("seq", F.col("seq_shift") + F.col("pair_shift") + 1, F.lit(seq_len))
+    window = F.substring("seq", F.col("seq_shift") + F.col("pair_shift") + 1, F.lit(seq_len) if isinstance(seq_len, int) else seq_len)
     return made.withColumn("seq", F.when(F.col("rc"), reverse_complement(window)).otherwise(window))
 
 
@@ -119,7 +119,7 @@ def variant_backgrounds(windows: DataFrame, n_shuffles: int = 100, seed: int = 0
     return both.select("id", "shuffle", "x.allele_type", mutate(F.col("seq"), F.col("x.allele")).alias("seq"))
 
 
-def pattern_spacing(df: DataFrame, fixed: str, moving: str, seq_len: int, stride: int = 1, n_shuffles: int = 1, seed: int = 0) -> DataFrame:
+def pattern_spacing(df: DataFrame, fixed: str, moving: str, seq_len: Column | int, stride: int = 1, n_shuffles: int = 1, seed: int = 0) -> DataFrame:
     """(…, shuffle, tile_start, distance, seq): ``fixed`` in the middle, and ``moving`` at every tiled
     place beside it or (tile_start null) nowhere."""
     made = _backgrounds(df, n_shuffles, seed).withColumn("seq", mutate(F.col("seq"), F.lit(fixed)))
@@ -128,7 +128,7 @@ def pattern_spacing(df: DataFrame, fixed: str, moving: str, seq_len: int, stride
     return placed.unionByName(alone)
 
 
-def tile_shuffles(df: DataFrame, tile: int, seq_len: int, stride: int | None = None, protect: int = 0, n_shuffles: int = 1, seed: int = 0) -> DataFrame:
+def tile_shuffles(df: DataFrame, tile: int, seq_len: Column | int, stride: int | None = None, protect: int = 0, n_shuffles: int = 1, seed: int = 0) -> DataFrame:
     """(…, tile_start, shuffle, seq): only the tile's letters shuffled."""
     tiles = tile_positions(df, seq_len, tile, stride or tile, protect).withColumn("key__", F.xxhash64("id", "tile_start"))
     made = dinuc_shuffle(tiles.withColumn("part__", F.substring("seq", F.col("tile_start") + 1, F.lit(tile))), n_shuffles, seed, "key__", "part__")

@@ -15,8 +15,6 @@ from helixframe.schema import INTERVALS, require_columns
 
 #: Width of the bins that range joins meet in.
 BIN = 2000
-#: Reference rows up to which the reference side of a range join is broadcast.
-BROADCAST_ROWS = 500_000
 
 
 def hashed_order(seed: int, *key: str) -> Column:
@@ -114,11 +112,13 @@ def intervals_to_bins(df: DataFrame, start_pos: int = 0, bin_size: int = 1, crop
     return df.withColumn("start_bin", first).withColumn("end_bin", last).withColumn("out_of_range", (F.col("start_bin") < 0) | beyond)
 
 
-def tile_positions(df: DataFrame, seq_len: int, tile: int, stride: int, protect: int = 0) -> DataFrame:
+def tile_positions(df: DataFrame, seq_len: Column | int, tile: int, stride: int, protect: int = 0) -> DataFrame:
     """One row a tile start that touches none of the ``protect`` central letters, and its
-    distance from the start of the protected centre."""
-    left = (seq_len - protect) // 2
-    starts = F.sequence(F.lit(0), F.lit(seq_len - tile), F.lit(stride))
+    distance from the start of the protected centre. ``seq_len`` may be a column; sequences shorter
+    than a tile have none."""
+    size = F.lit(seq_len) if isinstance(seq_len, int) else seq_len
+    left = F.floor((size - protect) / 2).cast("int")
+    starts = F.when(size >= tile, F.sequence(F.lit(0), F.greatest(size - tile, F.lit(0)).cast("int"), F.lit(stride)))
     free = F.filter(starts, lambda s: (s + tile <= left) | (s >= left + protect)) if protect else starts
     return df.withColumn("tile_start", F.explode(free)).withColumn("distance", F.col("tile_start") - left)
 
@@ -184,12 +184,19 @@ def sample_n(df: DataFrame, n: int, key: str = "id", seed: int = 0) -> DataFrame
     return df.orderBy(hashed_order(seed, key), key).limit(n)
 
 
-def split(df: DataFrame, train: Sequence[str] | None = None, val: Sequence[str] = ("chr10",), test: Sequence[str] = ("chr11",)) -> DataFrame:
+def split(df: DataFrame, train: Sequence[str] | None = None, val: Sequence[str] = ("chr10",), test: Sequence[str] = ("chr11",), sample: dict[str, int] | None = None, key: str = "id", seed: int = 0) -> DataFrame:
     """``df`` plus ``split``: val, test or train by chromosome, the first that fits; other rows
-    go to train if no training chromosomes are named, else nowhere."""
+    go to train if no training chromosomes are named, else nowhere. ``sample`` keeps so many rows
+    of a split, by a seeded draw."""
     named = F.when(F.col("chrom").isin(list(val)), "val").when(F.col("chrom").isin(list(test)), "test")
     named = named.otherwise("train") if train is None else named.when(F.col("chrom").isin(list(train)), "train")
-    return df.withColumn("split", named).filter(F.col("split").isNotNull())
+    made = df.withColumn("split", named).filter(F.col("split").isNotNull())
+    if not sample:
+        return made
+    out = made.filter(~F.col("split").isin(list(sample)))
+    for name, n in sample.items():
+        out = out.unionByName(sample_n(made.filter(F.col("split") == name), n, key, seed))
+    return out
 
 
 def add_negatives(df: DataFrame, negatives: DataFrame, label: float = 0.0, name: str = "label") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.operators.intervals import hashed_order
+from helixframe.operators.metrics import quantiles
 
 
 def filter_obs(obs: DataFrame, matrix: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
@@ -27,7 +28,8 @@ def var_totals(matrix: DataFrame, n_obs: int, how: str = "mean") -> DataFrame:
 def filter_coverage(matrix: DataFrame, n_obs: int, method: str = "cutoff", cutoff: float = 1, how: str = "mean", negative_frac: float = 0.0, seed: int = 0) -> DataFrame:
     """(var, total, is_negative): the vars whose total is at least ``cutoff``; the ``cutoff``
     highest ones ("top"); or those at or above that percentile ("percentile").
-    ``negative_frac`` adds so many of the others, as a share of the kept, by a seeded draw.
+    ``negative_frac`` adds so many of the others, as a share of the kept, by a seeded draw; only then
+    the kept are counted when the table is made.
     """
     totals = var_totals(matrix, n_obs, how)
     if method == "cutoff":
@@ -35,8 +37,8 @@ def filter_coverage(matrix: DataFrame, n_obs: int, method: str = "cutoff", cutof
     elif method == "top":
         kept = totals.orderBy(F.desc("total"), "var").limit(int(cutoff))
     elif method == "percentile":
-        edge = totals.agg(F.percentile("total", F.lit(cutoff / 100)).alias("edge")).first()["edge"]
-        kept = totals.filter(F.col("total") >= F.lit(edge))
+        edge = quantiles(totals.withColumn("all__", F.lit(1)), "total", "all__", {"edge": cutoff / 100}).select("edge")
+        kept = totals.join(F.broadcast(edge), F.col("total") >= F.col("edge")).drop("edge")  # one row
     else:
         raise ValueError("method must be cutoff, top or percentile")
     kept = kept.withColumn("is_negative", F.lit(False))

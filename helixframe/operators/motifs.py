@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.sequence import reverse_complement
+from helixframe.operators.metrics import running_counts
+from helixframe.operators.scoring import two_sided
 from helixframe.schema import BASES
 
 #: Added to each probability before its logarithm, and the width of a score step for p-values.
@@ -36,19 +37,28 @@ def trim_motif(motifs: DataFrame, threshold: float = 0.3) -> DataFrame:
     return motifs.join(ends, "motif").filter("pos BETWEEN first AND last").select("motif", (F.col("pos") - F.col("first")).alias("pos"), "base", "prob")
 
 
+def _tail(scores: np.ndarray) -> tuple[int, np.ndarray]:
+    """From log odds by position and base: the least sum of rounded scores, and the chances that a random
+    window's is that or more, by steps; by convolution over the positions."""
+    cells = np.rint(scores / STEP).astype(int)
+    low, chances = 0, np.ones(1)
+    for row in cells:
+        grown = np.zeros(len(chances) + row.max() - row.min())
+        for step in row:
+            grown[step - row.min() : step - row.min() + len(chances)] += chances / 4
+        low, chances = low + int(row.min()), grown
+    return low, np.minimum(chances[::-1].cumsum()[::-1], 1.0)
+
+
+def _odds(frame: pd.DataFrame) -> np.ndarray:
+    return np.log2((frame.pivot(index="pos", columns="base", values="prob")[list(BASES)].to_numpy() + EPS) * 4)
+
+
 def motif_pvalues(motifs: DataFrame) -> DataFrame:
-    """(motif, step, p): the chance that a random window's sum of rounded scores is ``step`` or
-    more, by convolution over the motif's positions."""
+    """(motif, step, p): the chance that a random window's sum of rounded scores is ``step`` or more."""
 
     def table(frame: pd.DataFrame) -> pd.DataFrame:
-        cells = np.rint(np.log2((frame.pivot(index="pos", columns="base", values="prob").to_numpy() + EPS) * 4) / STEP).astype(int)
-        low, chances = 0, np.ones(1)
-        for row in cells:
-            grown = np.zeros(len(chances) + row.max() - row.min())
-            for step in row:
-                grown[step - row.min() : step - row.min() + len(chances)] += chances / 4
-            low, chances = low + int(row.min()), grown
-        tail = np.minimum(chances[::-1].cumsum()[::-1], 1.0)
+        low, tail = _tail(_odds(frame))
         return pd.DataFrame({"motif": frame["motif"].iloc[0], "step": np.arange(low, low + len(tail)), "p": tail})
 
     return motifs.groupBy("motif").applyInPandas(table, "motif string, step long, p double")
@@ -60,39 +70,64 @@ def _matrices(motifs: DataFrame) -> tuple[list[str], list[np.ndarray]]:
     rows = motifs.limit(1_000_001).toPandas()
     if len(rows) > 1_000_000:
         raise ValueError("a motif catalogue has at most a million rows")
-    names, made = [], []
-    for name, own in rows.groupby("motif", sort=True):
-        names.append(name)
-        made.append(np.log2(own.pivot(index="pos", columns="base", values="prob")[list(BASES)].to_numpy() + EPS) + 2)
-    return names, made
+    held = [(name, _odds(own)) for name, own in rows.groupby("motif", sort=True)]
+    return [n for n, _ in held], [m for _, m in held]
+
+
+#: Letters that are scanned at a time.
+SLICE = 1 << 20
 
 
 def scan_motifs(seqs: DataFrame, motifs: DataFrame, p_below: float = 1e-3, rc: bool = True) -> DataFrame:
     """(id, motif, start, end, strand, score, p_value, matched_seq): windows whose p-value is below
-    ``p_below``. A letter other than A, C, G and T adds 0. Coordinates and text are forward."""
+    ``p_below``. A letter other than A, C, G and T adds 0. Coordinates and text are forward.
+
+    The sequences of a batch are laid end to end, parted by a letter that no window survives, so
+    that each motif is one pass over long arrays."""
     names, scores = _matrices(motifs)
     code = np.full(256, 4, "uint8")
     code[[ord(b) for b in BASES]] = range(4)
-    tables = {n: own.sort_values("step") for n, own in motif_pvalues(motifs).toPandas().groupby("motif")}
-    lows = [int(tables[n]["step"].iloc[0]) for n in names]
-    tails = [np.append(tables[n]["p"].to_numpy(), 0.0) for n in names]
+    apart = 5
+    sides = []
+    for name, own in zip(names, scores):
+        low, tail = _tail(own)
+        for strand in ("+", "-") if rc else ("+",):
+            turned = own if strand == "+" else own[::-1, ::-1]
+            sides.append((name, strand, np.vstack([turned.T, np.zeros(len(own)), np.full(len(own), -np.inf)]), low, np.append(tail, 0.0)))
+    columns = ["id", "motif", "start", "end", "strand", "score", "p_value", "matched_seq"]
+
+    def hits(keys: list, texts: list[str]) -> pd.DataFrame:
+        parts = [code[np.frombuffer(t.encode("ascii", "replace"), "uint8")] for t in texts]
+        lengths = np.array([len(x) + 1 for x in parts])
+        flat = np.concatenate([y for x in parts for y in (x, [apart])]).astype("uint8")
+        begins = np.append(0, lengths.cumsum()[:-1])
+        out = []
+        for name, strand, weights, low, tail in sides:
+            width = weights.shape[1]
+            if len(flat) < width:
+                continue
+            sums = sum(weights[flat[i : len(flat) - width + 1 + i], i] for i in range(width))
+            steps = np.full(len(sums), len(tail) - 1)
+            whole = np.isfinite(sums)
+            steps[whole] = np.clip(np.trunc(sums[whole] / STEP).astype(int) - low, 0, len(tail) - 1)
+            at = np.flatnonzero(whole & (tail[steps] < p_below))
+            row = np.searchsorted(begins, at, "right") - 1
+            start = at - begins[row]
+            out.append(pd.DataFrame({"id": [keys[r] for r in row], "motif": name, "start": start, "end": start + width, "strand": strand, "score": sums[at], "p_value": tail[steps[at]], "matched_seq": [texts[r][a : a + width] for r, a in zip(row.tolist(), start.tolist())]}, columns=columns))
+        return pd.concat(out) if out else pd.DataFrame([], columns=columns)
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out: list[tuple] = []
+            keys, texts, letters = [], [], 0
             for key, seq in zip(frame["id"], frame["seq"]):
-                codes = code[np.frombuffer((seq or "").encode("ascii", "replace"), "uint8")]
-                for name, own, low, tail in zip(names, scores, lows, tails):
-                    width = len(own)
-                    if len(codes) < width:
-                        continue
-                    for strand in ("+", "-") if rc else ("+",):
-                        weights = np.vstack([(own if strand == "+" else own[::-1, ::-1]).T, np.zeros(width)])
-                        sums = sum(weights[codes[i : len(codes) - width + 1 + i], i] for i in range(width))
-                        steps = np.clip(np.trunc(sums / STEP).astype(int) - low, 0, len(tail) - 1)
-                        for at in np.flatnonzero(tail[steps] < p_below):
-                            out.append((key, name, int(at), int(at) + width, strand, float(sums[at]), float(tail[steps[at]]), seq[at : at + width]))
-            yield pd.DataFrame(out, columns=["id", "motif", "start", "end", "strand", "score", "p_value", "matched_seq"])
+                keys.append(key)
+                texts.append(seq or "")
+                letters += len(texts[-1])
+                if letters >= SLICE:
+                    yield hits(keys, texts)
+                    keys, texts, letters = [], [], 0
+            if keys:
+                yield hits(keys, texts)
 
     return seqs.select("id", "seq").mapInPandas(scan, "id long, motif string, start long, end long, strand string, score double, p_value double, matched_seq string")
 
@@ -110,7 +145,7 @@ def _stranded(motifs: DataFrame, rc: bool) -> DataFrame:
 
 def score_windows(windows: DataFrame, motifs: DataFrame) -> DataFrame:
     """``windows`` (id, seq, motif, start, strand, …) plus ``score``: the motif's log odds there."""
-    spread = windows.join(F.broadcast(_stranded(motifs, True)), ["motif", "strand"])
+    spread = windows.join(_stranded(motifs, True), ["motif", "strand"])
     hit = F.when(F.substring("seq", (F.col("start") + F.col("pos") + 1).cast("int"), F.lit(1)) == F.col("base"), F.col("score")).otherwise(0.0)
     keys = [c for c in windows.columns]
     return spread.withColumn("score", hit).groupBy(*keys).agg(F.sum("score").alias("score"))
@@ -155,7 +190,7 @@ def score_motif_match(sites: DataFrame, attributions: DataFrame, motifs: DataFra
     offset = F.when(F.col("strand") == "-", F.col("end") - 1 - F.col("pos")).otherwise(F.col("pos") - F.col("start"))
     read = F.when(F.col("strand") == "-", F.translate("base", "ACGT", "TGCA")).otherwise(F.col("base"))
     own = motifs.select("motif", F.col("pos").cast("long").alias("offset"), F.col("base").alias("read"), "prob")
-    made = met.withColumn("offset", offset).withColumn("read", read).join(F.broadcast(own), ["motif", "offset", "read"])
+    made = met.withColumn("offset", offset).withColumn("read", read).join(own, ["motif", "offset", "read"])
     sums = made.groupBy(*keys).agg((F.sum(F.col("value") * F.col("prob")) / (F.first("end") - F.first("start"))).alias("motif_attr_score"))
     return sites.join(sums, keys, "left")
 
@@ -179,12 +214,21 @@ def compare_motifs(pairs: DataFrame, motifs: DataFrame, p_below: float = 1e-3, r
 
 
 def fdr_bh(df: DataFrame, p: str, by: str, out: str = "q_value") -> DataFrame:
-    """Benjamini-Hochberg q-values of ``p`` within each ``by``."""
-    order = Window.partitionBy(by).orderBy(p)
-    ranked = df.withColumn("rank__", F.rank().over(order) + F.count("*").over(Window.partitionBy(by, p)) - 1).withColumn("n__", F.count("*").over(Window.partitionBy(by)))
-    raw = F.col(p) * F.col("n__") / F.col("rank__")
-    least = F.min(raw).over(Window.partitionBy(by).orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn(out, F.least(least, F.lit(1.0))).drop("rank__", "n__")
+    """Benjamini-Hochberg q-values of ``p`` within each ``by``; null for a null p, which counts as no test.
+
+    Ranks are counts of the distinct p-values up to each, and the running minimum from above is
+    taken within ranges of p first (finer for small ones), then over the ranges' minima: no group is
+    sorted in one task.
+    """
+    place = lambda c: F.when(c >= 1e-3, F.floor(c * 1000)).when(c > 0, F.ceil(F.log2(c) * 16)).otherwise(-100_000).cast("long")
+    points = running_counts(df.select(by, p), by, p, {"n": F.count("*")}, at=place(F.col(p)))
+    raw = F.col(p) * F.col("n_all") / (F.col("n_before") + F.col("n"))
+    points = points.select(by, p, place(F.col(p)).alias("range__"), raw.alias("raw"))
+    least = points.groupBy(by, "range__").agg(F.min("raw").alias("raw"))
+    above = least.select(by, "range__", F.min("raw").over(Window.partitionBy(by).orderBy(F.desc("range__")).rowsBetween(Window.unboundedPreceding, -1)).alias("above"))
+    inner = points.withColumn("raw", F.min("raw").over(Window.partitionBy(by, "range__").orderBy(F.desc(p))))
+    q = inner.join(above, [by, "range__"]).select(by, p, F.least("raw", "above", F.lit(1.0)).alias(out))
+    return df.join(q, [by, p], "left").select(*df.columns, out)
 
 
 def top_matches(matches: DataFrame, n: int = 3) -> DataFrame:
@@ -198,10 +242,11 @@ def motif_similarity(queries: DataFrame, targets: DataFrame, min_overlap: int =
 
     Every query is laid over every target at each offset and both strands; the distance is the
     mean Euclidean distance of the columns laid over each other, with positions left
-    alone counted as columns laid over a uniform one. The best alignment is kept. The p-value is
-    the rank of its distance among all targets of the query, which stands in for the exact
-    distribution that a motif database tool would use. Catalogues are small, so the targets
-    are joined on nothing but bounded offsets.
+    alone counted as columns laid over a uniform one. The best alignment is kept. Its p-value is that of
+    an alignment null: a column's distances to the query's are like those to all columns of all
+    targets, so the sum over an overlap is taken as normal with the mean and variance of those, and
+    the least of as many alignments as were tried has p = 1 - (1 - p_one) ** tried. The product of the two
+    catalogues is the work asked for; each of its pairs has bounded offsets.
     """
     width = lambda df, name: df.groupBy(name).agg((F.max("pos") + 1).alias(f"{name}_width"))
     q = queries.select(F.col("motif").alias("query"), "pos", "base", "prob")
@@ -210,17 +255,21 @@ def motif_similarity(queries: DataFrame, targets: DataFrame, min_overlap: int =
     both = t.withColumn("strand", F.lit("+"))
     turned = t.join(t_width, "target").select("target", (F.col("target_width") - 1 - F.col("pos")).alias("pos"), F.translate("base", "ACGT", "TGCA").alias("base"), "prob").withColumn("strand", F.lit("-"))
     both = both.unionByName(turned)
-    laid = q_width.crossJoin(F.broadcast(t_width)).withColumn("offset", F.explode(F.sequence(min_overlap - F.col("query_width"), F.col("target_width") - min_overlap)))
+    laid = q_width.crossJoin(t_width).withColumn("offset", F.explode(F.sequence(min_overlap - F.col("query_width"), F.col("target_width") - min_overlap)))
     cells = laid.join(q, "query").withColumn("at", F.col("pos") + F.col("offset")).join(both.select("target", F.col("pos").alias("at"), "base", F.col("prob").alias("prob_t"), "strand"), ["target", "at", "base"])
     columns = cells.groupBy("query", "target", "offset", "strand", "at", "query_width", "target_width").agg(F.sqrt(F.sum(F.pow(F.col("prob") - F.col("prob_t"), 2))).alias("apart"))
+    # over all offsets each column of the query meets each column of the targets once a strand
+    null = columns.groupBy("query").agg(F.avg("apart").alias("mean"), F.var_pop("apart").alias("var"))
     flat = 0.866
     laid_out = columns.groupBy("query", "target", "offset", "strand", "query_width", "target_width").agg(F.sum("apart").alias("sum"), F.count("*").alias("overlap"))
     whole = F.greatest("query_width", "target_width")
     scored = laid_out.withColumn("distance", F.round((F.col("sum") + flat * (whole - F.col("overlap"))) / whole, 9))
-    best = scored.groupBy("query", "target").agg(F.min_by(F.struct("offset", "strand", "overlap", "distance"), F.struct("distance", -F.col("overlap"), "strand", "offset")).alias("best")).select("query", "target", "best.*")
-    own = Window.partitionBy("query")
-    ranked = best.withColumn("n", F.count("*").over(own)).withColumn("p_value", F.rank().over(own.orderBy("distance")) / (F.col("n") + 1))
-    return fdr_bh(ranked.withColumn("e_value", F.col("p_value") * F.col("n")), "p_value", "query").drop("n")
+    best = scored.groupBy("query", "target").agg(F.count("*").alias("tried"), F.min_by(F.struct("offset", "strand", "overlap", "distance", "sum"), F.struct("distance", -F.col("overlap"), "strand", "offset")).alias("best")).select("query", "target", "tried", "best.*")
+    z = (F.col("sum") - F.col("overlap") * F.col("mean")) / F.sqrt(F.greatest(F.col("overlap") * F.col("var"), F.lit(1e-12)))
+    one = F.when(z < 0, two_sided(z) / 2).otherwise(1 - two_sided(z) / 2)
+    counted = best.join(null, "query").withColumn("n", F.count("*").over(Window.partitionBy("query")))
+    ranked = counted.withColumn("p_value", -F.expm1(F.col("tried") * F.log1p(-F.least(one, F.lit(1 - 1e-15)))))
+    return fdr_bh(ranked.withColumn("e_value", F.col("p_value") * F.col("n")), "p_value", "query").drop("n", "tried", "mean", "var", "sum")
 
 
 def significant(df: DataFrame, column: str, most: float) -> DataFrame:

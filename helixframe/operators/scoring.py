@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.sequence import compare
+from helixframe.functions.sequence import Comparison, compare
 from helixframe.operators.expand import pattern_scan, saturation_mutants
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min}
+#: The name of an aggregate, or a function from a column to an aggregate of it.
+Aggregate = str | Callable[[Column], Column]
+
+
+def aggregate(how: Aggregate, value: Column) -> Column:
+    return how(value) if callable(how) else AGGREGATES[how](value)
 
 
 def linear_score(seq: Column, weights: dict[str, float]) -> Column:
@@ -50,35 +57,35 @@ def select_predictions(preds: DataFrame, tasks: Sequence[str] | None = None, exc
     return preds if positions is None else preds.filter(F.col("pos").isin(list(positions)))
 
 
-def aggregate_predictions(preds: DataFrame, keys: Sequence[str] = ("id",), length: str | None = "sum", task: str | None = "mean", weight: float = 1.0, **chosen) -> DataFrame:
+def aggregate_predictions(preds: DataFrame, keys: Sequence[str] = ("id",), length: Aggregate | None = "sum", task: Aggregate | None = "mean", weight: float = 1.0, **chosen) -> DataFrame:
     """Chosen tasks and positions put together over positions first, then over tasks."""
     made = select_predictions(preds, **chosen)
     held = [*keys, "task", "pos"]
     if length:
         held = [*keys, "task"]
-        made = made.groupBy(*held).agg(AGGREGATES[length](F.col("value")).alias("value"))
+        made = made.groupBy(*held).agg(aggregate(length, F.col("value")).alias("value"))
     if task:
         held = [c for c in held if c != "task"]
-        made = made.groupBy(*held).agg(AGGREGATES[task](F.col("value")).alias("value"))
+        made = made.groupBy(*held).agg(aggregate(task, F.col("value")).alias("value"))
     return made.select(*held, (F.col("value") * weight).alias("value"))
 
 
-def specificity(preds: DataFrame, on_tasks: Sequence[str], off_tasks: Sequence[str], on: str = "mean", off: str = "mean", off_weight: float = 1.0, off_thresh: float | None = None, positions: Sequence[int] | None = None, length: str = "sum", how: str = "divide") -> DataFrame:
+def specificity(preds: DataFrame, on_tasks: Sequence[str], off_tasks: Sequence[str], on: Aggregate = "mean", off: Aggregate = "mean", off_weight: float = 1.0, off_thresh: float | None = None, positions: Sequence[int] | None = None, length: Aggregate = "sum", how: Comparison = "divide") -> DataFrame:
     """(id, specificity): the on-tasks' value against the off-tasks', which counts times
     ``off_weight`` if it is above ``off_thresh``, or always if there is none. One pass."""
-    summed = select_predictions(preds, tasks=[*on_tasks, *off_tasks], positions=positions).groupBy("id", "task").agg(AGGREGATES[length](F.col("value")).alias("value"))
+    summed = select_predictions(preds, tasks=[*on_tasks, *off_tasks], positions=positions).groupBy("id", "task").agg(aggregate(length, F.col("value")).alias("value"))
     is_on, is_off = F.col("task").isin(list(on_tasks)), F.col("task").isin(list(off_tasks))
-    sides = summed.groupBy("id").agg(AGGREGATES[on](F.when(is_on, F.col("value"))).alias("on"), AGGREGATES[off](F.when(is_off, F.col("value"))).alias("off"))
+    sides = summed.groupBy("id").agg(aggregate(on, F.when(is_on, F.col("value"))).alias("on"), aggregate(off, F.when(is_off, F.col("value"))).alias("off"))
     weighed = F.col("off") * off_weight
     if off_thresh is not None:
         weighed = F.when(F.col("off") > off_thresh, weighed).otherwise(F.col("off"))
     return sides.select("id", compare(F.col("on"), weighed, how).alias("specificity"))
 
 
-def average_augmented(preds: DataFrame, keys: Sequence[str], length: int, how: str = "mean") -> DataFrame:
+def average_augmented(preds: DataFrame, keys: Sequence[str], length: Column | int, how: Aggregate = "mean") -> DataFrame:
     """Predictions of augmented copies (with ``rc``) turned back and put together."""
     turned = preds.withColumn("pos", F.when(F.col("rc"), length - 1 - F.col("pos")).otherwise(F.col("pos")))
-    return turned.groupBy(*keys, "task", "pos").agg(AGGREGATES[how](F.col("value")).alias("value"))
+    return turned.groupBy(*keys, "task", "pos").agg(aggregate(how, F.col("value")).alias("value"))
 
 
 def activation(preds: DataFrame, kind: str) -> DataFrame:
@@ -108,46 +115,78 @@ def task_lookup(preds: DataFrame, tasks: DataFrame, key: str = "task", names: Se
     return preds.join(tasks, "task")
 
 
-def allele_effects(preds: DataFrame, how: str = "divide", keys: Sequence[str] = ("id", "task")) -> DataFrame:
+def allele_effects(preds: DataFrame, how: Comparison = "divide", keys: Sequence[str] = ("id", "task")) -> DataFrame:
     """(…, effect): alternative against reference, from rows with ``allele_type``."""
     side = lambda s: F.max(F.when(F.col("allele_type") == s, F.col("value")))
     return preds.groupBy(*keys).agg(compare(side("alt"), side("ref"), how).alias("effect"))
 
 
+def two_sided(z: Column) -> Column:
+    """The two-sided normal p-value as an expression: the series of the error function for small values,
+    its continued fraction for larger ones; right to about 1e-12."""
+    x = F.abs(z) / F.lit(2.0**0.5)
+    series, fraction = F.lit(1.0), x
+    for n in range(40, 0, -1):
+        series = F.lit(1.0) + 2 * x * x / (2 * n + 1) * series
+        fraction = x + F.lit(n / 2) / fraction
+    near = 1 - F.lit(2 / math.pi**0.5) * F.exp(-x * x) * x * series
+    far = F.exp(-x * x) / F.lit(math.pi**0.5) / fraction
+    return F.when(x < 2.5, near).otherwise(far)
+
+
 def effect_zscores(effects: DataFrame, background: DataFrame) -> DataFrame:
     """``effects`` plus mean and population deviation of the background's effects (id, task, shuffle,
     effect), z, and the two-sided normal p-value."""
     stats = background.groupBy("id", "task").agg(F.avg("effect").alias("background_mean"), F.stddev_pop("effect").alias("background_sd"))
     z = (F.col("effect") - F.col("background_mean")) / F.nullif(F.col("background_sd"), F.lit(0.0))
 
-    @F.pandas_udf("double")
-    def two_sided(values: pd.Series) -> pd.Series:
-        from math import erfc, sqrt
-
-        return values.map(lambda v: None if pd.isna(v) else erfc(abs(v) / sqrt(2))).astype("float64")
+    return effects.join(stats, ["id", "task"], "left").withColumn("z", z).withColumn("p_value", two_sided(F.col("z")))
 
-    return effects.join(stats, ["id", "task"], "left").withColumn("z", z).withColumn("p_value", two_sided("z"))
 
-
-def background_effects(preds: DataFrame, variant: str, how: str = "subtract", keys: Sequence[str] = ("id", "shuffle", "task")) -> DataFrame:
+def background_effects(preds: DataFrame, variant: str, how: Comparison = "subtract", keys: Sequence[str] = ("id", "shuffle", "task")) -> DataFrame:
     """Rows that have ``variant`` (a pattern, a place) against the row of their keys that has none."""
     base = preds.filter(F.col(variant).isNull()).select(*keys, F.col("value").alias("base__"))
     return preds.filter(F.col(variant).isNotNull()).join(base, list(keys)).withColumn("effect", compare(F.col("value"), F.col("base__"), how)).drop("base__")
 
 
-def ism_scores(df: DataFrame, tasks: dict[str, dict[str, float]], how: str = "subtract", positions: Sequence[int] | None = None) -> DataFrame:
-    """(id, task, pos, base, effect): each substitution's score against the sequence's own. The own
-    score comes from the same row, so nothing is shuffled."""
-    own = F.map_from_entries(F.array(*[F.struct(F.lit(t), linear_score(F.col("seq"), w)) for t, w in tasks.items()]))
-    made = saturation_mutants(df.withColumn("own__", own), positions)
-    return score_linear(made, tasks).select("id", "task", "pos", "base", compare(F.col("value"), F.col("own__")[F.col("task")], how).alias("effect"))
+def substitution_scores(df: DataFrame, tasks: dict[str, dict[str, float]], positions: Sequence[int] | None = None, drop_ref: bool = False) -> DataFrame:
+    """(id, task, pos, base, own, value): each substitution's linear score and the sequence's own.
+
+    A substitution changes two base counts, so scores come from the counts of the sequence; no
+    mutated string is made. Sums run in the order of ``linear_score`` and give equal values.
+    """
+    size, bases = F.length("seq"), sorted({b for w in tasks.values() for b in w})
+    counted = df.withColumns({"size__": size, **{f"n__{b}": size - F.length(F.translate("seq", b, "")) for b in bases}})
+    places = F.transform(F.split("seq", ""), lambda x, i: F.struct(i.alias("pos"), x.alias("was")))
+    if positions is not None:
+        places = F.filter(places, lambda x: x["pos"].isin(list(positions)))
+    made = counted.filter("size__ > 0").select("id", "size__", *[f"n__{b}" for b in bases], F.explode(places).alias("x"), ).select("*", "x.pos", "x.was", F.explode(F.array(*map(F.lit, "ACGT"))).alias("base")).drop("x")
+    if drop_ref:
+        made = made.filter("base <> was")
+
+    def score(weights: dict[str, float], mutated: bool) -> Column:
+        parts = []
+        for b, w in sorted(weights.items()):
+            n = F.col(f"n__{b}")
+            if mutated:
+                n = n + (F.col("base") == b).cast("int") - (F.col("was") == b).cast("int")
+            parts.append(n * float(w))
+        return sum(parts[1:], parts[0]) / F.col("size__")
+
+    each = F.array(*[F.struct(F.lit(t).alias("task"), score(w, False).alias("own"), score(w, True).alias("value")) for t, w in tasks.items()])
+    return made.select("id", "pos", "base", F.explode(each).alias("s")).select("id", "s.task", "pos", "base", "s.own", "s.value")
+
+
+def ism_scores(df: DataFrame, tasks: dict[str, dict[str, float]], how: Comparison = "subtract", positions: Sequence[int] | None = None) -> DataFrame:
+    """(id, task, pos, base, effect): each substitution's score against the sequence's own. Nothing is
+    shuffled."""
+    return substitution_scores(df, tasks, positions).select("id", "task", "pos", "base", compare(F.col("value"), F.col("own"), how).alias("effect"))
 
 
 def ism_importance(df: DataFrame, tasks: dict[str, dict[str, float]]) -> DataFrame:
     """(id, task, pos, importance): mean of -log2(alt / ref) over the three other bases."""
-    own = F.map_from_entries(F.array(*[F.struct(F.lit(t), linear_score(F.col("seq"), w)) for t, w in tasks.items()]))
-    made = score_linear(saturation_mutants(df.withColumn("own__", own), drop_ref=True), tasks)
-    return made.groupBy("id", "task", "pos").agg(F.avg(-compare(F.col("value"), F.col("own__")[F.col("task")], "log2FC")).alias("importance"))
+    made = substitution_scores(df, tasks, drop_ref=True)
+    return made.groupBy("id", "task", "pos").agg(F.avg(-compare(F.col("value"), F.col("own"), "log2FC")).alias("importance"))
 
 
 def best_in_group(df: DataFrame, by: str = "start_seq", score: str = "total_score") -> DataFrame:
@@ -161,23 +200,26 @@ def score_improved(rounds: DataFrame) -> DataFrame:
     return rounds.withColumn("improved", F.coalesce(F.col("best") > F.lag("best").over(Window.orderBy("iter")), F.lit(True)))
 
 
-def evolve(seqs: DataFrame, weights: dict[str, float], method: str = "ism", patterns: Sequence[str] = (), max_iter: int = 10, positions: Sequence[int] | None = None) -> DataFrame:
+def evolve(seqs: DataFrame, scorer: dict[str, float] | Callable[[DataFrame], DataFrame], method: str = "ism", patterns: Sequence[str] = (), max_iter: int = 10, positions: Sequence[int] | None = None) -> DataFrame:
     """(iter, id, pos, allele, seq, total_score, best_in_iter): greedy design of each start sequence by
     the best single substitution (or written pattern) a round.
 
-    It ends when the best score of a round does not beat the last one's; that round is kept.
-    Rounds are checkpointed, and one number a round reaches the driver.
+    ``scorer`` is the weights of a linear scorer, or a function that adds ``total_score`` to rows
+    that have ``seq``: an expression over it, or a user's model (``with_scores``). It ends when the
+    best score of a round does not beat the last one's; that round is kept. Rounds are
+    checkpointed, and one number a round reaches the driver.
     """
-    total = linear_score(F.col("seq"), weights)
-    blank = {"pos": F.lit(-1), "allele": F.lit("")}
-    first = seqs.select("id", "seq").withColumns(blank).withColumn("total_score", total).withColumn("iter", F.lit(0)).withColumn("best_in_iter", F.lit(True))
+    score = scorer if callable(scorer) else lambda df: df.withColumn("total_score", linear_score(F.col("seq"), scorer))
+    first = score(seqs.select(F.lit(0).alias("iter"), "id", F.lit(-1).alias("pos"), F.lit("").alias("allele"), "seq"))
+    names = ["iter", "id", "pos", "allele", "seq", "total_score", "best_in_iter"]
+    first = first.withColumn("best_in_iter", F.lit(True)).select(*names)
     rounds, now, best = [first], first.select("id", "seq"), first.agg(F.max("total_score").alias("b")).first()["b"]
     sc = seqs.sparkSession.sparkContext
     for turn in range(1, max_iter + 1):
         made = saturation_mutants(now, positions, drop_ref=True).withColumnRenamed("base", "allele") if method == "ism" else pattern_scan(now, patterns, positions).withColumnRenamed("pattern", "allele")
-        scored = best_in_group(made.withColumn("total_score", total), "id").withColumn("iter", F.lit(turn))
+        scored = best_in_group(score(made), "id").withColumn("iter", F.lit(turn)).select(*names)
         scored = scored.checkpoint() if not sc._jsc.sc().getCheckpointDir().isEmpty() else scored.persist()
-        rounds.append(scored.select(*first.columns))
+        rounds.append(scored)
         top = scored.agg(F.max("total_score").alias("b")).first()["b"]
         if top is None or top <= best:
             break
@@ -188,6 +230,18 @@ def evolve(seqs: DataFrame, weights: dict[str, float], method: str = "ism", patt
     return out
 
 
+def with_scores(df: DataFrame, load: Callable[[], Callable[[list[str]], Sequence[float]]], out: str = "total_score") -> DataFrame:
+    """``df`` plus a user's model's score of each ``seq``; ``load`` runs once a task."""
+
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for seqs in batches:
+            yield pd.Series(model(seqs.tolist()), dtype="float64")
+
+    return df.withColumn(out, scored(F.col("seq")))
+
+
 def context_effect(preds: DataFrame) -> DataFrame:
     """(id, effect): mean of (wild type - mutant) / wild type over shuffles; rows (id, wt, mut)."""
     return preds.groupBy("id").agg(F.avg((F.col("wt") - F.col("mut")) / F.nullif(F.col("wt"), F.lit(0.0))).alias("effect"))

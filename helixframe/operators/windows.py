@@ -39,7 +39,7 @@ def coverage_windows(df: DataFrame, tracks: DataFrame, label_len: int, bin_size:
     without signal are 0."""
     bins = resize_intervals(df, label_len).withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(label_len // bin_size - 1))))
     tasks = tracks.select(F.col("track").alias("task")).distinct()  # one row a track
-    cells = bins.join(F.broadcast(tasks), F.lit(True)).select(F.struct("id", "task", "pos").alias("id"), F.to_json(F.struct("chrom", "task")).alias("chrom"), (F.col("start") + F.col("pos") * bin_size).alias("start"), (F.col("start") + (F.col("pos") + 1) * bin_size).alias("end"))
+    cells = bins.join(tasks, F.lit(True)).select(F.struct("id", "task", "pos").alias("id"), F.to_json(F.struct("chrom", "task")).alias("chrom"), (F.col("start") + F.col("pos") * bin_size).alias("start"), (F.col("start") + (F.col("pos") + 1) * bin_size).alias("end"))
     runs = tracks.withColumn("chrom", F.to_json(F.struct("chrom", F.col("track").alias("task"))))
     signal = coverage_over_intervals(cells, runs, how)
     return signal.select("id.id", "id.task", "id.pos", label_transform(F.col("value"), low, high, transform).alias("value"))

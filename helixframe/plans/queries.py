@@ -117,9 +117,9 @@ def selected_bins(spark, d):
     return I.selected_bins(T.intervals(spark, d), 5000)
 
 
-@query("tile_positions", "SELECT id, s AS tile_start, s-17 AS distance FROM sequences, generate_series(0, 30, 5) g(s) WHERE s+10 <= 17 OR s >= 23", "sequences")
+@query("tile_positions", "SELECT id, s AS tile_start, s-(length(seq)-6)//2 AS distance FROM sequences, generate_series(0, 400, 5) g(s) WHERE s <= length(seq)-10 AND (s+10 <= (length(seq)-6)//2 OR s >= (length(seq)-6)//2+6)", "sequences")
 def tile_positions(spark, d):
-    return I.tile_positions(T.sequences(spark, d), 40, 10, 5, 6).select("id", F.col("tile_start").cast("long").alias("tile_start"), F.col("distance").cast("long").alias("distance"))
+    return I.tile_positions(T.sequences(spark, d), F.length("seq"), 10, 5, 6).select("id", F.col("tile_start").cast("long").alias("tile_start"), F.col("distance").cast("long").alias("distance"))
 
 
 @query("split_by_chromosome", "SELECT id, CASE WHEN chrom='chr10' THEN 'val' WHEN chrom='chr11' THEN 'test' ELSE 'train' END AS split FROM intervals", "intervals")
@@ -154,32 +154,32 @@ def sequence_functions(spark, d):
 
 
 @query("sequence_resize", """SELECT id, CASE WHEN length(seq) < 100 THEN repeat('N', ((100-length(seq))//2)::int) || seq || repeat('N', (100-length(seq)-(100-length(seq))//2)::int)
- ELSE substring(seq, ((length(seq)-100)//2)+1, 100) END AS both_ends, substring(seq, length(seq)-39, 40) AS cut_left, seq || repeat('N', (200-length(seq))::int) AS padded FROM sequences""", "sequences")
+ ELSE substring(seq, ((length(seq)-100)//2)+1, 100) END AS both_ends, CASE WHEN length(seq) <= 40 THEN seq ELSE substring(seq, length(seq)-39, 40) END AS cut_left, seq || repeat('N', greatest(400-length(seq), 0)::int) AS padded FROM sequences""", "sequences")
 def sequence_resize(spark, d):
     seq = F.col("seq")
-    return T.sequences(spark, d).select("id", S.resize(seq, 100).alias("both_ends"), S.trim(seq, 40, "left").alias("cut_left"), S.pad(seq, 200, "right").alias("padded"))
+    return T.sequences(spark, d).select("id", S.resize(seq, 100).alias("both_ends"), S.trim(seq, 40, "left").alias("cut_left"), S.pad(seq, 400, "right").alias("padded"))
 
 
 @query("sequence_edits", """SELECT id, substring(seq,1,5) || 'TTT' || substring(seq,9) AS mutated, substring(seq,1,length(seq)//2) || 'CCC' || substring(seq,length(seq)//2+1) AS inserted,
- substring(seq,1,10) || substring(seq,14) || 'N' || 'N' || 'N' AS padded_deletion FROM sequences""", "sequences")
+ substring(seq,1,10) || substring(seq,14) || repeat('N', least(greatest(length(seq)-10, 0), 3)::int) AS padded_deletion FROM sequences""", "sequences")
 def sequence_edits(spark, d):
     seq = F.col("seq")
     return T.sequences(spark, d).select("id", S.mutate(seq, F.lit("TTT"), 5).alias("mutated"), S.insert(seq, F.lit("CCC")).alias("inserted"), S.delete(seq, 3, 10, True, "right").alias("padded_deletion"))
 
 
-@query("sequence_differences", "SELECT id, i-1 AS pos FROM sequences, generate_series(1, 200) g(i) WHERE i <= length(seq) AND substring(seq,i,1) <> substring(reverse(seq),i,1)", "sequences")
+@query("sequence_differences", "SELECT id, i-1 AS pos FROM sequences, generate_series(1, 400) g(i) WHERE i <= length(seq) AND substring(seq,i,1) <> substring(reverse(seq),i,1)", "sequences")
 def sequence_differences(spark, d):
     found = T.sequences(spark, d).select("id", F.explode(S.differences(F.col("seq"), F.reverse("seq"))).alias("pos"))
     return found.select("id", F.col("pos").cast("long").alias("pos"))
 
 
-@query("pattern_scores", """SELECT id, (SELECT count(*) FROM generate_series(1,200) g(i) WHERE substring(seq,i,2)='AA') * 1.0::double
- + (SELECT count(*) FROM generate_series(1,200) g(i) WHERE substring(seq,i,3)='TAT') * -0.5::double AS score FROM sequences""", "sequences")
+@query("pattern_scores", """SELECT id, (SELECT count(*) FROM generate_series(1,400) g(i) WHERE substring(seq,i,2)='AA') * 1.0::double
+ + (SELECT count(*) FROM generate_series(1,400) g(i) WHERE substring(seq,i,3)='TAT') * -0.5::double AS score FROM sequences""", "sequences")
 def pattern_scores(spark, d):
     return T.sequences(spark, d).select("id", S.pattern_score(F.col("seq"), ["AA", "TAT"], [1, -0.5]).alias("score"))
 
 
-@query("encoded_bases", "SELECT id, i-1 AS pos, strpos('ACGTN', substring(seq,i,1))-1 AS code FROM sequences, generate_series(1,200) g(i) WHERE i <= length(seq)", "sequences")
+@query("encoded_bases", "SELECT id, i-1 AS pos, strpos('ACGTN', substring(seq,i,1))-1 AS code FROM sequences, generate_series(1,400) g(i) WHERE i <= length(seq)", "sequences")
 def encoded_bases(spark, d):
     df = T.sequences(spark, d).select("id", F.posexplode(S.encode(F.col("seq"))).alias("pos", "code"))
     return df.select("id", F.col("pos").cast("long").alias("pos"), F.col("code").cast("long").alias("code"))
@@ -193,17 +193,17 @@ def equal_lengths(spark, d):
 
 # genome
 
-_WINDOWS = "SELECT id, (id*37)%(length(seq)-30) AS istart, seq FROM sequences"
+_WINDOWS = "SELECT id, (id*37)%(length(seq)-30) AS istart, seq FROM sequences WHERE length(seq) > 41"
 
 
 @query("window_sequences", f"SELECT id, CASE WHEN id%2=0 THEN reverse(translate(substring(seq,istart+1,25),'ACGTN','TGCAN')) ELSE substring(seq,istart+1,25) END AS seq FROM ({_WINDOWS})", "sequences")
 def window_sequences(spark, d):
-    seqs = T.sequences(spark, d)
+    seqs = _long(T.sequences(spark, d))
     chunks = genome.genome_chunks(seqs.select(F.concat(F.lit("doc"), "id").alias("name"), "seq"), T.CHUNK)
     return genome.intervals_to_sequences(T.windows(seqs), chunks, T.CHUNK)
 
 
-@query("genome_chunks", "SELECT 'doc' || id AS chrom, c AS chunk_id, substring(seq,c*16+1,16) AS bases FROM sequences, generate_series(0,12) g(c) WHERE c <= (length(seq)-1)//16", "sequences")
+@query("genome_chunks", "SELECT 'doc' || id AS chrom, c AS chunk_id, substring(seq,c*16+1,16) AS bases FROM sequences, generate_series(0,25) g(c) WHERE c <= (length(seq)-1)//16", "sequences")
 def genome_chunks(spark, d):
     chunks = genome.genome_chunks(T.sequences(spark, d).select(F.concat(F.lit("doc"), "id").alias("name"), "seq"), T.CHUNK)
     return chunks.withColumn("chunk_id", F.col("chunk_id").cast("long"))
@@ -286,7 +286,7 @@ def coverage_over_regions(spark, d):
     return coverage.coverage_over_intervals(T.blacklist(spark, d), runs)
 
 
-@query("binned_signal", "SELECT id, task, pos//8 AS pos, round(avg(v),6) AS value FROM (SELECT id, 'gc' AS task, i-1 AS pos, CASE WHEN substring(seq,i,1) IN ('G','C') THEN 1.0 ELSE 0.0 END::double AS v FROM sequences, generate_series(1,200) g(i) WHERE i <= length(seq)) GROUP BY id, task, pos//8", "sequences")
+@query("binned_signal", "SELECT id, task, pos//8 AS pos, round(avg(v),6) AS value FROM (SELECT id, 'gc' AS task, i-1 AS pos, CASE WHEN substring(seq,i,1) IN ('G','C') THEN 1.0 ELSE 0.0 END::double AS v FROM sequences, generate_series(1,400) g(i) WHERE i <= length(seq)) GROUP BY id, task, pos//8", "sequences")
 def binned_signal(spark, d):
     bases = T.sequences(spark, d).select("id", F.posexplode(S.encode(F.col("seq"))).alias("pos", "code"))
     signal = bases.select("id", F.lit("gc").alias("task"), "pos", F.col("code").isin(1, 2).cast("double").alias("value"))
@@ -336,9 +336,7 @@ def matrix_profile(spark, d):
 
 @query("dummies", "SELECT id, lang = c AS value, c AS class FROM sequences, (SELECT DISTINCT lang AS c FROM sequences)", "sequences")
 def dummies(spark, d):
-    seqs = T.sequences(spark, d)
-    classes = seqs.select(F.col("lang").alias("class")).distinct()  # one row a language
-    return seqs.select("id", "lang").join(F.broadcast(classes), F.lit(True)).select("id", (F.col("lang") == F.col("class")).alias("value"), "class")
+    return metrics.class_indicators(T.sequences(spark, d), "lang").select("id", "value", "class")
 
 
 @query("melted_scores", f"SELECT id, 't1' AS variable, round({_score_sql('seq', 't1')},6) AS value FROM sequences UNION ALL SELECT id, 't2', round({_score_sql('seq', 't2')},6) FROM sequences", "sequences")
@@ -350,28 +348,28 @@ def melted_scores(spark, d):
 # expansion
 
 
-@query("augmented", "SELECT id, s AS seq_shift, rc, CASE WHEN rc THEN reverse(translate(substring(seq,s+1,36),'ACGTN','TGCAN')) ELSE substring(seq,s+1,36) END AS seq FROM sequences, generate_series(0,2) g(s), (VALUES (false),(true)) v(rc)", "sequences")
+@query("augmented", "SELECT id, s AS seq_shift, rc, CASE WHEN rc THEN reverse(translate(substring(seq,s+1,length(seq)-2),'ACGTN','TGCAN')) ELSE substring(seq,s+1,length(seq)-2) END AS seq FROM sequences, generate_series(0,2) g(s), (VALUES (false),(true)) v(rc) WHERE length(seq) > 2", "sequences")
 def augmented(spark, d):
-    return expand.augment(T.sequences(spark, d).select("id", "seq"), 36, True, 1).select("id", F.col("seq_shift").cast("long").alias("seq_shift"), "rc", "seq")
+    return expand.augment(T.sequences(spark, d).select("id", "seq").filter(F.length("seq") > 2), F.length("seq") - 2, True, 1).select("id", F.col("seq_shift").cast("long").alias("seq_shift"), "rc", "seq")
 
 
-@query("ism_mutants", "SELECT id, p-1 AS pos, b AS base, substring(seq,1,p-1) || b || substring(seq,p+1) AS seq FROM sequences, generate_series(1,200) g(p), (VALUES ('A'),('C'),('G'),('T')) v(b) WHERE p <= length(seq) AND id % 50 IS NOT NULL AND b <> substring(seq,p,1)", "sequences")
+@query("ism_mutants", "SELECT id, p-1 AS pos, b AS base, substring(seq,1,p-1) || b || substring(seq,p+1) AS seq FROM sequences, generate_series(1,400) g(p), (VALUES ('A'),('C'),('G'),('T')) v(b) WHERE p <= length(seq) AND id % 50 IS NOT NULL AND b <> substring(seq,p,1)", "sequences")
 def ism_mutants(spark, d):
     return expand.saturation_mutants(T.sequences(spark, d).select("id", "seq"), drop_ref=True).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("ism_scores", f"""SELECT id, p-1 AS pos, b AS base, round({_score_sql("(substring(seq,1,p-1) || b || substring(seq,p+1))", 't1')} - {_score_sql('seq', 't1')}, 6) AS effect FROM sequences, generate_series(1,200) g(p), (VALUES ('A'),('C'),('G'),('T')) v(b) WHERE p <= length(seq)""", "sequences")
+@query("ism_scores", f"""SELECT id, p-1 AS pos, b AS base, round({_score_sql("(substring(seq,1,p-1) || b || substring(seq,p+1))", 't1')} - {_score_sql('seq', 't1')}, 6) AS effect FROM sequences, generate_series(1,400) g(p), (VALUES ('A'),('C'),('G'),('T')) v(b) WHERE p <= length(seq)""", "sequences")
 def ism_scores(spark, d):
     made = scoring.ism_scores(T.sequences(spark, d).select("id", "seq"), {"t1": TASKS["t1"]})
     return made.select("id", F.col("pos").cast("long").alias("pos"), "base", six("effect").alias("effect"))
 
 
-@query("pattern_scan", "SELECT id, p AS pos, x AS pattern, substring(seq,1,p) || x || substring(seq,p+length(x)+1) AS seq FROM sequences, generate_series(0,200) g(p), (VALUES ('CACGTG'),('TTT')) v(x) WHERE p <= length(seq)-6", "sequences")
+@query("pattern_scan", "SELECT id, p AS pos, x AS pattern, substring(seq,1,p) || x || substring(seq,p+length(x)+1) AS seq FROM sequences, generate_series(0,400) g(p), (VALUES ('CACGTG'),('TTT')) v(x) WHERE p <= length(seq)-6", "sequences")
 def pattern_scan(spark, d):
     return expand.pattern_scan(T.sequences(spark, d).select("id", "seq"), ["CACGTG", "TTT"]).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("dinucleotides_of_shuffles", """SELECT id, s AS shuffle, substring(seq,i,2) AS pair, count(*) AS n FROM sequences, generate_series(0,1) h(s), generate_series(1,199) g(i) WHERE i < length(seq) GROUP BY id, s, substring(seq,i,2)""", "sequences")
+@query("dinucleotides_of_shuffles", """SELECT id, s AS shuffle, substring(seq,i,2) AS pair, count(*) AS n FROM sequences, generate_series(0,1) h(s), generate_series(1,399) g(i) WHERE i < length(seq) GROUP BY id, s, substring(seq,i,2)""", "sequences")
 def dinucleotides_of_shuffles(spark, d):
     made = expand.dinuc_shuffle(T.sequences(spark, d).select("id", "seq"), 2, 5)
     pairs = F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - 1), lambda i: F.substring(F.col("seq"), i, F.lit(2)))).alias("pair")
@@ -379,10 +377,11 @@ def dinucleotides_of_shuffles(spark, d):
 
 
 @query("pattern_spacing", """SELECT id, tile_start, CASE WHEN tile_start IS NULL THEN f ELSE substring(f,1,tile_start) || 'TTT' || substring(f,tile_start+4) END AS seq FROM (
- SELECT id, substring(seq,1,18) || 'CCCC' || substring(seq,23,18) AS f FROM sequences), (SELECT NULL::bigint AS tile_start UNION ALL SELECT s FROM generate_series(0,37,3) g(s) WHERE s+3 <= 18 OR s >= 22)""", "sequences")
+ SELECT id, (length(seq)-4)//2 AS m, substring(seq,1,(length(seq)-4)//2) || 'CCCC' || substring(seq,(length(seq)-4)//2+5) AS f FROM sequences WHERE length(seq) >= 20),
+ (SELECT NULL::bigint AS tile_start UNION ALL SELECT s FROM generate_series(0,400,3) g(s)) WHERE tile_start IS NULL OR (tile_start <= length(f)-3 AND (tile_start+3 <= m OR tile_start >= m+4))""", "sequences")
 def pattern_spacing(spark, d):
-    seqs = T.sequences(spark, d).select("id", F.substring("seq", 1, 40).alias("seq"))
-    return expand.pattern_spacing(seqs, "CCCC", "TTT", 40, 3, 0).select("id", F.col("tile_start").cast("long").alias("tile_start"), "seq")
+    seqs = T.sequences(spark, d).select("id", "seq").filter(F.length("seq") >= 20)
+    return expand.pattern_spacing(seqs, "CCCC", "TTT", F.length("seq"), 3, 0).select("id", F.col("tile_start").cast("long").alias("tile_start"), "seq")
 
 
 @query("pattern_marginalized")
@@ -405,9 +404,9 @@ def variant_significance(spark, d):
 
 @query("tile_shuffle_effects")
 def tile_shuffle_effects(spark, d):
-    seqs = T.sequences(spark, d).select("id", F.substring("seq", 1, 40).alias("seq"))
+    seqs = T.sequences(spark, d).select("id", "seq")
     own = seqs.select("id", scoring.linear_score(F.col("seq"), TASKS["t1"]).alias("own"))
-    made = scoring.score_linear(expand.tile_shuffles(seqs, 10, 40, 5, 6, 2, 3), {"t1": TASKS["t1"]})
+    made = scoring.score_linear(expand.tile_shuffles(seqs, 50, F.length("seq"), 25, 6, 2, 3), {"t1": TASKS["t1"]})
     return made.join(own, "id").groupBy("id", "tile_start").agg(six(F.avg(F.col("value") - F.col("own"))).alias("effect"))
 
 
@@ -428,7 +427,7 @@ def gc_matched(spark, d):
 
 _ODDS = "SELECT motif, pos, base, log2((prob+0.0001)*4) AS score, '+' AS strand FROM motifs UNION ALL SELECT motif, 5-pos, translate(base,'ACGT','TGCA'), log2((prob+0.0001)*4), '-' FROM motifs"
 _HITS = f"""SELECT id, motif, strand, istart, round(sum(score),5) AS score FROM (
- SELECT s.id, o.motif, o.strand, i-1-o.pos AS istart, o.score, length(seq) AS n FROM sequences s, generate_series(1,200) g(i) JOIN ({_ODDS}) o ON o.base = substring(s.seq,i,1) WHERE i <= length(s.seq))
+ SELECT s.id, o.motif, o.strand, i-1-o.pos AS istart, o.score, length(seq) AS n FROM sequences s, generate_series(1,400) g(i) JOIN ({_ODDS}) o ON o.base = substring(s.seq,i,1) WHERE i <= length(s.seq))
  WHERE istart >= 0 AND istart + 6 <= n GROUP BY id, motif, strand, istart HAVING sum(score) > 7"""
 
 
@@ -457,7 +456,7 @@ def compared_motifs(spark, d):
     return _out(made).withColumns({c: six(c) for c in ("score_ref", "score_alt", "score_diff")})
 
 
-@query("site_attributions", f"SELECT id, motif, strand, cast(istart AS bigint) AS istart, round((SELECT sum(CASE substring(s.seq,cast(i AS bigint),1) WHEN 'G' THEN 2.0 WHEN 'C' THEN 1.0 ELSE 0.0 END) FROM generate_series(1,200) g(i) WHERE i > h.istart AND i <= h.istart+6)/24.0, 6)::double AS site_attr_score FROM ({_HITS}) h JOIN sequences s USING (id)", "sequences", "motifs")
+@query("site_attributions", f"SELECT id, motif, strand, cast(istart AS bigint) AS istart, round((SELECT sum(CASE substring(s.seq,cast(i AS bigint),1) WHEN 'G' THEN 2.0 WHEN 'C' THEN 1.0 ELSE 0.0 END) FROM generate_series(1,400) g(i) WHERE i > h.istart AND i <= h.istart+6)/24.0, 6)::double AS site_attr_score FROM ({_HITS}) h JOIN sequences s USING (id)", "sequences", "motifs")
 def site_attributions(spark, d):
     seqs = T.sequences(spark, d)
     sites = motifs.scan_motifs(seqs, T.motifs(spark), 1e-2).filter("score > 7")
@@ -485,8 +484,7 @@ _PR = """points AS (SELECT task, pred, sum(label) AS tp_own, count(*) AS n_own F
 @query("precision_recall_metrics", f""", {_PR} SELECT task, round(max(2*(tp/n)*(tp/pos)/((tp/n)+(tp/pos)+1e-20)),6) AS best_f1, round(sum(tp/n*tp_own/pos),6) AS average_precision,
  round(sum((n_own-tp_own)*(tp-tp_own+tp_own/2.0))/(max(pos)*sum(n_own-tp_own)),6)::double AS auroc FROM pr GROUP BY task""", "preds")
 def precision_recall_metrics(spark, d):
-    p = T.preds(spark, d)
-    return metrics.best_f1(p).join(metrics.average_precision(p), "task").join(metrics.auroc(p), "task").select("task", *[six(c).alias(c) for c in ("best_f1", "average_precision", "auroc")])
+    return metrics.curve_metrics(T.preds(spark, d)).select("task", *[six(c).alias(c) for c in ("best_f1", "average_precision", "auroc")])
 
 
 @query("calibration_curve", "SELECT task, cast(round_even(pred*10, 0) AS integer) AS tenth, round(avg(label),6) AS mean_label, count(*) AS n FROM preds GROUP BY ALL", "preds")
@@ -496,9 +494,8 @@ def calibration_curve(spark, d):
 
 @query("losses", "SELECT round(avg(exp(pred)-label*pred),6) AS poisson, round(avg((pred-label)*(pred-label)),6) AS mse, round(avg(label*ln(1+exp(-pred)) + (1-label)*ln(1+exp(pred))),6) AS bce FROM preds", "preds")
 def losses(spark, d):
-    p = T.preds(spark, d)
-    one = [metrics.evaluation_loss(p, k).select(six("loss").alias(k)) for k in ("poisson", "mse", "bce")]
-    return one[0].join(one[1], F.lit(True)).join(one[2], F.lit(True))  # three tables of one row
+    kinds = ("poisson", "mse", "bce")
+    return metrics.evaluation_losses(T.preds(spark, d), kinds).select(*[six(k).alias(k) for k in kinds])
 
 
 @query("prediction_distribution", "SELECT cast(least(floor(pred/0.05)+1, 21) AS bigint) AS bucket, count(*) AS n FROM preds GROUP BY 1", "preds")
@@ -512,12 +509,14 @@ def box_statistics(spark, d):
 
 
 def _dense(spark, d):
-    """Predictions of both tasks at eight places of each sequence: (id, task, pos, value)."""
-    parts = T.sequences(spark, d).select("id", F.posexplode(F.array(*[F.substring("seq", 5 * i + 1, 5) for i in range(8)])).alias("pos", "seq"))
-    return scoring.score_linear(parts, TASKS)
+    """Predictions of both tasks in the 5-letter places of each sequence: (id, task, pos, value, n), n places."""
+    n = F.ceil(F.length("seq") / 5)
+    parts = T.sequences(spark, d).select("id", n.alias("n"), "seq", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("pos"))
+    return scoring.score_linear(parts.withColumn("seq", F.substring(F.col("seq"), 5 * F.col("pos") + 1, F.lit(5))), TASKS)
 
 
-_DENSE = f"SELECT id, i AS pos, 't1' AS task, {_score_sql('substring(seq,5*i+1,5)', 't1')} AS value FROM sequences, generate_series(0,7) g(i) UNION ALL SELECT id, i, 't2', {_score_sql('substring(seq,5*i+1,5)', 't2')} FROM sequences, generate_series(0,7) g(i)"
+_PLACES = "SELECT id, i AS pos, (length(seq)+4)//5 AS n, substring(seq,5*i+1,5) AS p FROM sequences, generate_series(0,80) g(i) WHERE 5*i < length(seq)"
+_DENSE = f"SELECT id, pos, n, 't1' AS task, {_score_sql('p', 't1')} AS value FROM ({_PLACES}) UNION ALL SELECT id, pos, n, 't2', {_score_sql('p', 't2')} FROM ({_PLACES})"
 
 
 @query("aggregated_predictions", f"SELECT id, round(max(v)*-1,6) AS value FROM (SELECT id, task, sum(value) AS v FROM ({_DENSE}) WHERE pos IN (1,2,5) GROUP BY id, task) GROUP BY id", "sequences")
@@ -535,11 +534,11 @@ def softmax(spark, d):
     return scoring.activation(_dense(spark, d), "softmax").select("id", F.col("pos").cast("long").alias("pos"), "task", six("value").alias("value"))
 
 
-@query("averaged_strands", f"SELECT id, pos, task, round(avg(value),6) AS value FROM (SELECT id, pos, task, value FROM ({_DENSE}) UNION ALL SELECT id, 7-pos, task, value+1 FROM ({_DENSE})) GROUP BY id, pos, task", "sequences")
+@query("averaged_strands", f"SELECT id, pos, task, round(avg(value),6) AS value FROM (SELECT id, pos, task, value FROM ({_DENSE}) UNION ALL SELECT id, n-1-pos, task, value+1 FROM ({_DENSE})) GROUP BY id, pos, task", "sequences")
 def averaged_strands(spark, d):
     p = _dense(spark, d)
     both = p.withColumn("rc", F.lit(False)).unionByName(p.withColumn("value", F.col("value") + 1).withColumn("rc", F.lit(True)))
-    return scoring.average_augmented(both, ["id"], 8).select("id", F.col("pos").cast("long").alias("pos"), "task", six("value").alias("value"))
+    return scoring.average_augmented(both, ["id"], F.col("n")).select("id", F.col("pos").cast("long").alias("pos"), "task", six("value").alias("value"))
 
 
 @query("effects_by_position", f"SELECT pos, round(avg(value),6) AS mean, round(stddev_pop(value)/sqrt(count(*)),6) AS sem, count(*) AS n FROM ({_DENSE}) WHERE task='t1' GROUP BY pos", "sequences")
@@ -578,7 +577,7 @@ def specific_ids(spark, d):
 
 @query("evolved")
 def evolved(spark, d):
-    seqs = T.sequences(spark, d).select("id", F.substring("seq", 1, 20).alias("seq"))
+    seqs = T.sequences(spark, d).select("id", "seq")
     made = scoring.evolve(seqs, TASKS["t1"], max_iter=2).filter("best_in_iter")
     return made.select("iter", "id", "pos", "allele", "seq", six("total_score").alias("total_score"))
 
@@ -614,11 +613,11 @@ def looked_up_tasks(spark, d):
     return scoring.task_lookup(p, names, names=["t2"], invert=True).select("id", F.col("pos").cast("long").alias("pos"), "task", "name", six("value").alias("value"))
 
 
-@query("poisson_multinomial", f"""SELECT round(avg((tp - ty*ln(tp))/8 - (y+1e-7)*ln((v+1e-7)/tp)), 5) AS loss FROM (
- SELECT value AS v, pos AS y, sum(value+1e-7) OVER (PARTITION BY id, task) AS tp, sum(pos+1e-7) OVER (PARTITION BY id, task) AS ty FROM ({_DENSE}))""", "sequences")
+@query("poisson_multinomial", f"""SELECT round(avg((tp - ty*ln(tp))/n - (y+1e-7)*ln((v+1e-7)/tp)), 4) AS loss FROM (
+ SELECT value AS v, pos AS y, n, sum(value+1e-7) OVER (PARTITION BY id, task) AS tp, sum(pos+1e-7) OVER (PARTITION BY id, task) AS ty FROM ({_DENSE}))""", "sequences")
 def poisson_multinomial(spark, d):
-    p = _dense(spark, d).select("id", "task", "pos", F.col("value").alias("pred"), F.col("pos").alias("label"))
-    return metrics.poisson_multinomial_loss(p, 8).select(F.round("loss", 5).alias("loss"))
+    p = _dense(spark, d).select("id", "task", "pos", "n", F.col("value").alias("pred"), F.col("pos").alias("label"))
+    return metrics.poisson_multinomial_loss(p, F.col("n")).select(F.round("loss", 4).alias("loss"))
 
 
 @query("gc_match_table", """SELECT kind, b AS bin, round(count(id)/max(n)::double, 6) AS n FROM (VALUES ('positive'),('negative')) k(kind) CROSS JOIN range(0,10) r(b)

@@ -12,6 +12,9 @@ MOTIFS = {
 }
 SIZE = 1_002_000
 CHUNK = 16
+#: Letters of a sequence: a text's letters are cut into so many, and the last piece takes the rest of fewer than
+#: as many more, so that no letter is left out.
+TILE = 200
 
 SQL = {
     "intervals": """SELECT l_orderkey*10+l_linenumber AS id, concat('chr', cast(s%22+1 AS varchar(9))) AS chrom,
@@ -21,8 +24,9 @@ SQL = {
  min(cast(l_quantity AS bigint)) AS q, min(l_returnflag) AS f FROM lineitem GROUP BY l_orderkey, l_linenumber) t""",
     "blacklist": """SELECT s_suppkey AS id, concat('chr', cast((s_suppkey*7)%22+1 AS varchar(9))) AS chrom,
  (s_suppkey*79190+4000)%900000 AS istart, (s_suppkey*79190+4000)%900000+3000+(s_suppkey%5)*1000 AS iend FROM supplier""",
-    "sequences": """SELECT doc_id AS id, substring(regexp_replace(upper(text),'[^ACGT]','','g'),1,200) AS seq, lang
- FROM documents WHERE length(regexp_replace(upper(text),'[^ACGT]','','g')) >= 40""",
+    "sequences": """SELECT doc_id*1000000+t AS id, CASE WHEN t = n-1 THEN substring(s, t*200+1) ELSE substring(s, t*200+1, 200) END AS seq, lang
+ FROM (SELECT doc_id, lang, s, greatest(length(s)//200, 1) AS n FROM (SELECT doc_id, lang, regexp_replace(upper(text),'[^ACGT]','','g') AS s FROM documents) WHERE length(s) > 0),
+ generate_series(0, 100000) g(t) WHERE t < n""",
     "matrix": "SELECT l_suppkey AS obs, l_partkey AS var, cast(sum(l_quantity) AS double) AS value FROM lineitem GROUP BY l_suppkey, l_partkey",
     "variants": """SELECT p_partkey AS id, concat('chr', cast(p_partkey%22+1 AS varchar(9))) AS chrom,
  (p_partkey*15485863)%1000000+1 AS pos, substring('ACGTN', cast(p_size%5+1 AS int), 1) AS ref,
@@ -50,7 +54,13 @@ def blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "sequences", "documents")
+    """(id, seq, lang): all letters A, C, G, T of each text in pieces of 200 to 399 (a shorter text in one)."""
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("s")).filter("s <> ''")
+    n = F.greatest(F.floor(F.length("s") / TILE), F.lit(1))
+    last, at = F.col("t") == n - 1, (F.col("t") * TILE + 1).cast("int")
+    pieces = texts.withColumn("t", F.explode(F.sequence(F.lit(0), (n - 1).cast("long"))))
+    size = F.when(last, F.length("s")).otherwise(F.lit(TILE))
+    return pieces.select((F.col("doc_id") * 1_000_000 + F.col("t")).alias("id"), F.substring(F.col("s"), at, size).alias("seq"), "lang")
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
