@@ -10,6 +10,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,10 +145,19 @@ def _train(own: np.ndarray, at: np.ndarray, x: np.ndarray, target: np.ndarray, r
     i says that row ``own[i]`` has weight ``x[i]`` in bucket ``at[i]``."""
     n = len(target)
     weights, seen = np.zeros(1 << BITS), np.full(1 << BITS, 1e-8)
+    # rows a slice at a time, so that no array is as long as all entries
+    ends = np.searchsorted(own, np.arange(0, n + 500, 500))
     for _ in range(rounds):
-        score = np.bincount(own, weights[at] * x, n) + weights[0]
-        error = 1 / (1 + np.exp(-score)) - target
-        gradient = np.bincount(at, error[own] * x, 1 << BITS) / n + decay * weights
+        error, gradient = np.zeros(n), decay * weights
+        for a, b in zip(ends[:-1], ends[1:]):
+            if a == b:
+                continue
+            row, bucket, value = own[a:b], at[a:b], x[a:b]
+            low = row[0]
+            rows = slice(low, row[-1] + 1)
+            score = np.bincount(row - low, weights[bucket] * value) + weights[0]
+            error[rows] = 1 / (1 + np.exp(-score)) - target[rows]
+            gradient += np.bincount(bucket, error[row] * value, 1 << BITS) / n
         gradient[0] += error.mean()
         seen += gradient**2
         weights -= 0.5 * gradient / np.sqrt(seen)
@@ -167,15 +177,19 @@ def fit_scorer(docs: DataFrame, model: Accuracies, text: str = "text", key: str
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [features(t) for t in frame["text"]]
-            yield pd.DataFrame({"at": [a.astype("int32").tobytes() for a, _ in found], "x": [v.astype("float32").tobytes() for _, v in found], "votes": [np.asarray(v, "int8").tobytes() for v in frame["votes"]]})
+            yield pd.DataFrame({"at": [a.astype("uint16").tobytes() for a, _ in found], "x": [v.astype("float32").tobytes() for _, v in found], "votes": [np.asarray(v, "int8").tobytes() for v in frame["votes"]]})
 
-    got = wanted.mapInPandas(hashed, "at binary, x binary, votes binary").limit(2 * sample_rows).toPandas()
-    if got.empty:
+    got = wanted.mapInPandas(hashed, "at binary, x binary, votes binary").limit(2 * sample_rows).toArrow()
+    if not got.num_rows:
         return np.zeros(1 << BITS)
-    votes = np.frombuffer(b"".join(got["votes"]), "int8").reshape(len(got), -1)
-    at, x = np.frombuffer(b"".join(got["at"]), "int32"), np.frombuffer(b"".join(got["x"]), "float32")
-    own = np.repeat(np.arange(len(got), dtype="int32"), got["at"].map(len).to_numpy() // 4)
-    return _train(own, at, x, model.posterior(votes.astype("int64")))
+    flat = lambda name, kind: np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in got[name]])
+    own = np.repeat(np.arange(got.num_rows), [len(v.as_buffer()) // 2 for v in got["at"]])
+    votes = flat("votes", "int8").reshape(got.num_rows, -1).astype("int64")
+    at, x = flat("at", "uint16"), flat("x", "float32")
+    del got
+    weights = _train(own, at, x, model.posterior(votes))
+    pa.default_memory_pool().release_unused()
+    return weights
 
 
 def classify(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.5, **bounds: int) -> DataFrame:
