@@ -22,9 +22,16 @@ def log_odds(motifs: DataFrame) -> DataFrame:
     return motifs.select("motif", "pos", "base", F.log2((F.col("prob") + EPS) * 4).alias("score"))
 
 
-def consensus(motifs: DataFrame) -> DataFrame:
-    """(motif, seq): the likeliest base at each position, the first one of equals."""
-    best = motifs.groupBy("motif", "pos").agg(F.max_by("base", F.struct("prob", -F.ascii("base"))).alias("base"))
+def consensus(motifs: DataFrame, seed: int | None = None) -> DataFrame:
+    """(motif, seq): the likeliest base at each position, the first one of equals; with a seed, a base drawn
+    by its probability."""
+    if seed is None:
+        best = motifs.groupBy("motif", "pos").agg(F.max_by("base", F.struct("prob", -F.ascii("base"))).alias("base"))
+    else:
+        draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "motif", "pos"), 11) / F.lit(float(1 << 53))
+        upto = F.sum("prob").over(Window.partitionBy("motif", "pos").orderBy("base").rowsBetween(Window.unboundedPreceding, 0))
+        whole = F.sum("prob").over(Window.partitionBy("motif", "pos"))
+        best = motifs.withColumn("upto", upto / whole).filter(draw < F.col("upto")).groupBy("motif", "pos").agg(F.min("base").alias("base"))
     return best.groupBy("motif").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"]), "").alias("seq"))
 
 
@@ -213,6 +220,11 @@ def compare_motifs(pairs: DataFrame, motifs: DataFrame, p_below: float = 1e-3, r
     return out.filter(F.abs(F.col("score_ref") - F.col("score_alt")) > 1e-9).withColumn("score_diff", F.col("score_alt") - F.col("score_ref"))
 
 
+def by_difference(compared: DataFrame) -> DataFrame:
+    """Compared hits in ascending order of their score difference (then by their keys)."""
+    return compared.orderBy("score_diff", "id", "motif", "start", "strand")
+
+
 def fdr_bh(df: DataFrame, p: str, by: str, out: str = "q_value") -> DataFrame:
     """Benjamini-Hochberg q-values of ``p`` within each ``by``; null for a null p, which counts as no test.
 

@@ -23,7 +23,7 @@ def aggregate(how: Aggregate, value: Column) -> Column:
 
 def linear_score(seq: Column, weights: dict[str, float]) -> Column:
     """Mean of the weights of a string's bases; other letters weigh 0."""
-    sums = [(F.length(seq) - F.length(F.translate(seq, base, ""))) * float(w) for base, w in sorted(weights.items())]
+    sums = [(F.length(seq) - F.length(F.replace(seq, F.lit(base), F.lit("")))) * float(w) for base, w in sorted(weights.items())]
     return sum(sums[1:], sums[0]) / F.nullif(F.length(seq), F.lit(0))
 
 
@@ -156,7 +156,7 @@ def substitution_scores(df: DataFrame, tasks: dict[str, dict[str, float]], posit
     mutated string is made. Sums run in the order of ``linear_score`` and give equal values.
     """
     size, bases = F.length("seq"), sorted({b for w in tasks.values() for b in w})
-    counted = df.withColumns({"size__": size, **{f"n__{b}": size - F.length(F.translate("seq", b, "")) for b in bases}})
+    counted = df.withColumns({"size__": size, **{f"n__{b}": size - F.length(F.replace(F.col("seq"), F.lit(b), F.lit(""))) for b in bases}})
     places = F.transform(F.split("seq", ""), lambda x, i: F.struct(i.alias("pos"), x.alias("was")))
     if positions is not None:
         places = F.filter(places, lambda x: x["pos"].isin(list(positions)))

@@ -38,6 +38,15 @@ def split_variant_string(df: DataFrame, column: str, every: bool = False) -> Dat
     return df.withColumn("ref", F.get(parts, F.lit(0))).withColumn("alt", F.explode(alts) if every else F.get(alts, F.lit(0)))
 
 
+def augmented_alleles(df: DataFrame, chunks: DataFrame, seq_len: int, chunk: int = 4096, rc: bool = True, max_shift: int = 0) -> DataFrame:
+    """(id, allele_type, seq_shift, rc, seq): ``variant_alleles`` moved by up to ``max_shift`` letters to either
+    side and turned round, for effects averaged over both."""
+    from helixframe.operators.expand import augment
+
+    made = augment(variant_alleles(df, chunks, seq_len + 2 * max_shift, chunk), seq_len, rc, max_shift)
+    return made.select("id", "allele_type", "seq_shift", "rc", "seq")
+
+
 def variant_alleles(df: DataFrame, chunks: DataFrame, seq_len: int, chunk: int = 4096) -> DataFrame:
     """(id, allele_type, seq): each variant's window with its reference and its alternative
     allele in the middle. Indels must have been filtered out."""

@@ -371,7 +371,7 @@ def pattern_scan(spark, d):
 
 @query("dinucleotides_of_shuffles", """SELECT id, s AS shuffle, substring(seq,i,2) AS pair, count(*) AS n FROM sequences, generate_series(0,1) h(s), generate_series(1,399) g(i) WHERE i < length(seq) GROUP BY id, s, substring(seq,i,2)""", "sequences")
 def dinucleotides_of_shuffles(spark, d):
-    made = expand.dinuc_shuffle(T.sequences(spark, d).select("id", "seq"), 2, 5)
+    made = expand.dinuc_shuffle(T.sequences(spark, d).select("id", "seq").filter(F.length("seq") > 1), 2, 5)
     pairs = F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - 1), lambda i: F.substring(F.col("seq"), i, F.lit(2)))).alias("pair")
     return made.select("id", F.col("shuffle").cast("long").alias("shuffle"), pairs).groupBy("id", "shuffle", "pair").agg(F.count("*").alias("n"))
 
@@ -577,7 +577,7 @@ def specific_ids(spark, d):
 
 @query("evolved")
 def evolved(spark, d):
-    seqs = T.sequences(spark, d).select("id", "seq")
+    seqs = _long(T.sequences(spark, d)).select("id", "seq")
     made = scoring.evolve(seqs, TASKS["t1"], max_iter=2).filter("best_in_iter")
     return made.select("iter", "id", "pos", "allele", "seq", six("total_score").alias("total_score"))
 

@@ -25,10 +25,13 @@ def read_narrowpeak(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(name, seq), plain or gzip; the name is what stands before the first space."""
-    records = spark.read.option("lineSep", ">").text(path).filter(F.trim("value") != "")
-    head = F.substring_index("value", "\n", 1)
-    body = F.substring(F.col("value"), F.length(head) + 1, F.length("value"))
+    """(name, seq), plain or gzip; the name is what stands before the first space of a line that
+    begins with ">". Such signs elsewhere in a line are part of it. A record, as a chromosome, is one row."""
+    records = spark.read.option("lineSep", "\n>").text(path).filter(F.trim("value") != "")
+    # only the file's first record still has its sign
+    own = F.regexp_replace("value", r"^\s*>", "")
+    head = F.substring_index(own, "\n", 1)
+    body = F.substring(own, F.length(head) + 1, F.length(own))
     return records.select(F.trim(F.regexp_replace(F.split(head, r"\s+")[0], "\r", "")).alias("name"), F.regexp_replace(body, r"\s+", "").alias("seq"))
 
 
@@ -36,6 +39,14 @@ def read_sizes(spark: SparkSession, path: str) -> DataFrame:
     return _tab(spark, path, schema="chrom string, size long")
 
 
+def load_blacklist(spark: SparkSession, genome: str, folder: str) -> DataFrame:
+    """The blacklist of a genome by its name: the file ``<genome>-blacklist*.bed`` (or gzip) of a folder of
+    public BED files; an unknown genome is refused by the reader, as no file is found."""
+    if not genome.replace("_", "").replace(".", "").isalnum():
+        raise ValueError("a genome's name has letters, digits, dots and underscores only")
+    return read_bed(spark, f"{folder.rstrip('/')}/{genome}-blacklist*.bed*")
+
+
 def read_gtf(spark: SparkSession, path: str, features: list[str] | None = None) -> DataFrame:
     """chrom, start (0-based), end, strand, feature, source, gene_name, gene_id, attributes."""
     raw = _tab(spark, path, schema="chrom string, source string, feature string, first long, end long, score string, strand string, frame string, attributes string", comment="#", quote="")
@@ -45,9 +56,12 @@ def read_gtf(spark: SparkSession, path: str, features: list[str] | None = None)
     return raw.select("chrom", (F.col("first") - 1).alias("start"), "end", "strand", "feature", "source", of("gene_name").alias("gene_name"), of("gene_id").alias("gene_id"), "attributes")
 
 
-def read_meme(spark: SparkSession, path: str) -> DataFrame:
-    """(motif, pos, base, prob) of a MEME file; the motif's name is all that its line says."""
+def read_meme(spark: SparkSession, path: str, n_motifs: int | None = None) -> DataFrame:
+    """(motif, pos, base, prob) of a MEME file, of its first ``n_motifs`` if asked; the motif's name is
+    all that its line says."""
     whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"(?m)^MOTIF\s+")).alias("i", "body")).filter("i > 0")
+    if n_motifs is not None:
+        whole = whole.filter(F.col("i") <= n_motifs)
     named = whole.select(F.trim(F.substring_index("body", "\n", 1)).alias("motif"), F.split(F.regexp_extract("body", r"letter-probability matrix[^\n]*\n((?:\s*[0-9.eE+-]+[ \t]+[0-9.eE+-]+[ \t]+[0-9.eE+-]+[ \t]+[0-9.eE+-]+[ \t\r]*\n?)+)", 1), "\n").alias("lines"))
     rows = named.select("motif", F.posexplode(F.filter("lines", lambda x: F.trim(x) != "")).alias("pos", "line"))
     cells = rows.select("motif", "pos", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("at", "prob"))
