@@ -192,3 +192,56 @@ def test_predictions(spark):
         return lambda texts: pd.DataFrame({"row": range(len(texts)), "task": "n", "value": [float(len(t)) for t in texts]})
 
     assert rows(scoring.score_sequences(seqs, load), "id") == [(1, "n", 3.0), (2, "n", 3.0)]
+
+
+def test_quantiles_and_q_values_match_plain_python(spark):
+    rng = random.Random(4)
+    data = [(g, rng.choice([0.5, rng.random(), rng.random() ** 9])) for g in "ab" for _ in range(150)] + [("one", 0.25)]
+    df = spark.createDataFrame(data, "g string, p double")
+    box = {r["g"]: r for r in metrics.box_statistics(df, "p", "g").collect()}
+    for g in ("a", "b", "one"):
+        own = sorted(p for k, p in data if k == g)
+        for name, share in (("low", 0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("high", 1)):
+            at = (len(own) - 1) * share
+            low, high = own[math.floor(at)], own[math.ceil(at)]
+            assert box[g][name] == pytest.approx(low + (high - low) * (at - math.floor(at)))
+    got = sorted((r["g"], r["p"], r["q_value"]) for r in motifs.fdr_bh(df, "p", "g").collect())
+    want = []
+    for g in ("a", "b", "one"):
+        own = sorted(p for k, p in data if k == g)
+        raw = {p: p * len(own) / sum(x <= p for x in own) for p in own}
+        want += [(g, p, min(1.0, min(v for k, v in raw.items() if k >= p))) for p in own]
+    assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want])
+
+
+def test_normal_tail_and_t_quantiles(spark):
+    z = [0.0, 0.3, -1.0, 1.96, 3.4, 3.6, 6.0, -9.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in z], "z double").select(scoring.two_sided(F.col("z"))).collect()]
+    assert got == pytest.approx([math.erfc(abs(x) / math.sqrt(2)) for x in z], rel=1e-9)
+    assert one(spark, *[metrics.t_quantile(F.lit(n)) for n in (0, 1, 6, 7, 10, 30, 1000)]) == [None, *map(lambda x: pytest.approx(x, abs=1e-3), (12.7062, 2.4469, 2.3646, 2.2281, 2.0423, 1.9623))]
+
+
+def test_user_functions(spark):
+    p = spark.createDataFrame([(1, "a", 1, 2.0), (1, "a", 2, 5.0), (1, "b", 1, 1.0)], "id long, task string, pos int, value double")
+    assert scoring.aggregate_predictions(p, length=lambda v: F.max(v) - F.min(v), task="sum").first()["value"] == 3.0
+    assert one(spark, S.compare(F.lit(2.0), F.lit(3.0), lambda a, b: a * b), S.label_transform(F.lit(4.0), how=F.sqrt)) == [6.0, 2.0]
+    seqs = spark.createDataFrame([(1, "AAA")], "id long, seq string")
+    model = lambda df: scoring.with_scores(df, lambda: lambda texts: [float(t.count("G")) for t in texts])
+    best = scoring.evolve(seqs, model, max_iter=2).filter("best_in_iter").orderBy("iter").collect()
+    assert [(r["seq"], r["total_score"]) for r in best] == [("AAA", 0.0), ("GAA", 1.0), ("GGA", 2.0)]
+
+
+def test_substitutions_score_as_whole_strings(spark):
+    seqs = spark.createDataFrame([(1, "ACGTNA"), (2, ""), (3, "T")], "id long, seq string")
+    tasks = {"t": {"A": 0.3, "C": 1.1, "G": -2.0, "T": 0.7}}
+    got = {(r["id"], r["pos"], r["base"]): r["value"] for r in scoring.substitution_scores(seqs, tasks).collect()}
+    made = expand.saturation_mutants(seqs.filter("seq <> ''")).withColumn("v", scoring.linear_score(F.col("seq"), tasks["t"]))
+    assert got == {(r["id"], r["pos"], r["base"]): r["v"] for r in made.collect()} and len(got) == 28
+
+
+def test_drawn_consensus_and_order(spark):
+    m = spark.createDataFrame([("m", p, b, x) for p in range(40) for b, x in zip("ACGT", (0.5, 0.5, 0.0, 0.0))], "motif string, pos int, base string, prob double")
+    seq = motifs.consensus(m, seed=1).first()["seq"]
+    assert len(seq) == 40 and set(seq) == {"A", "C"} and motifs.consensus(m, seed=2).first()["seq"] != seq
+    made = spark.createDataFrame([(1, "m", 0, 2, "+", 3.0), (2, "m", 0, 2, "+", -1.0)], "id long, motif string, start long, end long, strand string, score_diff double")
+    assert [r["id"] for r in motifs.by_difference(made).collect()] == [2, 1]
