@@ -80,31 +80,32 @@ def _moments(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def _inverted(out: DataFrame) -> DataFrame:
-    """Adds the inverse k of the Cholesky factor of the covariance c, and the logarithm of its
-    determinant. Narrow: one row a group, so the many columns cost nothing."""
-    p, made = len(FEATURES), []
-    less = lambda terms: "".join(f" - {t}" for t in terms)
-    # the factor l, then its inverse k, row by row; each column may use the ones before it
-    for i in range(p):
-        for j in range(i + 1):
-            left = f"(c{i}_{j}{less(f'l{i}_{k} * l{j}_{k}' for k in range(j))})"
-            made.append(f"sqrt({left}) AS l{i}_{j}" if i == j else f"{left} / l{j}_{j} AS l{i}_{j}")
-    for i in range(p):
-        made.append(f"1 / l{i}_{i} AS k{i}_{i}")
-        for j in range(i):
-            made.append(f"(0D{less(f'l{i}_{k} * k{k}_{j}' for k in range(j, i))}) / l{i}_{i} AS k{i}_{j}")
-    det = " + ".join(f"2 * ln(l{i}_{i})" for i in range(p))
-    whole = out.selectExpr("*", *made, f"{det} AS log_det")
-    return whole.drop(*[f"l{i}_{j}" for i, j in _pairs()])
+    """Adds the inverse k of the covariance c, and the logarithm of its determinant, by sweeping the matrix
+    on each of its diagonal elements in turn. Narrow: one row a group."""
+    p = len(FEATURES)
+    whole = F.array(*[F.array(*[F.col(f"c{max(i, j)}_{min(i, j)}") for j in range(p)]) for i in range(p)])
+
+    def sweep(state: Column, k: Column) -> Column:
+        pivot = F.get(F.get(state["m"], k), k)
+
+        def cell(row: Column, i: Column):
+            other = lambda v, j: v - F.get(row, k) * F.get(F.get(state["m"], k), j) / pivot
+            return lambda v, j: F.when((i == k) & (j == k), -1 / pivot).when((i == k) | (j == k), v / pivot).otherwise(other(v, j))
+
+        swept = F.transform(state["m"], lambda row, i: F.transform(row, cell(row, i)))
+        return F.struct(swept.alias("m"), (state["log_det"] + F.log(pivot)).alias("log_det"))
+
+    state = F.aggregate(F.sequence(F.lit(0), F.lit(p - 1)), F.struct(whole.alias("m"), F.lit(0.0).alias("log_det")), sweep)
+    made = out.withColumn("state__", state)
+    return made.selectExpr("*", *[f"-state__.m[{i}][{j}] AS k{i}_{j}" for i, j in _pairs()], "state__.log_det AS log_det").drop("state__")
 
 
 def _distance() -> Column:
     """Squared Mahalanobis distance from the columns x, m and k."""
-    parts = [f"pow({' + '.join(f'k{i}_{j} * (x{j} - m{j})' for j in range(i + 1))}, 2)" for i in range(len(FEATURES))]
-    return F.expr(" + ".join(parts))
+    return F.expr(" + ".join(f"{1 if i == j else 2} * k{i}_{j} * (x{i} - m{i}) * (x{j} - m{j})" for i, j in _pairs()))
 
 
-def mcd(rows: DataFrame, store: Scratch, most_steps: int = 12, settled: float = 1e-6) -> DataFrame:
+def mcd(rows: DataFrame, store: Scratch, most_steps: int = 12, settled: float = 1e-4) -> DataFrame:
     """(g, n, m, c, log_det) from (g, x): the minimum-covariance-determinant estimate of each group.
 
     Two starts, one from medians and one from all rows of the group, are improved by
@@ -116,23 +117,27 @@ def mcd(rows: DataFrame, store: Scratch, most_steps: int = 12, settled: float =
     """
     p = len(FEATURES)
     floors = [floor for _, floor in FEATURES.values()]
-    middle = store.cut(rows.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias(f"q{i}") for i in range(p)]))
-    n_groups = middle.count()
-    spread = lambda i: F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + floors[i] ** 2
-    first = middle.select("g", F.lit(0).alias("start"), *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(p)], *[(spread(i) if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i, j in _pairs()])
-    found = store.cut(_inverted(first.unionByName(_moments(rows, "g").withColumn("start", F.lit(1)))))
+    middle = rows.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias(f"q{i}") for i in range(p)])
+    spread = lambda i: f"pow((q{i}[2] - q{i}[0]) / 1.349, 2) + {floors[i] ** 2}D"
+    first = middle.selectExpr("g", "n", "0 AS start", *[f"q{i}[1] AS m{i}" for i in range(p)], *[f"{spread(i) if i == j else '0D'} AS c{i}_{j}" for i, j in _pairs()])
+    every = _moments(rows, "g").withColumns({"start": F.lit(1), "n": F.lit(None).cast("long")})
+    found = store.cut(_inverted(first.unionByName(every)).withColumn("moved", F.lit(1.0)))
+    sizes = store.cut(found.filter("start = 0").select("g", "n"))
+    n_groups = sizes.count()
     for _ in range(most_steps):
-        at = rows.join(small(found, 2 * n_groups, BROADCAST_GROUPS), "g").withColumn("distance", _distance())
-        near = store.cut(at.groupBy("g", "start").agg(F.percentile_approx("distance", F.lit(SUBSET), F.lit(1000)).alias("most")))
+        now = small(found.drop("n", "moved"), 2 * n_groups, BROADCAST_GROUPS)
+        at = rows.join(now, "g").withColumn("distance", _distance()).select("g", "start", "distance", *[f"x{i}" for i in range(p)])
+        near = at.groupBy("g", "start").agg(F.percentile_approx("distance", F.lit(SUBSET), F.lit(1000)).alias("most"))
         closest = at.join(small(near, 2 * n_groups, BROADCAST_GROUPS), ["g", "start"]).filter("distance <= most")
-        before, found = found, store.cut(_inverted(_moments(closest, "g", "start")))
-        moved = found.join(before.select("g", "start", F.col("log_det").alias("old")), ["g", "start"]).agg(F.max(F.abs(F.col("log_det") - F.col("old")))).first()[0]
-        store.drop(before, near)
+        made = _inverted(_moments(closest, "g", "start")).join(found.select("g", "start", F.col("log_det").alias("old")), ["g", "start"])
+        before, found = found, store.cut(made.withColumn("moved", F.abs(F.col("log_det") - F.col("old"))).drop("old"))
+        moved = found.agg(F.max("moved")).first()[0]
+        store.drop(before)
         if moved is None or moved < settled:
             break
     held = [f"m{i}" for i in range(p)] + [f"c{i}_{j}" for i, j in _pairs()] + ["log_det"]
     best = found.groupBy("g").agg(F.min_by(F.struct(*held), F.struct("log_det", "start")).alias("best"))
-    return store.cut(best.join(middle.select("g", "n"), "g").select("g", "n", "best.*"))
+    return store.cut(best.join(sizes, "g").select("g", "n", "best.*"))
 
 
 def estimates(rows: DataFrame, store: Scratch) -> DataFrame:
@@ -140,27 +145,26 @@ def estimates(rows: DataFrame, store: Scratch) -> DataFrame:
 
     A group's centre is its own, drawn to the mean of its language's centres by a share that falls
     with its rows. Its covariance is its own, drawn in the same way to that of its language
-    and of all documents, which are estimated from what is left of x after each group's centre is
-    taken off. So a group of any size has an estimate, and the shares change smoothly with n.
+    and of all documents, which are estimated after each group's medians are taken off x. So a
+    group of any size has an estimate, and the shares change smoothly with n.
     """
     p = len(FEATURES)
-    own = mcd(rows.drop("pool"), store)
-    n_groups = own.count()
-    centers = own.select("g", *[F.col(f"m{i}").alias(f"o{i}") for i in range(p)])
-    rest = rows.join(small(centers, n_groups, BROADCAST_GROUPS), "g").select("pool", *[(F.col(f"x{i}") - F.col(f"o{i}")).alias(f"x{i}") for i in range(p)])
-    both = F.explode(F.array(F.concat(F.lit("pool "), "pool"), F.lit("all"))).alias("g")
-    wide = mcd(rest.select(both, *[f"x{i}" for i in range(p)]), store)
-    pools = rows.select("g", "pool").distinct()
-    mean = lambda name: (F.sum(F.col(name) * F.col("n")) / F.sum("n"))
-    named = own.join(pools, "g")
-    by_pool = named.groupBy("pool").agg(*[mean(f"m{i}").alias(f"pm{i}") for i in range(p)])
-    pooled = wide.filter("g <> 'all'").select(F.substring("g", 6, 1 << 30).alias("pool"), F.col("n").alias("pn"), *[F.col(f"c{i}_{j}").alias(f"p{i}_{j}") for i, j in _pairs()])
-    every = wide.filter("g = 'all'").select(*[F.col(f"c{i}_{j}").alias(f"a{i}_{j}") for i, j in _pairs()])
-    met = named.join(by_pool, "pool").join(pooled, "pool").join(F.broadcast(every), F.lit(True))  # one row
-    share, in_pool, centered = F.col("n") / (F.col("n") + COVARIANCE_ROWS), F.col("pn") / (F.col("pn") + COVARIANCE_ROWS), F.col("n") / (F.col("n") + CENTER_ROWS)
-    means = [(centered * F.col(f"m{i}") + (1 - centered) * F.col(f"pm{i}")).alias(f"m{i}") for i in range(p)]
-    spreads = [(share * F.col(f"c{i}_{j}") + (1 - share) * (in_pool * F.col(f"p{i}_{j}") + (1 - in_pool) * F.col(f"a{i}_{j}"))).alias(f"c{i}_{j}") for i, j in _pairs()]
-    return store.cut(_inverted(met.select("g", *means, *spreads)).select("g", *[f"m{i}" for i in range(p)], *[f"k{i}_{j}" for i, j in _pairs()]))
+    middles = store.cut(rows.groupBy("g", "pool").agg(*[F.percentile_approx(f"x{i}", F.lit(0.5), F.lit(1000)).alias(f"o{i}") for i in range(p)]))
+    n_groups = middles.count()
+    levels = F.explode(F.array(F.concat(F.lit("own "), "g"), F.concat(F.lit("pool "), "pool"), F.lit("all"))).alias("g")
+    centered = rows.join(small(middles.drop("pool"), n_groups, BROADCAST_GROUPS), "g").select(levels, *[(F.col(f"x{i}") - F.col(f"o{i}")).alias(f"x{i}") for i in range(p)])
+    found = mcd(store.cut(centered), store)
+    part = lambda kind, *names: found.filter(F.startswith("g", F.lit(kind))).selectExpr(f"substring(g, {len(kind) + 1}) AS key", *names)
+    own = part("own ", "n", *[f"m{i}" for i in range(p)], *[f"c{i}_{j}" for i, j in _pairs()]).withColumnRenamed("key", "g").join(middles, "g")
+    own = own.withColumns({f"m{i}": F.col(f"m{i}") + F.col(f"o{i}") for i in range(p)})
+    by_pool = own.groupBy("pool").agg(*[(F.sum(F.col(f"m{i}") * F.col("n")) / F.sum("n")).alias(f"pm{i}") for i in range(p)])
+    pooled = part("pool ", "n AS pn", *[f"c{i}_{j} AS p{i}_{j}" for i, j in _pairs()]).withColumnRenamed("key", "pool")
+    every = part("all", *[f"c{i}_{j} AS a{i}_{j}" for i, j in _pairs()]).drop("key")
+    met = own.join(by_pool, "pool").join(pooled, "pool").join(F.broadcast(every), F.lit(True))  # one row
+    share, in_pool, near = f"n / (n + {COVARIANCE_ROWS})", f"pn / (pn + {COVARIANCE_ROWS})", f"n / (n + {CENTER_ROWS})"
+    means = [f"{near} * m{i} + (1 - {near}) * pm{i} AS m{i}" for i in range(p)]
+    spreads = [f"{share} * c{i}_{j} + (1 - {share}) * ({in_pool} * p{i}_{j} + (1 - {in_pool}) * a{i}_{j}) AS c{i}_{j}" for i, j in _pairs()]
+    return store.cut(_inverted(met.selectExpr("g", *means, *spreads)).select("g", *[f"m{i}" for i in range(p)], *[f"k{i}_{j}" for i, j in _pairs()]))
 
 
 def outlier_distances(stats: DataFrame, store: Scratch, lang: str = "lang", source: str = "source") -> DataFrame:
