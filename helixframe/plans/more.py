@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import sequence as S
 from helixframe.operators import coverage, expand, genome, intervals as I, matrix as M, metrics, motifs, scoring, variants as V, windows
 from helixframe.plans import tables as T
-from helixframe.plans.queries import _DENSE, _LOCAL, _ODDS, TASKS, _dense, _local_variants, _long, _score_sql, query, six
+from helixframe.plans.queries import ORACLES, _DENSE, _LOCAL, _ODDS, TASKS, _dense, _local_variants, _long, _score_sql, query, six
 from helixframe.sources import files
 
 
@@ -384,3 +384,11 @@ def effect_intervals(spark, d):
     p = _dense(spark, d).filter("task = 't1'").withColumnRenamed("value", "effect")
     made = metrics.effect_by_position(p).filter("n > 1500")
     return made.select(F.col("pos").cast("long").alias("pos"), F.round("low", 2).alias("low"), F.round("high", 2).alias("high"))
+
+
+# SQL of queries that the other module registers without it
+
+_NAMED = f"WITH sequences AS ({T.SQL['sequences']}), motifs AS ({T.motifs_sql()})"
+ORACLES["motif_sites"] = f"{_NAMED} {_TAILS} SELECT w.id, motif, cast(istart AS bigint) AS istart, cast(istart+6 AS bigint) AS iend, strand, round(score, 6) AS score, p AS p_value, substring(q.seq, cast(istart AS bigint)+1, 6) AS matched_seq FROM ({_SITES}) w JOIN sequences q ON q.id = w.id WHERE p < 0.001"
+_LINEAR = ", r0 AS (SELECT 0 AS iter, id, -1 AS pos, '' AS allele, seq, {score} AS total_score FROM sequences WHERE length(seq) > 41), ".format(score=_score_sql("seq", "t1")) + ", ".join(_ROUND.format(i=i, j=i - 1, score=_score_sql("seq", "t1")) for i in (1, 2))
+ORACLES["evolved"] = f"WITH sequences AS ({T.SQL['sequences']}) {_LINEAR} SELECT cast(iter AS integer) AS iter, id, cast(pos AS integer) AS pos, allele, seq, round(total_score, 6) AS total_score FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2 WHERE (SELECT max(total_score) FROM r1) > (SELECT max(total_score) FROM r0))"
