@@ -87,14 +87,14 @@ def count_tokens(docs: DataFrame, model_path: str, text: str = "text", out: str
         count = _counter(model_path, held)
         for texts in batches:
             found: list[int] = []
-            held: list[str] = []
+            own: list[str] = []
             chars = 0
             for value in texts:
-                held.append(value if isinstance(value, str) else "")
-                chars += len(held[-1])
+                own.append(value if isinstance(value, str) else "")
+                chars += len(own[-1])
                 if chars >= slice_chars:
-                    found += count(held)
-                    held, chars = [], 0
-            yield pd.Series(found + (count(held) if held else []), dtype="int64")
+                    found += count(own)
+                    own, chars = [], 0
+            yield pd.Series(found + (count(own) if own else []), dtype="int64")
 
     return docs.withColumn(out, counts(F.col(text)))
