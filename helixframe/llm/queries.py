@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import chat_format, fingerprint, language_id, license_scan, mixing, near_dedup, piece_codec, quality_classifier, quality_rules, token_counts
+from helixframe.llm import chat_format, fingerprint, language_id, license_scan, merkle, mixing, near_dedup, piece_codec, quality_classifier, quality_rules, token_counts
 from helixframe.llm.common import cut, read
 
 
@@ -93,6 +93,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    rows = merkle.manifest(docs, tampered=tampered).withColumn("folded_root", merkle.fold(F.col("given")))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,7 +107,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_sentencepiece, op4_quality_rules, op5_license_scan, op6_fingerprints, op7_near_duplicates, op8_mixing, op9_chat_format, op10_token_counts, pipeline)
+    f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_sentencepiece, op4_quality_rules, op5_license_scan, op6_fingerprints, op7_near_duplicates, op8_mixing, op9_chat_format, op10_token_counts, op12_merkle_manifest, pipeline)
 }
 
 _NEAR_DUPLICATES = r"""
@@ -143,4 +150,49 @@ SELECT conv_id, count(*) AS n_turns,
 FROM n GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op7_near_duplicates": _NEAR_DUPLICATES, "op9_chat_format": _CHATS}
+_MANIFEST = r"""
+WITH RECURSIVE
+crc(i, k, v) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM crc WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY i) AS t FROM crc WHERE k = 8),
+doc AS (
+  SELECT doc_id, lang, text,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS head,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda c, x: xor(c >> 8, t[CAST((xor(c, x) & 255) + 1 AS INTEGER)])), 4294967295) % 3 = 0 AS tampered
+  FROM documents, crc_table),
+leaf AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank, count(*) OVER (PARTITION BY lang) AS n
+  FROM (SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN tampered THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS given FROM doc)),
+node(lvl, lang, i, n, digest) AS (
+  SELECT 0, lang, rank, n, leaf FROM leaf
+  UNION ALL SELECT lvl + 1, lang, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM node WHERE n > 1 GROUP BY lvl, lang, i // 8, n),
+run AS (SELECT lvl, lang, i // 8 AS p, list(digest ORDER BY i) AS kids FROM node WHERE n > 1 GROUP BY lvl, lang, i // 8),
+sub AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS rank, count(*) OVER () AS n FROM node WHERE n = 1),
+up(lvl, i, n, digest) AS (
+  SELECT 0, rank, n, subroot FROM sub
+  UNION ALL SELECT lvl + 1, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY lvl, i // 8, n),
+top AS (SELECT lvl, i // 8 AS p, list(digest ORDER BY i) AS kids FROM up WHERE n > 1 GROUP BY lvl, i // 8),
+walk(lang, rank, lvl, i, n, held, proof) AS (
+  SELECT lang, rank, 0, rank, n, given, '' FROM leaf
+  UNION ALL
+  SELECT w.lang, w.rank, w.lvl + 1, w.i // 8, (w.n + 7) // 8,
+    sha256(array_to_string(kids[1:w.i % 8], '') || held || array_to_string(kids[w.i % 8 + 2:], '')),
+    proof || array_to_string(kids[1:w.i % 8], '') || array_to_string(kids[w.i % 8 + 2:], '')
+  FROM walk w JOIN run r ON r.lvl = w.lvl AND r.lang IS NOT DISTINCT FROM w.lang AND r.p = w.i // 8 WHERE w.n > 1),
+climb(lang, rank, lvl, i, n, held, proof) AS (
+  SELECT w.lang, w.rank, 0, s.rank, s.n, held, proof FROM walk w JOIN sub s ON s.lang IS NOT DISTINCT FROM w.lang WHERE w.n = 1
+  UNION ALL
+  SELECT w.lang, w.rank, w.lvl + 1, w.i // 8, (w.n + 7) // 8,
+    sha256(array_to_string(kids[1:w.i % 8], '') || held || array_to_string(kids[w.i % 8 + 2:], '')),
+    proof || array_to_string(kids[1:w.i % 8], '') || array_to_string(kids[w.i % 8 + 2:], '')
+  FROM climb w JOIN top r ON r.lvl = w.lvl AND r.p = w.i // 8 WHERE w.n > 1)
+SELECT l.doc_id, l.leaf, s.subroot, u.digest AS root, sha256(c.proof) AS proof_sha256, c.held AS folded_root, c.held = u.digest AS verified
+FROM leaf l JOIN sub s ON s.lang IS NOT DISTINCT FROM l.lang JOIN climb c ON c.lang IS NOT DISTINCT FROM l.lang AND c.rank = l.rank AND c.n = 1, (SELECT digest FROM up WHERE n = 1) u
+"""
+
+ORACLES: dict[str, str] = {"op12_merkle_manifest": _MANIFEST, "op7_near_duplicates": _NEAR_DUPLICATES, "op9_chat_format": _CHATS}
