@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import chat_format, fingerprint, language_id, license_scan, merkle, mixing, near_dedup, piece_codec, quality_classifier, quality_rules, token_counts
+from helixframe.llm import chat_format, fingerprint, language_id, license_scan, merkle, mixing, near_dedup, piece_codec, quality_classifier, quality_rules, substring_dedup, token_counts
 from helixframe.llm.common import cut, read
 
 
@@ -100,6 +100,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.dedup_passages(read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return rows.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -107,7 +113,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_sentencepiece, op4_quality_rules, op5_license_scan, op6_fingerprints, op7_near_duplicates, op8_mixing, op9_chat_format, op10_token_counts, op12_merkle_manifest, pipeline)
+    f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_sentencepiece, op4_quality_rules, op5_license_scan, op6_fingerprints, op7_near_duplicates, op8_mixing, op9_chat_format, op10_token_counts, op12_merkle_manifest, op13_substring_dedup, pipeline)
 }
 
 _NEAR_DUPLICATES = r"""
@@ -195,4 +201,18 @@ SELECT l.doc_id, l.leaf, s.subroot, u.digest AS root, sha256(c.proof) AS proof_s
 FROM leaf l JOIN sub s ON s.lang IS NOT DISTINCT FROM l.lang JOIN climb c ON c.lang IS NOT DISTINCT FROM l.lang AND c.rank = l.rank AND c.n = 1, (SELECT digest FROM up WHERE n = 1) u
 """
 
-ORACLES: dict[str, str] = {"op12_merkle_manifest": _MANIFEST, "op7_near_duplicates": _NEAR_DUPLICATES, "op9_chat_format": _CHATS}
+_PASSAGES = r"""
+WITH word AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+place AS (SELECT doc_id, unnest(range(1, CAST(len(w) - 18 AS BIGINT))) AS i, w FROM word WHERE len(w) >= 20),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS h FROM place),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i
+  FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS nth FROM win) WHERE nth > 1),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+own AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM word),
+kept AS (SELECT own.doc_id, string_agg(x, ' ' ORDER BY own.i) AS t FROM own ANTI JOIN gone ON own.doc_id = gone.doc_id AND own.i = gone.i GROUP BY own.doc_id)
+SELECT word.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(lost.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM word LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op13_substring_dedup": _PASSAGES, "op12_merkle_manifest": _MANIFEST, "op7_near_duplicates": _NEAR_DUPLICATES, "op9_chat_format": _CHATS}
