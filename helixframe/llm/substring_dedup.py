@@ -5,7 +5,7 @@ Every document is factored against all documents before it, and against itself:
 1. Blocks. A window of 20 words has a seed: the least hash of its 5-word grams. A block is a run of windows
    with one seed. Equal windows have equal seeds, so a seed's blocks hold all places where its windows
    stand: seeds are the index of the reference.
-2. Index. Seeds are counted, one row a seed and chunk of text; those met once lead to no factor. The others
+2. Index. Seeds are counted by place, one row a seed and chunk of text; those met once lead to no factor. The others
    are marked in a bitmap of at most ``MOST_BITS`` bits. A seed that shares a bit with another one costs
    a look-up, never a wrong result.
 3. Look-up. Blocks with a marked seed meet by seed, in document order, and each of their windows is looked
@@ -40,7 +40,7 @@ PIECE = 2048
 CHUNK = 2_000_000
 #: Bits of the bitmap for each repeated seed, and in all at most.
 BITS_A_SEED, MOST_BITS = 16, 1 << 28
-#: A seed whose blocks are more than this share of all blocks with repeated seeds, and at least so many, is split.
+#: A seed with more than this share of all places of repeated seeds, and at least so many, is split.
 HOT_SHARE, HOT_LEAST = 20_000, 64
 #: Factors up to which those of all documents are broadcast, 40 bytes each; beyond it Spark shuffles.
 BROADCAST_FACTORS = 500_000
@@ -96,16 +96,23 @@ class _Windows:
         self.h = lists.flatten().to_numpy(zero_copy_only=False).view("uint64")
         sizes = np.diff(lists.offsets.to_numpy())
         self.doc, self.tie, self.at = doc[order], tie[order], at[order]
-        self.seed = _mixed(_least(_grams(self.h, GRAM), WINDOW - GRAM + 1))
+        self.grams = _grams(self.h, GRAM)
+        least = _least(self.grams, WINDOW - GRAM + 1)
         counts = np.maximum(sizes - WINDOW + 1, 0)
         self.piece = np.repeat(np.arange(len(sizes)), counts)
         inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         self.place = np.repeat(np.cumsum(sizes) - sizes, counts) + inside  # in h
         self.start = self.at[self.piece] + inside
-        self.seed = self.seed[self.place]
+        self.least = least[self.place]
+        self.seed = _mixed(self.least)
 
-    def block_starts(self) -> np.ndarray:
-        return _changes(self.piece, self.seed)
+    def places_of_seeds(self) -> np.ndarray:
+        """The seed at each place that has one: a gram that is the least of a window around it. A text that
+        repeats itself may have one seed at many places of one block."""
+        span = WINDOW - GRAM + 1
+        around = np.zeros(len(self.grams) + span - 1, "uint64")
+        around[self.place + span - 1] = self.least
+        return _mixed(self.grams[~_least(~around, span) == self.grams])
 
 
 def _changes(*columns: np.ndarray) -> np.ndarray:
@@ -132,7 +139,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Windows]:
 
 def _count_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for found in _chunks(batches):
-        seed, n = np.unique(found.seed[found.block_starts()], return_counts=True)
+        seed, n = np.unique(found.places_of_seeds(), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(seed.view("int64")), pa.array(n)], names=["seed", "n"])
 
 
@@ -251,14 +258,14 @@ def _index(store: Scratch, pieces: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The bitmap of repeated seeds, and the frequent ones: both of bounded size."""
     counted = pieces.mapInArrow(_count_seeds, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).filter("n > 1")
     seeds = store.cut(counted)
-    n, blocks = seeds.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n, places = seeds.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     bits = min(MOST_BITS, max(1 << 16, 1 << (BITS_A_SEED * n).bit_length()))
     bit = F.shiftrightunsigned("seed", 64 - bits.bit_length() + 1)
     filled = seeds.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - bits.bit_length() + 1}) & 63 as int))").alias("mask"))
     filled = filled.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # MOST_BITS / 64 rows at most
     bitmap = np.zeros(bits // 64, "uint64")
     bitmap[filled.column("word").to_numpy()] = filled.column("mask").to_numpy().view("uint64")
-    hot = seeds.filter((F.col("n") >= HOT_LEAST) & (F.col("n") * HOT_SHARE >= blocks)).select("seed").toArrow()  # HOT_SHARE rows at most
+    hot = seeds.filter((F.col("n") >= HOT_LEAST) & (F.col("n") * HOT_SHARE >= places)).select("seed").toArrow()  # HOT_SHARE rows at most
     store.drop(seeds)
     return bitmap, np.sort(hot.column("seed").to_numpy().view("uint64"))
 
