@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import chat_format, fingerprint, language_id, license_scan, merkle, mixing, near_dedup, piece_codec, quality_classifier, quality_rules, substring_dedup, token_counts
+from helixframe.llm import chat_format, fingerprint, hard_negatives, language_id, license_scan, merkle, mixing, near_dedup, piece_codec, quality_classifier, quality_rules, substring_dedup, token_counts
 from helixframe.llm.common import cut, read
 
 
@@ -93,6 +93,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
@@ -113,7 +119,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_sentencepiece, op4_quality_rules, op5_license_scan, op6_fingerprints, op7_near_duplicates, op8_mixing, op9_chat_format, op10_token_counts, op12_merkle_manifest, op13_substring_dedup, pipeline)
+    f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_sentencepiece, op4_quality_rules, op5_license_scan, op6_fingerprints, op7_near_duplicates, op8_mixing, op9_chat_format, op10_token_counts, op11_hard_negatives, op12_merkle_manifest, op13_substring_dedup, pipeline)
 }
 
 _NEAR_DUPLICATES = r"""
@@ -215,4 +221,22 @@ SELECT word.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(lost.n, 0) AS n_
 FROM word LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op13_substring_dedup": _PASSAGES, "op12_merkle_manifest": _MANIFEST, "op7_near_duplicates": _NEAR_DUPLICATES, "op9_chat_format": _CHATS}
+_NEGATIVES = r"""
+WITH v AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS nth FROM s WHERE same) WHERE nth <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op11_hard_negatives": _NEGATIVES, "op13_substring_dedup": _PASSAGES, "op12_merkle_manifest": _MANIFEST, "op7_near_duplicates": _NEAR_DUPLICATES, "op9_chat_format": _CHATS}
