@@ -11,15 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.operators.selection import drawn_bucket, first_n, hashed_order
 from helixframe.schema import INTERVALS, require_columns
 
-#: Width of the bins that range joins meet in.
+#: Width of the bins that pairs of intervals meet in.
 BIN = 2000
-
-
-def hashed_order(seed: int, *key: str) -> Column:
-    """A random order that depends on the key alone, not on the partitioning."""
-    return F.xxhash64(F.lit(seed), *[F.col(k) for k in key])
+#: Widths of the levels of bins that filters by overlap meet in; the last is more than any chromosome has.
+LEVELS = tuple(2048 * 8**i for i in range(8))
 
 
 def filter_intervals(df: DataFrame, keep: Column) -> DataFrame:
@@ -133,23 +131,42 @@ def _binned(df: DataFrame, ref: DataFrame, window: int, width: int, carry: Seque
     return a.withColumn("bin", F.explode(_bins(F.col("a_start"), F.col("a_end"), width))), b.withColumn("bin", F.explode(_bins(F.col("b_start"), F.col("b_end"), width)))
 
 
-def overlap_ids(df: DataFrame, ref: DataFrame, window: int = 0, method: str = "any", width: int = BIN) -> DataFrame:
-    """Ids of the rows that overlap a reference interval widened by ``window`` ("any"), or that
-    lie inside one ("all").
+def _keyed(df: DataFrame, levels: Sequence[int]) -> DataFrame:
+    """``df`` with one key a row: the smallest level of bins that are no shorter than it, and the bin of its start."""
+    level = sum(((F.col("end") - F.col("start") > w).cast("int") for w in levels[:-1]), F.lit(0))
+    width = F.get(F.array(*[F.lit(w) for w in levels]), level)
+    return df.withColumn("level__", level).withColumn("bin__", F.floor(F.col("start") / width))
 
-    Both sides meet in genome bins of ``width``, so Spark joins on (chrom, bin) and compares
-    coordinates only there; chromosomes of any size are spread over their bins.
-    """
-    a, b = _binned(df, ref, window, width)
-    any_overlap = (F.col("a_start") < F.col("b_end")) & (F.col("a_end") > F.col("b_start"))
-    inside = (F.col("a_start") >= F.col("b_start")) & (F.col("a_end") <= F.col("b_end"))
-    on = (a["chrom"] == b["chrom"]) & (a["bin"] == b["bin"]) & {"any": any_overlap, "all": inside}[method]
-    return a.join(b, on, "left_semi").select("id").distinct()
 
+def _reached(ref: DataFrame, window: int, levels: Sequence[int]) -> DataFrame:
+    """The widened reference, once for each bin of each level in which an interval of that level that
+    overlaps it may start: from one bin's width before it to its end."""
+    low, high = F.col("start") - window, F.col("end") + window
+
+    def bins_of(level: int, width: int) -> Column:
+        reach = F.when(low - width + 1 <= high, F.sequence(F.floor((low - width + 1) / width), F.floor(high / width)))
+        return F.transform(reach, lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin")))
 
-def filter_overlapping(df: DataFrame, ref: DataFrame, window: int = 0, invert: bool = False, method: str = "any", width: int = BIN) -> DataFrame:
-    """Rows of ``df`` (unique ``id``) that overlap, or with ``invert`` don't overlap, the reference."""
-    return df.join(overlap_ids(df, ref, window, method, width), "id", "left_anti" if invert else "left_semi").select(*df.columns)
+    bins = [bins_of(i, w) for i, w in enumerate(levels)]
+    every = F.flatten(F.filter(F.array(*bins), lambda x: x.isNotNull()))
+    spread = require_columns(ref, *INTERVALS).select(F.col("chrom").alias("r_chrom__"), low.alias("r_start__"), high.alias("r_end__"), F.explode(every).alias("at__"))
+    return spread.select("r_chrom__", "r_start__", "r_end__", F.col("at__.level").alias("r_level__"), F.col("at__.bin").alias("r_bin__"))
+
+
+def filter_overlapping(df: DataFrame, ref: DataFrame, window: int = 0, invert: bool = False, method: str = "any", levels: Sequence[int] = LEVELS) -> DataFrame:
+    """Rows of ``df`` that overlap a reference interval widened by ``window`` ("any"), or that lie inside
+    one ("all"); with ``invert`` the others.
+
+    One join, in which each row of ``df`` has one key: (chrom, level, bin), the level being given by its length.
+    The reference is spread over the few bins of each level that it reaches, an interval of n bases over about
+    n / 1,800 + 16, so a chromosome is spread over its bins. Where the reference is small, Spark sends it to all tasks and
+    ``df`` isn't shuffled. ``df`` needs no id; rows alike are judged each on its own.
+    """
+    a, b = _keyed(require_columns(df, *INTERVALS), levels), _reached(ref, window, levels)
+    overlaps = (F.col("start") < F.col("r_end__")) & (F.col("end") > F.col("r_start__"))
+    inside = (F.col("start") >= F.col("r_start__")) & (F.col("end") <= F.col("r_end__"))
+    on = (F.col("chrom") == F.col("r_chrom__")) & (F.col("level__") == F.col("r_level__")) & (F.col("bin__") == F.col("r_bin__"))
+    return a.join(b, on & {"any": overlaps, "all": inside}[method], "left_anti" if invert else "left_semi").select(*df.columns)
 
 
 def filter_blacklist(df: DataFrame, blacklist: DataFrame, window: int = 0) -> DataFrame:
@@ -180,8 +197,9 @@ def merge_intervals_by_column(df: DataFrame, group: str) -> tuple[DataFrame, Dat
 
 
 def sample_n(df: DataFrame, n: int, key: str = "id", seed: int = 0) -> DataFrame:
-    """``n`` rows without replacement, the same for any partitioning."""
-    return df.orderBy(hashed_order(seed, key), key).limit(n)
+    """``n`` rows without replacement, the same for any partitioning: the first by a draw for each key."""
+    order = hashed_order(seed, key)
+    return first_n(df, n, drawn_bucket(order), order, F.col(key))
 
 
 def split(df: DataFrame, train: Sequence[str] | None = None, val: Sequence[str] = ("chr10",), test: Sequence[str] = ("chr11",), sample: dict[str, int] | None = None, key: str = "id", seed: int = 0) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.operators.intervals import hashed_order
 from helixframe.operators.metrics import quantiles
+from helixframe.operators.selection import drawn_bucket, first_n, hashed_order, value_bucket
 
 
 def filter_obs(obs: DataFrame, matrix: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
@@ -35,7 +35,7 @@ def filter_coverage(matrix: DataFrame, n_obs: int, method: str = "cutoff", cutof
     if method == "cutoff":
         kept = totals.filter(F.col("total") >= cutoff)
     elif method == "top":
-        kept = totals.orderBy(F.desc("total"), "var").limit(int(cutoff))
+        kept = first_n(totals, int(cutoff), -value_bucket(F.col("total")), F.desc("total"), F.col("var"))
     elif method == "percentile":
         edge = quantiles(totals.withColumn("all__", F.lit(1)), "total", "all__", {"edge": cutoff / 100}).select("edge")
         kept = totals.join(F.broadcast(edge), F.col("total") >= F.col("edge")).drop("edge")  # one row
@@ -44,8 +44,8 @@ def filter_coverage(matrix: DataFrame, n_obs: int, method: str = "cutoff", cutof
     kept = kept.withColumn("is_negative", F.lit(False))
     if not negative_frac:
         return kept
-    n = int(negative_frac * kept.count())
-    rest = totals.join(kept.select("var"), "var", "left_anti").orderBy(hashed_order(seed, "var"), "var").limit(n)
+    n, order = int(negative_frac * kept.count()), hashed_order(seed, "var")
+    rest = first_n(totals.join(kept.select("var"), "var", "left_anti"), n, drawn_bucket(order), order, F.col("var"))
     return kept.unionByName(rest.withColumn("is_negative", F.lit(True)))
 
 

@@ -138,7 +138,12 @@ def merge_by_group(spark, d):
     return _out(I.merge_intervals_by_column(T.intervals(spark, d).withColumn("g", F.col("id") % 1000), "g")[0].select("g", "chrom", "start", "end"))
 
 
-@query("sample_intervals")
+def _draw(seed: int, key: str) -> str:
+    """``hashed_order`` in SQL."""
+    return f"('0x' || substring(md5('{seed}:' || {key}), 1, 15))::BIGINT"
+
+
+@query("sample_intervals", f"SELECT id, chrom, istart, iend, strand FROM intervals ORDER BY {_draw(3, 'id')}, id LIMIT 500", "intervals")
 def sample_intervals(spark, d):
     return _out(I.sample_n(T.intervals(spark, d), 500, seed=3))
 
@@ -316,7 +321,9 @@ def coverage_percentile(spark, d):
     return M.filter_coverage(m, m.select("obs").distinct().count(), "percentile", 90).select("var", six("total").alias("total"))
 
 
-@query("coverage_negatives")
+@query("coverage_negatives", f"""SELECT var, round(total, 6) AS total, is_negative FROM (
+ SELECT *, row_number() OVER (PARTITION BY is_negative ORDER BY {_draw(1, 'var')}, var) AS nth, count(*) FILTER (NOT is_negative) OVER () AS n_kept
+ FROM (SELECT *, total < 5 AS is_negative FROM ({_TOTALS}))) WHERE NOT is_negative OR nth <= cast(floor(0.2::double * n_kept) AS bigint)""", "matrix")
 def coverage_negatives(spark, d):
     m = T.matrix(spark, d)
     return M.filter_coverage(m, m.select("obs").distinct().count(), "cutoff", 5, negative_frac=0.2, seed=1).select("var", six("total").alias("total"), "is_negative")
