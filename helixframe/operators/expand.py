@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 
 from helixframe.functions.sequence import gc_fraction, mutate, reverse_complement
-from helixframe.operators.intervals import filter_overlapping, hashed_order, tile_positions
+from helixframe.operators.genome import interval_counts, tiled_counts
+from helixframe.operators.intervals import filter_chromosomes, filter_overlapping, tile_positions
+from helixframe.operators.selection import drawn_bucket, first_n, hashed_order
 from helixframe.schema import BASES, INTERVALS, require_columns
 
 
@@ -144,27 +146,43 @@ def random_mutants(df: DataFrame, seed: int = 0, drop_ref: bool = True, protect:
     return made.withColumn("seq", mutate(F.col("seq"), F.col("base"), F.col("pos"))).drop("places__", "others__")
 
 
-def gc_bin(seq: Column, binwidth: float) -> Column:
+def gc_bin(gc: Column, binwidth: float) -> Column:
     """Index of the last edge i * binwidth that the GC fraction reaches."""
     edges = F.array(*[F.lit(i * binwidth) for i in range(int(np.ceil(1 / binwidth - 1e-9)))])
-    gc = gc_fraction(seq)
     return F.size(F.filter(edges, lambda e: e <= gc)) - 1
 
 
+def _matched(inputs: DataFrame, windows: DataFrame, seed: int, blacklist: DataFrame | None, *key: str) -> DataFrame:
+    """Of ``windows`` that overlap no input and no blacklisted interval, as many of each ``bin`` as inputs has, or all:
+    the first by a draw for each ``key``. Only a small part of a bin is ranked (``first_n``)."""
+    want = inputs.groupBy("bin").agg(F.count("*").alias("want"))
+    free = filter_overlapping(windows, inputs, invert=True)
+    if blacklist is not None:
+        free = filter_overlapping(free, blacklist, invert=True)
+    order = hashed_order(seed, *key)
+    # a row for each bin of the GC fraction, 1 / binwidth at most
+    wanted = free.join(F.broadcast(want), "bin")
+    return first_n(wanted, F.col("want"), drawn_bucket(order), order, *map(F.col, key), by="bin").select(*windows.columns)
+
+
 def gc_matched_negatives(inputs: DataFrame, windows: DataFrame, binwidth: float = 0.1, seed: int = 0, blacklist: DataFrame | None = None) -> DataFrame:
     """As many of ``windows`` (id, chrom, start, end, seq) as ``inputs`` (the same columns) has in each
-    GC bin, none overlapping an input or the blacklist: a seeded draw within each bin.
+    GC bin, none overlapping an input or the blacklist: a seeded draw within each bin."""
+    require_columns(windows, "id", "seq", *INTERVALS)
+    bin_of = gc_bin(gc_fraction(F.col("seq")), binwidth).alias("bin")
+    return _matched(inputs.select("*", bin_of), windows.select("*", bin_of), seed, blacklist, "id")
 
-    Windows of a bin are first ranked within 64 hash ranges, of which only those that can be
-    reached go on, so no single task sorts a whole bin.
+
+def genome_negatives(inputs: DataFrame, chunks: DataFrame, size: int, binwidth: float = 0.1, seed: int = 0, blacklist: DataFrame | None = None, chroms: Sequence[str] | str | None = None, chunk: int = 4096) -> DataFrame:
+    """(chrom, start, end, n_gc, bin): windows of ``size`` letters from the whole genome, as many of each GC bin as
+    ``inputs`` (id, chrom, start, end; all of that length, see ``unique_length``) has, or all there are.
+
+    Candidates are the windows that stand side by side on each chromosome of ``chroms`` (names, or a human set's
+    name; all by default), less those that overlap an input or the blacklist. Their letters are counted in
+    chunks, never put together. Inputs that reach over the genome's end are not counted.
     """
-    require_columns(windows, "id", "seq", *INTERVALS)
-    want = inputs.groupBy(gc_bin(F.col("seq"), binwidth).alias("bin")).agg(F.count("*").alias("want"))
-    free = filter_overlapping(windows, inputs, invert=True)
-    if blacklist is not None:
-        free = filter_overlapping(free, blacklist, invert=True)
-    drawn = free.withColumn("bin", gc_bin(F.col("seq"), binwidth)).withColumn("draw", hashed_order(seed, "id")).join(F.broadcast(want), "bin")
-    part = Window.partitionBy("bin", F.pmod(F.col("draw"), F.lit(64))).orderBy("draw", "id")
-    few = drawn.withColumn("place", F.row_number().over(part)).filter("place <= want")
-    ranked = few.withColumn("place", F.row_number().over(Window.partitionBy("bin").orderBy("draw", "id")))
-    return ranked.filter("place <= want").select(*windows.columns, "bin")
+    share = gc_bin(F.col("n_gc") / F.lit(float(size)), binwidth).alias("bin")
+    counted = interval_counts(inputs, chunks, chunk).filter(F.col("n") == size)
+    binned = inputs.join(counted.select("id", share), "id").select("id", *INTERVALS, "bin")
+    tiles = tiled_counts(chunks if chroms is None else filter_chromosomes(chunks, chroms), size, chunk)
+    return _matched(binned, tiles.select("*", share), seed, blacklist, "chrom", "start")

@@ -75,6 +75,14 @@ def resize_intervals(df: DataFrame, size: int, end: str = "both") -> DataFrame:
     return require_columns(df, *INTERVALS).withColumn("start", start.cast("long")).withColumn("end", F.col("start") + size)
 
 
+def unique_length(df: DataFrame) -> int:
+    """The one length of all intervals; a ValueError if there are several, or none."""
+    low, high = require_columns(df, *INTERVALS).agg(F.min(F.col("end") - F.col("start")), F.max(F.col("end") - F.col("start"))).first()
+    if low is None or low != high:
+        raise ValueError("there are no intervals" if low is None else f"lengths go from {low} to {high}")
+    return low
+
+
 def clip_intervals(df: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
     if start is not None:
         df = df.withColumn("start", F.greatest("start", F.lit(start)))

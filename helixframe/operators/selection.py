@@ -49,7 +49,7 @@ def first_n(df: DataFrame, n: int | Column, bucket: Column, *order: Column, by:
     # one row, or one a group: the last bucket that begins before the n-th row
     edge = counts.withColumn("before__", before).filter("before__ < n__").groupBy(*group).agg(F.max("cut__").alias("edge__"), F.max("before__").alias("before__"))
     if by:
-        held = marked.join(F.broadcast(edge), by)
+        held = marked.join(edge, by)
     else:
         held = marked.withColumn("edge__", edge.select("edge__").scalar()).withColumn("before__", edge.select("before__").scalar())
     last = held.filter("cut__ = edge__").withColumn("nth__", F.row_number().over(Window.partitionBy(*group, "cut__").orderBy(*order)))

@@ -430,6 +430,23 @@ def gc_matched(spark, d):
     return made.groupBy(F.col("bin").cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
+_GENOME = "SELECT doc_id, concat('doc', doc_id) AS chrom, regexp_replace(upper(text),'[^ACGT]','','g') AS s FROM documents"
+_GC10 = "len(list_filter(range(0,10), lambda i: i*0.1::double <= (length(x)-length(translate(x,'GC','')))/50.0::double)) - 1"
+
+
+@query("gc_negatives_from_genome", f"""SELECT chrom, istart, bin FROM (SELECT w.*, want, row_number() OVER (PARTITION BY w.bin ORDER BY ('0x' || substring(md5('11:' || chrom || ':' || istart), 1, 15))::BIGINT, chrom, istart) AS nth
+ FROM (SELECT chrom, istart, {_GC10} AS bin FROM (SELECT chrom, k*50 AS istart, substring(s, k*50+1, 50) AS x, doc_id % 10 = 0 AS has, (doc_id*37)%greatest(length(s)-49, 1) AS own, length(s) AS n
+   FROM (SELECT *, unnest(range(0, length(s)//50)) AS k FROM ({_GENOME}))) WHERE NOT (has AND istart < own+50 AND istart+50 > own AND n >= 50)) w
+ JOIN (SELECT bin, count(*) AS want FROM (SELECT {_GC10} AS bin FROM (SELECT substring(s, (doc_id*37)%(length(s)-49)+1, 50) AS x FROM ({_GENOME}) WHERE doc_id % 10 = 0 AND length(s) >= 50)) GROUP BY bin) USING (bin)) WHERE nth <= want""")
+def gc_negatives_from_genome(spark, d):
+    letters = T.letters(spark, d)
+    chunks = genome.genome_chunks(letters.select(F.concat(F.lit("doc"), "doc_id").alias("name"), F.col("s").alias("seq")), 64)
+    start = (F.col("doc_id") * 37) % (F.length("s") - 49)
+    inputs = letters.filter((F.col("doc_id") % 10 == 0) & (F.length("s") >= 50)).select(F.col("doc_id").alias("id"), F.concat(F.lit("doc"), "doc_id").alias("chrom"), start.alias("start"), (start + 50).alias("end"))
+    made = expand.genome_negatives(inputs, chunks, 50, 0.1, 11, chunk=64)
+    return made.select("chrom", F.col("start").alias("istart"), F.col("bin").cast("long").alias("bin"))
+
+
 # motifs
 
 _ODDS = "SELECT motif, pos, base, log2((prob+0.0001)*4) AS score, '+' AS strand FROM motifs UNION ALL SELECT motif, 5-pos, translate(base,'ACGT','TGCA'), log2((prob+0.0001)*4), '-' FROM motifs"

@@ -53,9 +53,14 @@ def blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _coords(_table(spark, sf_dir, "blacklist", "supplier"))
 
 
+def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, s): all letters A, C, G, T of each text that has any."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("s")).filter("s <> ''")
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, seq, lang): all letters A, C, G, T of each text in pieces of 200 to 399 (a shorter text in one)."""
-    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("s")).filter("s <> ''")
+    texts = letters(spark, sf_dir)
     n = F.greatest(F.floor(F.length("s") / TILE), F.lit(1))
     last, at = F.col("t") == n - 1, (F.col("t") * TILE + 1).cast("int")
     pieces = texts.withColumn("t", F.explode(F.sequence(F.lit(0), (n - 1).cast("long"))))
