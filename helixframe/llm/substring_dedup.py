@@ -37,7 +37,7 @@ WINDOW, GRAM = 20, 5
 #: Windows of a piece: longer documents are cut, each piece going on for WINDOW - 1 words.
 PIECE = 2048
 #: Words that a Python worker works on at a time.
-CHUNK = 2_000_000
+CHUNK = 500_000
 #: Bits of the bitmap for each repeated seed, and in all at most.
 BITS_A_SEED, MOST_BITS = 16, 1 << 28
 #: A seed with more than this share of all places of repeated seeds, and at least so many, is split.
