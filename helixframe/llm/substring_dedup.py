@@ -170,7 +170,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], marked: Broadcast, hot: Broadcast
         opens = _changes(piece, seed, again, start - np.arange(len(start)), source, np.where(again, source_start - start, 0)) | lone
         at = np.flatnonzero(opens)
         n = np.diff(np.append(at, len(taken)))
-        key = np.where(again | lone, window, seed)[at]
+        # what is found already meets nothing, and is spread by its place
+        key = np.where(again, _mixed((doc * 31 + start).view("uint64")), np.where(lone, window, seed))[at]
         fresh = ~again
         ends = np.concatenate([[0], np.cumsum(np.where(again[at], 0, n))])
         lists = pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(window[fresh].view("int64")))
