@@ -18,7 +18,8 @@ Texts with equal shingle sets form a class first; one member stands for it. From
    ``_open_pairs``). So a group of copies costs one comparison a member, and no link is lost.
    Where very many members of a list stay open (``CROWDED``), as with texts put together from a few
    common passages, they enter second lists by bands (the smallest values of their set in another
-   order, see ``_bands``), which are treated in the same way.
+   order, see ``_bands``) or, as small sets, by choices of their values (``_subset_keys``); these are
+   treated in the same way.
 4. The union sketch's estimate drops candidate pairs; the whole sets decide the rest.
 """
 
@@ -26,9 +27,13 @@ from __future__ import annotations
 
 import math
 from functools import lru_cache
+from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helixframe.llm.common import Scratch, lower_ascii, pairwise, small, words
 from helixframe.llm.components import components
@@ -48,6 +53,8 @@ CROWDED = 2_000_000
 #: Bands of a set, the smallest values in each, and the shingles from which on sets have bands: two sets
 #: of similarity 0.8 and a union of 20 or more have no band in common with a chance below 1e-9.
 BANDS, IN_BAND, BANDED = 90, 6, 20
+#: Values of a smaller set that make a key.
+SUBSET = 6
 
 
 @lru_cache(maxsize=8)
@@ -140,16 +147,45 @@ def _open_pairs(groups: DataFrame) -> DataFrame:
     return x.join(y, "center").filter(fits & once & (F.col("root_a") != F.col("root_b"))).select("a", "b")
 
 
+@lru_cache(maxsize=64)
+def _subsets(n: int, r: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), r)))
+
+
+def _subset_keys(values: np.ndarray) -> np.ndarray:
+    """Keys of a small set, such that any two that are linked have one in common: for each size that the
+    larger of the two may have, how many values both share is known (``need``). Their first ``r`` common
+    values are among each one's first n - need + r, so each choice of r of those is a key."""
+    n, keys = len(values), []
+    mixed = values.view("uint64")
+    mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = np.sort(mixed ^ mixed >> np.uint64(29))
+    for larger in range(n, min(n * 100 // SIMILAR, BANDED * 100 // SIMILAR - 1) + 1):
+        need = -(-larger * SIMILAR // 100)
+        if 0 < need <= n:
+            r = min(need, SUBSET)
+            key = np.full(1, larger, "uint64")
+            for column in mixed[_subsets(n - need + r, r)].T:
+                key = (key ^ column) * np.uint64(0xBF58476D1CE4E5B9)
+                key = key ^ key >> np.uint64(32)
+            keys.append(key)
+    return np.concatenate(keys).view("int64") if keys else np.zeros(0, "int64")
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def subset_keys(sets: pd.Series) -> pd.Series:
+    return pd.Series([_subset_keys(np.asarray(s, "int64")) for s in sets])
+
+
 def _bands(sets: DataFrame) -> DataFrame:
     """(value, cid) for each of ``BANDS`` orders of the hashes: what the ``IN_BAND`` smallest values of a
-    set are in that order. Smaller sets, which can only be linked with ones of at most 24
-    shingles, meet under one further value with those."""
+    set are in that order. Smaller sets, which can only be linked with ones of fewer than 25
+    shingles, meet those by ``_subset_keys``, without any chance of loss."""
     order = lambda i: F.slice(F.sort_array(F.transform("set__", lambda v: F.xxhash64(v, i))), 1, IN_BAND)
-    many = F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda i: F.xxhash64(i, order(i)))
-    few = F.when(F.size("set__") <= BANDED * 5 / 4, F.array(F.xxhash64(F.lit("few"))))
-    none = F.expr("cast(array() as array<bigint>)")
-    values = F.concat(F.when(F.size("set__") >= BANDED, many).otherwise(none), F.coalesce(few, none))
-    return sets.select(F.explode(values).alias("value"), "cid")
+    bands = F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda i: F.xxhash64(i, order(i)))
+    large = sets.filter(F.size("set__") >= BANDED).select(F.explode(bands).alias("value"), "cid")
+    few = sets.filter(F.size("set__") * SIMILAR < BANDED * 100)
+    return large.unionByName(few.select(F.explode(subset_keys("set__")).alias("value"), "cid"))
 
 
 def _by_lists(store: Scratch, members: DataFrame, sketches: DataFrame, sets: DataFrame, known: DataFrame | None, k: int, short: int, last: bool) -> DataFrame:
