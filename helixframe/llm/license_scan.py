@@ -81,6 +81,8 @@ NAMING = frozenset("0 1 2 3 4 affero apache attribution by cc cc0 commons creati
 #: Families of templates by their words: (most words, words of a block). Blocks start every half block, so as
 #: many words in a row as a template has at most lie in one block.
 FAMILIES = ((25, 50), (80, 160))
+#: Words up to which a notice must stand in as many words in a row.
+SHORT = 11
 
 
 def _is(word: str):
@@ -88,15 +90,23 @@ def _is(word: str):
 
 
 def _block(width: int, vocabulary: Column):
-    return lambda begin: F.array_intersect(F.slice("words__", begin, width), vocabulary)
+    return lambda begin: F.struct(begin.alias("begin"), F.array_intersect(F.slice("words__", begin, width), vocabulary).alias("own"))
 
 
 def _at_least(least: int):
-    return lambda block: F.size(block) >= least
+    return lambda block: F.size(block["own"]) >= least
 
 
-def _with_family(family: int):
-    return lambda block: F.struct(F.lit(family).alias("family"), block.alias("words"))
+def _ranked(family: int, width: int, order: Column):
+    """A block's family, its vocabulary words as sorted ranks, and all its words in a row."""
+    ranks = lambda own: F.sort_array(F.transform(own, lambda w: F.array_position(order, w).cast("int")))
+    return lambda block: F.struct(F.lit(family).alias("family"), ranks(block["own"]).alias("words"), F.slice("words__", block["begin"], width).alias("near"))
+
+
+def _span(n: int) -> int:
+    """Words in a row that a notice of n words must stand within: as many as it has, and a quarter more for
+    longer ones."""
+    return n if n <= SHORT else n + n // 4
 
 
 def _starts(phrase: tuple[str, ...]) -> Column:
@@ -113,34 +123,36 @@ def _starts(phrase: tuple[str, ...]) -> Column:
     return F.when(there, placed).otherwise(F.expr("cast(array() as array<int>)"))
 
 
-def _template_rows() -> list[tuple[int, str, int, list[str]]]:
-    """(number, label, family, sorted distinct words) of every template."""
+def _template_rows() -> list[tuple[int, str, int, list[str], int]]:
+    """(number, label, family, sorted distinct words, span) of every template."""
     texts = [(label, text.split()) for label, some in TEMPLATES.items() for text in some]
     family = lambda own: next(f for f, (most, _) in enumerate(FAMILIES) if len(own) <= most)
-    return [(i, label, family(own), sorted(set(own))) for i, (label, own) in enumerate(texts)]
+    return [(i, label, family(own), sorted(set(own)), _span(len(own))) for i, (label, own) in enumerate(texts)]
 
 
 def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", containment: float = 0.8) -> DataFrame:
-    """The ``keep`` columns, then n_words, n_base, first_word, last_word, base_labels, labels
-    and score.
+    """The ``keep`` columns, then n_words, n_base, first_word, last_word, base_labels, labels, score, contained
+    and containment. ``labels`` is stricter than the join's threshold; ``contained`` has all that meets it.
 
     Base labels come from fixed phrases standing word by word. The others come from a
-    set-similarity join: a text is cut into overlapping blocks of words, and a block gets a
-    template's label if it holds at least ``containment`` of the template's distinct words, and all of
-    them that are in ``NAMING``. Blocks are as long as the family of a template asks for. The
+    set-similarity join: a text is cut into overlapping blocks of words, and each block that holds at
+    least ``containment`` of a template's distinct words is found. Labels of all of those are ``contained``, the largest
+    share of words is ``containment``. A notice counts for ``labels`` if moreover as many of its words stand
+    together (within ``_span`` words in a row), and all of them that are in ``NAMING`` with them: scattered
+    words are no notice. Blocks are as long as the family of a template asks for. The
     join is exact. Words of templates are ordered by the number of texts that hold them, rarest
     first, over all texts; the rarest words of a template, as many as it may lack and one more,
     must include one of the block's first words (prefix filter), the block must hold
     enough template words (length filter) and enough after the first common one
     (positional filter); what remains is checked on the whole sets.
 
-    ``score`` is 1 if a base label is there, else the largest containment of a label found,
+    ``score`` is 1 if a base label is there, else the largest share of words of a notice that counts,
     else 0. A null or empty text has no words and no labels (empty strings). Texts of any
     length are scanned whole. Repeated rows count each on its own.
     """
     spark, store = docs.sparkSession, Scratch(docs.sparkSession)
     templates = _template_rows()
-    vocabulary = sorted({w for *_, own in templates for w in own})
+    vocabulary = sorted({w for *_, own, _ in templates for w in own})
     taken = docs.select(*[F.col(c).alias(f"keep__{i}") for i, c in enumerate(keep)], words(lower_ascii(F.col(text)), BETWEEN).alias("words__"))
     array = lambda items: F.split(F.lit(" ".join(items)), " ")
     # one row a vocabulary word; the vocabulary is that of the fixed templates
@@ -149,12 +161,12 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     rank = {w: i + 1 for i, w in enumerate(order)}
     sides = []
-    for i, label, family, own in templates:
+    for i, label, family, own, span in templates:
         ranks = sorted(rank[w] for w in own)
         need = math.ceil(containment * len(ranks) - 1e-9)
-        named = sorted(rank[w] for w in own if w in NAMING)
-        sides += [(i, label, family, ranks, need, ranks[at], at, named) for at in range(len(ranks) - need + 1)]
-    prefixes = spark.createDataFrame(sides, "template int, label string, family int, ranks array<int>, need int, rank int, at int, named array<int>")
+        sides += [(i, label, family, ranks, need, ranks[at], at) for at in range(len(ranks) - need + 1)]
+    prefixes = spark.createDataFrame(sides, "template int, label string, family int, ranks array<int>, need int, rank int, at int")
+    wordings = spark.createDataFrame([(i, own, [w for w in own if w in NAMING], span) for i, *_, own, span in templates], "template int, own array<string>, named array<string>, span int")
 
     # blocks as sorted ranks of their template words, only of texts with a prefix word of the family
     cut = []
@@ -163,9 +175,8 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
         first, least = array([order[r - 1] for r in sorted({side[5] for side in mine})]), min(side[4] for side in mine)
         begins = F.sequence(F.lit(1), F.greatest(F.size("words__"), F.lit(1)), F.lit(width // 2))
         blocks = F.transform(begins, _block(width, array(order)))
-        ranked = F.transform(blocks, lambda b: F.sort_array(F.transform(b, lambda w: F.array_position(array(order), w).cast("int"))))
-        ranked = F.transform(F.filter(ranked, _at_least(least)), _with_family(family))
-        cut.append(F.when(F.arrays_overlap("words__", first), ranked).otherwise(F.expr("cast(array() as array<struct<family: int, words: array<int>>>)")))
+        ranked = F.transform(F.filter(blocks, _at_least(least)), _ranked(family, width, array(order)))
+        cut.append(F.when(F.arrays_overlap("words__", first), ranked).otherwise(F.expr("cast(array() as array<struct<family: int, words: array<int>, near: array<string>>>)")))
     rows = taken.withColumn("n_words", F.size("words__").cast("long"))
     for label, phrase in PHRASES.items():
         rows = rows.withColumn(f"at__{label}", _starts(phrase))
@@ -182,8 +193,17 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
     # prefixes come from the fixed templates: a few hundred rows, always safe to broadcast
     pairs = entries.join(F.broadcast(prefixes), ["rank", "family"]).filter("size >= need AND place <= size - need AND least(size - place, size(ranks) - at) >= need")
     found = F.size(F.array_intersect("words", "ranks"))
-    hits = pairs.withColumn("found", found).filter("found >= need AND size(array_except(named, words)) = 0").groupBy("row__").agg(F.collect_set("label").alias("own__"), F.max(F.col("found") / F.size("ranks")).alias("best__"))
-    labels = F.array_sort(F.array_union("base__", F.coalesce("own__", F.expr("cast(array() as array<string>)"))))
+    met = pairs.withColumn("found", found).filter("found >= need").select("row__", "block", "template", "label", "need", (F.col("found") / F.size("ranks")).alias("share")).distinct()
+    near = rows.select("row__", F.posexplode("blocks__").alias("block", "x")).select("row__", "block", "x.near")
+    # one row a template
+    told = met.join(F.broadcast(wordings), "template").join(near, ["row__", "block"])
+    begins = F.sequence(F.lit(1), F.greatest(F.size("near") - F.col("span") + 1, F.lit(1)))
+    held = lambda at: F.slice("near", at, F.col("span"))
+    together = F.exists(begins, lambda at: (F.size(F.array_intersect("own", held(at))) >= F.col("need")) & (F.size(F.array_except("named", held(at))) == 0))
+    told = told.withColumn("told", F.when(together, F.col("label")))
+    hits = told.groupBy("row__").agg(F.collect_set("told").alias("own__"), F.max(F.when(F.col("told").isNotNull(), F.col("share"))).alias("best__"), F.collect_set("label").alias("met__"), F.max("share").alias("share__"))
+    none = F.expr("cast(array() as array<string>)")
+    labels = F.array_sort(F.array_union("base__", F.coalesce("own__", none)))
     score = F.when(F.size("base__") > 0, 1.0).otherwise(F.coalesce("best__", F.lit(0.0)))
     out = rows.drop("blocks__").join(hits, "row__", "left")
-    return out.select(*[F.col(f"keep__{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("base__"), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"))
+    return out.select(*[F.col(f"keep__{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("base__"), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"), F.array_join(F.array_sort(F.coalesce("met__", none)), ",").alias("contained"), F.coalesce("share__", F.lit(0.0)).alias("containment"))
