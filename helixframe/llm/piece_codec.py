@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,8 +16,10 @@ from pyspark.sql import types as T
 from helixframe.llm import piece_model
 from helixframe.llm.piece_model import MARK, NORMAL, USER
 
-#: Units whose tokens a Python worker remembers, at most, and units encoded at a time.
+#: Units whose tokens a Python worker remembers, at most, and units that are joined to one text of a batch.
 CACHE, AT_ONCE = 300_000, 2_000
+#: Threads that a Python worker encodes batches with; set ``RAYON_NUM_THREADS`` in the executors' environment for more.
+THREADS = 2
 
 
 def rebuild(path: str):
@@ -30,7 +33,10 @@ def rebuild(path: str):
 
     model = piece_model.parse(path)
     if model.unigram:
-        core = models.Unigram(list(zip(model.pieces, model.scores)), model.unknown, model.byte_fallback)
+        # a piece of the user costs a little more than as many of the likeliest piece, so it is taken where it fits
+        likeliest = max((s for s, k in zip(model.scores, model.kinds) if k == NORMAL), default=0.0)
+        scores = [len(p.encode()) * likeliest - 0.1 if k == USER else s for p, s, k in zip(model.pieces, model.scores, model.kinds)]
+        core = models.Unigram(list(zip(model.pieces, scores)), model.unknown, model.byte_fallback)
     else:
         ids = {piece: i for i, piece in enumerate(model.pieces)}
         ranked = []
@@ -52,7 +58,8 @@ def rebuild(path: str):
     tokenizer.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
     back = [decoders.Metaspace(replacement=MARK, prepend_scheme="never"), decoders.ByteFallback(), decoders.Fuse()]
     tokenizer.decoder = decoders.Sequence([*back, decoders.Strip(" ", 1, 0)] if model.prefix else back)
-    tokenizer.add_tokens([AddedToken(p, normalized=False) for p, k in zip(model.pieces, model.kinds) if k == USER])
+    if not model.unigram:
+        tokenizer.add_tokens([AddedToken(p, normalized=False) for p, k in zip(model.pieces, model.kinds) if k == USER])
     return tokenizer
 
 
@@ -65,6 +72,10 @@ def _split_at(starts: np.ndarray, flat: np.ndarray) -> list[bytes]:
 @lru_cache(maxsize=2)
 def _codec(path: str):
     """A function from texts to (ids, decoded text, parity) of each."""
+    # read by the tokenizers library when it encodes its first batch
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
+    os.environ["TOKENIZERS_PARALLELISM"] = "true"
+    threads = int(os.environ["RAYON_NUM_THREADS"])
     import sentencepiece
 
     fast, slow, model = rebuild(path), sentencepiece.SentencePieceProcessor(model_file=path), piece_model.parse(path)
@@ -75,23 +86,26 @@ def _codec(path: str):
 
     def alone(texts: list[str]) -> None:
         mine = [x.ids for x in fast.encode_batch_fast(texts, add_special_tokens=False)]
-        for text, a, b in zip(texts, mine, slow.encode(texts, num_threads=1)):
+        for text, a, b in zip(texts, mine, slow.encode(texts, num_threads=threads)):
             if a != b:
                 unlike.add(text)
             known[text] = np.array(a if a == b else b, "int32").tobytes()
 
     def learn(texts: list[str]) -> None:
-        """Many units as one text: each begins with a marker, where its ids are told apart."""
+        """Encodes a batch of texts that each join many units, on several threads: a unit begins with a marker,
+        where its ids are told apart."""
         plain = [t for t in texts if " " not in t and MARK not in t] if cut else []
-        if plain:
-            joined = " ".join(plain)
-            ids = fast.encode(joined, add_special_tokens=False).ids
-            flat = np.array(ids, "int32")
-            starts = np.flatnonzero(marked[flat])
-            if ids == slow.encode(joined) and len(starts) == len(plain) and starts[0] == 0:
-                known.update(zip(plain, _split_at(starts, flat)))
-            else:
-                alone(plain)
+        batch = [plain[i : i + AT_ONCE] for i in range(0, len(plain), AT_ONCE)]
+        joined = [" ".join(own) for own in batch]
+        if batch:
+            mine = [x.ids for x in fast.encode_batch_fast(joined, add_special_tokens=False)]
+            for own, ids, theirs in zip(batch, mine, slow.encode(joined, num_threads=threads)):
+                flat = np.array(ids, "int32")
+                starts = np.flatnonzero(marked[flat])
+                if ids == theirs and len(starts) == len(own) and starts[0] == 0:
+                    known.update(zip(own, _split_at(starts, flat)))
+                else:
+                    alone(own)
         if len(plain) < len(texts):
             alone([t for t in texts if t not in known])
 
@@ -101,8 +115,7 @@ def _codec(path: str):
                 del known[unit]
         split = [piece_model.units(t) if cut else [t] for t in texts]
         new = [u for u in set().union(*split) if u and u not in known]
-        for start in range(0, len(new), AT_ONCE):
-            learn(new[start : start + AT_ONCE])
+        learn(new)
         if "" not in known:
             # the lone marker can only be encoded after something
             mine, theirs = ([x("a ")[len(x("a")) :] if cut else [] for x in (lambda t: fast.encode(t, add_special_tokens=False).ids, slow.encode)])

@@ -237,15 +237,38 @@ def test_license_scan(spark):
 
 
 def brute_labels(text, containment=0.8):
+    """Labels of notices that stand together, and of all blocks that meet the threshold."""
     w = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(ASCII)) if x]
-    own = set()
-    for _, label, family, t in license_scan._template_rows():
+    own, contained = set(), set()
+    for _, label, family, t, span in license_scan._template_rows():
         width = license_scan.FAMILIES[family][1]
+        meets = lambda held: len(held & set(t)) >= containment * len(t) - 1e-9
         for s in range(0, len(w), width // 2):
-            held = set(w[s : s + width]) & set(t)
-            if len(held) >= containment * len(t) - 1e-9 and all(x in held for x in t if x in license_scan.NAMING):
-                own.add(label)
-    return own | {x for x in brute_base(text)[4].split(",") if x}
+            block = w[s : s + width]
+            if meets(set(block)):
+                contained.add(label)
+                parts = [set(block[i : i + span]) for i in range(max(1, len(block) - span + 1))]
+                if any(meets(held) and held >= set(t) & license_scan.NAMING for held in parts):
+                    own.add(label)
+    return own | {x for x in brute_base(text)[4].split(",") if x}, contained
+
+
+def test_scattered_words_are_no_notice(spark):
+    """Blocks that meet the threshold are reported, and labelled only where the words stand together. Also: a very
+    long text, null and repeated ids."""
+    texts = [
+        "the film was released in spring under heavy rain and a license fee was paid by mit students",
+        "MIT said the patent license was released",
+        "an apache pilot got the license under version 2 0 of the rules",
+        "It is released under the MIT License.",
+        "Licensed under the Apache License, Version 2.0",
+        "word " * 150_000 + "released under the mit license " + "more " * 50_000,
+        None,
+    ]
+    rows = license_scan.scan(table(spark, texts, [None, 1, 1, 2, 2, 3, None]), keep=("doc_id", "source")).collect()
+    by = sorted((r["n_words"], r["labels"], r["contained"], r["containment"]) for r in rows)
+    assert [x[1] for x in by] == ["", "", "mit", "apache-2.0", "", "", "mit"]
+    assert by[1][2:] == ("mit", 0.8) and [x[2] for x in by][4:6] == ["apache-2.0", "mit"]
 
 
 def test_license_join_is_exact(spark):
@@ -261,9 +284,10 @@ def test_license_join_is_exact(spark):
             t[t.index(x)] = "other"
         rng.shuffle(t)
         texts.append(" ".join(random_texts(i, 1, 90)[0].split() + t + random_texts(i + 99, 1, 190)[0].split()))
-    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(table(spark, texts)).collect()}
-    want = {i: ",".join(sorted(brute_labels(text))) for i, text in enumerate(texts)}
-    assert got == want
+    got = license_scan.scan(table(spark, texts)).collect()
+    want = {i: ",".join(sorted(brute_labels(text)[0])) for i, text in enumerate(texts)}
+    assert {r["doc_id"]: r["labels"] for r in got} == want
+    assert {r["doc_id"]: r["contained"] for r in got} == {i: ",".join(sorted(brute_labels(text)[1])) for i, text in enumerate(texts)}
     assert len({x for v in want.values() for x in v.split(",")}) > 12 and sum(v == "" for v in want.values()) > 20
 
 
@@ -276,7 +300,7 @@ def test_license_notices_in_a_text(spark, tmp_path):
     labels = [r["labels"].split(",") for r in op5_license_scan(spark, str(tmp_path)).orderBy("doc_id").collect()]
     assert labels == list(cases.values())
     assert all(len(text.split()) <= license_scan.FAMILIES[-1][0] for some in license_scan.TEMPLATES.values() for text in some)
-    lacking = [math.floor(len(t) - math.ceil(0.8 * len(t) - 1e-9)) for *_, t in license_scan._template_rows()]
+    lacking = [math.floor(len(t) - math.ceil(0.8 * len(t) - 1e-9)) for *_, t, _ in license_scan._template_rows()]
     assert min(lacking) >= 1
 
 
@@ -310,6 +334,44 @@ def test_tokens_match_library(spark):
     assert piece_codec.encode(table(spark, []), piece_model_path()).count() == 0
 
 
+def unigram_file(path, squeeze=True, fallback=True):
+    """A unigram model of a few pieces, written field by field."""
+    import struct
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    field = lambda number, data: varint(number << 3 | 2) + varint(len(data)) + data
+    flag = lambda number, n: varint(number << 3) + varint(n)
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    if fallback:
+        pieces += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+    pieces += [(p, -s, 1) for p, s in [("▁", 2.5), ("▁a", 2.0), ("a", 3.0), ("b", 3.1), ("ab", 2.75), ("▁ab", 3.5), ("c", 3.6), ("bc", 4.0), ("abc", 5.25), ("▁abc", 6.5), ("▁the", 4.5), ("t", 5.0), ("h", 5.1), ("e", 4.2), ("he", 5.5), ("ca", 6.0)]] + [("<sep>", 0.0, 4)]
+    data = b"".join(field(1, field(1, p.encode()) + varint(2 << 3 | 5) + struct.pack("<f", s) + flag(3, k)) for p, s, k in pieces)
+    data += field(2, flag(3, 1) + flag(4, len(pieces)) + flag(35, int(fallback)) + flag(40, 0) + flag(41, 1) + flag(42, 2) + varint(43 << 3) + b"\xff" * 9 + b"\x01")
+    data += field(3, field(1, b"identity") + flag(3, 1) + flag(4, int(squeeze)) + flag(5, 1))
+    path.write_bytes(data)
+    return str(path)
+
+
+@pytest.mark.parametrize("squeeze", [True, False])
+def test_unigram_files_are_rebuilt(spark, tmp_path, squeeze):
+    """Unigram scores, squeezed spaces, pieces of the user and byte fallback, against the SentencePiece library."""
+    import sentencepiece
+
+    path = unigram_file(tmp_path / "uni.model", squeeze)
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=path), random.Random(4)
+    texts = ["", "a", " abc  ab ", "the cab", "é🙂 z", "a<sep>b", "  ", None, "x" * 50] + ["".join(rng.choice("aabbcc the<>") for _ in range(rng.randint(1, 60))) for _ in range(150)]
+    rows = {r["doc_id"]: r for r in piece_codec.encode(table(spark, texts), path).collect()}
+    assert {i: r["input_ids"] for i, r in rows.items()} == {i: library.encode(t or "") for i, t in enumerate(texts)}
+    assert all(r["parity"] for r in rows.values())
+    if not squeeze:
+        assert all(r["round_trip"] for r in rows.values())
+
+
 def test_lone_marker_is_compared(monkeypatch):
     """A rebuilt tokenizer that drops a trailing space gives no parity for a text that ends in one; ids stay the library's."""
     from types import SimpleNamespace
