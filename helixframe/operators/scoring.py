@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.sequence import Comparison, compare
+from helixframe.functions.sequence import Comparison, compare, mutate
 from helixframe.operators.expand import pattern_scan, saturation_mutants
+from helixframe.scratch import Scratch
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min}
 #: The name of an aggregate, or a function from a column to an aggregate of it.
@@ -149,6 +150,56 @@ def background_effects(preds: DataFrame, variant: str, how: Comparison = "subtra
     return preds.filter(F.col(variant).isNotNull()).join(base, list(keys)).withColumn("effect", compare(F.col("value"), F.col("base__"), how)).drop("base__")
 
 
+#: From a sequence column to one score column a task.
+Scorer = Callable[[Column], dict[str, Column]]
+
+
+def linear_scorer(tasks: dict[str, dict[str, float]]) -> Scorer:
+    return lambda seq: {t: linear_score(seq, w) for t, w in tasks.items()}
+
+
+def score_by(df: DataFrame, scorer: Scorer) -> DataFrame:
+    """Rows of ``df`` times the scorer's tasks, with ``value``; ``seq`` dropped."""
+    each = F.array(*[F.struct(F.lit(t).alias("task"), v.alias("value")) for t, v in scorer(F.col("seq")).items()])
+    return df.withColumn("x__", F.explode(each)).select(*[c for c in df.columns if c != "seq"], "x__.task", "x__.value")
+
+
+def _moments(pairs: DataFrame, keys: Sequence[str], scorer: Scorer, how: Comparison) -> DataFrame:
+    """(keys, task, n, background_mean, background_sd) of the effects of rows (keys, with__, without__): both sequences
+    of a background stand in one row, so effects need no join, and count, mean and squared deviations are
+    put together before anything is shuffled: one row a key and task leaves a stage, whatever the number of backgrounds."""
+    sides = scorer(F.col("with__")), scorer(F.col("without__"))
+    each = F.array(*[F.struct(F.lit(t).alias("task"), compare(sides[0][t], sides[1][t], how).alias("effect")) for t in sides[0]])
+    effects = pairs.select(*keys, F.explode(each).alias("x")).select(*keys, "x.task", "x.effect")
+    return effects.groupBy(*keys, "task").agg(F.count("effect").alias("n"), F.avg("effect").alias("background_mean"), F.stddev_pop("effect").alias("background_sd"))
+
+
+def variant_moments(backgrounds: DataFrame, scorer: Scorer, how: Comparison = "subtract") -> DataFrame:
+    """(id, task, n, background_mean, background_sd): what a variant does in other surroundings. ``backgrounds`` is (id, ref,
+    alt, seq), any number of rows a variant, such as shuffled windows; alleles are written in the middle."""
+    return _moments(backgrounds.select("id", mutate(F.col("seq"), F.col("alt")).alias("with__"), mutate(F.col("seq"), F.col("ref")).alias("without__")), ["id"], scorer, how)
+
+
+def pattern_moments(backgrounds: DataFrame, patterns: Sequence[str], scorer: Scorer, how: Comparison = "subtract") -> DataFrame:
+    """(id, pattern, task, n, background_mean, background_sd): what writing a pattern in the middle of backgrounds (id, seq)
+    does."""
+    spread = backgrounds.withColumn("pattern", F.explode(F.array(*map(F.lit, patterns))))
+    return _moments(spread.select("id", "pattern", mutate(F.col("seq"), F.col("pattern")).alias("with__"), F.col("seq").alias("without__")), ["id", "pattern"], scorer, how)
+
+
+def tile_moments(shuffled: DataFrame, seqs: DataFrame, scorer: Scorer, how: Comparison = "subtract") -> DataFrame:
+    """(id, tile_start, task, n, background_mean, background_sd): what shuffling a tile does, from ``expand.tile_shuffles``
+    of ``seqs`` (id, seq)."""
+    both = shuffled.select("id", "tile_start", F.col("seq").alias("with__")).join(seqs.select("id", F.col("seq").alias("without__")), "id")
+    return _moments(both, ["id", "tile_start"], scorer, how)
+
+
+def against_moments(effects: DataFrame, moments: DataFrame, keys: Sequence[str] = ("id", "task")) -> DataFrame:
+    """``effects`` (keys, effect) plus the background's n, mean and deviation, z, and the two-sided normal p-value."""
+    z = (F.col("effect") - F.col("background_mean")) / F.nullif(F.col("background_sd"), F.lit(0.0))
+    return effects.join(moments, list(keys), "left").withColumn("z", z).withColumn("p_value", two_sided(F.col("z")))
+
+
 def substitution_scores(df: DataFrame, tasks: dict[str, dict[str, float]], positions: Sequence[int] | None = None, drop_ref: bool = False) -> DataFrame:
     """(id, task, pos, base, own, value): each substitution's linear score and the sequence's own.
 
@@ -200,30 +251,53 @@ def score_improved(rounds: DataFrame) -> DataFrame:
     return rounds.withColumn("improved", F.coalesce(F.col("best") > F.lag("best").over(Window.orderBy("iter")), F.lit(True)))
 
 
-def evolve(seqs: DataFrame, scorer: dict[str, float] | Callable[[DataFrame], DataFrame], method: str = "ism", patterns: Sequence[str] = (), max_iter: int = 10, positions: Sequence[int] | None = None) -> DataFrame:
-    """(iter, id, pos, allele, seq, total_score, best_in_iter): greedy design of each start sequence by
-    the best single substitution (or written pattern) a round.
+def evolve(seqs: DataFrame, scorer: dict[str, float] | Callable[[DataFrame], DataFrame], method: str = "ism", patterns: Sequence[str] = (), max_iter: int = 10, positions: Sequence[int] | None = None, for_each: bool = True, stop: str = "all") -> DataFrame:
+    """(iter, id, pos, allele, seq, total_score, best_in_iter): greedy design by the best single substitution (or
+    written pattern) a round: of each start sequence, or with ``for_each`` False of all of them together, where
+    the one best sequence goes on alone (of equals the first by id, position and allele).
 
     ``scorer`` is the weights of a linear scorer, or a function that adds ``total_score`` to rows
     that have ``seq``: an expression over it, or a user's model (``with_scores``). It ends when the
-    best score of a round does not beat the last one's; that round is kept. Rounds are
-    checkpointed, and one number a round reaches the driver.
+    best score of a round does not beat the last one's; that round is kept. With ``stop`` "each" a start
+    leaves the rounds by itself as soon as its own best does not beat its last one, and the others go on.
+    Rounds are written to the shared folder, and one row a round reaches the driver.
     """
+    if stop not in ("all", "each"):
+        raise ValueError("stop must be all or each")
+    store = Scratch(seqs.sparkSession)
     score = scorer if callable(scorer) else lambda df: df.withColumn("total_score", linear_score(F.col("seq"), scorer))
-    first = score(seqs.select(F.lit(0).alias("iter"), "id", F.lit(-1).alias("pos"), F.lit("").alias("allele"), "seq"))
     names = ["iter", "id", "pos", "allele", "seq", "total_score", "best_in_iter"]
-    first = first.withColumn("best_in_iter", F.lit(True)).select(*names)
-    rounds, now, best = [first], first.select("id", "seq"), first.agg(F.max("total_score").alias("b")).first()["b"]
-    sc = seqs.sparkSession.sparkContext
+
+    def marked(rows: DataFrame, turn: int) -> DataFrame:
+        rows = rows.withColumn("iter", F.lit(turn))
+        if for_each:
+            return best_in_group(rows, "id").select(*names)
+        # the best of each task's rows, then of those: one small row
+        rows = store.cut(rows)
+        best = rows.agg(F.min_by(F.struct("id", "pos", "allele"), F.struct(-F.col("total_score"), F.col("id"), F.col("pos"), F.col("allele"))).alias("b")).first()["b"]
+        same = F.lit(False) if best is None else F.col("id").eqNullSafe(F.lit(best["id"])) & (F.col("pos") == best["pos"]) & (F.col("allele") == best["allele"])
+        return rows.withColumn("best_in_iter", same).select(*names)
+
+    start = score(seqs.select("id", F.lit(-1).alias("pos"), F.lit("").alias("allele"), "seq"))
+    first = store.cut(start.withColumn("iter", F.lit(0)).withColumn("best_in_iter", F.lit(True)).select(*names) if for_each else marked(start, 0))
+    rounds, now = [first], first.filter("best_in_iter").select("id", "seq", F.col("total_score").alias("last__"))
+    best = first.agg(F.max("total_score").alias("b")).first()["b"]
     for turn in range(1, max_iter + 1):
-        made = saturation_mutants(now, positions, drop_ref=True).withColumnRenamed("base", "allele") if method == "ism" else pattern_scan(now, patterns, positions).withColumnRenamed("pattern", "allele")
-        scored = best_in_group(score(made), "id").withColumn("iter", F.lit(turn)).select(*names)
-        scored = scored.checkpoint() if not sc._jsc.sc().getCheckpointDir().isEmpty() else scored.persist()
+        step = now.select("id", "seq")
+        made = saturation_mutants(step, positions, drop_ref=True).withColumnRenamed("base", "allele") if method == "ism" else pattern_scan(step, patterns, positions).withColumnRenamed("pattern", "allele")
+        scored = store.cut(marked(score(made), turn))
         rounds.append(scored)
+        ahead = scored.filter("best_in_iter").select("id", "seq", "total_score")
+        if stop == "each":
+            # starts that did not get better leave
+            now = store.cut(ahead.join(now.select("id", "last__"), "id").filter("total_score > last__").select("id", "seq", F.col("total_score").alias("last__")))
+            if now.isEmpty():
+                break
+            continue
         top = scored.agg(F.max("total_score").alias("b")).first()["b"]
         if top is None or top <= best:
             break
-        best, now = top, scored.filter("best_in_iter").select("id", "seq")
+        best, now = top, ahead.select("id", "seq", F.col("total_score").alias("last__"))
     out = rounds[0]
     for r in rounds[1:]:
         out = out.unionByName(r)
