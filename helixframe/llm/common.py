@@ -2,61 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.scratch import Scratch, cut, shared_folder  # noqa: F401 (the operators take them from here)
+
 #: ASCII white space as the contracts define it: space and U+0009 to U+000D.
 SPACE = r"[ \t-\r]"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``. Only on one
-    machine, as in tests, a temporary one is made where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        sc = spark.sparkContext
-        own = sc._jsc.sc().getCheckpointDir()
-        if own.isEmpty():
-            if not sc.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-            own = sc._jsc.sc().getCheckpointDir()
-        named = own.get()
-    return named.rstrip("/")
-
-
-class Scratch:
-    """Tables written to a folder of their own in the shared folder, so that a lost executor costs
-    its tasks alone. What a later table replaces can be dropped; a table that a result
-    still reads must stay."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self.made = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", {}
-
-    def cut(self, df: DataFrame) -> DataFrame:
-        """Writes ``df`` and returns what was written."""
-        path = f"{self.folder}/{len(self.made)}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.made[path] = out
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        for path, held in list(self.made.items()):
-            if any(held is t for t in tables):
-                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-                self.made[path] = None
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns what was written."""
-    return Scratch(df.sparkSession).cut(df)
-
-
 def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Hints a broadcast only if ``rows``, which the caller has counted, is within ``limit``;
     beyond it Spark shuffles, and its adaptive execution splits skewed keys."""
