@@ -26,10 +26,18 @@ def _k(weights: Weights) -> int:
     return k
 
 
+#: Code of a letter that is none of A, C, G and T, or not there: less than any sum of others.
+NO_LETTER = -(4**8)
+
+
+def letter_codes(seq: Column) -> Column:
+    letter = lambda c: F.when(F.length(c) == 1, F.coalesce(F.nullif(F.instr(F.lit(BASES), c), F.lit(0)) - 1, F.lit(NO_LETTER))).otherwise(F.lit(NO_LETTER))
+    return F.transform(F.split(seq, ""), letter)
+
+
 def kmer_codes(seq: Column, k: int) -> Column:
     """The codes of a sequence's windows in order; negative for a window with a letter other than A, C, G and T."""
-    one = F.transform(F.split(seq, ""), lambda c: F.when(F.length(c) == 1, F.coalesce(F.nullif(F.instr(F.lit(BASES), c), F.lit(0)) - 1, F.lit(-(4**8)))).otherwise(F.lit(-(4**8))))
-    codes = one
+    codes = one = letter_codes(seq)
     for j in range(1, k):
         rest = F.greatest(F.size(one) - j, F.lit(0))
         codes = F.zip_with(F.slice(codes, 1, rest), F.slice(one, j + 1, rest), lambda a, b: a * 4 + b)
@@ -60,20 +68,34 @@ def substitution_scores(df: DataFrame, weights: Weights, positions: Sequence[int
     again: a sequence of n letters costs n * 4 * k windows, not n * 4 * n. Sequences shorter than a window have no rows.
     """
     k, size = _k(weights), F.length("seq")
-    places = F.sequence(F.lit(0), size - 1) if positions is None else F.filter(F.array(*map(F.lit, positions)), lambda p: p < size)
-    around = lambda p: F.substring(F.col("seq"), F.greatest(p - k + 2, F.lit(1)), F.least(p, F.lit(k - 1)) + k)
-    spots = F.transform(places, lambda p: F.struct(p.alias("pos"), around(p).alias("near"), F.least(p, F.lit(k - 1)).alias("at")))
     totals = [kmer_total(F.col("seq"), w, k).alias(f"total__{i}") for i, w in enumerate(weights.values())]
-    made = df.filter(size >= k).select("id", (size - k + 1).alias("n__"), *totals, F.explode(spots).alias("spot")).select("id", "n__", *[f"total__{i}" for i in range(len(weights))], "spot.*")
-    was = F.substring("near", F.col("at") + 1, F.lit(1))
-    bases = F.array(*map(F.lit, BASES))
-    made = made.withColumn("base", F.explode(F.filter(bases, lambda b: b != was) if drop_ref else bases))
-    turned = F.concat(F.substring("near", F.lit(1), F.col("at")), F.col("base"), F.substring(F.col("near"), F.col("at") + 2, F.lit(k)))
+    held = ["id", "n__", *[f"total__{i}" for i in range(len(weights))]]
+    # totals and letters are columns before rows are multiplied, or each row would make them again
+    made = df.filter(size >= k).select("id", (size - k + 1).alias("n__"), *totals, letter_codes(F.col("seq")).alias("letters__"))
+    places = F.sequence(F.lit(0), F.size("letters__") - 1) if positions is None else F.filter(F.array(*map(F.lit, positions)), lambda p: p < F.size("letters__"))
+    offsets = range(1 - k, k)
+    around = lambda p: [F.coalesce(F.when(p + o >= 0, F.get("letters__", p + o)), F.lit(NO_LETTER)).alias(f"at{o}") for o in offsets]
+    spots = F.transform(places, lambda p: F.struct(p.alias("pos"), *around(p)))
+    # the outer form: with the other, Spark adds a filter that computes the places a second time, letter by letter
+    made = made.select(*held, spots.alias("spots__")).select(*held, F.explode_outer("spots__").alias("spot")).filter("spot IS NOT NULL").select(*held, "spot.*")
+    made = made.withColumn("to__", F.explode(F.array(*map(F.lit, range(len(BASES))))))
+    if drop_ref:
+        made = made.filter("to__ <> at0")
+
+    def windows(at_zero: Column) -> list[Column]:
+        """Codes of the k windows that hold the place, with a letter there."""
+        read = lambda o: at_zero if o == 0 else F.col(f"`at{o}`")
+        return [sum((read(o) * 4 ** (first + k - 1 - o) for o in range(first + 1, first + k)), read(first) * 4 ** (k - 1)) for first in range(1 - k, 1)]
+
+    def weight(code: Column, w: Sequence[float]) -> Column:
+        return F.when(code >= 0, F.get(F.array(*[F.lit(float(x)) for x in w]), code)).otherwise(0.0)
+
     each = []
     for i, (task, w) in enumerate(weights.items()):
-        changed = F.col(f"total__{i}") + kmer_total(turned, w, k) - kmer_total(F.col("near"), w, k)
-        each.append(F.struct(F.lit(task).alias("task"), (F.col(f"total__{i}") / F.col("n__")).alias("own"), (changed / F.col("n__")).alias("value")))
-    return made.select("id", "pos", "base", F.explode(F.array(*each)).alias("s")).select("id", "s.task", "pos", "base", "s.own", "s.value")
+        changed = sum((weight(new, w) - weight(old, w) for new, old in zip(windows(F.col("to__")), windows(F.col("at0")))), F.lit(0.0))
+        each.append(F.struct(F.lit(task).alias("task"), (F.col(f"total__{i}") / F.col("n__")).alias("own"), ((F.col(f"total__{i}") + changed) / F.col("n__")).alias("value")))
+    base = F.substring(F.lit(BASES), F.col("to__") + 1, F.lit(1)).alias("base")
+    return made.select("id", "pos", base, F.explode(F.array(*each)).alias("s")).select("id", "s.task", "pos", "base", "s.own", "s.value")
 
 
 def ism_scores(df: DataFrame, weights: Weights, how: Comparison = "subtract", positions: Sequence[int] | None = None) -> DataFrame:
