@@ -114,6 +114,12 @@ def pearson(preds: DataFrame) -> DataFrame:
     return preds.groupBy("task").agg(F.corr("pred", F.col("label").cast("double")).alias("pearson"))
 
 
+def task_metrics(preds: DataFrame) -> DataFrame:
+    """(task, mse, pearson, accuracy) in one pass over the predictions."""
+    right = F.when((F.col("pred") > 0.5) == (F.col("label") > 0.5), 1.0).otherwise(0.0)
+    return preds.groupBy("task").agg(F.avg(F.pow(F.col("pred") - F.col("label"), 2)).alias("mse"), F.corr("pred", F.col("label").cast("double")).alias("pearson"), F.avg(right).alias("accuracy"))
+
+
 def precision_recall(preds: DataFrame) -> DataFrame:
     """(task, pred, tp, n, positives, tp_own, n_own): counts of rows with at least each distinct prediction."""
     counts = running_counts(preds, "task", "pred", {"tp": F.sum(F.col("label").cast("long")), "n": F.count("*")}, ascending=False)
@@ -151,8 +157,7 @@ def accuracy(preds: DataFrame) -> DataFrame:
 
 def argmax(preds: DataFrame, value: str = "pred", by: str = "id") -> DataFrame:
     """(by, task): the task with the highest value, the first by name of equals."""
-    order = Window.partitionBy(by).orderBy(F.desc(value), "task")
-    return preds.withColumn("place__", F.row_number().over(order)).filter("place__ = 1").select(by, "task")
+    return preds.groupBy(by).agg(F.min_by("task", F.struct(-F.col(value), F.col("task"))).alias("task"))
 
 
 def multiclass_accuracy(preds: DataFrame) -> DataFrame:

@@ -329,17 +329,18 @@ def motif_consensus(spark, d):
     return motifs.consensus(_document_motifs(spark, d))
 
 
-@query("trimmed_motifs", f"""SELECT 'm' || id AS motif, cast(count(*)//4 AS bigint) AS width, cast(min(pos) AS bigint) AS first_pos FROM (SELECT id, pos, base FROM ({_COUNTED}) JOIN (SELECT id, min(pos) AS a, max(pos) AS b FROM (
- SELECT id, pos, x, max(x) OVER (PARTITION BY id) AS top FROM (SELECT id, pos, sum(abs(prob-0.25)) AS x FROM ({_COUNTED}) GROUP BY id, pos)) WHERE x >= 0.8731*top GROUP BY id) USING (id) WHERE pos BETWEEN a AND b) GROUP BY id""".replace("cast(min(pos) AS bigint)", "cast(0 AS bigint)"), "sequences")
+@query("trimmed_motifs", f"""SELECT 'm' || id AS motif, cast(pos - a AS bigint) AS pos, base, round(prob - 0.25, 6) AS prob FROM (SELECT id, pos, base, prob, a, b FROM ({_COUNTED}) JOIN (SELECT id, min(pos) AS a, max(pos) AS b FROM (
+ SELECT id, pos, x, max(x) OVER (PARTITION BY id) AS top FROM (SELECT id, pos, sum(abs(prob-0.25)) AS x FROM ({_COUNTED}) GROUP BY id, pos)) WHERE x >= 0.8731*top GROUP BY id) USING (id)) WHERE pos BETWEEN a AND b""", "sequences")
 def trimmed_motifs(spark, d):
+    """The kept places, numbered anew, with their letters' values."""
     shares = _document_motifs(spark, d).withColumn("prob", F.col("prob") - 0.25)
-    return motifs.trim_motif(shares, 0.8731).groupBy("motif").agg(F.floor(F.count("*") / 4).alias("width"), F.min("pos").cast("long").alias("first_pos"))
+    return motifs.trim_motif(shares, 0.8731).select("motif", F.col("pos").cast("long").alias("pos"), "base", six("prob").alias("prob"))
 
 
-@query("best_matches", "SELECT task AS query, id AS target, cast(k AS bigint) AS place FROM (SELECT task, id, row_number() OVER (PARTITION BY task ORDER BY pred, label, id) AS k FROM preds) WHERE k <= 5", "preds")
+@query("best_matches", "SELECT task AS query, id AS target, cast(k AS bigint) AS place FROM (SELECT task, id, row_number() OVER (PARTITION BY task ORDER BY pred, label, id) AS k FROM preds WHERE pred <= 0.003) WHERE k <= 5", "preds")
 def best_matches(spark, d):
     p = T.preds(spark, d).select(F.col("task").alias("query"), F.col("id").alias("target"), F.col("pred").alias("q_value"), F.col("label").alias("p_value"))
-    made = motifs.top_matches(motifs.significant(p, "q_value", 1.0), 5)
+    made = motifs.top_matches(motifs.significant(p, "q_value", 0.003), 5)
     return made.select("query", "target", F.col("place").cast("long").alias("place"))
 
 
@@ -361,9 +362,9 @@ def weighted_losses(spark, d):
     return made.select(six("bce").alias("bce"), six("ce").alias("ce"))
 
 
-@query("multiclass_accuracy", f"SELECT round(avg(CASE WHEN (a >= b) = (la >= lb) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM (SELECT id, max(value) FILTER (task='t1') AS a, max(value) FILTER (task='t2') AS b, max(value*value-value) FILTER (task='t1') AS la, max(value*value-value) FILTER (task='t2') AS lb FROM ({_DENSE}) WHERE pos = 1 GROUP BY id)", "sequences")
+@query("multiclass_accuracy", f"SELECT round(avg(CASE WHEN (a >= b) = (la >= lb) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM (SELECT id, max(value) FILTER (task='t1') AS a, max(value) FILTER (task='t2') AS b, max(value*value-value) FILTER (task='t1') AS la, max(value*value-value) FILTER (task='t2') AS lb FROM ({_DENSE}) GROUP BY id, pos)", "sequences")
 def multiclass_accuracy(spark, d):
-    p = _dense(spark, d).filter("pos = 1").select("id", "task", F.col("value").alias("pred"), (F.col("value") * F.col("value") - F.col("value")).alias("label"))
+    p = _dense(spark, d).select(F.struct("id", "pos").alias("id"), "task", F.col("value").alias("pred"), (F.col("value") * F.col("value") - F.col("value")).alias("label"))
     return metrics.multiclass_accuracy(p).withColumn("accuracy", six("accuracy"))
 
 
@@ -379,11 +380,15 @@ def user_aggregates(spark, d):
     return made.select("id", six("value").alias("value"))
 
 
-@query("effect_intervals", f"SELECT pos, round(m - 1.959963985*s, 2) AS low, round(m + 1.959963985*s, 2) AS high FROM (SELECT pos, avg(value) AS m, stddev_pop(value)/sqrt(count(*)) AS s, count(*) AS n FROM ({_DENSE}) WHERE task='t1' GROUP BY pos) WHERE n > 1500", "sequences")
+_T95 = "CASE n WHEN 2 THEN 12.706204736 WHEN 3 THEN 4.302652730 WHEN 4 THEN 3.182446305 WHEN 5 THEN 2.776445105 WHEN 6 THEN 2.570581836 WHEN 7 THEN 2.446911851 ELSE 1.959963985 + 2.372271/(n-1) + 2.8225/((n-1)*(n-1)) + 2.5558/((n-1)*(n-1)*(n-1)) END"
+
+
+@query("effect_intervals", f"SELECT pos, n, round(m - t*s, 2) + 0.0 AS low, round(m + t*s, 2) + 0.0 AS high FROM (SELECT *, {_T95} AS t FROM (SELECT pos, avg(value) AS m, stddev_pop(value)/sqrt(count(*)) AS s, count(*)::double AS n FROM ({_DENSE}) WHERE task='t1' GROUP BY pos)) WHERE n > 1", "sequences")
 def effect_intervals(spark, d):
+    """t intervals at all places, those with few rows included."""
     p = _dense(spark, d).filter("task = 't1'").withColumnRenamed("value", "effect")
-    made = metrics.effect_by_position(p).filter("n > 1500")
-    return made.select(F.col("pos").cast("long").alias("pos"), F.round("low", 2).alias("low"), F.round("high", 2).alias("high"))
+    made = metrics.effect_by_position(p).filter("n > 1")
+    return made.select(F.col("pos").cast("long").alias("pos"), F.col("n").cast("double").alias("n"), (F.round("low", 2) + 0.0).alias("low"), (F.round("high", 2) + 0.0).alias("high"))
 
 
 # SQL of queries that the other module registers without it
@@ -392,3 +397,7 @@ _NAMED = f"WITH sequences AS ({T.SQL['sequences']}), motifs AS ({T.motifs_sql()}
 ORACLES["motif_sites"] = f"{_NAMED} {_TAILS} SELECT w.id, motif, cast(istart AS bigint) AS istart, cast(istart+6 AS bigint) AS iend, strand, round(score, 6) AS score, p AS p_value, substring(q.seq, cast(istart AS bigint)+1, 6) AS matched_seq FROM ({_SITES}) w JOIN sequences q ON q.id = w.id WHERE p < 0.001"
 _LINEAR = ", r0 AS (SELECT 0 AS iter, id, -1 AS pos, '' AS allele, seq, {score} AS total_score FROM sequences WHERE length(seq) > 41), ".format(score=_score_sql("seq", "t1")) + ", ".join(_ROUND.format(i=i, j=i - 1, score=_score_sql("seq", "t1")) for i in (1, 2))
 ORACLES["evolved"] = f"WITH sequences AS ({T.SQL['sequences']}) {_LINEAR} SELECT cast(iter AS integer) AS iter, id, cast(pos AS integer) AS pos, allele, seq, round(total_score, 6) AS total_score FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2 WHERE (SELECT max(total_score) FROM r1) > (SELECT max(total_score) FROM r0))"
+_ALT = "SELECT id, substring(seq, 1, (length(seq)-6)//2) || 'CACGTG' || substring(seq, (length(seq)-6)//2+7) AS seq FROM sequences WHERE length(seq) > 41"
+_ALT_SITES = _SITES.replace("FROM sequences s", f"FROM ({_ALT}) s")
+ORACLES["compared_motifs"] = f"""{_NAMED} {_TAILS} SELECT id, motif, cast(istart AS bigint) AS istart, cast(istart+6 AS bigint) AS iend, strand, round(a.score, 6) AS score_ref, round(b.score, 6) AS score_alt, a.p AS p_ref, b.p AS p_alt, round(b.score - a.score, 6) AS score_diff
+ FROM ({_SITES}) a JOIN ({_ALT_SITES}) b USING (id, motif, strand, istart) WHERE (a.p < 0.001 OR b.p < 0.001) AND abs(a.score - b.score) > 1e-9"""

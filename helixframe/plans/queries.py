@@ -132,10 +132,17 @@ def add_negatives(spark, d):
     return I.add_negatives(T.intervals(spark, d).withColumn("label", F.lit(1.0)), T.blacklist(spark, d)).select("id", "chrom", "is_negative", "label")
 
 
-@query("merge_by_group", """SELECT id % 1000 AS g, min(chrom) AS chrom, cast(min(istart) AS bigint) AS istart, cast(max(iend) AS bigint) AS iend FROM intervals GROUP BY id % 1000
- HAVING count(DISTINCT chrom) = 1 AND count(DISTINCT strand) = 1""", "intervals")
+#: A third of the intervals in groups of one chromosome and strand, the others in groups of any.
+_GROUP = "CASE WHEN id % 3 = 0 THEN chrom || strand || (id % 7) ELSE 'g' || (id % 1000) END"
+
+
+@query("merge_by_group", f"""SELECT g, CASE WHEN one THEN chrom ELSE '' END AS chrom, CASE WHEN one THEN istart ELSE -1 END AS istart, CASE WHEN one THEN iend ELSE -1 END AS iend, NOT one AS conflicts FROM (
+ SELECT {_GROUP} AS g, min(chrom) AS chrom, cast(min(istart) AS bigint) AS istart, cast(max(iend) AS bigint) AS iend, count(DISTINCT chrom) = 1 AND count(DISTINCT strand) = 1 AS one FROM intervals GROUP BY 1)""", "intervals")
 def merge_by_group(spark, d):
-    return _out(I.merge_intervals_by_column(T.intervals(spark, d).withColumn("g", F.col("id") % 1000), "g")[0].select("g", "chrom", "start", "end"))
+    group = F.when(F.col("id") % 3 == 0, F.concat("chrom", "strand", (F.col("id") % 7).cast("string"))).otherwise(F.concat(F.lit("g"), (F.col("id") % 1000).cast("string")))
+    merged, conflicts = I.merge_intervals_by_column(T.intervals(spark, d).withColumn("g", group), "g")
+    both = merged.select("g", "chrom", "start", "end").withColumn("conflicts", F.lit(False)).unionByName(conflicts.withColumn("conflicts", F.lit(True)), allowMissingColumns=True)
+    return _out(both.fillna("", "chrom").fillna(-1, ["start", "end"]))
 
 
 def _draw(seed: int, key: str) -> str:
@@ -498,7 +505,7 @@ _BYTASK = "preds"
 @query("mse_pearson_accuracy", "SELECT task, round(avg((pred-label)*(pred-label)),6) AS mse, round(corr(pred,label),6) AS pearson, round(avg(CASE WHEN (pred>0.5)=(label=1) THEN 1.0 ELSE 0.0 END),6) AS accuracy FROM preds GROUP BY task", "preds")
 def mse_pearson_accuracy(spark, d):
     p = T.preds(spark, d)
-    return metrics.mse(p).join(metrics.pearson(p), "task").join(metrics.accuracy(p), "task").select("task", *[six(c).alias(c) for c in ("mse", "pearson", "accuracy")])
+    return metrics.task_metrics(p).select("task", *[six(c).alias(c) for c in ("mse", "pearson", "accuracy")])
 
 
 _PR = """points AS (SELECT task, pred, sum(label) AS tp_own, count(*) AS n_own FROM preds GROUP BY task, pred),
@@ -578,9 +585,10 @@ def ensemble_labels(spark, d):
     return metrics.preds_with_labels(e, e.withColumn("value", F.col("pos")), [0, 3]).select("id", "pos", "task", six("pred").alias("pred"), "label")
 
 
-@query("argmax_tasks", f"SELECT id, pos, CASE WHEN a >= b THEN 't1' ELSE 't2' END AS task FROM (SELECT id, pos, max(value) FILTER (task='t1') AS a, max(value) FILTER (task='t2') AS b FROM ({_DENSE}) WHERE pos = 2 GROUP BY id, pos)", "sequences")
+@query("argmax_tasks", f"SELECT id, pos, CASE WHEN a >= b THEN 't1' ELSE 't2' END AS task FROM (SELECT id, pos, max(value) FILTER (task='t1') AS a, max(value) FILTER (task='t2') AS b FROM ({_DENSE}) GROUP BY id, pos)", "sequences")
 def argmax_tasks(spark, d):
-    return metrics.argmax(_dense(spark, d).filter("pos = 2"), "value").withColumn("pos", F.lit(2).cast("long"))
+    made = metrics.argmax(_dense(spark, d).withColumn("at", F.struct("id", F.col("pos").cast("long").alias("pos"))), "value", "at")
+    return made.select("at.id", "at.pos", "task")
 
 
 @query("gc_histogram", "SELECT b AS bin, count(id) AS n FROM range(0,10) r(b) LEFT JOIN (SELECT id, len(list_filter(range(0,10), lambda i: i*0.1::double <= (length(seq)-length(translate(seq,'GC','')))/length(seq)::double)) - 1 AS bin FROM sequences) s ON s.bin = b GROUP BY b", "sequences")
@@ -593,10 +601,10 @@ def label_transforms(spark, d):
     return T.matrix(spark, d).select("obs", "var", six(S.label_transform(F.col("value"), 2, 40, "log")).alias("log_value"), six(S.label_transform(F.col("value"), 2, 40, "log1p")).alias("log1p_value"))
 
 
-@query("specific_ids", f"SELECT id FROM (SELECT id, avg(value-1.5) AS m, max(value-1.5) FILTER (task='t2') AS e FROM ({_DENSE}) WHERE pos=0 GROUP BY id) WHERE e < 0 AND m >= 0", "sequences")
+@query("specific_ids", f"SELECT id, pos FROM (SELECT id, pos, avg(value-1.5) AS m, max(value-1.5) FILTER (task='t2') AS e FROM ({_DENSE}) GROUP BY id, pos) WHERE e < 0 AND m >= 0", "sequences")
 def specific_ids(spark, d):
-    effects = _dense(spark, d).filter("pos = 0").withColumn("effect", F.col("value") - 1.5)
-    return scoring.specific_effects(effects, "t2", 0, 0).select("id")
+    effects = _dense(spark, d).withColumn("id", F.struct("id", F.col("pos").cast("long").alias("pos"))).withColumn("effect", F.col("value") - 1.5)
+    return scoring.specific_effects(effects, "t2", 0, 0).select("id.id", "id.pos")
 
 
 @query("evolved")
