@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,9 @@ class Scratch:
     its tasks alone. What a later table replaces can be dropped; a table that a result
     still reads must stay."""
 
+    #: When garbage was last collected.
+    tidied = 0.0
+
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.made = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", {}
 
@@ -46,6 +51,16 @@ class Scratch:
                 where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
                 self.made[path] = None
+        self._tidy()
+
+    def _tidy(self) -> None:
+        """Lets the driver forget the plans of dropped tables, at most every two seconds: Spark deletes their shuffle
+        files from the executors' disks only once the driver has collected its garbage, and in a loop of many small
+        jobs that may be long after."""
+        if time.monotonic() - Scratch.tidied > 2:
+            gc.collect()
+            self.spark._jvm.System.gc()
+            Scratch.tidied = time.monotonic()
 
     def close(self) -> None:
         """Deletes all tables: for a caller that has read its result."""
