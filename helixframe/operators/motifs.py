@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.operators.metrics import running_counts
-from helixframe.operators.scoring import two_sided
 from helixframe.schema import BASES
 
 #: Added to each probability before its logarithm, and the width of a score step for p-values.
@@ -249,16 +248,41 @@ def top_matches(matches: DataFrame, n: int = 3) -> DataFrame:
     return matches.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
 
 
+#: Step to which column distances are rounded.
+DISTANCE_STEP = 0.01
+
+
+def _alignment_chances(laid: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
+    """``laid`` (one query's alignments: first, last, steps) plus ``p_one``: the chance that as many columns, drawn
+    at random for the same stretch of the query, lie as near. The sums' distribution is the convolution of the
+    distances that each of the query's columns has to all target columns (``seen``: pos, step, n)."""
+    width = int(seen["pos"].max()) + 1
+    one = np.zeros((width, int(seen["step"].max()) + 1))
+    np.add.at(one, (seen["pos"].to_numpy(), seen["step"].to_numpy()), seen["n"].to_numpy("float64"))
+    one /= one.sum(1, keepdims=True)
+    chance = np.ones(len(laid))
+    first, last, steps = (laid[c].to_numpy() for c in ("first", "last", "steps"))
+    for begin in range(width):
+        sums = np.ones(1)
+        for end in range(begin + 1, width + 1):
+            sums = np.convolve(sums, one[end - 1])
+            own = (first == begin) & (last == end)
+            if own.any():
+                below = np.minimum(sums.cumsum(), 1.0)
+                chance[own] = below[np.minimum(steps[own], len(below) - 1)]
+    return laid.assign(p_one=chance)[["query", "target", "offset", "strand", "overlap", "distance", "p_one"]]
+
+
 def motif_similarity(queries: DataFrame, targets: DataFrame, min_overlap: int = 1) -> DataFrame:
-    """(query, target, offset, strand, overlap, distance, p_value, e_value, q_value).
-
-    Every query is laid over every target at each offset and both strands; the distance is the
-    mean Euclidean distance of the columns laid over each other, with positions left
-    alone counted as columns laid over a uniform one. The best alignment is kept. Its p-value is that of
-    an alignment null: a column's distances to the query's are like those to all columns of all
-    targets, so the sum over an overlap is taken as normal with the mean and variance of those, and
-    the least of as many alignments as were tried has p = 1 - (1 - p_one) ** tried. The product of the two
-    catalogues is the work asked for; each of its pairs has bounded offsets.
+    """(query, target, offset, strand, overlap, distance, p_value, e_value, q_value, query_consensus, target_consensus).
+
+    Every query is laid over every target at each offset and both strands. An alignment's score is the sum of the
+    Euclidean distances of the columns laid over each other, in steps of 0.01; its p-value is exact for the null that a
+    column's partner is drawn from all columns of all targets (see ``_alignment_chances``). The alignment with the
+    smallest p-value is kept (of equals the one with more overlap, on strand "+", with the smaller offset); as the least of
+    as many as were tried it has p = 1 - (1 - p_one) ** tried. ``distance`` is the mean over the columns laid over each
+    other. The product of the two catalogues is the work asked for; each of its pairs has bounded offsets, and a
+    query's alignments are put together in one task: those with a catalogue of targets.
     """
     width = lambda df, name: df.groupBy(name).agg((F.max("pos") + 1).alias(f"{name}_width"))
     q = queries.select(F.col("motif").alias("query"), "pos", "base", "prob")
@@ -267,21 +291,22 @@ def motif_similarity(queries: DataFrame, targets: DataFrame, min_overlap: int =
     both = t.withColumn("strand", F.lit("+"))
     turned = t.join(t_width, "target").select("target", (F.col("target_width") - 1 - F.col("pos")).alias("pos"), F.translate("base", "ACGT", "TGCA").alias("base"), "prob").withColumn("strand", F.lit("-"))
     both = both.unionByName(turned)
-    laid = q_width.crossJoin(t_width).withColumn("offset", F.explode(F.sequence(min_overlap - F.col("query_width"), F.col("target_width") - min_overlap)))
+    laid = q_width.crossJoin(t_width).withColumn("offset", F.explode(F.sequence(1 - F.col("query_width"), F.col("target_width") - 1)))
     cells = laid.join(q, "query").withColumn("at", F.col("pos") + F.col("offset")).join(both.select("target", F.col("pos").alias("at"), "base", F.col("prob").alias("prob_t"), "strand"), ["target", "at", "base"])
-    columns = cells.groupBy("query", "target", "offset", "strand", "at", "query_width", "target_width").agg(F.sqrt(F.sum(F.pow(F.col("prob") - F.col("prob_t"), 2))).alias("apart"))
+    columns = cells.groupBy("query", "target", "offset", "strand", "pos").agg(F.sqrt(F.sum(F.pow(F.col("prob") - F.col("prob_t"), 2))).alias("apart"))
+    columns = columns.withColumn("step", F.round(F.col("apart") / DISTANCE_STEP).cast("long"))
     # over all offsets each column of the query meets each column of the targets once a strand
-    null = columns.groupBy("query").agg(F.avg("apart").alias("mean"), F.var_pop("apart").alias("var"))
-    flat = 0.866
-    laid_out = columns.groupBy("query", "target", "offset", "strand", "query_width", "target_width").agg(F.sum("apart").alias("sum"), F.count("*").alias("overlap"))
-    whole = F.greatest("query_width", "target_width")
-    scored = laid_out.withColumn("distance", F.round((F.col("sum") + flat * (whole - F.col("overlap"))) / whole, 9))
-    best = scored.groupBy("query", "target").agg(F.count("*").alias("tried"), F.min_by(F.struct("offset", "strand", "overlap", "distance", "sum"), F.struct("distance", -F.col("overlap"), "strand", "offset")).alias("best")).select("query", "target", "tried", "best.*")
-    z = (F.col("sum") - F.col("overlap") * F.col("mean")) / F.sqrt(F.greatest(F.col("overlap") * F.col("var"), F.lit(1e-12)))
-    one = F.when(z < 0, two_sided(z) / 2).otherwise(1 - two_sided(z) / 2)
-    counted = best.join(null, "query").withColumn("n", F.count("*").over(Window.partitionBy("query")))
-    ranked = counted.withColumn("p_value", -F.expm1(F.col("tried") * F.log1p(-F.least(one, F.lit(1 - 1e-15)))))
-    return fdr_bh(ranked.withColumn("e_value", F.col("p_value") * F.col("n")), "p_value", "query").drop("n", "tried", "mean", "var", "sum")
+    seen = columns.groupBy("query", F.col("pos").cast("long").alias("pos"), "step").agg(F.count("*").alias("n")).toDF("query", "pos", "step", "n")
+    own = columns.groupBy("query", "target", "offset", "strand").agg(F.min("pos").cast("long").alias("first"), (F.max("pos") + 1).cast("long").alias("last"), F.sum("step").alias("steps"), F.count("*").alias("overlap"), F.avg("apart").alias("distance"))
+    own = own.filter(F.col("overlap") >= min_overlap).withColumn("offset", F.col("offset").cast("long"))
+    own = own.toDF(*own.columns)  # names of its own beside those of ``seen``
+    chances = own.groupBy("query").cogroup(seen.groupBy("query")).applyInPandas(lambda a, b: _alignment_chances(a, b) if len(a) else pd.DataFrame({"query": [], "target": [], "offset": [], "strand": [], "overlap": [], "distance": [], "p_one": []}), "query string, target string, offset long, strand string, overlap long, distance double, p_one double")
+    order = F.struct(F.round("p_one", 12), -F.col("overlap"), F.col("strand"), F.col("offset"))
+    best = chances.groupBy("query", "target").agg(F.count("*").alias("tried"), F.min_by(F.struct("offset", "strand", "overlap", "distance", "p_one"), order).alias("best")).select("query", "target", "tried", "best.*")
+    counted = best.withColumn("n", F.count("*").over(Window.partitionBy("query")))
+    ranked = counted.withColumn("p_value", -F.expm1(F.col("tried") * F.log1p(-F.least("p_one", F.lit(1 - 1e-15))))).withColumn("e_value", F.col("p_value") * F.col("n"))
+    named = ranked.join(consensus(queries).toDF("query", "query_consensus"), "query").join(consensus(targets).toDF("target", "target_consensus"), "target")
+    return fdr_bh(named, "p_value", "query").select("query", "target", "offset", "strand", "overlap", "distance", "p_value", "e_value", "q_value", "query_consensus", "target_consensus")
 
 
 def significant(df: DataFrame, column: str, most: float) -> DataFrame:

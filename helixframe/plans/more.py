@@ -60,6 +60,13 @@ def read_fasta(spark, d):
     return files.read_fasta(spark, _written(spark, T.sequences(spark, d).select(record.alias("value"))))
 
 
+@query("read_fasta_chunks", "SELECT 'seq' || id AS chrom, cast(k AS integer) AS chunk_id, substring(seq, k*64+1, 64) AS bases FROM (SELECT *, unnest(range(0, (length(seq)+63)//64)) AS k FROM sequences)", "sequences")
+def read_fasta_chunks(spark, d):
+    """Written in lines of 60 letters, read straight into chunks."""
+    lines = T.sequences(spark, d).select(F.concat(F.lit(">seq"), "id", F.lit(" a record\n"), F.regexp_replace("seq", "(.{60})", "$1\n")).alias("value"))
+    return files.read_fasta_chunks(spark, _written(spark, lines), 64)
+
+
 @query("genome_sizes", "SELECT 'seq' || id AS chrom, cast(length(seq) AS bigint) AS size FROM sequences", "sequences")
 def genome_sizes(spark, d):
     sizes = genome.genome_sizes(T.sequences(spark, d).select(F.concat(F.lit("seq"), "id").alias("name"), "seq"))
@@ -391,8 +398,33 @@ def effect_intervals(spark, d):
     return made.select(F.col("pos").cast("long").alias("pos"), F.col("n").cast("double").alias("n"), (F.round("low", 2) + 0.0).alias("low"), (F.round("high", 2) + 0.0).alias("high"))
 
 
+_LANGUAGE = """language AS (SELECT lang AS target, p AS pos, b AS base, (n+1)/(sum(n+1) OVER (PARTITION BY lang, p))::double AS prob FROM (
+ SELECT lang, i % 6 AS p, b, count(*) FILTER (substring(seq, i+1, 1) = b) AS n FROM (SELECT lang, seq, unnest(range(0, length(seq))) AS i FROM sequences), (VALUES ('A'),('C'),('G'),('T')) v(b) GROUP BY lang, i % 6, b))"""
+_ALIGNED = f""", {_LANGUAGE},
+ sides AS (SELECT target, pos, base, prob, '+' AS strand FROM language UNION ALL SELECT target, 5-pos, translate(base,'ACGT','TGCA'), prob, '-' FROM language),
+ col AS (SELECT m.motif AS query, m.pos, s.target, s.strand, s.pos AS tp, sqrt(sum((m.prob-s.prob)*(m.prob-s.prob))) AS apart FROM motifs m JOIN sides s ON s.base = m.base GROUP BY m.motif, m.pos, s.target, s.strand, s.pos),
+ step AS (SELECT *, cast(round(apart/0.01) AS bigint) AS step FROM col),
+ seen AS (SELECT query, pos, step, count(*)/(sum(count(*)) OVER (PARTITION BY query, pos))::double AS p FROM step GROUP BY query, pos, step),
+ own AS (SELECT query, target, tp-pos AS off, strand, min(pos) AS a, max(pos)+1 AS b, cast(sum(step) AS bigint) AS steps, count(*) AS overlap, avg(apart) AS distance FROM step GROUP BY query, target, tp-pos, strand),
+ conv(query, a, b, s, p) AS (SELECT query, pos, pos+1, step, p FROM seen UNION ALL SELECT c.query, c.a, c.b+1, c.s+n.step, sum(c.p*n.p) FROM conv c JOIN seen n ON n.query = c.query AND n.pos = c.b GROUP BY c.query, c.a, c.b, c.s+n.step),
+ one AS (SELECT o.*, (SELECT sum(c.p) FROM conv c WHERE c.query = o.query AND c.a = o.a AND c.b = o.b AND c.s <= o.steps) AS p_one FROM own o),
+ best AS (SELECT *, count(*) OVER (PARTITION BY query, target) AS tried, row_number() OVER (PARTITION BY query, target ORDER BY round(p_one, 12), overlap DESC, strand, off) AS k FROM one)"""
+
+
+@query("similar_motifs", f"{_ALIGNED} SELECT query, target, cast(off AS bigint) AS off, strand, overlap, round(distance, 6) AS distance, round(1-pow(1-least(p_one, 1-1e-15), tried), 6) AS p_value FROM best WHERE k = 1", "sequences", "motifs")
+def similar_motifs(spark, d):
+    """The fixed motifs against one of each language: shares of bases by place modulo 6."""
+    places = T.sequences(spark, d).select("lang", F.posexplode(F.split("seq", "")).alias("i", "base")).groupBy("lang", (F.col("i") % 6).alias("pos")).agg(*[F.count_if(F.col("base") == b).alias(b) for b in "ACGT"])
+    total = sum((F.col(b) for b in "CGT"), F.col("A")) + 4
+    cells = F.explode(F.array(*[F.struct(F.lit(b).alias("base"), ((F.col(b) + 1) / total).alias("prob")) for b in "ACGT"])).alias("x")
+    targets = places.select(F.col("lang").alias("motif"), "pos", cells).select("motif", "pos", "x.base", "x.prob")
+    made = motifs.motif_similarity(T.motifs(spark), targets)
+    return made.select("query", "target", F.col("offset").alias("off"), "strand", "overlap", six("distance").alias("distance"), six("p_value").alias("p_value"))
+
+
 # SQL of queries that the other module registers without it
 
+ORACLES["similar_motifs"] = ORACLES["similar_motifs"].replace("WITH ", "WITH RECURSIVE ", 1)
 _NAMED = f"WITH sequences AS ({T.SQL['sequences']}), motifs AS ({T.motifs_sql()})"
 ORACLES["motif_sites"] = f"{_NAMED} {_TAILS} SELECT w.id, motif, cast(istart AS bigint) AS istart, cast(istart+6 AS bigint) AS iend, strand, round(score, 6) AS score, p AS p_value, substring(q.seq, cast(istart AS bigint)+1, 6) AS matched_seq FROM ({_SITES}) w JOIN sequences q ON q.id = w.id WHERE p < 0.001"
 _LINEAR = ", r0 AS (SELECT 0 AS iter, id, -1 AS pos, '' AS allele, seq, {score} AS total_score FROM sequences WHERE length(seq) > 41), ".format(score=_score_sql("seq", "t1")) + ", ".join(_ROUND.format(i=i, j=i - 1, score=_score_sql("seq", "t1")) for i in (1, 2))

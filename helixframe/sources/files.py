@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NARROWPEAK = "chrom string, start long, end long, name string, score double, strand string, signal double, p_value double, q_value double, summit long"
@@ -35,6 +35,41 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return records.select(F.trim(F.regexp_replace(F.split(head, r"\s+")[0], "\r", "")).alias("name"), F.regexp_replace(body, r"\s+", "").alias("seq"))
 
 
+def read_fasta_chunks(spark: SparkSession, path: str, chunk: int = 4096) -> DataFrame:
+    """(chrom, chunk_id, bases), as ``genome.genome_chunks`` gives, without a row that holds a whole record.
+
+    Files are read by lines, in as many splits as Spark makes of them. A split's lines are numbered within it; how many
+    letters and which record stand before a split comes from one row for each split, added up. So each line knows its
+    record and its place in it, is cut at the chunks' borders, and a chunk's pieces are put in order. No row is longer
+    than a line or a chunk, no window larger than a split. Letters are made upper case; the name is what stands
+    before the first space; lines before the first record, and records without letters, give nothing.
+    """
+    lines = spark.read.text(path).select(F.rtrim("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    head = F.col("line").startswith(">")
+    name = F.when(head, F.split(F.substring(F.col("line"), F.lit(2), F.length("line")), r"\s+")[0])
+    lines = lines.withColumn("name", name).withColumn("n", F.when(head, 0).otherwise(F.length("line")).cast("long"))
+    inside = Window.partitionBy("file", "split").orderBy("at")
+    before = F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    lines = lines.withColumn("before", F.coalesce(before, F.lit(0)))
+    # the record that a line is in, and how many letters of the split stand before that record
+    record = F.last(F.when(F.col("name").isNotNull(), F.struct("name", "before")), ignorenulls=True)
+    lines = lines.withColumn("own", record.over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    splits = lines.groupBy("file", "split").agg(F.sum("n").alias("letters"), F.max_by("own", F.when(F.col("own").isNotNull(), F.col("at"))).alias("last"))
+    ahead = Window.partitionBy("file").orderBy("split")
+    splits = splits.withColumn("ahead", F.coalesce(F.sum("letters").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    opened = F.last(F.when(F.col("last").isNotNull(), F.struct(F.col("last.name").alias("name"), (F.col("ahead") + F.col("last.before")).alias("at"))), ignorenulls=True)
+    splits = splits.withColumn("open", opened.over(ahead.rowsBetween(Window.unboundedPreceding, -1))).select("file", "split", "ahead", "open")
+    placed = lines.filter("n > 0").join(splits, ["file", "split"])
+    start = F.when(F.col("own").isNotNull(), F.col("before") - F.col("own.before")).otherwise(F.col("ahead") + F.col("before") - F.col("open.at"))
+    placed = placed.select(F.coalesce("own.name", "open.name").alias("chrom"), start.alias("pos"), "line", "n").filter("chrom IS NOT NULL")
+    cut = placed.select("chrom", "pos", "line", "n", F.explode(F.sequence(F.floor(F.col("pos") / chunk), F.floor((F.col("pos") + F.col("n") - 1) / chunk))).alias("chunk_id")).withColumn("chunk_id", F.col("chunk_id").cast("int"))
+    low = F.greatest(F.col("chunk_id").cast("long") * chunk - F.col("pos"), F.lit(0))
+    high = F.least((F.col("chunk_id").cast("long") + 1) * chunk - F.col("pos"), F.col("n"))
+    pieces = cut.select("chrom", "chunk_id", F.struct((F.col("pos") + low).alias("pos"), F.upper(F.substring("line", (low + 1).cast("int"), (high - low).cast("int"))).alias("bases")).alias("piece"))
+    joined = pieces.groupBy("chrom", "chunk_id").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    return joined.select("chrom", "chunk_id", F.array_join(F.transform("pieces", lambda x: x["bases"]), "").alias("bases"))
+
+
 def read_sizes(spark: SparkSession, path: str) -> DataFrame:
     return _tab(spark, path, schema="chrom string, size long")
 

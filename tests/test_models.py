@@ -126,3 +126,29 @@ def test_table_functions(spark):
     got = spark.sql("SELECT id, t.* FROM {df}, LATERAL sequence_tiles(seq, 4, 2) t ORDER BY tile_start", df=df).collect()
     assert [tuple(r) for r in got] == [(1, 0, "ACGT"), (1, 2, "GTAC")]
     assert spark.sql("SELECT id, t.* FROM {df}, LATERAL sequence_mutants(seq) t", df=df).filter("id = 3").collect() == [(3, 0, b, "A") for b in "CGT"]
+
+
+def test_motif_alignments_against_all_draws(spark):
+    """The chance of an alignment, against every way to draw the target columns of its stretch."""
+    from itertools import product
+
+    from helixframe.operators import motifs
+
+    columns = {"q": [(0.7, 0.1, 0.1, 0.1), (0.1, 0.2, 0.6, 0.1)], "x": [(0.6, 0.2, 0.1, 0.1), (0.25, 0.25, 0.25, 0.25), (0.1, 0.1, 0.7, 0.1)], "y": [(0.1, 0.1, 0.1, 0.7)]}
+    table = lambda *names: spark.createDataFrame([(m, i, b, p) for m in names for i, c in enumerate(columns[m]) for b, p in zip("ACGT", c)], "motif string, pos int, base string, prob double")
+    every = [c for m in "xy" for c in columns[m]] + [c[::-1] for m in "xy" for c in columns[m]]
+    step = lambda a, b: int(sum((x - y) ** 2 for x, y in zip(a, b)) ** 0.5 / 0.01 + 0.5)
+    got = {(r["target"]): r for r in motifs.motif_similarity(table("q"), table("x", "y")).collect()}
+    for target in "xy":
+        chances = []
+        for strand in "+-":
+            t = columns[target] if strand == "+" else [c[::-1] for c in columns[target][::-1]]
+            for offset in range(-1, len(t)):
+                met = [(i, i + offset) for i in range(2) if 0 <= i + offset < len(t)]
+                seen = sum(step(columns["q"][i], t[j]) for i, j in met)
+                draws = [sum(step(columns["q"][i], c) for (i, _), c in zip(met, own)) for own in product(every, repeat=len(met))]
+                chances.append((round(sum(d <= seen for d in draws) / len(draws), 12), -len(met), strand, offset))
+        p, overlap, strand, offset = min(chances)
+        assert (got[target]["strand"], got[target]["offset"], got[target]["overlap"]) == (strand, offset, -overlap)
+        assert got[target]["p_value"] == pytest.approx(1 - (1 - min(p, 1 - 1e-15)) ** len(chances))
+    assert got["x"]["query_consensus"] == "AG" and got["y"]["target_consensus"] == "T"

@@ -72,3 +72,36 @@ def test_running_insertions(spark, tmp_path):
 
 def test_sql_names_its_tables():
     assert set(T.SQL) == {"intervals", "blacklist", "sequences", "matrix", "variants", "preds"}
+
+
+def test_fasta_straight_into_chunks(spark, tmp_path):
+    """Records over many splits and files, lines of any length, against records read whole."""
+    import random
+
+    from helixframe.operators import genome
+
+    rng, want = random.Random(3), {}
+    (tmp_path / "fa").mkdir()
+    for f in range(2):
+        lines = ["stray"] if f else []
+        for i in range(6):
+            name = f"c{f}_{i}"
+            lines.append(f">{name} some > words")
+            seq = "".join(rng.choice("acgtN") for _ in range(rng.choice([0, 1, 150, 2000])))
+            want[name] = seq.upper()
+            width = rng.choice([7, 60, 5000])
+            lines += [seq[at : at + width] for at in range(0, len(seq), width)] + ([""] if i % 2 else [])
+        (tmp_path / "fa" / f"{f}.fa").write_text("\n".join(lines) + "\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = {}
+        for r in files.read_fasta_chunks(spark, f"{tmp_path}/fa", 64).collect():
+            got[r["chrom"], r["chunk_id"]] = r["bases"]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {(n, i // 64): s[i : i + 64] for n, s in want.items() for i in range(0, len(s), 64)}
+    records = spark.createDataFrame([(n, s) for n, s in want.items()], "name string, seq string")
+    assert {tuple(r) for r in genome.genome_chunks(records, 64).collect()} == {(*k, v) for k, v in got.items()}
