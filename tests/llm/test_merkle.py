@@ -57,7 +57,7 @@ def check(spark, rows):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == plain(rows, odd)
 
 
-@pytest.mark.parametrize("n", [1, 8, 9, 65, 520])
+@pytest.mark.parametrize("n", [1, 9, 520])
 def test_manifest_matches_plain_tree(spark, n):
     rng = random.Random(n)
     langs = ["en"] * 6 + ["de", "é", None, "zz"]
