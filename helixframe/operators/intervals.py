@@ -189,18 +189,18 @@ def overlap_pairs(df: DataFrame, ref: DataFrame, width: int = BIN, carry: Sequen
     return a.join(b, ["chrom", "bin"]).filter((F.col("bin") == first) & (F.col("a_start") < F.col("b_end")) & (F.col("a_end") > F.col("b_start"))).drop("bin")
 
 
-def merge_intervals_by_column(df: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
-    """One interval a group, from its least start to its largest end; and, apart from those, the
-    groups that lie on several chromosomes or strands, which can't be merged."""
+def merge_intervals_by_column(df: DataFrame, group: str, count: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """One interval a group, from its least start to its largest end, with its number of rows in the column ``count`` if that is
+    named; and, apart from those, the groups that lie on several chromosomes or strands, which can't be merged."""
     stranded = "strand" in df.columns
     made = df.groupBy(group).agg(
         F.min("chrom").alias("chrom"), F.max("chrom").alias("chrom__"), F.min("start").alias("start"), F.max("end").alias("end"),
-        *([F.min("strand").alias("strand"), F.max("strand").alias("strand__")] if stranded else []),
+        *([F.min("strand").alias("strand"), F.max("strand").alias("strand__")] if stranded else []), *([F.count("*").alias(count)] if count else []),
     )
     one = F.col("chrom") == F.col("chrom__")
     if stranded:
         one = one & F.col("strand").eqNullSafe(F.col("strand__"))
-    names = ["chrom", "start", "end", *(["strand"] if stranded else []), group]
+    names = ["chrom", "start", "end", *(["strand"] if stranded else []), *([count] if count else []), group]
     return made.filter(one).select(*names), made.filter(~one).select(group)
 
 

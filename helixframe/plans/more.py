@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,17 +11,13 @@ from helixframe.functions import sequence as S
 from helixframe.operators import coverage, expand, genome, intervals as I, matrix as M, metrics, motifs, scoring, variants as V, windows
 from helixframe.plans import tables as T
 from helixframe.plans.queries import ORACLES, _DENSE, _LOCAL, _ODDS, TASKS, _dense, _local_variants, _long, _score_sql, query, six
+from helixframe.scratch import shared_folder
 from helixframe.sources import files
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared one (``spark.checkpoint.dir``); on one machine without it, a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-        shared = tempfile.mkdtemp(prefix="files-")
-    return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 def _written(spark: SparkSession, lines: DataFrame) -> str:

@@ -53,8 +53,8 @@ _OVER = "a.istart < b.iend + {w} AND a.iend > b.istart - {w}"
  WHERE NOT EXISTS (SELECT 1 FROM blacklist b WHERE a.chrom = b.chrom AND {_OVER.format(w=0)}) GROUP BY chrom""", "intervals", "blacklist")
 def blacklist_then_merge(spark, d):
     kept = I.filter_blacklist(T.intervals(spark, d), T.blacklist(spark, d))
-    merged, _ = I.merge_intervals_by_column(kept.drop("strand").withColumn("g", F.col("chrom")), "g")
-    return _out(merged.join(kept.groupBy("chrom").agg(F.count("*").alias("n")), "chrom").select("chrom", "n", "start", "end"))
+    merged, _ = I.merge_intervals_by_column(kept.drop("strand").withColumn("g", F.col("chrom")), "g", "n")
+    return _out(merged.select("chrom", "n", "start", "end"))
 
 
 @query("overlap_any", f"SELECT id, chrom, cast(istart AS bigint) AS istart, cast(iend AS bigint) AS iend FROM intervals a WHERE EXISTS (SELECT 1 FROM blacklist b WHERE a.chrom = b.chrom AND {_OVER.format(w=500)})", "intervals", "blacklist")
