@@ -31,6 +31,15 @@ def gc_fraction(seq: Column) -> Column:
     return (F.length(seq) - F.length(F.translate(seq, "GC", ""))) / F.nullif(F.length(seq), F.lit(0))
 
 
+def seq_length(seq: Column) -> Column:
+    return F.length(seq)
+
+
+def all_equal_length(seq: Column) -> Column:
+    """An aggregate: whether all sequences have one length; null without any."""
+    return F.min(F.length(seq)) == F.max(F.length(seq))
+
+
 def valid_dna(seq: Column) -> Column:
     return seq.rlike("^[ACGTN]*$")
 

@@ -7,17 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.operators.intervals import BIN, overlap_pairs
+from helixframe.operators.intervals import BIN, filter_overlapping, overlap_pairs
 from helixframe.schema import INTERVALS, require_columns
 
 
-def insertion_counts(fragments: DataFrame, plus_shift: int = 0, minus_shift: int = 0, chroms: Sequence[str] | None = None) -> DataFrame:
-    """(chrom, pos, depth): fragment ends at each base; the end's own base is end - 1."""
+def insertion_counts(fragments: DataFrame, plus_shift: int = 0, minus_shift: int = 0, chroms: Sequence[str] | None = None, within: DataFrame | None = None) -> DataFrame:
+    """(chrom, pos, depth): fragment ends at each base; the end's own base is end - 1. ``within`` keeps the bases of some
+    intervals only, before anything is shuffled."""
     require_columns(fragments, *INTERVALS)
     if chroms is not None:
         fragments = fragments.filter(F.col("chrom").isin(list(chroms)))
     ends = F.explode(F.array(F.col("start") + plus_shift, F.col("end") + minus_shift - 1)).alias("pos")
-    return fragments.select("chrom", ends).groupBy("chrom", "pos").agg(F.count("*").alias("depth"))
+    bases = fragments.select("chrom", ends)
+    if within is not None:
+        bases = filter_overlapping(bases.select("chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end")), within).select("chrom", F.col("start").alias("pos"))
+    return bases.groupBy("chrom", "pos").agg(F.count("*").alias("depth"))
 
 
 def merge_runs(depths: DataFrame, span: int = 1_000_000) -> DataFrame:
@@ -41,14 +45,21 @@ def merge_runs(depths: DataFrame, span: int = 1_000_000) -> DataFrame:
 
 
 def coverage_over_intervals(df: DataFrame, runs: DataFrame, how: str = "sum", width: int = BIN) -> DataFrame:
-    """(id, value): sum, or mean over the interval's bases, of the signal under each interval.
+    """(id, value): sum, mean, max or min over an interval's bases of the signal under it.
     Bases without a run count as 0, so an interval without any has 0."""
     require_columns(runs, *INTERVALS, "value")
     pairs = overlap_pairs(df, runs, width, carry=("value",))
     shared = F.least("a_end", "b_end") - F.greatest("a_start", "b_start")
-    sums = pairs.groupBy("id").agg(F.sum(F.col("value") * shared).alias("sum"))
-    value = F.coalesce("sum", F.lit(0)).cast("double")
-    return df.join(sums, "id", "left").select("id", (value if how == "sum" else value / (F.col("end") - F.col("start"))).alias("value"))
+    sums = pairs.groupBy("id").agg(F.sum(F.col("value") * shared).alias("sum"), F.sum(shared).alias("covered"), F.max("value").alias("max"), F.min("value").alias("min"))
+    size, none = F.col("end") - F.col("start"), F.lit(0)
+    whole = F.col("covered") >= size
+    value = {
+        "sum": F.coalesce("sum", none).cast("double"),
+        "mean": F.coalesce("sum", none).cast("double") / size,
+        "max": F.when(whole, F.col("max")).otherwise(F.greatest(F.coalesce("max", none), none)).cast("double"),
+        "min": F.when(whole, F.col("min")).otherwise(F.least(F.coalesce("min", none), none)).cast("double"),
+    }[how]
+    return df.join(sums, "id", "left").select("id", value.alias("value"))
 
 
 def bin_signal(signal: DataFrame, bin_size: int, how: str = "sum") -> DataFrame:

@@ -199,8 +199,8 @@ def encoded_bases(spark, d):
 
 @query("equal_lengths", "SELECT cast(min(length(seq)) AS bigint) AS shortest, cast(max(length(seq)) AS bigint) AS longest, min(length(seq)) = max(length(seq)) AS equal FROM sequences", "sequences")
 def equal_lengths(spark, d):
-    n = F.length("seq").cast("long")
-    return T.sequences(spark, d).agg(F.min(n).alias("shortest"), F.max(n).alias("longest"), (F.min(n) == F.max(n)).alias("equal"))
+    n = S.seq_length(F.col("seq")).cast("long")
+    return T.sequences(spark, d).agg(F.min(n).alias("shortest"), F.max(n).alias("longest"), S.all_equal_length(F.col("seq")).alias("equal"))
 
 
 # genome
@@ -294,8 +294,20 @@ def coverage_runs(spark, d):
 
 @query("coverage_over_regions", f"""SELECT b.id, cast(coalesce(sum(depth),0) AS double) AS value FROM blacklist b LEFT JOIN ({_INSERT}) c ON b.chrom = c.chrom AND c.pos >= b.istart AND c.pos < b.iend GROUP BY b.id""", "intervals", "blacklist")
 def coverage_over_regions(spark, d):
-    runs = coverage.merge_runs(coverage.insertion_counts(T.intervals(spark, d), 4, -5))
-    return coverage.coverage_over_intervals(T.blacklist(spark, d), runs)
+    regions = T.blacklist(spark, d)
+    runs = coverage.merge_runs(coverage.insertion_counts(T.intervals(spark, d), 4, -5, within=regions))
+    return coverage.coverage_over_intervals(regions, runs)
+
+
+@query("coverage_extremes", f"""SELECT b.id, cast(coalesce(max(depth), 0) AS double) AS high, cast(CASE WHEN count(pos) < any_value(iend-istart) THEN 0 ELSE min(depth) END AS double) AS low
+ FROM (SELECT id, chrom, (istart+iend)//2-10 AS istart, (istart+iend)//2-10+(id%25)+1 AS iend FROM blacklist) b LEFT JOIN ({_INSERT}) c ON b.chrom = c.chrom AND c.pos >= b.istart AND c.pos < b.iend GROUP BY b.id""", "intervals", "blacklist")
+def coverage_extremes(spark, d):
+    """Largest and smallest depth in stretches of 1 to 25 bases."""
+    low = F.floor((F.col("start") + F.col("end")) / 2) - 10
+    regions = T.blacklist(spark, d).select("id", "chrom", low.alias("start"), (low + F.col("id") % 25 + 1).alias("end"))
+    runs = coverage.merge_runs(coverage.insertion_counts(T.intervals(spark, d), 4, -5, within=regions))
+    high, least = (coverage.coverage_over_intervals(regions, runs, how).withColumnRenamed("value", name) for how, name in (("max", "high"), ("min", "low")))
+    return high.join(least, "id")
 
 
 @query("binned_signal", "SELECT id, task, pos//8 AS pos, round(avg(v),6) AS value FROM (SELECT id, 'gc' AS task, i-1 AS pos, CASE WHEN substring(seq,i,1) IN ('G','C') THEN 1.0 ELSE 0.0 END::double AS v FROM sequences, generate_series(1,400) g(i) WHERE i <= length(seq)) GROUP BY id, task, pos//8", "sequences")
@@ -424,7 +436,8 @@ def tile_shuffle_effects(spark, d):
     return made.join(own, "id").groupBy("id", "tile_start").agg(six(F.avg(F.col("value") - F.col("own"))).alias("effect"))
 
 
-@query("random_mutants")
+@query("random_mutants", f"""SELECT id, substring(seq, 1, p) || base || substring(seq, p+2) AS seq, cast(p AS integer) AS pos, base FROM (
+ SELECT id, seq, p, list_filter(['A','C','G','T'], lambda b: b <> seq[p+1])[({_draw(5, 'id')}) % 3 + 1] AS base FROM (SELECT id, seq, ({_draw(4, 'id')}) % length(seq) AS p FROM sequences))""", "sequences")
 def random_mutants(spark, d):
     return expand.random_mutants(T.sequences(spark, d).select("id", "seq"), 4)
 
