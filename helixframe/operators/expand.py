@@ -146,8 +146,12 @@ def random_mutants(df: DataFrame, seed: int = 0, drop_ref: bool = True, protect:
     return made.withColumn("seq", mutate(F.col("seq"), F.col("base"), F.col("pos"))).drop("places__", "others__")
 
 
-def gc_bin(gc: Column, binwidth: float) -> Column:
-    """Index of the last edge i * binwidth that the GC fraction reaches."""
+def gc_bin(seq: Column, binwidth: float) -> Column:
+    return share_bin(gc_fraction(seq), binwidth)
+
+
+def share_bin(gc: Column, binwidth: float) -> Column:
+    """Index of the last edge i * binwidth that a GC fraction reaches."""
     edges = F.array(*[F.lit(i * binwidth) for i in range(int(np.ceil(1 / binwidth - 1e-9)))])
     return F.size(F.filter(edges, lambda e: e <= gc)) - 1
 
@@ -169,7 +173,7 @@ def gc_matched_negatives(inputs: DataFrame, windows: DataFrame, binwidth: float
     """As many of ``windows`` (id, chrom, start, end, seq) as ``inputs`` (the same columns) has in each
     GC bin, none overlapping an input or the blacklist: a seeded draw within each bin."""
     require_columns(windows, "id", "seq", *INTERVALS)
-    bin_of = gc_bin(gc_fraction(F.col("seq")), binwidth).alias("bin")
+    bin_of = gc_bin(F.col("seq"), binwidth).alias("bin")
     return _matched(inputs.select("*", bin_of), windows.select("*", bin_of), seed, blacklist, "id")
 
 
@@ -181,7 +185,7 @@ def genome_negatives(inputs: DataFrame, chunks: DataFrame, size: int, binwidth:
     name; all by default), less those that overlap an input or the blacklist. Their letters are counted in
     chunks, never put together. Inputs that reach over the genome's end are not counted.
     """
-    share = gc_bin(F.col("n_gc") / F.lit(float(size)), binwidth).alias("bin")
+    share = share_bin(F.col("n_gc") / F.lit(float(size)), binwidth).alias("bin")
     counted = interval_counts(inputs, chunks, chunk).filter(F.col("n") == size)
     binned = inputs.join(counted.select("id", share), "id").select("id", *INTERVALS, "bin")
     tiles = tiled_counts(chunks if chroms is None else filter_chromosomes(chunks, chroms), size, chunk)
