@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.sequence import Comparison, compare, mutate
-from helixframe.operators.expand import pattern_scan, saturation_mutants
+from helixframe.operators.expand import first_mutants, pattern_scan, saturation_mutants
 from helixframe.scratch import Scratch
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min}
@@ -251,7 +251,7 @@ def score_improved(rounds: DataFrame) -> DataFrame:
     return rounds.withColumn("improved", F.coalesce(F.col("best") > F.lag("best").over(Window.orderBy("iter")), F.lit(True)))
 
 
-def evolve(seqs: DataFrame, scorer: dict[str, float] | Callable[[DataFrame], DataFrame], method: str = "ism", patterns: Sequence[str] = (), max_iter: int = 10, positions: Sequence[int] | None = None, for_each: bool = True, stop: str = "all") -> DataFrame:
+def evolve(seqs: DataFrame, scorer: dict[str, float] | Callable[[DataFrame], DataFrame], method: str = "ism", patterns: Sequence[str] = (), max_iter: int = 10, positions: Sequence[int] | None = None, for_each: bool = True, stop: str = "all", by_counts: bool = False) -> DataFrame:
     """(iter, id, pos, allele, seq, total_score, best_in_iter): greedy design by the best single substitution (or
     written pattern) a round: of each start sequence, or with ``for_each`` False of all of them together, where
     the one best sequence goes on alone (of equals the first by id, position and allele).
@@ -261,15 +261,25 @@ def evolve(seqs: DataFrame, scorer: dict[str, float] | Callable[[DataFrame], Dat
     best score of a round does not beat the last one's; that round is kept. With ``stop`` "each" a start
     leaves the rounds by itself as soon as its own best does not beat its last one, and the others go on.
     Rounds are written to the shared folder, and one row a round reaches the driver.
+
+    ``by_counts`` says that a sequence's score depends on how many of each letter it has alone, as a linear scorer's does.
+    Substitutions of one letter by one base then score the same, and the first of them comes before the others: it alone
+    is made (``first_mutants``, twelve a sequence of four letters), and only the rows that are the best of a round are
+    returned. They are the rows that the longer way marks as best.
     """
     if stop not in ("all", "each"):
         raise ValueError("stop must be all or each")
+    if by_counts and (method != "ism" or positions is not None or not for_each):
+        raise ValueError("by_counts is for substitutions at all positions of each start")
     store = Scratch(seqs.sparkSession)
     score = scorer if callable(scorer) else lambda df: df.withColumn("total_score", linear_score(F.col("seq"), scorer))
     names = ["iter", "id", "pos", "allele", "seq", "total_score", "best_in_iter"]
 
     def marked(rows: DataFrame, turn: int) -> DataFrame:
         rows = rows.withColumn("iter", F.lit(turn))
+        if by_counts:
+            best = F.max_by(F.struct("pos", "allele", "seq", "total_score"), F.struct("total_score", -F.col("pos"), -F.ascii("allele")))
+            return rows.groupBy("iter", "id").agg(best.alias("b")).select("iter", "id", "b.*", F.lit(True).alias("best_in_iter")).select(*names)
         if for_each:
             return best_in_group(rows, "id").select(*names)
         # the best of each task's rows, then of those: one small row
@@ -284,7 +294,8 @@ def evolve(seqs: DataFrame, scorer: dict[str, float] | Callable[[DataFrame], Dat
     best = first.agg(F.max("total_score").alias("b")).first()["b"]
     for turn in range(1, max_iter + 1):
         step = now.select("id", "seq")
-        made = saturation_mutants(step, positions, drop_ref=True).withColumnRenamed("base", "allele") if method == "ism" else pattern_scan(step, patterns, positions).withColumnRenamed("pattern", "allele")
+        mutants = first_mutants(step) if by_counts else saturation_mutants(step, positions, drop_ref=True) if method == "ism" else None
+        made = mutants.withColumnRenamed("base", "allele") if mutants is not None else pattern_scan(step, patterns, positions).withColumnRenamed("pattern", "allele")
         scored = store.cut(marked(score(made), turn))
         rounds.append(scored)
         ahead = scored.filter("best_in_iter").select("id", "seq", "total_score")

@@ -152,3 +152,15 @@ def test_motif_alignments_against_all_draws(spark):
         assert (got[target]["strand"], got[target]["offset"], got[target]["overlap"]) == (strand, offset, -overlap)
         assert got[target]["p_value"] == pytest.approx(1 - (1 - min(p, 1 - 1e-15)) ** len(chances))
     assert got["x"]["query_consensus"] == "AG" and got["y"]["target_consensus"] == "T"
+
+
+@pytest.mark.parametrize("of_counts", [{"A": 0.5, "C": 1.0, "G": 3.0, "T": 3.0}, None])
+def test_evolve_by_counts(spark, of_counts):
+    """The first mutant of each kind gives the rows that all mutants together mark as best, ties and other letters included."""
+    rows, df = seqs(spark, 20, 9, 1, 25)
+    gc = lambda d: d.withColumn("total_score", -F.abs(F.length("seq") - 2 * F.length(F.translate("seq", "GC", ""))).cast("double"))
+    want = scoring.evolve(df, of_counts or gc, max_iter=3).filter("best_in_iter").collect()
+    got = scoring.evolve(df, of_counts or gc, max_iter=3, by_counts=True).collect()
+    assert len(want) >= 40 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    with pytest.raises(ValueError):
+        scoring.evolve(df, gc, "pattern", ["GG"], by_counts=True)
