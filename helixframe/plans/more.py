@@ -239,7 +239,7 @@ _EVOLVED = ", r0 AS (SELECT 0 AS iter, id, -1 AS pos, '' AS allele, seq, {score}
 def evolved_best(spark, d):
     balance = F.abs(S.gc_fraction(F.col("seq")) - 0.5)
     score = lambda df: df.withColumn("total_score", scoring.linear_score(F.col("seq"), TASKS["t1"]) - 8.0 * balance)
-    made = scoring.evolve(_long(T.sequences(spark, d)).select("id", "seq"), score, max_iter=2).filter("best_in_iter")
+    made = scoring.evolve(_long(T.sequences(spark, d)).select("id", "seq"), score, max_iter=2, by_counts=True)
     return made.select(F.col("iter").cast("long").alias("iter"), "id", F.col("pos").cast("long").alias("pos"), "allele", "seq", six("total_score").alias("total_score"))
 
 
