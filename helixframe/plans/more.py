@@ -339,10 +339,10 @@ def trimmed_motifs(spark, d):
     return motifs.trim_motif(shares, 0.8731).select("motif", F.col("pos").cast("long").alias("pos"), "base", six("prob").alias("prob"))
 
 
-@query("best_matches", "SELECT task AS query, id AS target, cast(k AS bigint) AS place FROM (SELECT task, id, row_number() OVER (PARTITION BY task ORDER BY pred, label, id) AS k FROM preds WHERE pred <= 0.003) WHERE k <= 5", "preds")
+@query("best_matches", "SELECT task AS query, id AS target, cast(k AS bigint) AS place FROM (SELECT task, id, row_number() OVER (PARTITION BY task ORDER BY pred, label, id) AS k FROM preds) WHERE k <= 5", "preds")
 def best_matches(spark, d):
     p = T.preds(spark, d).select(F.col("task").alias("query"), F.col("id").alias("target"), F.col("pred").alias("q_value"), F.col("label").alias("p_value"))
-    made = motifs.top_matches(motifs.significant(p, "q_value", 0.003), 5)
+    made = motifs.top_matches(p, 5)
     return made.select("query", "target", F.col("place").cast("long").alias("place"))
 
 
