@@ -1,7 +1,7 @@
 """A scorer to which the order of letters matters: the mean weight of a sequence's k-letter windows.
 
 Weights are one number for each of the 4 ** k windows, by their code (A, C, G, T as digits 0 to 3, the first letter
-first). A window with another letter weighs 0. All is done by expressions over the sequence; nothing is
+first). A window with another letter weighs 0. Whole sequences are scored in Arrow batches; nothing is
 shuffled, and a substitution rescores the windows that hold it and no other.
 """
 
@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,21 +46,60 @@ def kmer_codes(seq: Column, k: int) -> Column:
     return codes
 
 
-def kmer_total(seq: Column, weights: Sequence[float], k: int) -> Column:
-    """Sum of the weights of a sequence's windows."""
-    held = F.array(*[F.lit(float(w)) for w in weights])  # one constant
-    return F.aggregate(kmer_codes(seq, k), F.lit(0.0), lambda total, c: total + F.when(c >= 0, F.get(held, c)).otherwise(0.0))
+#: Letters that are looked up at a time.
+SLICE = 1 << 18
 
 
-def kmer_score(seq: Column, weights: Sequence[float], k: int) -> Column:
-    """Mean weight of the windows; null for a sequence shorter than one."""
-    return F.when(F.length(seq) >= k, kmer_total(seq, weights, k) / (F.length(seq) - k + 1))
+def kmer_totals(seq: Column, weights: Weights) -> dict[str, Column]:
+    """Sum of the weights of a sequence's windows for each task, in their order; null for null.
+
+    The sequences of a batch are laid end to end: windows are codes of one long array, and their weights are added up by
+    sequence. All tasks come from one pass.
+    """
+    k, held = _k(weights), [np.array([float(x) for x in w]) for w in weights.values()]
+    code = np.full(256, NO_LETTER, "int64")
+    code[[ord(b) for b in BASES]] = range(len(BASES))
+
+    def added(texts: list[str]) -> np.ndarray:
+        letters = [t.encode("ascii", "replace") for t in texts]
+        row = np.repeat(np.arange(len(texts)), [len(x) for x in letters])
+        flat = code[np.frombuffer(b"".join(letters), "uint8")]
+        n = len(flat) - k + 1
+        if n < 1:
+            return np.zeros((len(texts), len(held)))
+        codes = flat[:n]
+        for j in range(1, k):
+            codes = codes * 4 + flat[j : n + j]
+        whole = (codes >= 0) & (row[:n] == row[k - 1 :])
+        codes, row = codes[whole], row[:n][whole]
+        # bincount adds one after the other, from the first window to the last
+        return np.stack([np.bincount(row, w[codes], len(texts)) for w in held], 1)
+
+    @F.pandas_udf(", ".join(f"t{i} double" for i in range(len(held))))
+    def totals(seqs: pd.Series) -> pd.DataFrame:
+        out = np.full((len(seqs), len(held)), np.nan)
+        texts, places, letters = [], [], 0
+        for i, text in enumerate(seqs):
+            if text is not None:
+                texts.append(text)
+                places.append(i)
+                letters += len(text)
+            if texts and (letters >= SLICE or i == len(seqs) - 1):
+                out[places] = added(texts)
+                texts, places, letters = [], [], 0
+        if texts:
+            out[places] = added(texts)
+        return pd.DataFrame(out, columns=[f"t{i}" for i in range(len(held))])
+
+    made = totals(seq)
+    return {task: made[f"t{i}"] for i, task in enumerate(weights)}
 
 
 def scorer(weights: Weights):
-    """A function from a sequence column to one score column a task, as ``scoring`` takes it."""
+    """A function from a sequence column to one score column a task, as ``scoring`` takes it: the mean weight of the
+    windows, null for a sequence shorter than one."""
     k = _k(weights)
-    return lambda seq: {task: kmer_score(seq, w, k) for task, w in weights.items()}
+    return lambda seq: {task: F.when(F.length(seq) >= k, total / (F.length(seq) - k + 1)) for task, total in kmer_totals(seq, weights).items()}
 
 
 def substitution_scores(df: DataFrame, weights: Weights, positions: Sequence[int] | None = None, drop_ref: bool = False) -> DataFrame:
@@ -68,7 +109,7 @@ def substitution_scores(df: DataFrame, weights: Weights, positions: Sequence[int
     again: a sequence of n letters costs n * 4 * k windows, not n * 4 * n. Sequences shorter than a window have no rows.
     """
     k, size = _k(weights), F.length("seq")
-    totals = [kmer_total(F.col("seq"), w, k).alias(f"total__{i}") for i, w in enumerate(weights.values())]
+    totals = [t.alias(f"total__{i}") for i, t in enumerate(kmer_totals(F.col("seq"), weights).values())]
     held = ["id", "n__", *[f"total__{i}" for i in range(len(weights))]]
     # totals and letters are columns before rows are multiplied, or each row would make them again
     made = df.filter(size >= k).select("id", (size - k + 1).alias("n__"), *totals, letter_codes(F.col("seq")).alias("letters__"))

@@ -187,10 +187,13 @@ def pattern_moments(backgrounds: DataFrame, patterns: Sequence[str], scorer: Sco
     return _moments(spread.select("id", "pattern", mutate(F.col("seq"), F.col("pattern")).alias("with__"), F.col("seq").alias("without__")), ["id", "pattern"], scorer, how)
 
 
-def tile_moments(shuffled: DataFrame, seqs: DataFrame, scorer: Scorer, how: Comparison = "subtract") -> DataFrame:
+def tile_moments(shuffled: DataFrame, seqs: DataFrame | None, scorer: Scorer, how: Comparison = "subtract") -> DataFrame:
     """(id, tile_start, task, n, background_mean, background_sd): what shuffling a tile does, from ``expand.tile_shuffles``
-    of ``seqs`` (id, seq)."""
-    both = shuffled.select("id", "tile_start", F.col("seq").alias("with__")).join(seqs.select("id", F.col("seq").alias("without__")), "id")
+    of ``seqs`` (id, seq). Without ``seqs`` each row of ``shuffled`` has its whole sequence in ``own``, and nothing is joined."""
+    if seqs is None:
+        both = shuffled.select("id", "tile_start", F.col("seq").alias("with__"), F.col("own").alias("without__"))
+    else:
+        both = shuffled.select("id", "tile_start", F.col("seq").alias("with__")).join(seqs.select("id", F.col("seq").alias("without__")), "id")
     return _moments(both, ["id", "tile_start"], scorer, how)
 
 

@@ -80,9 +80,9 @@ def pattern_effects_in_context(spark, d):
 
 @query("shuffled_tile_effects")
 def shuffled_tile_effects(spark, d):
-    seqs = T.sequences(spark, d).select("id", "seq")
+    seqs = T.sequences(spark, d).select("id", "seq", F.col("seq").alias("own"))
     shuffled = expand.tile_shuffles(seqs, 50, F.length("seq"), 25, 6, 3, 2)
-    return scoring.tile_moments(shuffled, seqs, kmers.scorer(WEIGHTS)).withColumns({c: six(c) for c in ("background_mean", "background_sd")})
+    return scoring.tile_moments(shuffled, None, kmers.scorer(WEIGHTS)).withColumns({c: six(c) for c in ("background_mean", "background_sd")})
 
 
 @query("significance_against_shuffles")

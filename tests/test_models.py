@@ -164,3 +164,13 @@ def test_evolve_by_counts(spark, of_counts):
     assert len(want) >= 40 and sorted(map(tuple, got)) == sorted(map(tuple, want))
     with pytest.raises(ValueError):
         scoring.evolve(df, gc, "pattern", ["GG"], by_counts=True)
+
+
+def test_tiles_carry_their_sequence(spark):
+    """Effects of tiles are the same whether the whole sequence is joined or stands in the row."""
+    _, df = seqs(spark, 5, 4, 40, 60, "ACGT")
+    made = expand.tile_shuffles(df.withColumn("own", F.col("seq")), 12, F.length("seq"), 6, 4, 2, 1)
+    got, want = (scoring.tile_moments(made, x, kmers.scorer(WEIGHTS)).collect() for x in (None, df))
+    assert got and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    apart = seqs(spark, 40, 5, 0, 9)[1].select(*[t.alias(n) for n, t in kmers.kmer_totals(F.col("seq"), WEIGHTS).items()])
+    assert all(r["a"] is not None for r in apart.collect())
