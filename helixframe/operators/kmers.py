@@ -114,26 +114,27 @@ def substitution_scores(df: DataFrame, weights: Weights, positions: Sequence[int
     # totals and letters are columns before rows are multiplied, or each row would make them again
     made = df.filter(size >= k).select("id", (size - k + 1).alias("n__"), *totals, letter_codes(F.col("seq")).alias("letters__"))
     places = F.sequence(F.lit(0), F.size("letters__") - 1) if positions is None else F.filter(F.array(*map(F.lit, positions)), lambda p: p < F.size("letters__"))
-    offsets = range(1 - k, k)
-    around = lambda p: [F.coalesce(F.when(p + o >= 0, F.get("letters__", p + o)), F.lit(NO_LETTER)).alias(f"at{o}") for o in offsets]
-    spots = F.transform(places, lambda p: F.struct(p.alias("pos"), *around(p)))
-    # the outer form: with the other, Spark adds a filter that computes the places a second time, letter by letter
-    made = made.select(*held, spots.alias("spots__")).select(*held, F.explode_outer("spots__").alias("spot")).filter("spot IS NOT NULL").select(*held, "spot.*")
-    made = made.withColumn("to__", F.explode(F.array(*map(F.lit, range(len(BASES))))))
-    if drop_ref:
-        made = made.filter("to__ <> at0")
-
-    def windows(at_zero: Column) -> list[Column]:
-        """Codes of the k windows that hold the place, with a letter there."""
-        read = lambda o: at_zero if o == 0 else F.col(f"`at{o}`")
-        return [sum((read(o) * 4 ** (first + k - 1 - o) for o in range(first + 1, first + k)), read(first) * 4 ** (k - 1)) for first in range(1 - k, 1)]
+    # the outer form: with the other, Spark adds a filter that computes the letters a second time
+    made = made.select(*held, "letters__", F.explode_outer(places).alias("pos")).filter("pos IS NOT NULL")
+    at = lambda o: F.coalesce(F.when(F.col("pos") + o >= 0, F.get("letters__", F.col("pos") + o)), F.lit(NO_LETTER))
+    firsts = range(1 - k, 1)
 
     def weight(code: Column, w: Sequence[float]) -> Column:
         return F.when(code >= 0, F.get(F.array(*[F.lit(float(x)) for x in w]), code)).otherwise(0.0)
 
+    # of the k windows that hold the place: their codes without the letter there, and their weights with it
+    made = made.select(*held, "pos", *[at(o).alias(f"at{o}") for o in range(1 - k, k)])
+    rest = [sum((F.col(f"`at{o}`") * 4 ** (first + k - 1 - o) for o in range(first, first + k) if o != 0), F.lit(0)).alias(f"rest{-first}") for first in firsts]
+    made = made.select(*held, "pos", "at0", *rest)
+    code = lambda first, letter: F.col(f"rest{-first}") + F.col(letter) * 4 ** (first + k - 1)
+    old = [weight(code(first, "at0"), w).alias(f"old{-first}_{i}") for first in firsts for i, w in enumerate(weights.values())]
+    made = made.select("*", *old).withColumn("to__", F.explode(F.array(*map(F.lit, range(len(BASES))))))
+    if drop_ref:
+        made = made.filter("to__ <> at0")
+
     each = []
     for i, (task, w) in enumerate(weights.items()):
-        changed = sum((weight(new, w) - weight(old, w) for new, old in zip(windows(F.col("to__")), windows(F.col("at0")))), F.lit(0.0))
+        changed = sum((weight(code(first, "to__"), w) - F.col(f"old{-first}_{i}") for first in firsts), F.lit(0.0))
         each.append(F.struct(F.lit(task).alias("task"), (F.col(f"total__{i}") / F.col("n__")).alias("own"), ((F.col(f"total__{i}") + changed) / F.col("n__")).alias("value")))
     base = F.substring(F.lit(BASES), F.col("to__") + 1, F.lit(1)).alias("base")
     return made.select("id", "pos", base, F.explode(F.array(*each)).alias("s")).select("id", "s.task", "pos", "base", "s.own", "s.value")
