@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,21 +37,20 @@ def _nearest(profile: Column, centers: Sequence[Sequence[float]]) -> Column:
     return F.array_min(F.transform(F.array_repeat(profile, len(centers)), lambda p, k: F.struct(far(p, k).alias("d"), k.alias("k"))))["k"]
 
 
-def with_topics(docs: DataFrame, text: str = "text", out: str = "topic", tokens_out: str | None = None, topics: int = 8, sample_rows: int = 20_000, rounds: int = 4, seed: int = 5) -> DataFrame:
+def with_topics(docs: DataFrame, text: str = "text", out: str = "topic", tokens_out: str | None = None, topics: int = 8, rounds: int = 4) -> DataFrame:
     """``docs`` plus ``out``: which of ``topics`` centroids of hashed terms a whole text is nearest to,
     ``none`` for texts without terms; and its number of words in ``tokens_out``, if named.
 
     A profile is the share of a text's terms in each of 16 hash buckets. Centroids are fitted by
-    nearest-mean rounds on about ``sample_rows`` rows drawn by a hash of the text (the documented
-    bound for fitting); every text is then assigned. The driver gets the centroids alone.
+    nearest-mean rounds on the profiles of all texts, which are written once, equal ones as one row with their
+    number; the rounds start at the first distinct profiles by a hash. The driver gets the centroids alone, to nine
+    digits, so that they don't depend on the partitioning.
     """
     store = Scratch(docs.sparkSession)
-    n = docs.count()
-    draw = unit_hash(F.lit(seed), F.col(text))
-    sample = docs.filter(draw < min(1.0, sample_rows / max(n, 1))).select(F.col(text).alias("text__")).limit(2 * sample_rows)
-    rows = store.cut(sample.select(_terms(words(F.col("text__"))).alias("terms__")).filter("terms__ <> ''").select(_profile().alias("p")))
-    centers = [list(r["p"]) for r in rows.distinct().orderBy(F.xxhash64("p")).limit(topics).collect()]
-    means = F.array(*[F.avg(F.get("p", F.lit(i))) for i in range(len(LETTERS))]).alias("p")
+    profiles = docs.select(_terms(words(F.col(text))).alias("terms__")).filter("terms__ <> ''").select(_profile().alias("p"))
+    rows = store.cut(profiles.groupBy("p").agg(F.count("*").alias("n")))
+    centers = [list(r["p"]) for r in rows.orderBy(F.xxhash64("p"), "p").limit(topics).collect()]
+    means = F.array(*[F.round(F.sum(F.get("p", F.lit(i)) * F.col("n")) / F.sum("n"), 9) for i in range(len(LETTERS))]).alias("p")
     for _ in range(rounds if len(centers) > 1 else 0):
         for r in rows.groupBy(_nearest(F.col("p"), centers).alias("k")).agg(means).collect():
             centers[r["k"]] = list(r["p"])
@@ -107,18 +107,18 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], start: float = 1.0, mo
         return now.withColumn("weight", weight if most is None else F.least(weight, F.lit(float(most)))).select(*cells.columns, "weight")
 
     last = float("inf")
-    for _ in range(rounds):
-        worst = 0.0
+    for _ in range(rounds if targets else 0):
         for m in targets:
             sums = weighed().groupBy(m).agg(F.sum(F.col("tokens") * F.col("weight")).alias("now__"), F.sum("tokens").alias("most__"))
             ratio = F.col(f"target__{m}") / F.nullif(F.col("now__"), F.lit(0.0))
             spent = F.col("now__") >= F.col("most__") * (float("inf") if most is None else most * (1 - 1e-9))
             stuck = spent & (ratio > 1)
             step = factors[m].join(sums, m, "left").select(m, f"target__{m}", (F.col(f"factor__{m}") * F.when(stuck, 1.0).otherwise(F.coalesce(ratio, F.lit(1.0)))).alias(f"factor__{m}"), F.when(stuck, 0.0).otherwise(F.coalesce(F.abs(ratio - 1), F.lit(0.0))).alias("off__"))
-            before, made = factors[m], store.cut(step)
-            worst = max(worst, made.agg(F.max("off__").alias("off")).first()["off"] or 0.0)
-            factors[m] = made
+            before, factors[m] = factors[m], store.cut(step)
             store.drop(before)
+        # one small job a round
+        offs = reduce(DataFrame.unionByName, [f.select("off__") for f in factors.values()])
+        worst = offs.agg(F.max("off__").alias("off")).first()["off"] or 0.0
         if worst <= tolerance or worst > 0.9 * last:
             break
         last = worst

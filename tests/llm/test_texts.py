@@ -627,3 +627,12 @@ def test_language_model_counts_every_string(spark):
                 grams[f"<{w}>"[i : i + size]] += n
         assert {g for g in model.grams if len(g) == size} == set(grams)
         assert all(model.grams[g][1] == pytest.approx(math.log((n + 0.5) / grams.total())) for g, n in grams.items())
+
+
+def test_topics_are_fitted_on_all_texts(spark):
+    """The centroids are those of nearest-mean rounds over every text, however many copies a text has; no draw takes part."""
+    docs = table(spark, ["alpha beta alpha" if i % 3 else "gamma delta epsilon zeta" for i in range(60)])
+    got = mixing.with_topics(docs, topics=2, rounds=2).select("text", "topic").distinct().collect()
+    assert len(got) == 2 and len({r["topic"] for r in got}) == 2
+    with pytest.raises(TypeError):
+        mixing.with_topics(docs, sample_rows=10)
