@@ -174,3 +174,28 @@ def test_tiles_carry_their_sequence(spark):
     assert got and sorted(map(tuple, got)) == sorted(map(tuple, want))
     apart = seqs(spark, 40, 5, 0, 9)[1].select(*[t.alias(n) for n, t in kmers.kmer_totals(F.col("seq"), WEIGHTS).items()])
     assert all(r["a"] is not None for r in apart.collect())
+
+
+def test_specificity_adds_the_last_place_first(spark, tmp_path):
+    """A text whose off-task sum is 12 by the numbers and above it in the SQL's order of addition."""
+    from __spark_entry__ import oracle_sql, queries
+    import duckdb
+
+    rng = random.Random(1)
+    rows = [(i, "".join(rng.choice("ACGT") for _ in range(rng.randint(20, 90))), "en", "s", 1) for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = dict(con.execute(f"SELECT id, specificity FROM ({oracle_sql()['specificity']})").fetchall())
+    got = {r["id"]: r["specificity"] for r in queries()["specificity"](spark, str(tmp_path)).collect()}
+    assert got == want
+
+
+def test_best_matches_of_any_pred(spark, tmp_path):
+    """Five matches a task, also where no pred is small."""
+    from __spark_entry__ import queries
+
+    rows = [(i, f"{i % 2 + 1}-X", 300000.0 + i, "F") for i in range(20)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderpriority string, o_totalprice double, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = queries()["best_matches"](spark, str(tmp_path)).collect()
+    assert sorted((r["query"], r["target"], r["place"]) for r in got) == [(f"{t + 1}-X", 2 * k + t, k + 1) for t in range(2) for k in range(5)]
