@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from helixframe.schema import CODES
+from helixframe.schema import BASES, CODES
 
 End = str  # "both", "left" or "right"
 
@@ -108,6 +109,18 @@ def encode(seq: Column) -> Column:
 
 
 def decode(codes: Column) -> Column:
+def phase_counts(seq: Column, period: int) -> Column:
+    """Counts of A, C, G and T at the places whose remainder modulo ``period`` is 0, 1, …: one array for each
+    remainder; null for null. All is counted within the row."""
+
+    @F.pandas_udf("array<long>")
+    def counted(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [t[r::period].count(b) for r in range(period) for b in BASES] for t in texts], dtype="object")
+
+    made = counted(seq)
+    return F.when(seq.isNotNull(), F.array(*[F.slice(made, r * 4 + 1, 4) for r in range(period)]))
+
+
     return F.array_join(F.transform(codes, lambda c: F.substring(F.lit(CODES), c + 1, F.lit(1))), "")
 
 

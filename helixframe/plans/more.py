@@ -101,9 +101,9 @@ _COUNTED = """SELECT id, p AS pos, b AS base, (n+1)/(sum(n+1) OVER (PARTITION BY
 
 def _document_motifs(spark, d) -> DataFrame:
     """(motif, pos, base, prob): each sequence's base shares by place modulo 6, one added to each count."""
-    bases = T.sequences(spark, d).select("id", F.posexplode(F.split("seq", "")).alias("i", "base"))
-    counts = bases.groupBy("id", ((F.col("i") + 1) % 6).alias("pos")).agg(*[F.count_if(F.col("base") == b).alias(b) for b in "ACGT"])
-    grid = T.sequences(spark, d).select("id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("pos")).join(counts, ["id", "pos"], "left").fillna(0, list("ACGT"))
+    counts = T.sequences(spark, d).select("id", S.phase_counts(F.col("seq"), 6).alias("counts")).select("id", F.posexplode("counts").alias("phase", "x"))
+    # places count from 1
+    grid = counts.select("id", ((F.col("phase") + 1) % 6).alias("pos"), *[F.get("x", F.lit(i)).alias(b) for i, b in enumerate("ACGT")])
     total = sum((F.col(b) for b in "CGT"), F.col("A")) + 4
     cells = F.explode(F.array(*[F.struct(F.lit(b).alias("base"), ((F.col(b) + 1) / total).alias("prob")) for b in "ACGT"])).alias("x")
     return grid.select(F.concat(F.lit("m"), "id").alias("motif"), "pos", cells).select("motif", "pos", "x.base", "x.prob")
@@ -350,8 +350,8 @@ def best_matches(spark, d):
 def named_motifs(spark, d):
     seqs = T.sequences(spark, d)
     names = seqs.filter("id % 3 = 0").select(F.concat(F.lit("m"), "id").alias("motif")).unionByName(seqs.filter("id % 5 = 0").select(F.concat(F.lit("other "), "id").alias("motif")))
-    found, missing = motifs.name_subset(_document_motifs(spark, d), names)
-    return found.select("motif").distinct().withColumn("found", F.lit(True)).unionByName(missing.withColumn("found", F.lit(False)))
+    found, missing = motifs.name_subset(_document_motifs(spark, d).select("motif").distinct(), names)
+    return found.withColumn("found", F.lit(True)).unionByName(missing.withColumn("found", F.lit(False)))
 
 
 # evaluation

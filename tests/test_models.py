@@ -6,7 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.functions import tables
+from helixframe.functions import sequence as S, tables
 from helixframe.operators import expand, kmers, scoring
 
 WEIGHTS = {"a": [((c * 7 + 3) % 11) / 3.7 - 1 for c in range(64)], "b": [((c * 5 + 1) % 13) / 3 for c in range(64)]}
@@ -199,3 +199,10 @@ def test_best_matches_of_any_pred(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, o_orderpriority string, o_totalprice double, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
     got = queries()["best_matches"](spark, str(tmp_path)).collect()
     assert sorted((r["query"], r["target"], r["place"]) for r in got) == [(f"{t + 1}-X", 2 * k + t, k + 1) for t in range(2) for k in range(5)]
+
+
+def test_counts_by_phase(spark):
+    """Counts within the row, of places by their remainder; nulls and empty strings."""
+    df = spark.createDataFrame([(1, "ACGTACGA"), (2, ""), (3, None), (4, "NNCA")], "id long, seq string")
+    got = {r["id"]: r["x"] for r in df.select("id", S.phase_counts(F.col("seq"), 3).alias("x")).collect()}
+    assert got == {1: [[("ACGTACGA"[r::3]).count(b) for b in "ACGT"] for r in range(3)], 2: [[0] * 4] * 3, 3: None, 4: [[1, 0, 0, 0], [0, 0, 0, 0], [0, 1, 0, 0]]}
