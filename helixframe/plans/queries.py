@@ -412,8 +412,9 @@ def pattern_spacing(spark, d):
 
 @query("pattern_marginalized")
 def pattern_marginalized(spark, d):
-    made = expand.pattern_backgrounds(T.sequences(spark, d).select("id", "seq"), ["CACGTG"], 3, 1)
-    return scoring.background_effects(scoring.score_linear(made, TASKS), "pattern").groupBy("id", "task").agg(six(F.avg("effect")).alias("effect"))
+    shuffled = expand.dinuc_shuffle(T.sequences(spark, d).select("id", "seq"), 3, 1)
+    made = scoring.pattern_moments(shuffled, ["CACGTG"], scoring.linear_scorer(TASKS))
+    return made.select("id", "task", six("background_mean").alias("effect"))
 
 
 @query("variant_significance")
