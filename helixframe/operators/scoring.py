@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.sequence import Comparison, compare, mutate
 from helixframe.operators.expand import first_mutants, pattern_scan, saturation_mutants
-from helixframe.scratch import Scratch
+from helixframe.scratch import Scratch, cut
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min}
 #: The name of an aggregate, or a function from a column to an aggregate of it.
 Aggregate = str | Callable[[Column], Column]
 
 
+#: Rows of task metadata up to which they are broadcast; beyond it Spark chooses.
+BROADCAST_TASKS = 200_000
+
+
 def aggregate(how: Aggregate, value: Column) -> Column:
     return how(value) if callable(how) else AGGREGATES[how](value)
 
@@ -113,7 +117,9 @@ def task_lookup(preds: DataFrame, tasks: DataFrame, key: str = "task", names: Se
     if names is not None:
         chosen = F.col(key).isin(list(names))
         tasks = tasks.filter(~chosen if invert else chosen)
-    return preds.join(tasks, "task")
+    # few tasks have many rows each: they are not to meet by a shuffle, in which each task is one key
+    held = cut(tasks)
+    return preds.join(F.broadcast(held) if held.count() <= BROADCAST_TASKS else held, "task")
 
 
 def allele_effects(preds: DataFrame, how: Comparison = "divide", keys: Sequence[str] = ("id", "task")) -> DataFrame:
