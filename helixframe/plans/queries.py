@@ -425,8 +425,8 @@ def variant_significance(spark, d):
     chunks = genome.genome_chunks(seqs.select(F.concat(F.lit("doc"), "id").alias("name"), "seq"), T.CHUNK)
     own = _local_variants(seqs)
     base = own.select("id", "ref", "alt").join(genome.intervals_to_sequences(V.variants_to_intervals(own, 20), chunks, T.CHUNK), "id")
-    shuffled = scoring.allele_effects(scoring.score_linear(expand.variant_backgrounds(base, 10, 2), TASKS), "log2FC", ("id", "shuffle", "task"))
-    return scoring.effect_zscores(effects, shuffled).select("id", "task", *[six(c).alias(c) for c in ("effect", "background_mean", "background_sd", "z", "p_value")])
+    moments = scoring.variant_moments(expand.dinuc_shuffle(base, 10, 2), scoring.linear_scorer(TASKS), "log2FC")
+    return scoring.against_moments(effects, moments).select("id", "task", *[six(c).alias(c) for c in ("effect", "background_mean", "background_sd", "z", "p_value")])
 
 
 @query("tile_shuffle_effects")
