@@ -151,16 +151,18 @@ def _stranded(motifs: DataFrame, rc: bool) -> DataFrame:
 
 def score_windows(windows: DataFrame, motifs: DataFrame) -> DataFrame:
     """``windows`` (id, seq, motif, start, strand, …) plus ``score``: the motif's log odds there."""
-    spread = windows.join(_stranded(motifs, True), ["motif", "strand"])
-    hit = F.when(F.substring("seq", (F.col("start") + F.col("pos") + 1).cast("int"), F.lit(1)) == F.col("base"), F.col("score")).otherwise(0.0)
-    keys = [c for c in windows.columns]
-    return spread.withColumn("score", hit).groupBy(*keys).agg(F.sum("score").alias("score"))
+    odds = _stranded(motifs, True).groupBy("motif", "strand").agg(F.array_sort(F.collect_list(F.struct("pos", "base", "score"))).alias("odds__"))
+    there = lambda x: F.when(F.substring(F.col("seq"), (F.col("start") + x["pos"] + 1).cast("int"), F.lit(1)) == x["base"], x["score"]).otherwise(0.0)
+    total = F.aggregate("odds__", F.lit(0.0), lambda sum, x: sum + there(x))
+    # a catalogue (see _matrices): one row a motif and strand
+    return windows.join(F.broadcast(odds), ["motif", "strand"]).select(*windows.columns, total.alias("score"))
 
 
 def with_pvalues(scored: DataFrame, motifs: DataFrame, score: str = "score", out: str = "p_value") -> DataFrame:
     step = F.expr(f"cast({score} / {STEP} as long)")
     table = motif_pvalues(motifs).select("motif", F.col("step").alias("step__"), F.col("p").alias(out))
-    return scored.withColumn("step__", step).join(table, ["motif", "step__"], "left").drop("step__").withColumn(out, F.coalesce(out, F.lit(0.0)))
+    # a table of the catalogue, and its keys are few: by a shuffle many rows would meet under one
+    return scored.withColumn("step__", step).join(F.broadcast(table), ["motif", "step__"], "left").drop("step__").withColumn(out, F.coalesce(out, F.lit(0.0)))
 
 
 def site_counts(sites: DataFrame) -> DataFrame:
@@ -211,11 +213,11 @@ def compare_motifs(pairs: DataFrame, motifs: DataFrame, p_below: float = 1e-3, r
         own = scan_motifs(pairs.select("id", F.col(side).alias("seq")), motifs, p_below, rc).select(*keys)
         hits = own if hits is None else hits.unionByName(own)
     windows = hits.distinct().join(pairs, "id")
-    out = None
+    out = windows
     for side in ("ref", "alt"):
-        scored = with_pvalues(score_windows(windows.select(*keys, F.col(f"{side}_seq").alias("seq")), motifs), motifs)
-        scored = scored.select(*keys, F.col("score").alias(f"score_{side}"), F.col("p_value").alias(f"p_{side}"))
-        out = scored if out is None else out.join(scored, keys)
+        scored = score_windows(out.withColumn("seq", F.col(f"{side}_seq")), motifs).withColumnRenamed("score", f"score_{side}").drop("seq")
+        out = with_pvalues(scored, motifs, f"score_{side}", f"p_{side}")
+    out = out.select(*keys, "score_ref", "p_ref", "score_alt", "p_alt")
     return out.filter(F.abs(F.col("score_ref") - F.col("score_alt")) > 1e-9).withColumn("score_diff", F.col("score_alt") - F.col("score_ref"))
 
 
