@@ -132,11 +132,16 @@ def variant_backgrounds(windows: DataFrame, n_shuffles: int = 100, seed: int = 0
     return both.select("id", "shuffle", "x.allele_type", mutate(F.col("seq"), F.col("x.allele")).alias("seq"))
 
 
-def pattern_spacing(df: DataFrame, fixed: str, moving: str, seq_len: Column | int, stride: int = 1, n_shuffles: int = 1, seed: int = 0) -> DataFrame:
+def pattern_spacing(df: DataFrame, fixed: str, moving: str, seq_len: Column | int, stride: int = 1, n_shuffles: int = 1, seed: int = 0, own: str | None = None) -> DataFrame:
     """(…, shuffle, tile_start, distance, seq): ``fixed`` in the middle, and ``moving`` at every tiled
-    place beside it or (tile_start null) nowhere."""
+    place beside it or (tile_start null) nowhere. With ``own`` the sequence that has ``moving`` nowhere is not
+    a row of its own but a column of that name in each row."""
     made = _backgrounds(df, n_shuffles, seed).withColumn("seq", mutate(F.col("seq"), F.lit(fixed)))
+    if own:
+        made = made.withColumn(own, F.col("seq"))
     placed = tile_positions(made, seq_len, len(moving), stride, len(fixed)).withColumn("seq", mutate(F.col("seq"), F.lit(moving), F.col("tile_start")))
+    if own:
+        return placed
     alone = made.withColumn("tile_start", F.lit(None).cast("int")).withColumn("distance", F.lit(None).cast("int"))
     return placed.unionByName(alone)
 

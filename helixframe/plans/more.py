@@ -262,8 +262,9 @@ def variant_effects_both_strands(spark, d):
  WHERE t.tile_start <= length(f)-3 AND (t.tile_start+3 <= (length(f)-4)//2 OR t.tile_start >= (length(f)-4)//2+4)) GROUP BY distance""", "sequences")
 def spacing_effects(spark, d):
     seqs = T.sequences(spark, d).select("id", "seq").filter(F.length("seq") >= 20)
-    scored = scoring.score_linear(expand.pattern_spacing(seqs, "CCCC", "TTT", F.length("seq"), 3, 0), {"t1": TASKS["t1"]})
-    effects = scoring.background_effects(scored, "tile_start").select(F.col("distance").cast("long").alias("pos"), "effect")
+    placed = expand.pattern_spacing(seqs, "CCCC", "TTT", F.length("seq"), 3, 0, own="own")
+    effect = scoring.linear_score(F.col("seq"), TASKS["t1"]) - scoring.linear_score(F.col("own"), TASKS["t1"])
+    effects = placed.select(F.col("distance").cast("long").alias("pos"), effect.alias("effect"))
     return metrics.effect_by_position(effects).select(F.col("pos").alias("distance"), six("mean").alias("mean"), "n")
 
 
