@@ -587,7 +587,8 @@ def softmax(spark, d):
 @query("averaged_strands", f"SELECT id, pos, task, round(avg(value),6) AS value FROM (SELECT id, pos, task, value FROM ({_DENSE}) UNION ALL SELECT id, n-1-pos, task, value+1 FROM ({_DENSE})) GROUP BY id, pos, task", "sequences")
 def averaged_strands(spark, d):
     p = _dense(spark, d)
-    both = p.withColumn("rc", F.lit(False)).unionByName(p.withColumn("value", F.col("value") + 1).withColumn("rc", F.lit(True)))
+    # both strands of a sequence stand in one task, which puts them together before the shuffle
+    both = p.withColumn("rc", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("value", F.when(F.col("rc"), F.col("value") + 1).otherwise(F.col("value")))
     return scoring.average_augmented(both, ["id"], F.col("n")).select("id", F.col("pos").cast("long").alias("pos"), "task", six("value").alias("value"))
 
 
