@@ -431,10 +431,9 @@ def variant_significance(spark, d):
 
 @query("tile_shuffle_effects")
 def tile_shuffle_effects(spark, d):
-    seqs = T.sequences(spark, d).select("id", "seq")
-    own = seqs.select("id", scoring.linear_score(F.col("seq"), TASKS["t1"]).alias("own"))
+    seqs = T.sequences(spark, d).select("id", "seq", scoring.linear_score(F.col("seq"), TASKS["t1"]).alias("own"))
     made = scoring.score_linear(expand.tile_shuffles(seqs, 50, F.length("seq"), 25, 6, 2, 3), {"t1": TASKS["t1"]})
-    return made.join(own, "id").groupBy("id", "tile_start").agg(six(F.avg(F.col("value") - F.col("own"))).alias("effect"))
+    return made.groupBy("id", "tile_start").agg(six(F.avg(F.col("value") - F.col("own"))).alias("effect"))
 
 
 @query("random_mutants", f"""SELECT id, substring(seq, 1, p) || base || substring(seq, p+2) AS seq, cast(p AS integer) AS pos, base FROM (
