@@ -88,8 +88,9 @@ def delete(seq: Column, size: Column | int, pos: Column | int | None = None, kee
 
 def differences(left: Column, right: Column) -> Column:
     """Positions at which two strings of one length differ."""
-    places = F.sequence(F.lit(0), F.length(left) - 1)
-    found = F.filter(places, lambda i: F.substring(left, i + 1, F.lit(1)) != F.substring(right, i + 1, F.lit(1)))
+    apart = F.zip_with(F.split(left, ""), F.split(right, ""), lambda a, b: ~a.eqNullSafe(b))
+    places = F.transform(F.slice(apart, F.lit(1), F.length(left)), lambda x, i: F.when(x, i))
+    found = F.when(right.isNotNull(), F.filter(places, lambda i: i.isNotNull()))
     return F.when(F.length(left) > 0, found).otherwise(F.expr("cast(array() as array<int>)"))
 
 
@@ -108,7 +109,6 @@ def encode(seq: Column) -> Column:
     return F.when(F.length(seq) > 0, codes).otherwise(F.expr("cast(array() as array<int>)"))
 
 
-def decode(codes: Column) -> Column:
 def phase_counts(seq: Column, period: int) -> Column:
     """Counts of A, C, G and T at the places whose remainder modulo ``period`` is 0, 1, …: one array for each
     remainder; null for null. All is counted within the row."""
@@ -121,6 +121,7 @@ def phase_counts(seq: Column, period: int) -> Column:
     return F.when(seq.isNotNull(), F.array(*[F.slice(made, r * 4 + 1, 4) for r in range(period)]))
 
 
+def decode(codes: Column) -> Column:
     return F.array_join(F.transform(codes, lambda c: F.substring(F.lit(CODES), c + 1, F.lit(1))), "")
 
 
