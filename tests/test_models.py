@@ -2,7 +2,9 @@
 
 import random
 import statistics
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +208,25 @@ def test_counts_by_phase(spark):
     df = spark.createDataFrame([(1, "ACGTACGA"), (2, ""), (3, None), (4, "NNCA")], "id long, seq string")
     got = {r["id"]: r["x"] for r in df.select("id", S.phase_counts(F.col("seq"), 3).alias("x")).collect()}
     assert got == {1: [[("ACGTACGA"[r::3]).count(b) for b in "ACGT"] for r in range(3)], 2: [[0] * 4] * 3, 3: None, 4: [[1, 0, 0, 0], [0, 0, 0, 0], [0, 1, 0, 0]]}
+
+
+def test_shuffles_side_by_side():
+    """Whatever a batch holds beside it, a text gives the same walk; all walks of a text come up, each as often as others."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 50))) for letters in ("ACGT", "A", "ACGTN", "xäé") for _ in range(40)] + ["".join(map(chr, range(300, 900))) * 2, "ACGGT" * 500]
+    draws = np.array([rng.getrandbits(64) for _ in texts], "uint64")
+    made = expand._shuffled(texts, draws)
+    pairs = lambda s: sorted(zip(s, s[1:]))
+    assert all(pairs(a) == pairs(b) and a[0] == b[0] and a[-1] == b[-1] for a, b in zip(texts, made)) and sum(a != b for a, b in zip(texts, made)) > 100
+    assert made == [expand._shuffled([t], draws[i : i + 1])[0] for i, t in enumerate(texts)]
+    seen = Counter(expand._shuffled(["ACAGACCTAGA"] * 24_000, np.arange(24_000).astype("uint64")))
+    assert len(seen) == 24 and all(850 < n < 1150 for n in seen.values())
+
+
+def test_shuffles_of_nulls_and_long_batches(spark):
+    """Nulls and empty strings stay, and batches of more than a slice give what rows alone give."""
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "AC"), *[(i, "ACGTTGCA" * 500) for i in range(4, 100)]], "id long, seq string").coalesce(1)
+    got = {(r["id"], r["shuffle"]): r["seq"] for r in expand.dinuc_shuffle(df, 2, 1).collect()}
+    assert [got[i, 1] for i in (1, 2, 3)] == [None, "", "AC"] and len(set(got.values())) == 2 * 96 + 3
+    alone = expand.dinuc_shuffle(df.filter("id = 90"), 2, 1).collect()
+    assert {(r["id"], r["shuffle"]): r["seq"] for r in alone} == {k: got[k] for k in [(90, 0), (90, 1)]}
