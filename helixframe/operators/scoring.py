@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.sequence import Comparison, compare, mutate
 from helixframe.operators.expand import first_mutants, pattern_scan, saturation_mutants
+from helixframe.schema import BASES
 from helixframe.scratch import Scratch, cut
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min}
@@ -209,44 +210,66 @@ def against_moments(effects: DataFrame, moments: DataFrame, keys: Sequence[str]
     return effects.join(moments, list(keys), "left").withColumn("z", z).withColumn("p_value", two_sided(F.col("z")))
 
 
-def substitution_scores(df: DataFrame, tasks: dict[str, dict[str, float]], positions: Sequence[int] | None = None, drop_ref: bool = False) -> DataFrame:
-    """(id, task, pos, base, own, value): each substitution's linear score and the sequence's own.
+def _by_letter(df: DataFrame, tasks: dict[str, dict[str, float]], entries: Callable[[str, str, dict[str, Column], Column], list[Column]], positions: Sequence[int] | None = None) -> DataFrame:
+    """(id, pos, columns of the entries): for each letter of a sequence the entries of that letter.
 
-    A substitution changes two base counts, so scores come from the counts of the sequence; no
-    mutated string is made. Sums run in the order of ``linear_score`` and give equal values.
+    A substitution changes two base counts, so scores come from the counts of the sequence and are the same at all places with
+    one letter: they are made once for each letter and base of a sequence and looked up at its places. No mutated
+    string is made. Sums run in the order of ``linear_score`` and give equal values. ``entries`` makes the structs of a letter and a
+    task from (letter, task, values by base, own value); any letter that no weight is for is the letter "".
     """
     size, bases = F.length("seq"), sorted({b for w in tasks.values() for b in w})
     counted = df.withColumns({"size__": size, **{f"n__{b}": size - F.length(F.replace(F.col("seq"), F.lit(b), F.lit(""))) for b in bases}})
-    places = F.transform(F.split("seq", ""), lambda x, i: F.struct(i.alias("pos"), x.alias("was")))
-    if positions is not None:
-        places = F.filter(places, lambda x: x["pos"].isin(list(positions)))
-    made = counted.filter("size__ > 0").select("id", "size__", *[f"n__{b}" for b in bases], F.explode(places).alias("x"), ).select("*", "x.pos", "x.was", F.explode(F.array(*map(F.lit, "ACGT"))).alias("base")).drop("x")
-    if drop_ref:
-        made = made.filter("base <> was")
-
-    def score(weights: dict[str, float], mutated: bool) -> Column:
-        parts = []
-        for b, w in sorted(weights.items()):
-            n = F.col(f"n__{b}")
-            if mutated:
-                n = n + (F.col("base") == b).cast("int") - (F.col("was") == b).cast("int")
-            parts.append(n * float(w))
+
+    def score(weights: dict[str, float], base: str | None = None, was: str | None = None) -> Column:
+        parts = [(F.col(f"n__{b}") + (int(base == b) - int(was == b))) * float(w) for b, w in sorted(weights.items())]
         return sum(parts[1:], parts[0]) / F.col("size__")
 
-    each = F.array(*[F.struct(F.lit(t).alias("task"), score(w, False).alias("own"), score(w, True).alias("value")) for t, w in tasks.items()])
-    return made.select("id", "pos", "base", F.explode(each).alias("s")).select("id", "s.task", "pos", "base", "s.own", "s.value")
+    letters = sorted({*bases, *BASES})
+    table = F.array(*[F.array(*[e for t, w in tasks.items() for e in entries(was, t, {b: score(w, b, was) for b in BASES}, score(w))]) for was in ["", *letters]])
+    # the outer form: with the other, Spark adds a filter that cuts the letters a second time
+    places = counted.filter("size__ > 0").select("id", "seq", table.alias("table__")).select("id", "table__", F.posexplode_outer(F.split("seq", "")).alias("pos", "was"))
+    if positions is not None:
+        places = places.filter(F.col("pos").isin(list(positions)))
+    return places.select("id", "pos", F.explode_outer(F.get("table__", F.instr(F.lit("".join(letters)), F.col("was")))).alias("s")).select("id", "pos", "s.*")
+
+
+def substitution_scores(df: DataFrame, tasks: dict[str, dict[str, float]], positions: Sequence[int] | None = None, drop_ref: bool = False) -> DataFrame:
+    """(id, task, pos, base, own, value): each substitution's linear score and the sequence's own (see ``_by_letter``)."""
+
+    def entries(was: str, task: str, values: dict[str, Column], own: Column) -> list[Column]:
+        return [F.struct(F.lit(task).alias("task"), F.lit(b).alias("base"), own.alias("own"), v.alias("value")) for b, v in values.items() if not (drop_ref and b == was)]
+
+    return _by_letter(df, tasks, entries, positions).select("id", "task", "pos", "base", "own", "value")
 
 
 def ism_scores(df: DataFrame, tasks: dict[str, dict[str, float]], how: Comparison = "subtract", positions: Sequence[int] | None = None) -> DataFrame:
     """(id, task, pos, base, effect): each substitution's score against the sequence's own. Nothing is
-    shuffled."""
-    return substitution_scores(df, tasks, positions).select("id", "task", "pos", "base", compare(F.col("value"), F.col("own"), how).alias("effect"))
+    shuffled, and an effect is made once for each letter of a sequence and each base."""
+
+    def entries(was: str, task: str, values: dict[str, Column], own: Column) -> list[Column]:
+        return [F.struct(F.lit(task).alias("task"), F.lit(b).alias("base"), compare(v, own, how).alias("effect")) for b, v in values.items()]
+
+    return _by_letter(df, tasks, entries, positions).select("id", "task", "pos", "base", "effect")
 
 
 def ism_importance(df: DataFrame, tasks: dict[str, dict[str, float]]) -> DataFrame:
-    """(id, task, pos, importance): mean of -log2(alt / ref) over the three other bases."""
-    made = substitution_scores(df, tasks, drop_ref=True)
-    return made.groupBy("id", "task", "pos").agg(F.avg(-compare(F.col("value"), F.col("own"), "log2FC")).alias("importance"))
+    """(id, task, pos, importance): mean of -log2(alt / ref) over the three other bases. It is made within the row; only
+    sequences that share their id with another are put together by id and place."""
+
+    def entries(was: str, task: str, values: dict[str, Column], own: Column) -> list[Column]:
+        effects = [-compare(v, own, "log2FC") for b, v in values.items() if b != was]
+        total = sum((F.coalesce(e, F.lit(0.0)) for e in effects), F.lit(0.0))
+        return [F.struct(F.lit(task).alias("task"), total.alias("total"), sum((e.isNotNull().cast("long") for e in effects), F.lit(0)).alias("n"))]
+
+    def mean(rows: DataFrame) -> DataFrame:
+        return rows.select("id", "task", "pos", (F.col("total") / F.nullif(F.col("n"), F.lit(0))).alias("importance"))
+
+    repeated = cut(df.groupBy(F.col("id").alias("id__")).agg(F.count("*").alias("n")).filter("n > 1").select("id__"))
+    if repeated.isEmpty():
+        return mean(_by_letter(df, tasks, entries))
+    own, shared = (_by_letter(df.join(repeated, F.col("id").eqNullSafe(F.col("id__")), kind), tasks, entries) for kind in ("left_anti", "left_semi"))
+    return mean(own).unionByName(mean(shared.groupBy("id", "task", "pos").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))))
 
 
 def best_in_group(df: DataFrame, by: str = "start_seq", score: str = "total_score") -> DataFrame:

@@ -230,3 +230,31 @@ def test_shuffles_of_nulls_and_long_batches(spark):
     assert [got[i, 1] for i in (1, 2, 3)] == [None, "", "AC"] and len(set(got.values())) == 2 * 96 + 3
     alone = expand.dinuc_shuffle(df.filter("id = 90"), 2, 1).collect()
     assert {(r["id"], r["shuffle"]): r["seq"] for r in alone} == {k: got[k] for k in [(90, 0), (90, 1)]}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def letters_table(spark, folder, texts):
+    rows = [(i, t, "en", "s", len(t)) for i, t in texts]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_importance_within_the_row(spark):
+    """Means over three other bases (four for a letter that is none) without a shuffle; sequences that share an id are put together."""
+    from math import log2
+
+    w = {"A": 0.5, "C": 1.0, "G": 2.0, "T": 3.0}
+    value = lambda s: sum(w.get(x, 0) for x in s) / len(s)
+    rows = [(1, "ACGTN"), (2, "GG"), (2, "TCA"), (3, ""), (4, "N"), (None, "AC"), (None, "GT")]
+    held = {}
+    for i, s in rows:
+        for p, x in enumerate(s):
+            alts = [value(s[:p] + b + s[p + 1 :]) / value(s) for b in "ACGT" if b != x] if value(s) else []
+            held.setdefault((i, p), []).extend(-log2(a) for a in alts)
+    df = spark.createDataFrame(rows, "id long, seq string")
+    got = {(r["id"], r["pos"]): r["importance"] for r in scoring.ism_importance(df, {"t": w}).collect()}
+    assert got == {k: pytest.approx(statistics.fmean(v)) if v else None for k, v in held.items()}
+    assert "Exchange" not in plan_of(scoring.ism_importance(df.filter("id IN (1, 4)"), {"t": w}))
