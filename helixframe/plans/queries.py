@@ -386,8 +386,9 @@ def ism_mutants(spark, d):
 
 @query("ism_scores", f"""SELECT id, p-1 AS pos, b AS base, round({_score_sql("(substring(seq,1,p-1) || b || substring(seq,p+1))", 't1')} - {_score_sql('seq', 't1')}, 6) AS effect FROM sequences, generate_series(1,400) g(p), (VALUES ('A'),('C'),('G'),('T')) v(b) WHERE p <= length(seq)""", "sequences")
 def ism_scores(spark, d):
-    made = scoring.ism_scores(T.sequences(spark, d).select("id", "seq"), {"t1": TASKS["t1"]})
-    return made.select("id", F.col("pos").cast("long").alias("pos"), "base", six("effect").alias("effect"))
+    # rounded where an effect is made, not in each row
+    made = scoring.ism_scores(T.sequences(spark, d).select("id", "seq"), {"t1": TASKS["t1"]}, lambda value, own: six(value - own))
+    return made.select("id", F.col("pos").cast("long").alias("pos"), "base", "effect")
 
 
 @query("pattern_scan", "SELECT id, p AS pos, x AS pattern, substring(seq,1,p) || x || substring(seq,p+length(x)+1) AS seq FROM sequences, generate_series(0,400) g(p), (VALUES ('CACGTG'),('TTT')) v(x) WHERE p <= length(seq)-6", "sequences")

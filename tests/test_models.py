@@ -258,3 +258,18 @@ def test_importance_within_the_row(spark):
     got = {(r["id"], r["pos"]): r["importance"] for r in scoring.ism_importance(df, {"t": w}).collect()}
     assert got == {k: pytest.approx(statistics.fmean(v)) if v else None for k, v in held.items()}
     assert "Exchange" not in plan_of(scoring.ism_importance(df.filter("id IN (1, 4)"), {"t": w}))
+
+
+def test_effects_are_made_once_a_letter(spark, tmp_path):
+    """The query's rounding stands below the rows, and any comparison gives what whole mutants give."""
+    from __spark_entry__ import queries
+
+    w, df = {"A": 0.5, "C": 1.0, "G": 2.0, "T": 3.0}, spark.createDataFrame([(1, "ACGTNA"), (2, "")], "id long, seq string")
+    value = lambda s: sum(w.get(x, 0) for x in s) / len(s)
+    got = {(r["pos"], r["base"]): r["effect"] for r in scoring.ism_scores(df, {"t": w}, "divide", positions=[0, 4]).collect()}
+    assert got == {(p, b): pytest.approx(value("ACGTNA"[:p] + b + "ACGTNA"[p + 1 :]) / value("ACGTNA")) for p in (0, 4) for b in "ACGT"}
+    d = letters_table(spark, tmp_path, [(1, "acgt" * 60), (2, "xx"), (3, "a")])
+    made = queries()["ism_scores"](spark, d)
+    assert made.count() == 241 * 4
+    above = plan_of(made).split("explode")[0]
+    assert "round" not in above
