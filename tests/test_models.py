@@ -288,3 +288,23 @@ def test_sites_are_scanned_once(spark, tmp_path):
     want = con.execute(oracle_sql()["site_attributions"]).fetchall()
     assert len(want) > 20 and sorted(map(tuple, made.collect())) == sorted(want)
     assert "MapInPandas" not in plan_of(made) and "regexp_replace" not in plan_of(made)
+
+
+def test_letters_are_taken_once(spark, tmp_path):
+    """Letters that upper case alone makes are in; a text is cut once a pass, and the queries of many passes read it written."""
+    from __spark_entry__ import queries
+    from helixframe.plans import tables as T
+
+    rng = random.Random(6)
+    texts = [(0, None), (1, ""), (2, "xyz"), (3, "aß\ufb05c"), *[(i, "".join(rng.choice("acgtx") for _ in range(700))) for i in range(10, 60)]]
+    rows = [(i, t, "en", "s", 1) for i, t in texts]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    held = {i: "".join(x for x in t.upper() if x in "ACGT") for i, t in texts if t}
+    assert {r["doc_id"]: r["s"] for r in T.letters(spark, str(tmp_path)).collect()} == {i: s for i, s in held.items() if s}
+    made = T.sequences(spark, str(tmp_path))
+    whole = {}
+    for r in made.orderBy("id").collect():
+        whole.setdefault(r["id"] // 1_000_000, []).append(r["seq"])
+    assert {i: "".join(s) for i, s in whole.items()} == {i: s for i, s in held.items() if s}
+    assert plan_of(made.filter(F.length("seq") > 41)).count("regexp_replace") == 1
+    assert "regexp_replace" not in plan_of(queries()["gc_negatives_from_genome"](spark, str(tmp_path)))
