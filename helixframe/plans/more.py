@@ -11,7 +11,7 @@ from helixframe.functions import sequence as S
 from helixframe.operators import coverage, expand, genome, intervals as I, matrix as M, metrics, motifs, scoring, variants as V, windows
 from helixframe.plans import tables as T
 from helixframe.plans.queries import ORACLES, _DENSE, _LOCAL, _ODDS, TASKS, _dense, _local_variants, _long, _score_sql, query, six
-from helixframe.scratch import shared_folder
+from helixframe.scratch import cut, shared_folder
 from helixframe.sources import files
 
 
@@ -176,7 +176,8 @@ def labeled_windows(spark, d):
 @query("matrix_windows", """SELECT id, task, value, seq FROM (SELECT id, 'doc' || id AS chrom, substring(seq, cast(ceil(length(seq)/2.0-10) AS bigint)+1, 20) AS seq FROM sequences WHERE length(seq) > 41)
  JOIN (SELECT obs AS task, var, value FROM matrix) ON id // 1000000 = var""", "sequences", "matrix")
 def matrix_windows(spark, d):
-    seqs = _long(T.sequences(spark, d))
+    # read in four passes
+    seqs = cut(_long(T.sequences(spark, d)).select("id", "seq"))
     chunks = genome.genome_chunks(seqs.select(F.concat(F.lit("doc"), "id").alias("name"), "seq"), T.CHUNK)
     var = seqs.select(F.col("id").alias("var"), F.concat(F.lit("doc"), "id").alias("chrom"), F.lit(0).cast("long").alias("start"), F.length("seq").cast("long").alias("end"))
     cells = T.matrix(spark, d).join(var.select(F.floor(F.col("var") / 1_000_000).alias("of"), F.col("var").alias("piece")), F.col("var") == F.col("of")).select("obs", F.col("piece").alias("var"), "value")

@@ -308,3 +308,11 @@ def test_letters_are_taken_once(spark, tmp_path):
     assert {i: "".join(s) for i, s in whole.items()} == {i: s for i, s in held.items() if s}
     assert plan_of(made.filter(F.length("seq") > 41)).count("regexp_replace") == 1
     assert "regexp_replace" not in plan_of(queries()["gc_negatives_from_genome"](spark, str(tmp_path)))
+
+
+def test_windows_of_a_matrix_read_written_letters(spark):
+    """Four passes over the sequences, none of which takes letters out of texts."""
+    from __spark_entry__ import queries
+
+    made = queries()["matrix_windows"](spark, "/root/testdata/sf0.001")
+    assert made.count() > 0 and "regexp_replace" not in plan_of(made)
