@@ -6,19 +6,25 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from operator import eq
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from helixframe.llm.common import words
+from helixframe.llm.common import Scratch, unit_hash, words
 
 GOOD, BAD, ABSTAIN = 1, 0, -1
 #: log2 of the buckets that words are hashed to.
 BITS = 15
+#: Rows whose features are put together at a time.
+SLICE = 500
 
 
 def _vote(bad: Column, good: Column | None = None) -> Column:
@@ -69,6 +75,15 @@ class Accuracies:
         scores = sum(logs[:, i, at[:, i]] for i in range(votes.shape[1])) + np.log([[1 - self.prior], [self.prior]])
         return 1 / (1 + np.exp(scores[0] - scores[1]))
 
+    def posterior_column(self, votes: Column) -> Column:
+        """P(good) as an expression over an array of votes."""
+        logs = np.log(np.maximum(self.votes, 1e-12))
+        odds = F.lit(float(np.log(self.prior / (1 - self.prior))))
+        for i, (bad, good, none) in enumerate((logs[1] - logs[0]).tolist()):
+            vote = F.get(votes, F.lit(i))
+            odds = odds + F.when(vote == BAD, bad).when(vote == GOOD, good).otherwise(none)
+        return 1 / (1 + F.exp(-odds))
+
 
 #: Labellers that may vote either way; the others vote bad or not at all.
 TWO_SIDED = ("vote__variety", "vote__sentences")
@@ -109,100 +124,103 @@ def estimate(names: list[str], votes: np.ndarray, counts: np.ndarray, rounds: in
     return model
 
 
-def fit_labellers(docs: DataFrame, text: str = "text") -> tuple[Accuracies, DataFrame]:
-    """The accuracies over all rows of ``docs``. The driver gets one row for each pattern
-    of votes, of which there are at most three to the power of the number of labellers."""
-    voted, names = labellers(docs, text)
-    patterns = voted.groupBy(*names).agg(F.count("*").alias("n")).toPandas()
-    model = estimate(names, patterns[names].to_numpy("int64").reshape(-1, len(names)), patterns["n"].to_numpy("float64"))
-    return model, patterns
+@lru_cache(1 << 16)
+def _bucket(token: str) -> int:
+    """The bucket of a token or shape; 0 is that of texts without words."""
+    return 1 + zlib.crc32(token.encode("utf-8", "surrogatepass")) % ((1 << BITS) - 2)
+
+
+@lru_cache(1 << 16)
+def _shape(token: str) -> str:
+    """Kinds of a token's first and last characters, and its case."""
+    end = token[-2:] if not token[-1].isalnum() else "a" if token[-1].isalpha() else "0"
+    return f"\x00{'a' if token[0].isalpha() else token[0]}{'U' if token.isupper() and len(token) > 1 else 'l'}{end}"
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed buckets and their weights: each distinct token, and its shape (kinds of its first
-    and last characters, its case) and whether it equals the token before, by square root of its
-    share."""
+    """Hashed buckets and their weights: each distinct token, and its shape (see ``_shape``) and
+    whether it equals the token before, by square root of its share."""
     tokens = text.split()
     if not tokens:
         return np.zeros(1, "int64"), np.ones(1)
     counts = Counter(tokens)
     shapes = {"\x00same": sum(map(eq, tokens, tokens[1:]))}
-    for token, n in counts.items():
-        end = token[-2:] if not token[-1].isalnum() else "a" if token[-1].isalpha() else "0"
-        body = "U" if token.isupper() and len(token) > 1 else "l"
-        begin = "a" if token[0].isalpha() else token[0]
-        shape = f"\x00{begin}{body}{end}"
+    for shape, n in zip(map(_shape, counts), counts.values()):
         shapes[shape] = shapes.get(shape, 0) + n
-    total = len(tokens)
-    both = [*counts.items(), *shapes.items()]
-    mask = (1 << BITS) - 2
-    at = np.fromiter((1 + zlib.crc32(t.encode("utf-8", "surrogatepass")) % mask for t, _ in both), "int64", len(both))
-    return at, np.sqrt(np.fromiter((n for _, n in both), "float64", len(both)) / total)
-
-
-def _train(own: np.ndarray, at: np.ndarray, x: np.ndarray, target: np.ndarray, rounds: int = 120, decay: float = 1e-4) -> np.ndarray:
-    """Logistic regression on soft targets by adaptive gradient steps; weight 0 is the bias. Entry
-    i says that row ``own[i]`` has weight ``x[i]`` in bucket ``at[i]``."""
-    n = len(target)
-    weights, seen = np.zeros(1 << BITS), np.full(1 << BITS, 1e-8)
-    # rows a slice at a time, so that no array is as long as all entries
-    ends = np.searchsorted(own, np.arange(0, n + 500, 500))
-    for _ in range(rounds):
-        error, gradient = np.zeros(n), decay * weights
-        for a, b in zip(ends[:-1], ends[1:]):
-            if a == b:
-                continue
-            row, bucket, value = own[a:b], at[a:b], x[a:b]
-            low = row[0]
-            rows = slice(low, row[-1] + 1)
-            score = np.bincount(row - low, weights[bucket] * value) + weights[0]
-            error[rows] = 1 / (1 + np.exp(-score)) - target[rows]
-            gradient += np.bincount(bucket, error[row] * value, 1 << BITS) / n
-        gradient[0] += error.mean()
-        seen += gradient**2
-        weights -= 0.5 * gradient / np.sqrt(seen)
-    return weights
-
-
-def fit_scorer(docs: DataFrame, model: Accuracies, text: str = "text", key: str = "doc_id", sample_rows: int = 8000) -> np.ndarray:
-    """Weights of a linear scorer over hashed features, trained on the posterior labels of about
-    ``sample_rows`` rows of any length, drawn by a hash of ``key`` and text (the documented bound
-    on training rows; twice as many are never exceeded). The driver gets a row's buckets
-    and weights packed as 32-bit numbers, at most one of each for every bucket."""
-    n = docs.count()
-    draw = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.col(text)), 11) / F.lit(float(1 << 53))
-    voted, names = labellers(docs.filter(draw < min(1.0, sample_rows / max(n, 1))).select(F.coalesce(F.col(text), F.lit("")).alias("text")))
-    wanted = voted.select("text", F.array(*names).cast("array<int>").alias("votes"))
-
-    def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [features(t) for t in frame["text"]]
-            yield pd.DataFrame({"at": [a.astype("uint16").tobytes() for a, _ in found], "x": [v.astype("float32").tobytes() for _, v in found], "votes": [np.asarray(v, "int8").tobytes() for v in frame["votes"]]})
-
-    got = wanted.mapInPandas(hashed, "at binary, x binary, votes binary").limit(2 * sample_rows).toArrow()
-    if not got.num_rows:
-        return np.zeros(1 << BITS)
-    flat = lambda name, kind: np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in got[name]])
-    own = np.repeat(np.arange(got.num_rows), [len(v.as_buffer()) // 2 for v in got["at"]])
-    votes = flat("votes", "int8").reshape(got.num_rows, -1).astype("int64")
-    at, x = flat("at", "uint16"), flat("x", "float32")
-    del got
-    weights = _train(own, at, x, model.posterior(votes))
-    pa.default_memory_pool().release_unused()
-    return weights
-
-
-def classify(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.5, **bounds: int) -> DataFrame:
+    both = [*counts.values(), *shapes.values()]
+    at = np.fromiter(map(_bucket, [*counts, *shapes]), "int64", len(both))
+    return at, np.sqrt(np.asarray(both, "float64") / len(tokens))
+
+
+def _vectors(texts: list[str]) -> pa.StructArray:
+    """The features of each text as a sparse vector in the form that Spark stores it."""
+    found = [features(t) for t in texts]
+    own = np.repeat(np.arange(len(found)), [len(at) for at, _ in found])
+    keys, back = np.unique((own << BITS) | np.concatenate([at for at, _ in found]), return_inverse=True)
+    values = np.bincount(back, np.concatenate([x for _, x in found]), len(keys))
+    ends = pa.array(np.searchsorted(keys, np.arange(len(found) + 1) << BITS), "int32")
+    lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in ((keys & ((1 << BITS) - 1)).astype("int32"), values)]
+    return pa.StructArray.from_arrays([pa.array(np.zeros(len(found), "int8")), pa.array(np.full(len(found), 1 << BITS, "int32")), *lists], ["type", "size", "indices", "values"])
+
+
+def voted_vectors(docs: DataFrame, store: Scratch, text: str = "text", drawn: Column | None = None) -> tuple[DataFrame, list[str]]:
+    """(votes, drawn, features) of every row, written once, and the labellers' names: what both the
+    accuracies and the scorer are fitted on. Texts are read and voted on in this one pass."""
+    voted, names = labellers(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), (F.lit(True) if drawn is None else drawn).alias("drawn")))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, SLICE):
+                part = batch.slice(low, SLICE)
+                yield pa.RecordBatch.from_arrays([part.column("votes"), part.column("drawn"), _vectors(part.column("text").to_pylist())], ["votes", "drawn", "features"])
+
+    fields = lambda kind: T.StructType([T.StructField("votes", T.ArrayType(T.ByteType())), T.StructField("drawn", T.BooleanType()), T.StructField("features", kind)])
+    made = voted.select("text", "drawn", F.array(*names).alias("votes")).mapInArrow(hashed, fields(VectorUDT.sqlType()))
+    return store.cut(made, fields(VectorUDT())), names
+
+
+def fit_labellers(voted: DataFrame, names: list[str]) -> Accuracies:
+    """The accuracies over all rows of ``voted``. The driver gets one row for each pattern
+    of votes, of which there are at most three to the power of the number of labellers."""
+    patterns = voted.groupBy("votes").count().collect()
+    votes = np.array([r["votes"] for r in patterns], "int64").reshape(-1, len(names))
+    return estimate(names, votes, np.array([r["count"] for r in patterns], "float64"))
+
+
+def fit_scorer(voted: DataFrame, model: Accuracies, rounds: int = 40, decay: float = 1e-4) -> np.ndarray:
+    """Weights of a linear scorer over hashed features, the bias last: logistic regression on the posterior
+    labels of all rows of ``voted``. A label between bad and good is a row of each class, weighted by its posterior
+    (to four digits, so that a sure one is one row). Spark fits it; the driver gets sums by bucket alone. Weights are
+    rounded to six digits, as sums of doubles depend on the order of tasks."""
+    good = F.round(model.posterior_column(F.col("votes")), 4)
+    sides = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), good.alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - good).alias("weight"))))
+    rows = voted.select("features", sides.alias("side")).select("features", "side.label", "side.weight").filter("weight > 0")
+    if rows.isEmpty():
+        return np.zeros((1 << BITS) + 1)
+    # each round's gradients are as many as partitions, so these don't grow with the input
+    rows = rows.coalesce(4 * voted.sparkSession.sparkContext.defaultParallelism)
+    fitted = LogisticRegression(weightCol="weight", maxIter=rounds, regParam=decay, standardization=False).fit(rows)
+    # with one class alone the bias is infinite
+    return np.clip(np.round(np.append(fitted.coefficients.toArray(), fitted.intercept), 6), -500, 500)
+
+
+def classify(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.5, sample_rows: int | None = None) -> DataFrame:
     """``docs`` plus ``quality_score`` (0 to 1) and ``quality_kept`` (score at least ``threshold``).
 
     Accuracies of overlapping heuristic labellers are estimated over all rows, without any
-    labels given; their posterior labels train a hashed linear scorer, which scores
-    every whole text. A null text counts as empty; texts without words have the bias alone as
-    features and so a defined score. Repeated rows get equal scores; an empty table gives an
+    labels given; the posterior labels of all rows train a hashed linear scorer, which scores
+    every whole text. A null text counts as empty; texts without words have a bucket of their own as
+    their feature and so a defined score. Repeated rows get equal scores; an empty table gives an
     empty one. Columns of the two names are replaced.
+
+    Only a caller who names ``sample_rows`` gets a scorer trained on about so many rows, drawn by a hash of
+    ``key`` and text; the queries train on all.
     """
-    model, _ = fit_labellers(docs, text)
-    weights = fit_scorer(docs, model, text, key, **bounds)
+    store = Scratch(docs.sparkSession)
+    drawn = None if sample_rows is None else F.coalesce(unit_hash(F.col(key).cast("string"), F.col(text)) < sample_rows / max(docs.count(), 1), F.lit(False))
+    voted, names = voted_vectors(docs, store, text, drawn)
+    weights = fit_scorer(voted.filter("drawn"), fit_labellers(voted, names))
+    store.drop(voted)
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")
@@ -211,7 +229,7 @@ def classify(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold
         sums = []
         for t in texts:
             at, x = features(t if isinstance(t, str) else "")
-            sums.append(float(w[at] @ x + w[0]))
+            sums.append(float(w[at] @ x + w[-1]))
         return pd.Series(1 / (1 + np.exp(-np.asarray(sums, "float64"))))
 
     return docs.withColumn("quality_score", score(F.col(text))).withColumn("quality_kept", F.col("quality_score") >= threshold)

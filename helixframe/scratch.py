@@ -8,6 +8,7 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,11 +38,11 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.made = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", {}
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        """Writes ``df`` and returns what was written."""
+    def cut(self, df: DataFrame, schema: StructType | None = None) -> DataFrame:
+        """Writes ``df`` and returns what was written, read by ``schema`` if one is named."""
         path = f"{self.folder}/{len(self.made)}"
         df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(schema or df.schema).parquet(path)
         self.made[path] = out
         return out
 

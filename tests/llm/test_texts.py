@@ -610,6 +610,25 @@ def test_quality_classifier_on_hard_rows(spark):
     assert len({r["quality_score"] for r in out[:30]}) == 1
 
 
+def test_quality_scorer_learns_from_every_row(spark):
+    """Of more rows than the 8,000 that were drawn once, each bad one teaches its own words."""
+    from helixframe.llm.common import Scratch
+
+    own = [f"own{i}$$$" for i in range(20)]
+    bad = spark.createDataFrame([(i, " ".join([f"b{i}$$$"] * 3 + [w] * 9)) for i, w in enumerate(own)], "doc_id long, text string")
+    good = spark.range(100, 16_100).select(F.col("id").alias("doc_id"), F.concat(F.lit("Some plain words here and there. More of them number "), "id", F.lit(" follow.")).alias("text"))
+    voted, names = quality_classifier.voted_vectors(good.unionByName(bad), Scratch(spark))
+    assert voted.count() == 16_020
+    weights = quality_classifier.fit_scorer(voted, quality_classifier.fit_labellers(voted, names))
+    assert all(weights[quality_classifier.features(w)[0][0]] < 0 for w in own)
+    # sparse vectors hold what the scorer adds up
+    text = "a b a b. C"
+    at, x = quality_classifier.features(text)
+    dense = np.bincount(at, x, 1 << quality_classifier.BITS)
+    got = quality_classifier.voted_vectors(table(spark, [text, None]), Scratch(spark))[0].collect()
+    assert any(np.allclose(r["features"].toArray(), dense) for r in got) and any(r["features"].toArray()[0] == 1 for r in got)
+
+
 def test_language_model_counts_every_string(spark):
     """The model's tables against counts in plain Python, over all strings of the sample."""
     from collections import Counter
