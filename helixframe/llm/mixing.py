@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,44 +84,38 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], start: float = 1.0, mo
     factor of each margin's category, and at most ``most``, such that every margin's shares of
     all weighted tokens, ``start`` times the tokens, are its targets.
 
-    A step sums the weighted tokens of one margin's categories and scales their factors. It ends
+    A step sums the weighted tokens of one margin's categories and scales the factors of their cells. It ends
     when within one round no share of any margin was off its target by more than ``tolerance``
     of the target, when a round brought the worst no nearer by a tenth (targets that can't be met
     together under ``most``), or after ``rounds`` rounds. A category whose target is more than all its tokens
-    gives all of them and is not waited for. Factors are one row a category, and only
-    the largest deviation reaches the driver; the cells themselves never move.
+    gives all of them and is not waited for. A cell holds its targets and the product of its factors, so a
+    step is one sum and one join, and only the largest deviation reaches the driver.
     """
     store = store or Scratch(cells.sparkSession)
     total = cells.agg(F.sum("tokens").alias("all")).first()["all"] or 1.0
-    factors = {m: store.cut(t.select(m, (F.col("target") * (total * start)).alias(f"target__{m}"), F.lit(1.0).alias(f"factor__{m}"))) for m, t in targets.items()}
-    sizes = {m: t.count() for m, t in factors.items()}
-
-    def weighed() -> DataFrame:
-        now = cells
-        for m in targets:
-            now = now.join(small(factors[m].select(m, f"factor__{m}"), sizes[m], BROADCAST_ROWS), m, "left")
-        weight = F.lit(float(start))
-        for m in targets:
-            weight = weight * F.coalesce(F.col(f"factor__{m}"), F.lit(1.0))
-        return now.withColumn("weight", weight if most is None else F.least(weight, F.lit(float(most)))).select(*cells.columns, "weight")
+    sizes = {m: t.count() for m, t in targets.items()}
+    held = cells
+    for m, t in targets.items():
+        held = held.join(small(t.select(m, (F.col("target") * (total * start)).alias(f"target__{m}")), sizes[m], BROADCAST_ROWS), m, "left")
+    held = store.cut(held.withColumn("factor__", F.lit(float(start))).withColumns({f"off__{m}": F.lit(0.0) for m in targets}))
+    weight = F.col("factor__") if most is None else F.least(F.col("factor__"), F.lit(float(most)))
 
     last = float("inf")
     for _ in range(rounds if targets else 0):
         for m in targets:
-            sums = weighed().groupBy(m).agg(F.sum(F.col("tokens") * F.col("weight")).alias("now__"), F.sum("tokens").alias("most__"))
-            ratio = F.col(f"target__{m}") / F.nullif(F.col("now__"), F.lit(0.0))
+            sums = held.groupBy(m).agg(F.sum(F.col("tokens") * weight).alias("now__"), F.sum("tokens").alias("most__"), F.first(f"target__{m}").alias("target__"))
+            ratio = F.col("target__") / F.nullif(F.col("now__"), F.lit(0.0))
             spent = F.col("now__") >= F.col("most__") * (float("inf") if most is None else most * (1 - 1e-9))
             stuck = spent & (ratio > 1)
-            step = factors[m].join(sums, m, "left").select(m, f"target__{m}", (F.col(f"factor__{m}") * F.when(stuck, 1.0).otherwise(F.coalesce(ratio, F.lit(1.0)))).alias(f"factor__{m}"), F.when(stuck, 0.0).otherwise(F.coalesce(F.abs(ratio - 1), F.lit(0.0))).alias("off__"))
-            before, factors[m] = factors[m], store.cut(step)
+            step = sums.select(m, F.when(stuck, 1.0).otherwise(F.coalesce(ratio, F.lit(1.0))).alias("ratio__"), F.when(stuck, 0.0).otherwise(F.coalesce(F.abs(ratio - 1), F.lit(0.0))).alias(f"off__{m}"))
+            scaled = held.drop(f"off__{m}").join(small(step, sizes[m], BROADCAST_ROWS), m, "left").withColumn("factor__", F.col("factor__") * F.coalesce("ratio__", F.lit(1.0)))
+            before, held = held, store.cut(scaled.select(*held.columns))
             store.drop(before)
-        # one small job a round
-        offs = reduce(DataFrame.unionByName, [f.select("off__") for f in factors.values()])
-        worst = offs.agg(F.max("off__").alias("off")).first()["off"] or 0.0
+        worst = held.agg(F.max(F.greatest(F.lit(0.0), *[F.col(f"off__{m}") for m in targets], F.lit(0.0)))).first()[0] or 0.0
         if worst <= tolerance or worst > 0.9 * last:
             break
         last = worst
-    return weighed()
+    return held.withColumn("weight", weight).select(*cells.columns, "weight")
 
 
 def mix(docs: DataFrame, margins: Sequence[str], tokens: Column, targets: Mapping[str, Mapping[str, float]] | None = None, powers: Mapping[str, float] | None = None, budget: float = 0.5, key: Sequence[str] = ("doc_id",), seed: int = 17) -> DataFrame:

@@ -71,12 +71,12 @@ def _pairs() -> list[tuple[int, int]]:
     return [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
 
 
-def _moments(rows: DataFrame, *by: str) -> DataFrame:
-    """Means and covariance of x by the given columns, with the variance floors added."""
+def _moments(rows: DataFrame, *by: str, also: tuple[Column, ...] = ()) -> DataFrame:
+    """Means and covariance of x by the given columns, with the variance floors added; and the sums ``also``."""
     floors = [floor for _, floor in FEATURES.values()]
     means = [F.expr(f"avg(x{i}) AS m{i}") for i in range(len(FEATURES))]
     spreads = [F.expr(f"covar_pop(x{i}, x{j}) * {CONSISTENCY}D + {floors[i] ** 2 if i == j else 0.0}D AS c{i}_{j}") for i, j in _pairs()]
-    return rows.groupBy(*by).agg(*means, *spreads)
+    return rows.groupBy(*by).agg(*means, *spreads, *also)
 
 
 def _inverted(out: DataFrame) -> DataFrame:
@@ -126,10 +126,10 @@ def mcd(rows: DataFrame, store: Scratch, most_steps: int = 12, settled: float =
     n_groups = sizes.count()
     for _ in range(most_steps):
         now = small(found.drop("n", "moved"), 2 * n_groups, BROADCAST_GROUPS)
-        at = rows.join(now, "g").withColumn("distance", _distance()).select("g", "start", "distance", *[f"x{i}" for i in range(p)])
+        at = rows.join(now, "g").withColumn("distance", _distance()).select("g", "start", "distance", F.col("log_det").alias("old"), *[f"x{i}" for i in range(p)])
         near = at.groupBy("g", "start").agg(F.percentile_approx("distance", F.lit(SUBSET), F.lit(1000)).alias("most"))
         closest = at.join(small(near, 2 * n_groups, BROADCAST_GROUPS), ["g", "start"]).filter("distance <= most")
-        made = _inverted(_moments(closest, "g", "start")).join(found.select("g", "start", F.col("log_det").alias("old")), ["g", "start"])
+        made = _inverted(_moments(closest, "g", "start", also=(F.first("old").alias("old"),)))
         before, found = found, store.cut(made.withColumn("moved", F.abs(F.col("log_det") - F.col("old"))).drop("old"))
         moved = found.agg(F.max("moved")).first()[0]
         store.drop(before)
