@@ -6,7 +6,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from operator import eq
 
 import numpy as np
@@ -124,13 +123,11 @@ def estimate(names: list[str], votes: np.ndarray, counts: np.ndarray, rounds: in
     return model
 
 
-@lru_cache(1 << 16)
 def _bucket(token: str) -> int:
     """The bucket of a token or shape; 0 is that of texts without words."""
     return 1 + zlib.crc32(token.encode("utf-8", "surrogatepass")) % ((1 << BITS) - 2)
 
 
-@lru_cache(1 << 16)
 def _shape(token: str) -> str:
     """Kinds of a token's first and last characters, and its case."""
     end = token[-2:] if not token[-1].isalnum() else "a" if token[-1].isalpha() else "0"
