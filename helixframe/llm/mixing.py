@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import Scratch, small, unit_hash, words
@@ -13,6 +13,8 @@ from helixframe.llm.common import Scratch, small, unit_hash, words
 MISSING = "(none)"
 #: Categories of a margin, and combinations of categories, up to which a table of them is broadcast.
 BROADCAST_ROWS = 200_000
+#: Combinations of categories, a row of sums each, up to which a round of raking is one task's.
+AT_ONCE = 10_000
 #: Letters that stand for the buckets of a term profile.
 LETTERS = "abcdefghijklmnop"
 
@@ -36,29 +38,29 @@ def _nearest(profile: Column, centers: Sequence[Sequence[float]]) -> Column:
     return F.array_min(F.transform(F.array_repeat(profile, len(centers)), lambda p, k: F.struct(far(p, k).alias("d"), k.alias("k"))))["k"]
 
 
-def with_topics(docs: DataFrame, text: str = "text", out: str = "topic", tokens_out: str | None = None, topics: int = 8, rounds: int = 4) -> DataFrame:
-    """``docs`` plus ``out``: which of ``topics`` centroids of hashed terms a whole text is nearest to,
-    ``none`` for texts without terms; and its number of words in ``tokens_out``, if named.
+def with_topics(docs: DataFrame, text: str = "text", out: str = "topic", tokens_out: str | None = None, topics: int = 8, rounds: int = 4, keep: Sequence[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all if None) plus ``out``: which of ``topics`` centroids of hashed terms a
+    whole text is nearest to, ``none`` for texts without terms; and its number of words in ``tokens_out``, if named.
 
-    A profile is the share of a text's terms in each of 16 hash buckets. Centroids are fitted by
-    nearest-mean rounds on the profiles of all texts, which are written once, equal ones as one row with their
-    number; the rounds start at the first distinct profiles by a hash. The driver gets the centroids alone, to nine
-    digits, so that they don't depend on the partitioning.
+    A profile is the share of a text's terms in each of 16 hash buckets. Texts are read once: profiles and numbers of
+    words are written beside the kept columns. Centroids are fitted by nearest-mean rounds on the profiles of all
+    texts, equal ones as one row with their number; the rounds start at the first distinct profiles by a hash. The
+    driver gets the centroids alone, to nine digits, so that they don't depend on the partitioning.
     """
     store = Scratch(docs.sparkSession)
-    profiles = docs.select(_terms(words(F.col(text))).alias("terms__")).filter("terms__ <> ''").select(_profile().alias("p"))
-    rows = store.cut(profiles.groupBy("p").agg(F.count("*").alias("n")))
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in (out, tokens_out)]
+    # kept columns are held in a struct, so their names can't clash
+    found = docs.select(F.struct(*kept).alias("kept"), words(F.col(text)).alias("words")).withColumn("terms__", _terms(F.col("words")))
+    found = store.cut(found.select("kept", F.size("words").cast("long").alias("words"), F.when(F.col("terms__") != "", _profile()).alias("p")))
+    rows = store.cut(found.filter("p IS NOT NULL").groupBy("p").agg(F.count("*").alias("n")))
     centers = [list(r["p"]) for r in rows.orderBy(F.xxhash64("p"), "p").limit(topics).collect()]
     means = F.array(*[F.round(F.sum(F.get("p", F.lit(i)) * F.col("n")) / F.sum("n"), 9) for i in range(len(LETTERS))]).alias("p")
     for _ in range(rounds if len(centers) > 1 else 0):
         for r in rows.groupBy(_nearest(F.col("p"), centers).alias("k")).agg(means).collect():
             centers[r["k"]] = list(r["p"])
-    # one pass over the words of a text makes both columns
-    found = docs.withColumn("words__", words(F.col(text))).withColumn("terms__", _terms(F.col("words__")))
-    if tokens_out:
-        found = found.withColumn(tokens_out, F.size("words__").cast("long"))
-    at = F.when(F.col("terms__") == "", "none").otherwise(F.concat(F.lit("topic "), _nearest(_profile(), centers).cast("string"))) if centers else F.lit("none")
-    return found.withColumn(out, at).drop("terms__", "words__")
+    store.drop(rows)
+    at = F.when(F.col("p").isNull(), "none").otherwise(F.concat(F.lit("topic "), _nearest(F.col("p"), centers).cast("string"))) if centers else F.lit("none")
+    return found.select(*[F.col("kept")[c].alias(c) for c in kept], *([F.col("words").alias(tokens_out)] if tokens_out else []), at.alias(out))
 
 
 def targets_of(cells: DataFrame, margin: str, given: Mapping[str, float] | None = None, power: float = 1.0) -> DataFrame:
@@ -89,10 +91,12 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], start: float = 1.0, mo
     of the target, when a round brought the worst no nearer by a tenth (targets that can't be met
     together under ``most``), or after ``rounds`` rounds. A category whose target is more than all its tokens
     gives all of them and is not waited for. A cell holds its targets and the product of its factors, so a
-    step is one sum and one join, and only the largest deviation reaches the driver.
+    step is one sum and one join, and only the largest deviation reaches the driver. Up to ``AT_ONCE`` cells, the
+    steps of a round are windows over one partition, one job in all.
     """
     store = store or Scratch(cells.sparkSession)
-    total = cells.agg(F.sum("tokens").alias("all")).first()["all"] or 1.0
+    found = cells.agg(F.sum("tokens").alias("all"), F.count("*").alias("n")).first()
+    total, few = found["all"] or 1.0, found["n"] <= AT_ONCE
     sizes = {m: t.count() for m, t in targets.items()}
     held = cells
     for m, t in targets.items():
@@ -100,15 +104,31 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], start: float = 1.0, mo
     held = store.cut(held.withColumn("factor__", F.lit(float(start))).withColumns({f"off__{m}": F.lit(0.0) for m in targets}))
     weight = F.col("factor__") if most is None else F.least(F.col("factor__"), F.lit(float(most)))
 
+    now, every = F.sum(F.col("tokens") * weight), F.sum("tokens")
+
+    def step(m: str, target: Column) -> tuple[Column, Column]:
+        """The ratio that scales a category's factors and how far its share was off, from now__ and most__."""
+        ratio = target / F.nullif(F.col("now__"), F.lit(0.0))
+        spent = F.col("now__") >= F.col("most__") * (float("inf") if most is None else most * (1 - 1e-9))
+        stuck = spent & (ratio > 1)
+        return F.when(stuck, 1.0).otherwise(F.coalesce(ratio, F.lit(1.0))), F.when(stuck, 0.0).otherwise(F.coalesce(F.abs(ratio - 1), F.lit(0.0)))
+
     last = float("inf")
     for _ in range(rounds if targets else 0):
-        for m in targets:
-            sums = held.groupBy(m).agg(F.sum(F.col("tokens") * weight).alias("now__"), F.sum("tokens").alias("most__"), F.first(f"target__{m}").alias("target__"))
-            ratio = F.col("target__") / F.nullif(F.col("now__"), F.lit(0.0))
-            spent = F.col("now__") >= F.col("most__") * (float("inf") if most is None else most * (1 - 1e-9))
-            stuck = spent & (ratio > 1)
-            step = sums.select(m, F.when(stuck, 1.0).otherwise(F.coalesce(ratio, F.lit(1.0))).alias("ratio__"), F.when(stuck, 0.0).otherwise(F.coalesce(F.abs(ratio - 1), F.lit(0.0))).alias(f"off__{m}"))
-            scaled = held.drop(f"off__{m}").join(small(step, sizes[m], BROADCAST_ROWS), m, "left").withColumn("factor__", F.col("factor__") * F.coalesce("ratio__", F.lit(1.0)))
+        before = held
+        if few:
+            held = held.coalesce(1)
+            for m in targets:
+                of = Window.partitionBy(m)
+                ratio, off = step(m, F.col(f"target__{m}"))
+                held = held.withColumns({"now__": now.over(of), "most__": every.over(of)}).withColumns({"factor__": F.col("factor__") * ratio, f"off__{m}": off})
+            held = store.cut(held.select(*before.columns))
+            store.drop(before)
+        for m in () if few else targets:
+            ratio, off = step(m, F.col("target__"))
+            sums = held.groupBy(m).agg(now.alias("now__"), every.alias("most__"), F.first(f"target__{m}").alias("target__"))
+            scale = sums.select(m, ratio.alias("ratio__"), off.alias(f"off__{m}"))
+            scaled = held.drop(f"off__{m}").join(small(scale, sizes[m], BROADCAST_ROWS), m, "left").withColumn("factor__", F.col("factor__") * F.coalesce("ratio__", F.lit(1.0)))
             before, held = held, store.cut(scaled.select(*held.columns))
             store.drop(before)
         worst = held.agg(F.max(F.greatest(F.lit(0.0), *[F.col(f"off__{m}") for m in targets], F.lit(0.0)))).first()[0] or 0.0

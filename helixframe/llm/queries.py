@@ -65,7 +65,7 @@ POWERS = {"source": 0.85, "topic": 0.9}
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    narrow = cut(mixing.with_topics(docs, tokens_out="n_tokens").drop("text"))
+    narrow = cut(mixing.with_topics(docs, tokens_out="n_tokens", keep=("doc_id", "source", "lang")))
     mixed = mixing.mix(narrow, ("source", "lang", "topic"), F.col("n_tokens"), {"lang": LANGUAGES}, POWERS)
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.col("mix_weight").alias("weight"), F.col("mix_probability").alias("probability"), F.col("mix_kept").alias("kept"))
 

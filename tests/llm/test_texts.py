@@ -655,3 +655,34 @@ def test_topics_are_fitted_on_all_texts(spark):
     assert len(got) == 2 and len({r["topic"] for r in got}) == 2
     with pytest.raises(TypeError):
         mixing.with_topics(docs, sample_rows=10)
+
+
+def test_topics_read_texts_once(spark, tmp_path):
+    """Topics and numbers of words come from profiles written in one pass over the texts."""
+    path = str(tmp_path / "docs")
+    texts = ["alpha beta alpha", "gamma delta epsilon zeta", None, "", "a b"] * 6
+    table(spark, texts).write.parquet(path)
+    docs = spark.read.parquet(path)
+    out = mixing.with_topics(docs, tokens_out="n", topics=2, keep=("doc_id",))
+    assert out.columns == ["doc_id", "n", "topic"] and not any(path in f for f in out.inputFiles())
+    got = [(r["n"], r["topic"]) for r in out.orderBy("doc_id").collect()]
+    assert [n for n, _ in got] == [len((t or "").split()) for t in texts] and [t for _, t in got[2:5]] == ["none"] * 3 and got[0][1] != got[1][1] != "none"
+    every = mixing.with_topics(docs, topics=2)
+    assert every.columns == [*docs.columns, "topic"] and sorted(r["topic"] for r in every.collect()) == sorted(t for _, t in got)
+
+
+def test_raking_few_cells_takes_one_job_a_round(spark, monkeypatch):
+    """Few cells are raked in one partition, with the weights that sums and joins give."""
+    rows = [(f"a{i}", f"b{j}", float(1 + (7 * i + 3 * j) % 11)) for i in range(6) for j in range(5)] + [(None, "b0", 3.0)]
+    cells = spark.createDataFrame(rows, "a string, b string, tokens double")
+    targets = {m: mixing.targets_of(cells, m, power=0.5) for m in "ab"}
+
+    def raked():
+        spark.sparkContext.setJobGroup(name := f"rake {mixing.AT_ONCE}", "")
+        got = {(r["a"], r["b"]): r["weight"] for r in mixing.rake(cells, targets, 0.5, 1.0, rounds=8, tolerance=1e-12).collect()}
+        return got, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    (at_once, jobs), _ = raked(), monkeypatch.setattr(mixing, "AT_ONCE", 0)
+    apart, more = raked()
+    assert at_once == pytest.approx(apart, rel=1e-9) and len(at_once) == 31
+    assert jobs < 0.6 * more
