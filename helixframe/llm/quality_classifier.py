@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import VectorUDT
@@ -123,13 +122,19 @@ def estimate(names: list[str], votes: np.ndarray, counts: np.ndarray, rounds: in
     return model
 
 
-def _bucket(token: str) -> int:
-    """The bucket of a token or shape; 0 is that of texts without words."""
-    return 1 + zlib.crc32(token.encode("utf-8", "surrogatepass")) % ((1 << BITS) - 2)
+def _buckets(names: list[str]) -> np.ndarray:
+    """The buckets of tokens and shapes; 0 is that of texts without words."""
+    try:
+        coded = list(map(zlib.crc32, map(str.encode, names)))
+    except UnicodeEncodeError:
+        coded = [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in names]
+    return 1 + np.array(coded, "int64") % ((1 << BITS) - 2)
 
 
 def _shape(token: str) -> str:
     """Kinds of a token's first and last characters, and its case."""
+    if token.isalpha() and token.islower():  # most are
+        return "\x00ala"
     end = token[-2:] if not token[-1].isalnum() else "a" if token[-1].isalpha() else "0"
     return f"\x00{'a' if token[0].isalpha() else token[0]}{'U' if token.isupper() and len(token) > 1 else 'l'}{end}"
 
@@ -145,8 +150,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     for shape, n in zip(map(_shape, counts), counts.values()):
         shapes[shape] = shapes.get(shape, 0) + n
     both = [*counts.values(), *shapes.values()]
-    at = np.fromiter(map(_bucket, [*counts, *shapes]), "int64", len(both))
-    return at, np.sqrt(np.asarray(both, "float64") / len(tokens))
+    return _buckets([*counts, *shapes]), np.sqrt(np.asarray(both, "float64") / len(tokens))
 
 
 def _vectors(texts: list[str]) -> pa.StructArray:
@@ -160,20 +164,24 @@ def _vectors(texts: list[str]) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array(np.zeros(len(found), "int8")), pa.array(np.full(len(found), 1 << BITS, "int32")), *lists], ["type", "size", "indices", "values"])
 
 
-def voted_vectors(docs: DataFrame, store: Scratch, text: str = "text", drawn: Column | None = None) -> tuple[DataFrame, list[str]]:
-    """(votes, drawn, features) of every row, written once, and the labellers' names: what both the
-    accuracies and the scorer are fitted on. Texts are read and voted on in this one pass."""
-    voted, names = labellers(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), (F.lit(True) if drawn is None else drawn).alias("drawn")))
+def voted_vectors(docs: DataFrame, store: Scratch, text: str = "text", drawn: Column | None = None, keep: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """(votes, drawn, features) of every row, written once, and the labellers' names: what the accuracies and
+    the scorer are fitted on, and what is scored. Texts are read, voted on and hashed in this one pass. The columns
+    ``keep`` are written beside: the text as ``text``, the others in the struct ``kept``."""
+    others = [F.struct(*[F.col(c) for c in keep if c != text]).alias("kept")] if set(keep) - {text} else []
+    voted, names = labellers(docs.select(F.col(text).alias("text"), (F.lit(True) if drawn is None else drawn).alias("drawn"), *others))
+    made = voted.select("text", "drawn", F.array(*names).alias("votes"), *(["kept"] if others else []))
+    through = ["votes", "drawn", *(["kept"] if others else []), *(["text"] if text in keep else [])]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, SLICE):
                 part = batch.slice(low, SLICE)
-                yield pa.RecordBatch.from_arrays([part.column("votes"), part.column("drawn"), _vectors(part.column("text").to_pylist())], ["votes", "drawn", "features"])
+                found = _vectors([t or "" for t in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in through], found], [*through, "features"])
 
-    fields = lambda kind: T.StructType([T.StructField("votes", T.ArrayType(T.ByteType())), T.StructField("drawn", T.BooleanType()), T.StructField("features", kind)])
-    made = voted.select("text", "drawn", F.array(*names).alias("votes")).mapInArrow(hashed, fields(VectorUDT.sqlType()))
-    return store.cut(made, fields(VectorUDT())), names
+    fields = lambda kind: T.StructType([T.StructField(c, made.schema[c].dataType) for c in through] + [T.StructField("features", kind)])
+    return store.cut(made.mapInArrow(hashed, fields(VectorUDT.sqlType())), fields(VectorUDT())), names
 
 
 def fit_labellers(voted: DataFrame, names: list[str]) -> Accuracies:
@@ -201,7 +209,7 @@ def fit_scorer(voted: DataFrame, model: Accuracies, rounds: int = 40, decay: flo
     return np.clip(np.round(np.append(fitted.coefficients.toArray(), fitted.intercept), 6), -500, 500)
 
 
-def classify(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.5, sample_rows: int | None = None) -> DataFrame:
+def classify(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.5, sample_rows: int | None = None, keep: Sequence[str] | None = None) -> DataFrame:
     """``docs`` plus ``quality_score`` (0 to 1) and ``quality_kept`` (score at least ``threshold``).
 
     Accuracies of overlapping heuristic labellers are estimated over all rows, without any
@@ -210,23 +218,27 @@ def classify(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold
     their feature and so a defined score. Repeated rows get equal scores; an empty table gives an
     empty one. Columns of the two names are replaced.
 
+    Texts are hashed once: the features that the scorer is trained on are written and scored, with the columns of
+    docs that are in ``keep`` (all if it is None).
+
     Only a caller who names ``sample_rows`` gets a scorer trained on about so many rows, drawn by a hash of
     ``key`` and text; the queries train on all.
     """
     store = Scratch(docs.sparkSession)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("quality_score", "quality_kept")]
     drawn = None if sample_rows is None else F.coalesce(unit_hash(F.col(key).cast("string"), F.col(text)) < sample_rows / max(docs.count(), 1), F.lit(False))
-    voted, names = voted_vectors(docs, store, text, drawn)
+    voted, names = voted_vectors(docs, store, text, drawn, keep)
     weights = fit_scorer(voted.filter("drawn"), fit_labellers(voted, names))
-    store.drop(voted)
+    store.tidy()
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(at: pa.Array, x: pa.Array) -> pa.Array:
         w = held.value
-        sums = []
-        for t in texts:
-            at, x = features(t if isinstance(t, str) else "")
-            sums.append(float(w[at] @ x + w[-1]))
-        return pd.Series(1 / (1 + np.exp(-np.asarray(sums, "float64"))))
+        own = np.repeat(np.arange(len(at)), at.value_lengths())
+        sums = np.bincount(own, w[at.flatten()] * x.flatten().to_numpy(), len(at)) + w[-1]
+        return pa.array(1 / (1 + np.exp(-sums)))
 
-    return docs.withColumn("quality_score", score(F.col(text))).withColumn("quality_kept", F.col("quality_score") >= threshold)
+    vector = F.unwrap_udt("features")
+    scored = voted.withColumn("quality_score", score(vector["indices"], vector["values"])).withColumn("quality_kept", F.col("quality_score") >= threshold)
+    return scored.select(*[F.col("text").alias(c) if c == text else F.col("kept")[c].alias(c) for c in keep], "quality_score", "quality_kept")

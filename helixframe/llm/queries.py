@@ -29,7 +29,7 @@ def partitions(spark: SparkSession) -> int:
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return quality_classifier.classify(docs.select("doc_id", "text")).select("doc_id", F.col("quality_score").alias("score"), F.col("quality_kept").alias("kept"))
+    return quality_classifier.classify(docs, keep=("doc_id",)).select("doc_id", F.col("quality_score").alias("score"), F.col("quality_kept").alias("kept"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

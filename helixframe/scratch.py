@@ -52,9 +52,9 @@ class Scratch:
                 where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
                 self.made[path] = None
-        self._tidy()
+        self.tidy()
 
-    def _tidy(self) -> None:
+    def tidy(self) -> None:
         """Lets the driver forget the plans of dropped tables, at most every two seconds: Spark deletes their shuffle
         files from the executors' disks only once the driver has collected its garbage, and in a loop of many small
         jobs that may be long after."""

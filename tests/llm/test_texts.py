@@ -657,6 +657,22 @@ def test_topics_are_fitted_on_all_texts(spark):
         mixing.with_topics(docs, sample_rows=10)
 
 
+def test_quality_classifier_hashes_texts_once(spark, tmp_path):
+    """What is scored are the features written for training, not the texts again; scores are those of the weights."""
+    path = str(tmp_path / "docs")
+    texts = ["Some plain words here. More of them follow.", "$$ ## $$ || ## $$", None, "", "a😀 b".encode("utf-16", "surrogatepass").decode("utf-16")] * 20
+    table(spark, texts).write.parquet(path)
+    docs = spark.read.parquet(path)
+    out = quality_classifier.classify(docs, keep=("doc_id",))
+    assert out.columns == ["doc_id", "quality_score", "quality_kept"]
+    assert not any(path in f for f in out.inputFiles())
+    every = quality_classifier.classify(docs)
+    assert every.columns == [*docs.columns, "quality_score", "quality_kept"] and not any(path in f for f in every.inputFiles())
+    rows = every.orderBy("doc_id").collect()
+    assert [r["text"] for r in rows] == texts and {r["doc_id"]: r["quality_score"] for r in rows} == {r["doc_id"]: r["quality_score"] for r in out.collect()}
+    assert rows[0]["quality_kept"] and not rows[1]["quality_kept"] and rows[2]["quality_score"] == rows[3]["quality_score"]
+
+
 def test_topics_read_texts_once(spark, tmp_path):
     """Topics and numbers of words come from profiles written in one pass over the texts."""
     path = str(tmp_path / "docs")
