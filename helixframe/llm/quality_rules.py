@@ -72,11 +72,15 @@ def _pairs() -> list[tuple[int, int]]:
 
 
 def _moments(rows: DataFrame, *by: str, also: tuple[Column, ...] = ()) -> DataFrame:
-    """Means and covariance of x by the given columns, with the variance floors added; and the sums ``also``."""
+    """Means and covariance of x by the given columns, with the variance floors added; and the sums ``also``.
+    Only x and its products are summed: x lies near 0 (see ``estimates``), and a plan with four sums for each
+    covariance weighs on the driver in every step."""
     floors = [floor for _, floor in FEATURES.values()]
-    means = [F.expr(f"avg(x{i}) AS m{i}") for i in range(len(FEATURES))]
-    spreads = [F.expr(f"covar_pop(x{i}, x{j}) * {CONSISTENCY}D + {floors[i] ** 2 if i == j else 0.0}D AS c{i}_{j}") for i, j in _pairs()]
-    return rows.groupBy(*by).agg(*means, *spreads, *also)
+    sums = [*[F.avg(f"x{i}").alias(f"m{i}") for i in range(len(FEATURES))], *[F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in _pairs()]]
+    found = rows.groupBy(*by).agg(*sums, *also)
+    made = {f"p{i}_{j}" for i, j in _pairs()}
+    kept = [c for c in found.columns if c not in made]
+    return found.selectExpr(*kept, *[f"(p{i}_{j} - m{i} * m{j}) * {CONSISTENCY}D + {floors[i] ** 2 if i == j else 0.0}D AS c{i}_{j}" for i, j in _pairs()])
 
 
 def _inverted(out: DataFrame) -> DataFrame:

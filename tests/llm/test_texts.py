@@ -702,3 +702,13 @@ def test_raking_few_cells_takes_one_job_a_round(spark, monkeypatch):
     apart, more = raked()
     assert at_once == pytest.approx(apart, rel=1e-9) and len(at_once) == 31
     assert jobs < 0.6 * more
+
+
+def test_covariances_are_made_of_one_sum_a_product(spark):
+    """The moments are numpy's, and their plan holds one average for each mean and product."""
+    x = np.random.default_rng(3).normal(0.5, 0.2, (400, len(quality_rules.FEATURES)))
+    made = quality_rules._moments(spark.createDataFrame([("g", *map(float, r)) for r in x], ["g", *[f"x{i}" for i in range(x.shape[1])]]), "g")
+    assert "covar" not in made._jdf.queryExecution().analyzed().toString()
+    got, wanted = made.first(), np.cov(x.T, bias=True) * quality_rules.CONSISTENCY
+    for i, j in quality_rules._pairs():
+        assert got[f"c{i}_{j}"] == pytest.approx(wanted[i, j] + (list(quality_rules.FEATURES.values())[i][1] ** 2 if i == j else 0), rel=1e-9, abs=1e-12)
