@@ -239,6 +239,17 @@ def test_substitutions_score_as_whole_strings(spark):
     assert got == {(r["id"], r["pos"], r["base"]): r["v"] for r in made.collect()} and len(got) == 28
 
 
+def test_mutants_are_written_small(spark, tmp_path):
+    letters = random.Random(3)
+    seqs = spark.createDataFrame([(i, "".join(letters.choices("ACGT", k=n))) for i, n in enumerate([200] * 20 + [301, 1])], "id long, seq string").coalesce(1)
+    made = expand.saturation_mutants(seqs, drop_ref=True)
+    made.write.parquet(f"{tmp_path}/made")
+    made.sortWithinPartitions("id", "pos", "base").write.parquet(f"{tmp_path}/sorted")
+    size = {k: sum(f.stat().st_size for f in (tmp_path / k).glob("*.parquet")) for k in ("made", "sorted")}
+    assert size["made"] < 0.96 * size["sorted"]
+    assert rows(made, "id", "pos", "base") == [(i, s[:p] + b + s[p + 1 :], p, b) for i, s in rows(seqs, "id") for p in range(len(s)) for b in "ACGT" if b != s[p]]
+
+
 def test_drawn_consensus_and_order(spark):
     m = spark.createDataFrame([("m", p, b, x) for p in range(40) for b, x in zip("ACGT", (0.5, 0.5, 0.0, 0.0))], "motif string, pos int, base string, prob double")
     seq = motifs.consensus(m, seed=1).first()["seq"]
